@@ -127,3 +127,173 @@ def q_format_ci_cell(spark, sf):
               F.count("Elapsed").alias("n")))
     low, upp = S.t_interval(F.col("mean"), F.col("sd"), F.col("n"))
     return g.select("Model", "Model_ret", "Difficulty", M.format_ci_cell(F.col("mean"), low, upp, 2).alias("cell"))
+
+
+# ---------------------------------------------------------------- 2.9 answers, 2.4 key join
+
+from .functions import answers as A  # noqa: E402
+from .operators import scoring as SC  # noqa: E402
+
+EVAL_ROUND_KEYS = ["Model", "Model_ret"]
+
+
+def _perm_text(c) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@register
+def q_permute_options(spark, sf):
+    mcq = FX.fx_mcq(spark, sf).withColumn("quest_order", A.permutation("Question_nr", 42))
+    shown = A.shown_options(["A", "B", "C", "D"], "quest_order")
+    return mcq.select("Question_nr", _perm_text(F.col("quest_order")).alias("quest_order"),
+                      *[shown.getItem(i).alias(f"shown_{L}") for i, L in enumerate("ABCD")],
+                      A.shown_correct("Correct", "quest_order").alias("shown_correct"))
+
+
+@register
+def q_parse_answer(spark, sf):
+    r = FX.fx_responses(spark, sf)
+    return r.select("conv_id", "turn", A.parse_answer("raw_response").alias("filt_resp"))
+
+
+@register
+def q_unpermute_answer(spark, sf):
+    r = SC.score_responses(FX.fx_responses(spark, sf))
+    return r.select("conv_id", "turn", _perm_text(F.col("quest_order")).alias("quest_order"),
+                    "filt_resp", "answer")
+
+
+@register
+def q_join_answer_key(spark, sf):
+    r = SC.score_responses(FX.fx_responses(spark, sf))
+    out = SC.join_answer_key(r, FX.fx_mcq(spark, sf))
+    return out.select("conv_id", "turn", "Question_nr", "answer", "Correct", "Difficulty", "Cor_answer")
+
+
+@register
+def q_parse_run_name(spark, sf):
+    p = SC.parse_run_files(FX.fx_run_files(spark, sf))
+    return p.select("file_id", "model_short", "vd_name", "perm_label", "timestamp",
+                    F.col("perm_suffix").cast("int").alias("perm_suffix"), F.col("valid").cast("int").alias("valid"))
+
+
+@register
+def q_iteration_number(spark, sf):
+    p = SC.parse_run_files(FX.fx_run_files(spark, sf)).where("valid")
+    pair = ["model_short", "vd_name", "perm_label"]
+    it = SC.iteration_number(p, pair, "file_name")
+    return p.join(it, pair + ["file_name"]).select("file_id", "Iteration")
+
+
+@register
+def q_filter_categories(spark, sf):
+    ev = SUM.filter_categories(FX.fx_eval(spark, sf), "Model_ret", FX.RETRIEVERS, "ret_ordinal")
+    return ev.select("event_id", "Model_ret", F.col("ret_ordinal").cast("int").alias("ret_ordinal"))
+
+
+@register
+def q_sort_full_report(spark, sf):
+    ev = SC.sort_full_report(FX.fx_eval(spark, sf), "Model", "Model_ret", FX.RETRIEVERS, "Iteration")
+    return ev.select("event_id", "Model", "Model_ret", F.col("category_ordinal").cast("int").alias("category_ordinal"),
+                     "Iteration", "Question_nr")
+
+
+@register
+def q_union_runs(spark, sf):
+    ev = FX.fx_eval(spark, sf)
+    a = ev.where("Iteration % 2 = 1").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer",
+                                             "Elapsed", "Total_tokens")
+    b = ev.where("Iteration % 2 = 0").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer",
+                                             "Difficulty")
+    return round_doubles(SC.union_runs([a, b]))
+
+
+# ---------------------------------------------------------------- 2.5 report aggregates
+
+def _eval_in_categories(spark, sf):
+    ev = FX.fx_eval(spark, sf)
+    ev = SUM.filter_categories(ev, "Model", FX.MODELS)
+    return SUM.filter_categories(ev, "Model_ret", FX.RETRIEVERS)
+
+
+@register
+def q_run_accuracy(spark, sf):
+    out = SUM.run_accuracy(FX.fx_eval(spark, sf), ["Model", "Model_ret", "Iteration"])
+    return round_doubles(out)
+
+
+@register
+def q_accuracy_pivot(spark, sf):
+    out = SUM.accuracy_pivot(_eval_in_categories(spark, sf), ["Model", "Model_ret"])
+    return round_doubles(out)
+
+
+@register
+def q_majority_vote(spark, sf):
+    out = SUM.majority_vote(_eval_in_categories(spark, sf), ["Model", "Model_ret"], ["Question_nr", "Difficulty"])
+    return round_doubles(out)
+
+
+def _eval_with_hit(spark, sf):
+    return _eval_in_categories(spark, sf).withColumn("hit", M.hit_at_k("Paper_id", "Context_papers"))
+
+
+@register
+def q_sd_summary(spark, sf):
+    ev = SUM.filter_categories(_eval_with_hit(spark, sf), "Difficulty", FX.DIFFICULTIES)
+    return SUM.sd_summary(ev, ["Model", "Model_ret", "Difficulty"])
+
+
+def _sd_wide(spark, sf):
+    ev = SUM.filter_categories(_eval_with_hit(spark, sf), "Difficulty", FX.DIFFICULTIES)
+    s = SUM.sd_summary(ev, ["Model", "Model_ret", "Difficulty"])
+    return SUM.ci_summary_wide(s, ["Model", "Model_ret"], "Difficulty", FX.DIFFICULTIES, ["Cor_answer", "hit"])
+
+
+@register
+def q_sd_summary_wide(spark, sf):
+    return _sd_wide(spark, sf)
+
+
+def _sd_overall(spark, sf):
+    s = SUM.sd_summary(_eval_with_hit(spark, sf), ["Model", "Model_ret"])
+    return s.select("Model", "Model_ret", F.col("Cor_answer").alias("Cor_answer_summary"),
+                    F.col("hit").alias("hit_summary"))
+
+
+@register
+def q_sd_overall(spark, sf):
+    return _sd_overall(spark, sf)
+
+
+@register
+def q_join_summaries(spark, sf):
+    return _sd_wide(spark, sf).join(_sd_overall(spark, sf), ["Model", "Model_ret"], "inner")
+
+
+@register
+def q_summary_grouping_sets(spark, sf):
+    ev = _eval_with_hit(spark, sf)
+    ev = ev.where(F.col("Difficulty").isNull() | F.col("Difficulty").isin(*FX.DIFFICULTIES))
+    return SUM.summary_grouping_sets(ev, ["Model", "Model_ret"], "Difficulty")
+
+
+TWO_STEP_VARS = {"Cor_answer": "proportion", "Elapsed": "mean", "Latency": "mean", "Price": "mean",
+                 "is_paper_id_in_context": "mean"}
+
+
+def _eval_two_step(spark, sf):
+    ev = FX.fx_eval(spark, sf)
+    return (ev.withColumn("Latency", M.throughput("Total_tokens", "Elapsed"))
+              .withColumn("Price", M.cost("Model", "Total_tokens", FX.PRICES))
+              .withColumn("is_paper_id_in_context", M.precision_at_k("Paper_id", "Context_papers", 10)))
+
+
+@register
+def q_two_step_summary(spark, sf):
+    return SUM.two_step_summary(_eval_two_step(spark, sf), ["Model", "Model_ret"], TWO_STEP_VARS)
+
+
+@register
+def q_two_stage_analysis(spark, sf):
+    return SUM.two_stage_analysis(_eval_two_step(spark, sf), ["Model", "Model_ret"], TWO_STEP_VARS)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 # Two-sided 95 % level, z = Phi^-1(0.975).
 Z975 = 1.959963984540054
-T_TABLE_MAX_DF = 1000
+T_TABLE_MAX_DF = 100
 
 # Abramowitz & Stegun 26.2.17 coefficients for the normal CDF.
 AS_P = 0.2316419
@@ -111,7 +111,7 @@ def t975_table(max_df: int = T_TABLE_MAX_DF) -> tuple[float, ...]:
 
 
 def t975_large_df(df: Column) -> Column:
-    """Cornish-Fisher expansion of t(0.975, df); error < 1e-10 for df > 1000."""
+    """Cornish-Fisher expansion of t(0.975, df); error < 1e-10 for df > 100."""
     z = Z975
     g1 = (z ** 3 + z) / 4.0
     g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
@@ -132,9 +132,13 @@ def t975(df: Column) -> Column:
 # --------------------------------------------------------------------------
 # Interval expressions over aggregates
 
-def t_interval(mean: Column, sd: Column, n: Column, floor_zero: bool = False) -> tuple[Column, Column]:
-    """mean +- t(0.975, n-1) * sd / sqrt(n); null when n < 2."""
-    half = t975(n - 1) * sd / F.sqrt(n.cast("double"))
+def t_interval(mean: Column, sd: Column, n: Column, floor_zero: bool = False,
+               tcrit: Column | None = None) -> tuple[Column, Column]:
+    """mean +- t(0.975, n-1) * sd / sqrt(n); null when n < 2.
+
+    Pass `tcrit` (a column already holding t975(n - 1)) to avoid repeating
+    the table expression in both bounds."""
+    half = (t975(n - 1) if tcrit is None else tcrit) * sd / F.sqrt(n.cast("double"))
     ok = n >= 2
     low = F.when(ok, mean - half)
     upp = F.when(ok, mean + half)

@@ -102,13 +102,16 @@ def ci_bounds(per_iter: DataFrame, keys: Sequence[str]) -> DataFrame:
                  F.count(src).alias(f"{name}_n"),
                  F.sum(src).alias(f"{name}_sum")]
     g = per_iter.groupBy(*keys).agg(*aggs)
+    g = g.select("*", *[S.t975(F.col(f"{name}_n") - 1).alias(f"{name}_t")
+                        for name, _s, kind, _d in CI_METRICS if kind != "prop"])
     cols = [F.col(c) for c in keys]
     for name, _src, kind, _dec in CI_METRICS:
         mean, n = F.col(f"{name}_mean"), F.col(f"{name}_n")
         if kind == "prop":
             low, upp = S.agresti_coull(F.col(f"{name}_sum"), n)
         else:
-            low, upp = S.t_interval(mean, F.col(f"{name}_sd"), n, floor_zero=(kind == "t0"))
+            low, upp = S.t_interval(mean, F.col(f"{name}_sd"), n, floor_zero=(kind == "t0"),
+                                    tcrit=F.col(f"{name}_t"))
         cols += [mean.alias(f"{name}_mean"), low.alias(f"{name}_low"), upp.alias(f"{name}_upp")]
     return g.select(*cols)
 

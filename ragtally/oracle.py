@@ -193,7 +193,7 @@ def register(key: str, sql: str) -> None:
 # ------------------------------------------------------------------ 2.9 metrics
 
 register("parse_context_list", with_fx(f"""
-SELECT event_id, CAST(len({ctx_list('Context_papers')}) AS BIGINT) AS n_items,
+SELECT event_id, CAST(len({ctx_list("Context_papers")}) AS INTEGER) AS n_items,
        array_to_string({ctx_list('Context_papers')}, '|') AS items
 FROM fx_eval""", "fx_eval"))
 
@@ -288,3 +288,188 @@ register("format_ci_cell", with_fx(f"""
 SELECT Model, Model_ret, Difficulty, {ci_cell_sql('mean', _tb[0], _tb[1], 2)} AS cell
 FROM (SELECT Model, Model_ret, Difficulty, avg(Elapsed) AS mean, stddev_samp(Elapsed) AS sd, count(Elapsed) AS n
       FROM fx_eval WHERE Difficulty IS NOT NULL GROUP BY Model, Model_ret, Difficulty) g""", "fx_eval"))
+
+
+# ------------------------------------------------------------------ 2.9 answers, 2.4 key join
+
+PERM_CTE = ("perm", """
+SELECT Question_nr, list(i ORDER BY md5(concat('42:', CAST(Question_nr AS VARCHAR), ':', CAST(i AS VARCHAR))), i) AS perm
+FROM (SELECT DISTINCT Question_nr FROM {src}) s, range(4) t(i) GROUP BY Question_nr""")
+
+
+def perm_cte(src: str) -> tuple[str, str]:
+    return (PERM_CTE[0], PERM_CTE[1].format(src=src))
+
+
+def parse_answer_sql(r: str) -> str:
+    tail = f"list_last(string_split(trim(regexp_replace({r}, '\\s+', ' ', 'g')), ':'))"
+    return (f"CASE WHEN {r} IS NULL THEN '' WHEN {r} IN ('A', 'B', 'C', 'D') THEN {r} "
+            f"ELSE coalesce(regexp_extract(upper(substr({tail}, 1, 10)), '([ABCD]).', 1), '') END")
+
+
+def unpermute_sql(letter: str, perm: str) -> str:
+    return (f"CASE WHEN {letter} IN ('A', 'B', 'C', 'D') "
+            f"THEN substr('ABCD', CAST({perm}[instr('ABCD', {letter})] + 1 AS INT), 1) ELSE '' END")
+
+
+register("permute_options", with_fx("""
+SELECT m.Question_nr, array_to_string(perm, ',') AS quest_order,
+  [m.A, m.B, m.C, m.D][perm[1] + 1] AS shown_A, [m.A, m.B, m.C, m.D][perm[2] + 1] AS shown_B,
+  [m.A, m.B, m.C, m.D][perm[3] + 1] AS shown_C, [m.A, m.B, m.C, m.D][perm[4] + 1] AS shown_D,
+  substr('ABCD', CAST(list_position(perm, instr('ABCD', m.Correct) - 1) AS INT), 1) AS shown_correct
+FROM fx_mcq m JOIN perm USING (Question_nr)""", "fx_mcq", perm_cte("fx_mcq")))
+
+register("parse_answer", with_fx(
+    f"SELECT conv_id, turn, {parse_answer_sql('raw_response')} AS filt_resp FROM fx_responses", "fx_responses"))
+
+SCORED_SQL = f"""
+SELECT r.*, array_to_string(p.perm, ',') AS quest_order, {parse_answer_sql('r.raw_response')} AS filt_resp,
+       {unpermute_sql(parse_answer_sql('r.raw_response'), 'p.perm')} AS answer
+FROM fx_responses r JOIN perm p USING (Question_nr)"""
+
+register("unpermute_answer", with_fx("SELECT conv_id, turn, quest_order, filt_resp, answer FROM scored",
+                                     "fx_responses", perm_cte("fx_responses"), ("scored", SCORED_SQL)))
+
+register("join_answer_key", with_fx("""
+SELECT s.conv_id, s.turn, s.Question_nr, s.answer, k.Correct, k.Difficulty,
+       coalesce(CAST(s.answer = k.Correct AS INT), 0) AS Cor_answer
+FROM scored s LEFT JOIN fx_mcq k USING (Question_nr)""",
+                                    "fx_responses", "fx_mcq", perm_cte("fx_responses"), ("scored", SCORED_SQL)))
+
+RUN_PAT = "^eval_([^_]+)_(.+?)_(no_perm|perm)_benchmark_([0-9]{8}-[0-9]{6})$"
+PARSED_RUNS = f"""
+SELECT file_id, file_name, sfx,
+  CASE WHEN regexp_matches(core, '{RUN_PAT}') THEN regexp_extract(core, '{RUN_PAT}', 1) END AS model_short,
+  CASE WHEN regexp_matches(core, '{RUN_PAT}') THEN regexp_extract(core, '{RUN_PAT}', 2) END AS vd_name,
+  CASE WHEN regexp_matches(core, '{RUN_PAT}') THEN regexp_extract(core, '{RUN_PAT}', 3) END AS perm_label,
+  CASE WHEN regexp_matches(core, '{RUN_PAT}') THEN regexp_extract(core, '{RUN_PAT}', 4) END AS timestamp,
+  regexp_matches(core, '{RUN_PAT}') AS valid
+FROM (SELECT *, CASE WHEN sfx THEN regexp_replace(stem, '_perm_q$', '') ELSE stem END AS core
+      FROM (SELECT *, ends_with(stem, '_perm_q') AS sfx
+            FROM (SELECT file_id, file_name, regexp_replace(file_name, '\\.[^.]*$', '') AS stem
+                  FROM fx_run_files WHERE ends_with(file_name, '.json')) a) b) c"""
+
+register("parse_run_name", with_fx("""
+SELECT file_id, model_short, vd_name, perm_label, timestamp, CAST(sfx AS INT) AS perm_suffix,
+       CAST(valid AS INT) AS valid FROM parsed""", "fx_run_files", ("parsed", PARSED_RUNS)))
+
+register("iteration_number", with_fx("""
+SELECT p.file_id, CAST(i.Iteration AS INT) AS Iteration
+FROM parsed p JOIN (
+  SELECT model_short, vd_name, perm_label, file_name,
+         row_number() OVER (PARTITION BY model_short, vd_name, perm_label ORDER BY file_name) AS Iteration
+  FROM (SELECT DISTINCT model_short, vd_name, perm_label, file_name FROM parsed WHERE valid) d) i
+USING (model_short, vd_name, perm_label, file_name)
+WHERE p.valid""", "fx_run_files", ("parsed", PARSED_RUNS)))
+
+
+def ordinal_sql(c: str, values) -> str:
+    return "CASE " + c + " " + " ".join(f"WHEN {q(v)} THEN {i}" for i, v in enumerate(values)) + " END"
+
+
+register("filter_categories", with_fx(f"""
+SELECT event_id, Model_ret, CAST({ordinal_sql('Model_ret', FX.RETRIEVERS)} AS INT) AS ret_ordinal
+FROM fx_eval WHERE Model_ret IN {in_list(FX.RETRIEVERS)}""", "fx_eval"))
+
+register("sort_full_report", with_fx(f"""
+SELECT event_id, Model, Model_ret, CAST({ordinal_sql('Model_ret', FX.RETRIEVERS)} AS INT) AS category_ordinal,
+       Iteration, Question_nr
+FROM fx_eval ORDER BY Model, category_ordinal NULLS LAST, Iteration, Question_nr""", "fx_eval"))
+
+register("union_runs", with_fx("""
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 6) AS Elapsed, Total_tokens
+FROM fx_eval WHERE Iteration % 2 = 1
+UNION ALL BY NAME
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, Difficulty FROM fx_eval WHERE Iteration % 2 = 0""",
+                               "fx_eval"))
+
+
+# ------------------------------------------------------------------ 2.5 report aggregates
+
+EV_CAT = ("ev", f"SELECT * FROM fx_eval WHERE Model IN {in_list(FX.MODELS)} AND Model_ret IN {in_list(FX.RETRIEVERS)}")
+EV_HIT = ("evh", f"SELECT *, {hit_sql('Paper_id', 'Context_papers')} AS hit FROM ev")
+
+register("run_accuracy", with_fx("""
+SELECT Model, Model_ret, Iteration, round(avg(Cor_answer), 6) AS accuracy
+FROM fx_eval GROUP BY Model, Model_ret, Iteration""", "fx_eval"))
+
+register("accuracy_pivot", with_fx(
+    "SELECT Model, Model_ret, " + ", ".join(
+        f"round(avg(Cor_answer) FILTER (WHERE Difficulty = {q(d)}), 6) AS {d}" for d in FX.DIFFICULTIES)
+    + " FROM ev WHERE Difficulty IS NOT NULL GROUP BY Model, Model_ret", "fx_eval", EV_CAT))
+
+register("majority_vote", with_fx("""
+SELECT Model, Model_ret, round(avg(CASE WHEN n_correct >= ceil(n_runs / 2) THEN 1 ELSE 0 END), 6) AS majority_accuracy
+FROM (SELECT Model, Model_ret, Question_nr, Difficulty, sum(Cor_answer) AS n_correct, count(Cor_answer) AS n_runs
+      FROM ev WHERE Difficulty IS NOT NULL GROUP BY Model, Model_ret, Question_nr, Difficulty) v
+GROUP BY Model, Model_ret""", "fx_eval", EV_CAT))
+
+
+def sd_sql(keys: list[str], where: str = "TRUE", cor_name: str = "Cor_answer", hit_name: str = "hit") -> str:
+    g = ", ".join(keys)
+    return f"""
+SELECT {g}, {mean_sd_sql('avg(Cor_answer)', 'stddev_samp(Cor_answer)')} AS {cor_name},
+       {mean_sd_sql('avg(hit)', 'stddev_samp(hit)')} AS {hit_name}
+FROM evh WHERE {where} GROUP BY {g}"""
+
+
+SD_DIFF = ("sd_diff", sd_sql(["Model", "Model_ret", "Difficulty"], f"Difficulty IN {in_list(FX.DIFFICULTIES)}"))
+SD_WIDE = ("sd_wide", "SELECT Model, Model_ret, " + ", ".join(
+    f"first({m}) FILTER (WHERE Difficulty = {q(d)}) AS {m}_{d}" for d in FX.DIFFICULTIES for m in ("Cor_answer", "hit"))
+    + " FROM sd_diff GROUP BY Model, Model_ret")
+SD_ALL = ("sd_all", sd_sql(["Model", "Model_ret"], "TRUE", "Cor_answer_summary", "hit_summary"))
+
+register("sd_summary", with_fx("SELECT * FROM sd_diff", "fx_eval", EV_CAT, EV_HIT, SD_DIFF))
+register("sd_summary_wide", with_fx("SELECT * FROM sd_wide", "fx_eval", EV_CAT, EV_HIT, SD_DIFF, SD_WIDE))
+register("sd_overall", with_fx("SELECT * FROM sd_all", "fx_eval", EV_CAT, EV_HIT, SD_ALL))
+register("join_summaries", with_fx("SELECT * FROM sd_wide JOIN sd_all USING (Model, Model_ret)",
+                                   "fx_eval", EV_CAT, EV_HIT, SD_DIFF, SD_WIDE, SD_ALL))
+
+register("summary_grouping_sets", with_fx(f"""
+SELECT Model, Model_ret, Difficulty, CAST(GROUPING(Model, Model_ret, Difficulty) AS INT) AS level,
+       {mean_sd_sql('avg(Cor_answer)', 'stddev_samp(Cor_answer)')} AS Cor_answer,
+       {mean_sd_sql('avg(hit)', 'stddev_samp(hit)')} AS hit
+FROM evh GROUP BY GROUPING SETS ((Model, Model_ret, Difficulty), (Model, Model_ret))
+HAVING NOT (GROUPING(Model, Model_ret, Difficulty) = 0 AND Difficulty IS NULL)""", "fx_eval", EV_CAT, EV_HIT))
+
+TWO_STEP_VARS = {"Cor_answer": "proportion", "Elapsed": "mean", "Latency": "mean", "Price": "mean",
+                 "is_paper_id_in_context": "mean"}
+EV2 = ("ev2", f"""SELECT *, {throughput_sql()} AS Latency, {cost_sql()} AS Price,
+       {precision_sql('Paper_id', 'Context_papers', 10)} AS is_paper_id_in_context FROM fx_eval""")
+
+
+def two_step_sql(keys: list[str], text: bool) -> str:
+    g = ", ".join(keys)
+    per_q = (f"SELECT {g}, Question_nr, " + ", ".join(f"avg({v}) AS {v}" for v in TWO_STEP_VARS)
+             + f" FROM ev2 GROUP BY {g}, Question_nr")
+    aggs = ", ".join(f"avg({v}) AS {v}__mean, stddev_samp({v}) AS {v}__sd, count({v}) AS {v}__n, sum({v}) AS {v}__sum"
+                     for v in TWO_STEP_VARS)
+    outs = []
+    for v, kind in TWO_STEP_VARS.items():
+        if kind == "proportion":
+            low, upp = ac_bounds_sql(f"{v}__sum", f"{v}__n")
+        else:
+            low, upp = t_bounds_sql(f"{v}__mean", f"{v}__sd", f"{v}__n", v in ("Latency", "Price"))
+        if text:
+            outs.append(f"{interval_text_sql(f'{v}__mean', low, upp)} AS {v}")
+        else:
+            outs.append(f"{v}__mean AS mean_{v}, {low} AS ci_low_{v}, {upp} AS ci_upp_{v}")
+    return f"SELECT {g}, {', '.join(outs)} FROM (SELECT {g}, {aggs} FROM ({per_q}) pq GROUP BY {g}) a"
+
+
+register("two_step_summary", with_fx(two_step_sql(["Model", "Model_ret"], True), "fx_eval", EV2))
+
+
+def _two_stage_sql() -> str:
+    g = "Model, Model_ret"
+    aggs = ", ".join(f"avg(mean_{v}) AS {v}__mean, stddev_samp(mean_{v}) AS {v}__sd, count(mean_{v}) AS {v}__n"
+                     for v in TWO_STEP_VARS)
+    outs = []
+    for v in TWO_STEP_VARS:
+        low, upp = t_bounds_sql(f"{v}__mean", f"{v}__sd", f"{v}__n", v in ("Latency", "Price"))
+        outs.append(f"{interval_text_sql(f'{v}__mean', low, upp)} AS {v}")
+    return f"SELECT {g}, {', '.join(outs)} FROM (SELECT {g}, {aggs} FROM stage1 GROUP BY {g}) a"
+
+
+register("two_stage_analysis", with_fx(_two_stage_sql(), "fx_eval", EV2,
+                                       ("stage1", two_step_sql(["Model", "Model_ret", "Iteration"], False))))
