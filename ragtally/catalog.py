@@ -297,3 +297,244 @@ def q_two_step_summary(spark, sf):
 @register
 def q_two_stage_analysis(spark, sf):
     return SUM.two_stage_analysis(_eval_two_step(spark, sf), ["Model", "Model_ret"], TWO_STEP_VARS)
+
+
+# ---------------------------------------------------------------- 2.4 retrieval
+
+from .functions import text as TX  # noqa: E402
+from .operators import prompts as PR  # noqa: E402
+from .operators import retrieval as RT  # noqa: E402
+from .sources.tables import read_table  # noqa: E402
+
+K_HITS = 5
+N_QUERY_VECS = 20
+PROMPT_IMAGE = "Describe the figure."
+PROMPT_TEXT = "Summarise the passage: "
+
+
+def _emb_queries(spark, sf):
+    """Query vectors: the first embeddings stand in for encoded questions."""
+    return (read_table(spark, sf, "embeddings", "vec_id", "embedding")
+            .where(F.col("vec_id") < N_QUERY_VECS).withColumnRenamed("vec_id", "query_id"))
+
+
+def _emb_points(spark, sf):
+    return read_table(spark, sf, "embeddings", "vec_id", "embedding").withColumnRenamed("vec_id", "point_id")
+
+
+def _hits_out(df):
+    return df.select("query_id", "rank", "point_id", r6("score", "score"))
+
+
+@register
+def q_dense_topk(spark, sf):
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine")
+    return _hits_out(hits)
+
+
+@register
+def q_dense_topk_arrow(spark, sf):
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine", method="arrow")
+    return _hits_out(hits)
+
+
+@register
+def q_topk_per_query(spark, sf):
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), 10, metric="dot")
+    return _hits_out(hits)
+
+
+def _points_payload(spark, sf):
+    """fx_points plus a text payload for text/table points."""
+    return (FX.fx_points(spark, sf)
+            .withColumn("page_content", F.when(F.col("type").isin("text", "table"),
+                                               F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
+                        .otherwise(F.lit("")))
+            .withColumnRenamed("vec_id", "point_id"))
+
+
+def _tenant_queries(spark, sf):
+    return (FX.fx_points(spark, sf).where(F.col("vec_id") < N_QUERY_VECS)
+            .select(F.col("vec_id").alias("query_id"), "embedding", "username"))
+
+
+PAYLOAD = ["document_name", "page_no", "type", "img_link", "page_content"]
+
+
+def _tenant_hits(spark, sf):
+    return RT.dense_topk(_points_payload(spark, sf), _tenant_queries(spark, sf), K_HITS, metric="cosine",
+                         on=["username"], carry=PAYLOAD)
+
+
+@register
+def q_dense_topk_tenant(spark, sf):
+    h = _tenant_hits(spark, sf)
+    return h.select("query_id", "rank", "point_id", r6("score", "score"), "username", "document_name")
+
+
+def _patches_out(df):
+    return df.select("query_id", "rank", "page_key", r6("score", "score"))
+
+
+@register
+def q_maxsim_topk(spark, sf):
+    return _patches_out(RT.maxsim_topk(FX.fx_patches(spark, sf), FX.fx_qtokens(spark, sf), K_HITS))
+
+
+@register
+def q_maxsim_cosine_topk(spark, sf):
+    # stand-in for unnormalised patch vectors: each patch scaled by (1 + patch_no)
+    p = FX.fx_patches(spark, sf).withColumn(
+        "embedding", F.transform("embedding", lambda x: x.cast("double") * (F.col("patch_no") + 1)))
+    return _patches_out(RT.maxsim_topk(p, FX.fx_qtokens(spark, sf), K_HITS, normalize=True))
+
+
+@register
+def q_maxsim_topk_tenant(spark, sf):
+    p = FX.fx_patches(spark, sf).withColumn("owner", F.concat(F.lit("user"), (F.col("page_key") % 5).cast("string")))
+    t = FX.fx_qtokens(spark, sf).withColumn("owner", F.concat(F.lit("user"), (F.col("query_id") % 5).cast("string")))
+    return _patches_out(RT.maxsim_topk(p, t, K_HITS, on=["owner"]))
+
+
+@register
+def q_rescore_topk(spark, sf):
+    return _hits_out(RT.rescore_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, 2.0))
+
+
+def _page_hits(spark, sf):
+    hits = RT.maxsim_topk(FX.fx_patches(spark, sf), FX.fx_qtokens(spark, sf), K_HITS)
+    # page metadata stand-in: page_key -> file 'Paper{n}.pdf', page id = page_key
+    return hits.withColumn("label", TX.page_label(
+        F.concat(F.lit("Paper"), (F.col("page_key") % 25 + 1).cast("string"), F.lit(".pdf")), F.col("page_key")))
+
+
+@register
+def q_context_lists(spark, sf):
+    c = RT.context_lists(_page_hits(spark, sf))
+    return c.select("query_id", "Context_papers")
+
+
+@register
+def q_no_context(spark, sf):
+    c = RT.context_lists(_page_hits(spark, sf)).withColumnRenamed("query_id", "Question_nr")
+    out = PR.no_context(FX.fx_mcq(spark, sf), c)
+    return out.select("Question_nr", F.size("labels").alias("n_context"), "Context_papers")
+
+
+@register
+def q_project_context(spark, sf):
+    h = RT.project_context(_tenant_hits(spark, sf), TX.reference_label("document_name", None, "page_no"))
+    return h.select("query_id", "rank", "ctx_type", "ctx_text", "image_path", "reference", r6("score", "score"))
+
+
+def _render(message) -> Column:
+    """Message parts as one text: 'type:text-or-url' joined by ' || '."""
+    return F.array_join(F.transform(message, lambda p: F.concat(p["type"], F.lit(":"),
+                                                                F.coalesce(p["text"], p["url"], F.lit("")))), " || ")
+
+
+def _dense_payload_hits(spark, sf):
+    return RT.dense_topk(_points_payload(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine", carry=PAYLOAD)
+
+
+@register
+def q_joined_context(spark, sf):
+    j = PR.joined_context(_dense_payload_hits(spark, sf), PROMPT_IMAGE)
+    return j.select("query_id", F.array_join("img_links", "|").alias("img_links"), "text_joined",
+                    _render(F.col("message")).alias("message"))
+
+
+@register
+def q_per_hit_prompts(spark, sf):
+    h = PR.per_hit_prompts(_dense_payload_hits(spark, sf), PROMPT_IMAGE, PROMPT_TEXT)
+    return h.select("query_id", "rank", "type", _render(F.col("message")).alias("message"))
+
+
+@register
+def q_single_message(spark, sf):
+    g = _dense_payload_hits(spark, sf).groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "img_link", "type"))).alias("_h"))
+    links = F.transform(F.filter("_h", lambda x: x["type"] == "image"), lambda x: x["img_link"])
+    return g.select("query_id", _render(PR.single_message(F.lit(PROMPT_IMAGE), links)).alias("message"))
+
+
+def _exp1_questions(spark, sf):
+    mcq = FX.fx_mcq(spark, sf).withColumn("quest_order", A.permutation("Question_nr", 42))
+    shown = A.shown_options(["A", "B", "C", "D"], "quest_order")
+    mcq = mcq.select("*", *[shown.getItem(i).alias(f"s{L}") for i, L in enumerate("ABCD")])
+    return mcq.withColumn("instruction", TX.instruction_block("question", ["sA", "sB", "sC", "sD"]))
+
+
+@register
+def q_message_parts(spark, sf):
+    h = RT.project_context(_dense_payload_hits(spark, sf), TX.reference_label("document_name", None, "page_no"))
+    ctx = h.withColumnRenamed("query_id", "Question_nr")
+    m = PR.message_parts(_exp1_questions(spark, sf), ctx)
+    return m.select("Question_nr", _render(F.col("message")).alias("message"),
+                    F.array_join("context_refs", "|").alias("context_refs"))
+
+
+@register
+def q_two_stage_prompt(spark, sf):
+    r = FX.fx_responses(spark, sf).withColumn("point_id", F.col("conv_id") * 10 + F.col("turn"))
+    # the summaries of each question's top-k hits (hits ranked by id here)
+    top = RT.top_k(r.withColumn("score", F.lit(0.0)), K_HITS, "Question_nr", "score", "point_id")
+    p = PR.two_stage_prompt(FX.fx_mcq(spark, sf), top, order="rank", text="raw_response")
+    return p.select("Question_nr", _render(F.col("message")).alias("message"))
+
+
+# ---------------------------------------------------------------- 2.9 text functions
+
+@register
+def q_choice_string(spark, sf):
+    m = FX.fx_mcq(spark, sf)
+    return m.select("Question_nr", TX.choice_string(["A", "B", "C", "D"], "\n").alias("choices_exp1"),
+                    TX.choice_string(["A", "B", "C", "D"], "").alias("choices_exp2"))
+
+
+@register
+def q_instruction_block(spark, sf):
+    return _exp1_questions(spark, sf).select("Question_nr", "instruction")
+
+
+@register
+def q_exp2_prompts(spark, sf):
+    m = FX.fx_mcq(spark, sf)
+    ret, model = TX.exp2_prompts("question", ["A", "B", "C", "D"])
+    return m.select("Question_nr", ret.alias("retrieval_prompt"), model.alias("model_prompt"))
+
+
+@register
+def q_reference_label(spark, sf):
+    p = FX.fx_points(spark, sf).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, F.lit("")).otherwise(F.col("document_name")).alias("document_name"),
+        F.when(F.col("vec_id") % 11 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("file"), F.col("vec_id").cast("string"), F.lit(".png"))).alias("file_name"),
+        F.when(F.col("vec_id") % 5 == 0, F.lit(0)).otherwise(F.col("page_no")).alias("page_no"),
+        F.when(F.col("vec_id") % 3 == 0, F.lit(None)).otherwise(F.col("vec_id")).alias("page_id"))
+    return p.select("vec_id", TX.reference_label("document_name", "file_name", "page_no", "page_id").alias("label"),
+                    TX.page_label(F.coalesce("file_name", F.lit("x.y")), F.col("vec_id")).alias("page_label"))
+
+
+@register
+def q_truncate_response(spark, sf):
+    r = FX.fx_responses(spark, sf)
+    return r.select("conv_id", "turn", TX.truncate("raw_response", 50).alias("resp_init"),
+                    TX.truncate("raw_response", 1500).alias("resp_cut"))
+
+
+@register
+def q_image_payload(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", TX.image_data_url(F.encode("text", "UTF-8")).alias("url"))
+
+
+@register
+def q_extract_content(spark, sf):
+    r = FX.fx_responses(spark, sf)
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.col("raw_response").alias("text")),
+                    F.struct(F.lit("text").alias("type"), F.lit("!").alias("text")))
+    msg = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("raw_response").alias("content")))) \
+           .otherwise(F.to_json(F.struct(parts.alias("content"))))
+    return r.select("conv_id", "turn", A.extract_content(msg).alias("content"))

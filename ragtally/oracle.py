@@ -473,3 +473,225 @@ def _two_stage_sql() -> str:
 
 register("two_stage_analysis", with_fx(_two_stage_sql(), "fx_eval", EV2,
                                        ("stage1", two_step_sql(["Model", "Model_ret", "Iteration"], False))))
+
+
+# ------------------------------------------------------------------ 2.4 retrieval
+
+from .functions import text as TX  # noqa: E402
+
+
+def dot_sql(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE)))"
+
+
+def norm_sql(a: str) -> str:
+    return f"sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+
+
+def unit_sql(a: str) -> str:
+    return f"list_transform({a}, lambda x: CAST(x AS DOUBLE) / {norm_sql(a)})"
+
+
+def topk_sql(src: str, k: int, qid: str = "query_id", pid: str = "point_id", extra: str = "") -> str:
+    return f"""
+SELECT {qid}, CAST("rank" AS INT) AS "rank", {pid}, round(score, 6) AS score{extra}
+FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {pid}) AS "rank" FROM {src}) r
+WHERE "rank" <= {k}"""
+
+
+EQ = ("q", "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20")
+EP = ("p", "SELECT vec_id AS point_id, embedding AS pv FROM embeddings")
+COS = ("s", f"SELECT query_id, point_id, {dot_sql('pv', 'qv')} / ({norm_sql('pv')} * {norm_sql('qv')}) AS score FROM p, q")
+DOT = ("s", f"SELECT query_id, point_id, {dot_sql('pv', 'qv')} AS score FROM p, q")
+
+register("dense_topk", with_fx(topk_sql("s", 5), EQ, EP, COS))
+register("dense_topk_arrow", with_fx(topk_sql("s", 5), EQ, EP, COS))
+register("topk_per_query", with_fx(topk_sql("s", 10), EQ, EP, DOT))
+register("rescore_topk", with_fx(topk_sql("s", 5), EQ, EP, DOT))
+
+PAYLOAD_POINTS = ("pp", """SELECT *, vec_id AS point_id,
+  CASE WHEN type IN ('text', 'table') THEN concat('chunk ', CAST(vec_id AS VARCHAR)) ELSE '' END AS page_content
+FROM fx_points""")
+TENANT_HITS = ("th", f"""SELECT * FROM (
+  SELECT pp.*, q.query_id, {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) AS score,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY
+           {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) DESC, pp.point_id) AS "rank"
+  FROM pp JOIN (SELECT vec_id AS query_id, embedding AS qv, username FROM fx_points WHERE vec_id < 20) q
+    ON pp.username = q.username) r WHERE "rank" <= 5""")
+DENSE_HITS = ("dh", f"""SELECT * FROM (
+  SELECT pp.*, q.query_id, {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) AS score,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY
+           {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) DESC, pp.point_id) AS "rank"
+  FROM pp, (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20) q) r WHERE "rank" <= 5""")
+
+register("dense_topk_tenant", with_fx("""
+SELECT query_id, CAST("rank" AS INT) AS "rank", point_id, round(score, 6) AS score, username, document_name FROM th""",
+                                      "fx_points", PAYLOAD_POINTS, TENANT_HITS))
+
+
+def maxsim_sql(patches: str, tokens: str, on: str = "", normalize: bool = False) -> str:
+    pv = unit_sql("p.embedding") if normalize else "p.embedding"
+    tv = unit_sql("t.embedding") if normalize else "t.embedding"
+    join = f"{patches} p JOIN {tokens} t ON {on}" if on else f"{patches} p, {tokens} t"
+    m = (f"SELECT t.query_id, t.token_no, p.page_key, max({dot_sql(pv, tv)}) AS m FROM {join} "
+         f"GROUP BY t.query_id, t.token_no, p.page_key")
+    return f"SELECT query_id, page_key, sum(m) AS score FROM ({m}) mm GROUP BY query_id, page_key"
+
+
+register("maxsim_topk", with_fx(topk_sql("ms", 5, pid="page_key"), "fx_patches", "fx_qtokens",
+                                ("ms", maxsim_sql("fx_patches", "fx_qtokens"))))
+register("maxsim_cosine_topk", with_fx(
+    topk_sql("ms", 5, pid="page_key"), "fx_patches", "fx_qtokens",
+    ("sp", "SELECT page_key, patch_no, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (patch_no + 1)) "
+           "AS embedding FROM fx_patches"),
+    ("ms", maxsim_sql("sp", "fx_qtokens", normalize=True))))
+register("maxsim_topk_tenant", with_fx(
+    topk_sql("ms", 5, pid="page_key"), "fx_patches", "fx_qtokens",
+    ("ms", maxsim_sql("fx_patches", "fx_qtokens", on="'user' || CAST(p.page_key % 5 AS VARCHAR) = "
+                                                   "'user' || CAST(t.query_id % 5 AS VARCHAR)"))))
+
+PAGE_HITS = ("ph", f"""SELECT query_id, "rank", page_key,
+  concat('Paper', CAST(page_key % 25 + 1 AS VARCHAR), '_pg_', CAST(page_key AS VARCHAR)) AS label
+FROM ({topk_sql('ms', 5, pid='page_key')}) h""")
+CTX = ("ctx", """SELECT query_id, count(*) AS n,
+  concat('[', string_agg(concat('''', label, ''''), ', ' ORDER BY "rank"), ']') AS Context_papers
+FROM ph GROUP BY query_id""")
+MS = ("ms", maxsim_sql("fx_patches", "fx_qtokens"))
+
+register("context_lists", with_fx("SELECT query_id, Context_papers FROM ctx",
+                                  "fx_patches", "fx_qtokens", MS, PAGE_HITS, CTX))
+register("no_context", with_fx("""
+SELECT m.Question_nr, CAST(coalesce(c.n, 0) AS INT) AS n_context, coalesce(c.Context_papers, '[]') AS Context_papers
+FROM fx_mcq m LEFT JOIN ctx c ON m.Question_nr = c.query_id""",
+                               "fx_mcq", "fx_patches", "fx_qtokens", MS, PAGE_HITS, CTX))
+
+
+def ref_label_sql(doc: str, page_no: str, file_name: str = "NULL", page_id: str = "NULL") -> str:
+    d = f"coalesce(nullif({doc}, ''), nullif({file_name}, ''), 'doc')"
+    page = (f"CASE WHEN {page_no} IS NOT NULL AND {page_no} <> 0 THEN CAST({page_no} AS VARCHAR) "
+            f"ELSE CAST({page_id} AS VARCHAR) END")
+    return f"CASE WHEN ({page}) IS NULL THEN {d} ELSE concat({d}, '_pg_', {page}) END"
+
+
+CTX_ENTRY = f"""CASE WHEN type IN ('image', 'pdf_page') THEN 'image' ELSE 'text' END AS ctx_type,
+  CASE WHEN type IN ('text', 'table') THEN page_content ELSE '' END AS ctx_text,
+  img_link AS image_path, {ref_label_sql('document_name', 'page_no')} AS reference"""
+
+register("project_context", with_fx(f"""
+SELECT query_id, CAST("rank" AS INT) AS "rank", {CTX_ENTRY}, round(score, 6) AS score FROM th""",
+                                    "fx_points", PAYLOAD_POINTS, TENANT_HITS))
+
+P_IMG, P_TXT = q("Describe the figure."), q("Summarise the passage: ")
+
+register("joined_context", with_fx(f"""
+SELECT query_id,
+  coalesce(string_agg(img_link, '|' ORDER BY "rank") FILTER (WHERE type = 'image'), '') AS img_links,
+  coalesce(string_agg(page_content, chr(10) ORDER BY "rank") FILTER (WHERE type IN ('text', 'table')), '') AS text_joined,
+  concat('text:', {P_IMG},
+         coalesce(string_agg(page_content, chr(10) ORDER BY "rank") FILTER (WHERE type IN ('text', 'table')), ''),
+         coalesce(string_agg(concat(' || image_url:', img_link), '' ORDER BY "rank") FILTER (WHERE type = 'image'), '')
+  ) AS message
+FROM dh GROUP BY query_id""", "fx_points", PAYLOAD_POINTS, DENSE_HITS))
+
+register("per_hit_prompts", with_fx(f"""
+SELECT query_id, CAST("rank" AS INT) AS "rank", type,
+  CASE WHEN type = 'image' THEN concat('text:', {P_IMG}, ' || image_url:', coalesce(img_link, ''))
+       WHEN type IN ('text', 'table') THEN concat('text:', {P_TXT}, coalesce(page_content, ''))
+       ELSE concat('text:', {P_TXT}) END AS message
+FROM dh""", "fx_points", PAYLOAD_POINTS, DENSE_HITS))
+
+register("single_message", with_fx(f"""
+SELECT query_id, concat('text:', {P_IMG},
+  coalesce(string_agg(concat(' || image_url:', img_link), '' ORDER BY "rank") FILTER (WHERE type = 'image'), '')) AS message
+FROM dh GROUP BY query_id""", "fx_points", PAYLOAD_POINTS, DENSE_HITS))
+
+
+def choices_sql(a: str, b: str, c: str, d: str, sep: str) -> str:
+    s = f", {sep}, " if sep else ", "
+    return f"concat('A. ', {a}{s}'B. ', {b}{s}'C. ', {c}{s}'D. ', {d})"
+
+
+def instruction_sql(question: str, a: str, b: str, c: str, d: str) -> str:
+    return (f"concat({q(TX.EXP1_INSTRUCTION_HEAD)}, 'Question: ', {question}, chr(10) || 'Choices:' || chr(10), "
+            f"{choices_sql(a, b, c, d, 'chr(10)')}, chr(10), {q(TX.EXP1_INSTRUCTION_TAIL)})")
+
+
+EXP1_Q = ("eq", f"""SELECT m.*, {instruction_sql('m.question', '[m.A, m.B, m.C, m.D][perm[1] + 1]',
+                                                '[m.A, m.B, m.C, m.D][perm[2] + 1]', '[m.A, m.B, m.C, m.D][perm[3] + 1]',
+                                                '[m.A, m.B, m.C, m.D][perm[4] + 1]')} AS instruction
+FROM fx_mcq m JOIN perm USING (Question_nr)""")
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+ENTRIES = ("en", f"""SELECT query_id AS Question_nr, "rank", ctx_type, ctx_text, image_path, reference,
+  concat(CASE WHEN ctx_type = 'image' AND image_path IS NOT NULL AND image_path <> ''
+              THEN concat(' || image_url:', image_path) ELSE '' END,
+         CASE WHEN ctx_text IS NOT NULL AND {STRIP.format(x='ctx_text')} <> ''
+              THEN concat(' || text:[', reference, '] ', {STRIP.format(x='ctx_text')}) ELSE '' END) AS parts,
+  (ctx_type = 'image' AND image_path IS NOT NULL AND image_path <> '')
+  OR (ctx_text IS NOT NULL AND {STRIP.format(x='ctx_text')} <> ''
+      AND row_number() OVER (PARTITION BY query_id, reference ORDER BY "rank") = 1) AS keep_ref
+FROM (SELECT query_id, "rank", {CTX_ENTRY} FROM dh) x""")
+
+register("message_parts", with_fx("""
+SELECT e.Question_nr, concat('text:', e.instruction, coalesce(g.parts, '')) AS message,
+       coalesce(g.refs, '') AS context_refs
+FROM eq e LEFT JOIN (
+  SELECT Question_nr, string_agg(parts, '' ORDER BY "rank") AS parts,
+         string_agg(reference, '|' ORDER BY "rank") FILTER (WHERE keep_ref) AS refs
+  FROM en GROUP BY Question_nr) g USING (Question_nr)""",
+                                  "fx_mcq", perm_cte("fx_mcq"), EXP1_Q, "fx_points", PAYLOAD_POINTS, DENSE_HITS,
+                                  ENTRIES))
+
+register("two_stage_prompt", with_fx(f"""
+SELECT m.Question_nr, concat('text:', m.question, {q(TX.CONTEXT_LEAD)}, s.joined) AS message
+FROM fx_mcq m JOIN (
+  SELECT Question_nr, string_agg(coalesce(raw_response, ''), chr(10) ORDER BY pid) AS joined
+  FROM (SELECT *, conv_id * 10 + turn AS pid,
+               row_number() OVER (PARTITION BY Question_nr ORDER BY conv_id * 10 + turn) AS rk
+        FROM fx_responses) r WHERE rk <= 5 GROUP BY Question_nr) s USING (Question_nr)""",
+                                     "fx_mcq", "fx_responses"))
+
+
+# ------------------------------------------------------------------ 2.9 text functions
+
+register("choice_string", with_fx(f"""
+SELECT Question_nr, {choices_sql('A', 'B', 'C', 'D', 'chr(10)')} AS choices_exp1,
+       {choices_sql('A', 'B', 'C', 'D', '')} AS choices_exp2 FROM fx_mcq""", "fx_mcq"))
+
+register("instruction_block", with_fx("SELECT Question_nr, instruction FROM eq", "fx_mcq", perm_cte("fx_mcq"),
+                                      EXP1_Q))
+
+register("exp2_prompts", with_fx(f"""
+SELECT Question_nr, concat(question, {q(TX.EXP2_RETRIEVAL_MID)}, {choices_sql('A', 'B', 'C', 'D', '')}) AS retrieval_prompt,
+       concat({q(TX.EXP2_PROMPT_HEAD)}, question, {q(TX.EXP2_PROMPT_MID)}, {choices_sql('A', 'B', 'C', 'D', '')})
+         AS model_prompt
+FROM fx_mcq""", "fx_mcq"))
+
+register("reference_label", with_fx(f"""
+SELECT vec_id, {ref_label_sql('document_name', 'page_no', 'file_name', 'page_id')} AS label,
+       concat(split_part(coalesce(file_name, 'x.y'), '.', 1), '_pg_', CAST(vec_id AS VARCHAR)) AS page_label
+FROM (SELECT vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN '' ELSE document_name END AS document_name,
+        CASE WHEN vec_id % 11 = 0 THEN NULL ELSE concat('file', CAST(vec_id AS VARCHAR), '.png') END AS file_name,
+        CASE WHEN vec_id % 5 = 0 THEN 0 ELSE page_no END AS page_no,
+        CASE WHEN vec_id % 3 = 0 THEN NULL ELSE vec_id END AS page_id
+      FROM fx_points) x""", "fx_points"))
+
+register("truncate_response", with_fx("""
+SELECT conv_id, turn, substr(raw_response, 1, 50) AS resp_init, substr(raw_response, 1, 1500) AS resp_cut
+FROM fx_responses""", "fx_responses"))
+
+register("image_payload", f"""
+SELECT conv_id, turn, concat({q(TX.IMAGE_URL_PREFIX)}, base64(encode(text))) AS url FROM conversations""")
+
+register("extract_content", with_fx("""
+SELECT conv_id, turn,
+  CASE json_type(j, '$.content') WHEN 'VARCHAR' THEN j ->> '$.content'
+       WHEN 'ARRAY' THEN array_to_string(list_transform(from_json(j -> '$.content', '[{"text":"VARCHAR"}]'),
+                                                        lambda x: coalesce(x.text, '')), '')
+       ELSE '' END AS content
+FROM (SELECT conv_id, turn,
+        CASE WHEN turn % 2 = 0 THEN json_object('content', raw_response)::VARCHAR
+             ELSE json_object('content', [json_object('type', 'text', 'text', raw_response),
+                                          json_object('type', 'text', 'text', '!')])::VARCHAR END AS j
+      FROM fx_responses) r""", "fx_responses"))
