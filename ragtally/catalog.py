@@ -538,3 +538,97 @@ def q_extract_content(spark, sf):
     msg = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("raw_response").alias("content")))) \
            .otherwise(F.to_json(F.struct(parts.alias("content"))))
     return r.select("conv_id", "turn", A.extract_content(msg).alias("content"))
+
+
+# ---------------------------------------------------------------- 2.1 collections
+
+from .operators import collections as CO  # noqa: E402
+
+DELETE_DOCS = ["Paper1.pdf", "Paper2.pdf", "Paper3.pdf"]
+DELETE_USER = "user3"
+
+
+@register
+def q_create_collection(spark, sf):
+    c = CO.create_collection(FX.fx_points(spark, sf), "embedding", 64, "cosine")
+    return c.select("vec_id", F.size("embedding").alias("dim"), "label")
+
+
+def _versions(spark, sf):
+    e = read_table(spark, sf, "embeddings", "vec_id", "label")
+    v1 = e.withColumn("version", F.lit(1))
+    v2 = e.where(F.col("vec_id") % 3 == 0).withColumn("label", F.col("label") + 100).withColumn("version", F.lit(2))
+    return v1, v2
+
+
+@register
+def q_upsert_points(spark, sf):
+    v1, v2 = _versions(spark, sf)
+    return CO.upsert_points(v1, v2, "vec_id", "version").select("vec_id", "label", "version")
+
+
+@register
+def q_scroll_points(spark, sf):
+    s = CO.scroll_points(FX.fx_points(spark, sf), must={"username": DELETE_USER, "type": ["text", "table"]},
+                         must_not={"document_name": ""})
+    return s.select("vec_id", "document_name", "type")
+
+
+def _delete_selector(df):
+    return F.col("document_name").isin(DELETE_DOCS) & (F.col("username") == DELETE_USER)
+
+
+@register
+def q_delete_points(spark, sf):
+    return CO.delete_points(FX.fx_points(spark, sf), _delete_selector(None)).select("vec_id")
+
+
+@register
+def q_distinct_links(spark, sf):
+    dense = FX.fx_points(spark, sf)
+    pages = FX.fx_points(spark, sf).where(F.col("type") == "pdf_page")  # page-image collection stand-in
+    return CO.deleted_links([dense, pages], _delete_selector)
+
+
+@register
+def q_distinct_documents(spark, sf):
+    return CO.distinct_documents(FX.fx_points(spark, sf))
+
+
+def _corpus_files(spark, sf):
+    """Corpus file paths stand-in derived from the pages table."""
+    p = read_table(spark, sf, "pages", "page_id")
+    return p.select(F.concat(F.lit("/corpus/"), F.when(F.col("page_id") % 3 == 0, F.lit("old_")).otherwise(F.lit("")),
+                             F.lit("Paper"), (F.col("page_id") % 30 + 1).cast("string"), F.lit(".pdf")).alias("path"))
+
+
+@register
+def q_collection_inventory(spark, sf):
+    return CO.collection_inventory(FX.fx_points(spark, sf), _corpus_files(spark, sf))
+
+
+@register
+def q_tenant_copy(spark, sf):
+    t = CO.tenant_copy(FX.fx_points(spark, sf), "alice", "./src/vectordb/")
+    return t.select("vec_id", "username", "img_link")
+
+
+@register
+def q_batch_rows(spark, sf):
+    b = CO.batch_rows(FX.fx_points(spark, sf), 4, ["label"], "vec_id")
+    return b.select("vec_id", "label", "batch")
+
+
+@register
+def q_filter_types(spark, sf):
+    r = CO.route_types(_points_payload(spark, sf))
+    return r.select("point_id", "route", "route_content", "route_image")
+
+
+@register
+def q_filter_models(spark, sf):
+    m = FX.fx_eval(spark, sf).select(F.col("Model_ret").alias("model_name")).distinct()
+    m = m.withColumn("model_id", F.when(F.col("model_name") == "error", F.lit("Not_working"))
+                     .otherwise(F.col("model_name")))
+    out = CO.available_models(m, ["MM_A", "MM_B", "MM_C", "MM_D", "MM_E"], "model_name")
+    return out.select("model_name", "model_id", "vd_mm")

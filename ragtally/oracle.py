@@ -695,3 +695,64 @@ FROM (SELECT conv_id, turn,
              ELSE json_object('content', [json_object('type', 'text', 'text', raw_response),
                                           json_object('type', 'text', 'text', '!')])::VARCHAR END AS j
       FROM fx_responses) r""", "fx_responses"))
+
+
+# ------------------------------------------------------------------ 2.1 collections
+
+register("create_collection", with_fx("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, label FROM fx_points",
+                                      "fx_points"))
+
+register("upsert_points", """
+SELECT vec_id, label, version FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY version DESC, src DESC) AS rn FROM (
+    SELECT vec_id, label, 1 AS version, 0 AS src FROM embeddings
+    UNION ALL SELECT vec_id, label + 100, 2, 1 FROM embeddings WHERE vec_id % 3 = 0) u) r
+WHERE rn = 1""")
+
+register("scroll_points", with_fx("""
+SELECT vec_id, document_name, type FROM fx_points
+WHERE username = 'user3' AND type IN ('text', 'table') AND NOT coalesce(document_name = '', false)""", "fx_points"))
+
+DEL = "(document_name IN ('Paper1.pdf', 'Paper2.pdf', 'Paper3.pdf') AND username = 'user3')"
+register("delete_points", with_fx(f"SELECT vec_id FROM fx_points WHERE NOT coalesce({DEL}, false)", "fx_points"))
+
+register("distinct_links", with_fx(f"""
+SELECT DISTINCT link FROM (
+  SELECT img_link AS link FROM fx_points WHERE {DEL}
+  UNION ALL SELECT img_link FROM fx_points WHERE type = 'pdf_page' AND {DEL}) u
+WHERE link IS NOT NULL AND link <> '' ORDER BY link""", "fx_points"))
+
+register("distinct_documents", with_fx("""
+SELECT DISTINCT document_name, document_link FROM fx_points
+WHERE document_name IS NOT NULL AND document_name <> '' ORDER BY document_name""", "fx_points"))
+
+register("collection_inventory", with_fx("""
+SELECT DISTINCT d.document_name, d.document_link, f.path
+FROM (SELECT DISTINCT document_name, document_link FROM fx_points WHERE document_name <> '') d
+JOIN (SELECT DISTINCT concat('/corpus/', CASE WHEN page_id % 3 = 0 THEN 'old_' ELSE '' END, 'Paper',
+                             CAST(page_id % 30 + 1 AS VARCHAR), '.pdf') AS path FROM pages) f
+  ON instr(f.path, d.document_name) > 0""", "fx_points"))
+
+register("tenant_copy", with_fx("""
+SELECT vec_id, 'alice' AS username,
+  CASE WHEN img_link <> '' THEN concat('./src/vectordb/user_data/alice/',
+       array_to_string(string_split(img_link, '/')[greatest(2, len(string_split(img_link, '/')) - 1):], '/'))
+       ELSE img_link END AS img_link
+FROM fx_points""", "fx_points"))
+
+register("batch_rows", with_fx("""
+SELECT vec_id, label, CAST(floor((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 4) AS INTEGER) AS batch
+FROM fx_points""", "fx_points"))
+
+register("filter_types", with_fx("""
+SELECT point_id, CASE WHEN type = 'image' THEN 'image' ELSE 'text' END AS route,
+  CASE WHEN type = 'image' THEN '' WHEN type IN ('text', 'table') THEN page_content ELSE '' END AS route_content,
+  CASE WHEN type = 'image' THEN img_link END AS route_image
+FROM pp""", "fx_points", PAYLOAD_POINTS))
+
+register("filter_models", with_fx("""
+SELECT model_name, model_id,
+  CASE WHEN 5 = count(*) OVER () THEN ['MM_A', 'MM_B', 'MM_C', 'MM_D', 'MM_E'][CAST(row_number() OVER (ORDER BY model_name) AS INTEGER)] END AS vd_mm
+FROM (SELECT model_name, CASE WHEN model_name = 'error' THEN 'Not_working' ELSE model_name END AS model_id
+      FROM (SELECT DISTINCT Model_ret AS model_name FROM fx_eval) d) m
+QUALIFY model_id <> 'Not_working'""", "fx_eval"))
