@@ -632,3 +632,144 @@ def q_filter_models(spark, sf):
                      .otherwise(F.col("model_name")))
     out = CO.available_models(m, ["MM_A", "MM_B", "MM_C", "MM_D", "MM_E"], "model_name")
     return out.select("model_name", "model_id", "vd_mm")
+
+
+# ---------------------------------------------------------------- 2.1 sources and sinks
+
+from .session import scratch_path  # noqa: E402
+from .sources import readers as RD  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
+
+
+@register
+def q_scan_corpus(spark, sf):
+    c = RD.scan_corpus(spark, sf, ".PARQUET")
+    return c.select("name", (F.col("length") > 0).cast("int").alias("non_empty"))
+
+
+@register
+def q_align_links(spark, sf):
+    pages = read_table(spark, sf, "pages", "page_id", "url")
+    files = pages.select(F.format_string("page_%05d.pdf", F.col("page_id")).alias("name"))
+    links_path = scratch_path(spark, "links")
+    # one line file of links in file-name order (a single small file, as a DOI list is)
+    pages.orderBy("page_id").select("url").coalesce(1).write.text(links_path)
+    return RD.align_links(spark, files, links_path)
+
+
+def _question_sheet(spark, sf):
+    m = FX.fx_mcq(spark, sf)
+    return m.select("Question_nr", F.concat(F.lit("Paper"), (F.col("Question_nr") % 25 + 1).cast("string"))
+                    .alias("Paper_id"), F.lit(0).alias("Nr_data_suppl"), F.lit("").alias("doi"),
+                    F.lit("").alias("title"), "question", "A", "B", "C", "D", "Correct", "Difficulty")
+
+
+@register
+def q_scan_questions(spark, sf):
+    path = scratch_path(spark, "questions")
+    _question_sheet(spark, sf).write.options(**RD.CSV_OPTIONS).csv(path)
+    q = RD.scan_questions(spark, path)
+    return q.select("Question_nr", "Paper_id", "question", "A", "B", "C", "D", "Correct", "Difficulty")
+
+
+@register
+def q_shuffle_questions(spark, sf):
+    return RD.shuffle_questions(FX.fx_mcq(spark, sf)).select("Question_nr", "shuffle_key")
+
+
+@register
+def q_scan_config(spark, sf):
+    models = FX.fx_eval(spark, sf).select(F.col("Model").alias("model_name")).distinct()
+    cfg = models.select(F.to_json(F.collect_list(F.struct(
+        "model_name", F.upper("model_name").alias("model_short"), F.lit("9999").alias("port"),
+        F.lit("RAG_TEXT").alias("text_vd"), F.concat(F.lit("MM_"), F.col("model_name")).alias("mm_vd"),
+        F.lit("late").alias("late_inter"), F.lit("LATE").alias("late_inter_short")))).alias("value"))
+    path = scratch_path(spark, "config")
+    cfg.write.text(path)  # one JSON array, one row per model: a handful of rows
+    return RD.scan_config(spark, path).select("model_name", "model_short", "mm_vd")
+
+
+RUN_CSV_SCHEMA = "event_id long, Model string, Model_ret string, Question_nr long, Cor_answer int, Elapsed double"
+RUN_JSON_SCHEMA = "event_id long, Model string, Model_ret string, Question_nr long, Cor_answer int, Difficulty string"
+
+
+@register
+def q_scan_runs(spark, sf):
+    ev = FX.fx_eval(spark, sf)
+    root = scratch_path(spark, "runs")
+    ev.where("Iteration % 2 = 1").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer", "Elapsed") \
+      .write.options(**RD.CSV_OPTIONS).csv(f"{root}/csv")
+    ev.where("Iteration % 2 = 0").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer",
+                                         "Difficulty").write.json(f"{root}/json")
+    from pyspark.sql.types import _parse_datatype_string
+    r = RD.scan_runs(spark, f"{root}/csv", f"{root}/json", _parse_datatype_string(RUN_CSV_SCHEMA),
+                     _parse_datatype_string(RUN_JSON_SCHEMA))
+    fmt = F.regexp_extract("file_path", r"\.(csv|json)$", 1)
+    return round_doubles(r.select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer", "Elapsed",
+                                  "Difficulty", fmt.alias("fmt")))
+
+
+@register
+def q_write_run(spark, sf):
+    path = scratch_path(spark, "run_tables")
+    SK.write_run(FX.fx_eval(spark, sf).select("event_id", "Model", "Model_ret", "Iteration", "Question_nr",
+                                                "Cor_answer"), path)
+    back = SK.read_runs(spark, path)
+    return back.select("event_id", "Model", "Model_ret", F.col("Iteration").cast("int").alias("Iteration"),
+                       "Question_nr", "Cor_answer")
+
+
+@register
+def q_write_report(spark, sf):
+    ev = FX.fx_eval(spark, sf)
+    summary = SUM.ci_summary(ev, CI_KEYS, FX.PRICES, TOP_K, FX.MODELS, FX.RETRIEVERS)
+    per_iter = SUM.per_iteration(ev, CI_KEYS, FX.PRICES, TOP_K, FX.MODELS, FX.RETRIEVERS)
+    path = scratch_path(spark, "report")
+    sheets = SK.write_report({"Summary": summary, "per_iteration": per_iter}, path)
+    return spark.read.parquet(sheets["Summary"])
+
+
+@register
+def q_clean_newlines(spark, sf):
+    c = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    # stand-in for a spreadsheet export that stored newlines as the two characters '\n'
+    escaped = c.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\\n")))
+    return TX.clean_newlines(escaped)
+
+
+@register
+def q_embedding_cache(spark, sf):
+    root = scratch_path(spark, "embedding_cache")
+    from .functions import vectors as V
+
+    def compute():
+        e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+        return e.select("vec_id", V.normalize("embedding").alias("embedding"))
+
+    SK.embedding_cache(spark, root, "unit/normaliser", compute)  # computes and writes
+    again = SK.embedding_cache(spark, root, "unit/normaliser", compute)  # served from the table
+    return again.select("vec_id", F.size("embedding").alias("dim"),
+                        r6(F.element_at("embedding", 1), "first_component"))
+
+
+@register
+def q_export_requests(spark, sf):
+    q = _exp1_questions(spark, sf).withColumn("message", F.array(PR.text_part(F.col("instruction"))))
+    path = scratch_path(spark, "requests")
+    SK.export_requests(q, path, "Question_nr", "gen_a")
+    r = SK.read_requests(spark, path)
+    return r.select("custom_id", F.col("body.model").alias("model"),
+                    F.col("body.messages")[0]["content"][0]["text"].alias("prompt"))
+
+
+@register
+def q_import_responses(spark, sf):
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role")
+    reqs = conv.where("role = 'user'").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("custom_id"))
+    resp = FX.fx_responses(spark, sf).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("custom_id"),
+        F.col("raw_response").alias("content"))
+    path = scratch_path(spark, "responses")
+    resp.write.json(path)
+    return SK.import_responses(spark, reqs, path)

@@ -756,3 +756,62 @@ SELECT model_name, model_id,
 FROM (SELECT model_name, CASE WHEN model_name = 'error' THEN 'Not_working' ELSE model_name END AS model_id
       FROM (SELECT DISTINCT Model_ret AS model_name FROM fx_eval) d) m
 QUALIFY model_id <> 'Not_working'""", "fx_eval"))
+
+
+# ------------------------------------------------------------------ 2.1 sources and sinks
+
+from .sources.tables import TABLES  # noqa: E402
+
+register("scan_corpus", "SELECT name, 1 AS non_empty FROM (VALUES "
+         + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") v(name)")
+
+register("align_links", """
+SELECT printf('page_%05d.pdf', page_id) AS name, trim(url) AS link FROM pages WHERE trim(url) <> ''""")
+
+register("scan_questions", with_fx("""
+SELECT Question_nr, concat('Paper', CAST(Question_nr % 25 + 1 AS VARCHAR)) AS Paper_id, question, A, B, C, D,
+       Correct, Difficulty FROM fx_mcq""", "fx_mcq"))
+
+register("shuffle_questions", with_fx("""
+SELECT Question_nr, md5(concat('42:', CAST(Question_nr AS VARCHAR))) AS shuffle_key FROM fx_mcq""", "fx_mcq"))
+
+register("scan_config", with_fx("""
+SELECT DISTINCT Model AS model_name, upper(Model) AS model_short, concat('MM_', Model) AS mm_vd FROM fx_eval""",
+                                "fx_eval"))
+
+register("scan_runs", with_fx("""
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 6) AS Elapsed, NULL::VARCHAR AS Difficulty,
+       'csv' AS fmt FROM fx_eval WHERE Iteration % 2 = 1
+UNION ALL
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, NULL::DOUBLE, Difficulty, 'json' FROM fx_eval
+WHERE Iteration % 2 = 0""", "fx_eval"))
+
+register("write_run", with_fx("SELECT event_id, Model, Model_ret, Iteration, Question_nr, Cor_answer FROM fx_eval",
+                              "fx_eval"))
+
+register("write_report", ORACLE["ci_summary"])
+
+register("clean_newlines", """
+SELECT conv_id, turn, role, replace(replace(text, chr(10), '\\n'), '\\n', chr(10)) AS text FROM conversations""")
+
+register("embedding_cache", f"""
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
+       round(CAST(embedding[1] AS DOUBLE) / {norm_sql('embedding')}, 6) AS first_component FROM embeddings""")
+
+register("export_requests", with_fx("""
+SELECT CAST(Question_nr AS VARCHAR) AS custom_id, 'gen_a' AS model, instruction AS prompt FROM eq""",
+                                    "fx_mcq", perm_cte("fx_mcq"), EXP1_Q))
+
+register("import_responses", with_fx("""
+SELECT r.custom_id, coalesce(a.n, 0) AS n_responses, CASE WHEN a.ok = 1 THEN a.content END AS content,
+       CASE WHEN a.n IS NULL THEN 'missing' WHEN a.ok = 1 THEN 'ok' ELSE 'failed' END AS status
+FROM (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS custom_id
+      FROM conversations WHERE role = 'user') r
+LEFT JOIN (
+  SELECT custom_id, count(*) AS n,
+         max(CASE WHEN content IS NOT NULL AND NOT regexp_matches(content, '^\\[error\\]') THEN 1 ELSE 0 END) AS ok,
+         arg_max(content, CASE WHEN content IS NOT NULL AND NOT regexp_matches(content, '^\\[error\\]') THEN 1 ELSE 0 END)
+           AS content
+  FROM (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn - 1 AS VARCHAR)) AS custom_id,
+               raw_response AS content FROM fx_responses) x
+  GROUP BY custom_id) a USING (custom_id)""", "fx_responses"))
