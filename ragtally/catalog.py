@@ -773,3 +773,99 @@ def q_import_responses(spark, sf):
     path = scratch_path(spark, "responses")
     resp.write.json(path)
     return SK.import_responses(spark, reqs, path)
+
+
+# ---------------------------------------------------------------- 2.2 ingestion
+
+from .operators import ingest as IN  # noqa: E402
+
+CHUNK_BUDGET = 512
+LINES_PER_PAGE = 40
+
+
+def _elements(spark, sf):
+    """Document lines as elements; the page number stand-in is 40 lines a page."""
+    return FX.fx_elements(spark, sf).withColumn(
+        "page_no", (F.floor(F.col("pos") / LINES_PER_PAGE) + 1).cast("int"))
+
+
+@register
+def q_extract_elements(spark, sf):
+    return IN.extract_elements(read_table(spark, sf, "pages", "page_id", "html"))
+
+
+def _chunks(spark, sf):
+    return IN.chunk_text(_elements(spark, sf), CHUNK_BUDGET)
+
+
+@register
+def q_chunk_text(spark, sf):
+    c = _chunks(spark, sf)
+    return c.select("doc_id", "chunk", "n_lines", "n_tokens", "first_page", "ref", "text",
+                    F.col("lone_table").cast("int").alias("lone_table"))
+
+
+@register
+def q_table_elements(spark, sf):
+    t = IN.table_elements(_elements(spark, sf))
+    return t.select("doc_id", "pos", "caption", "page_content")
+
+
+def _image_stand_in(spark, sf):
+    p = FX.fx_points(spark, sf).where(F.col("type") == "image")
+    return p.select(
+        F.col("vec_id").alias("point_id"),
+        F.when(F.col("vec_id") % 3 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("Figure "), F.col("vec_id").cast("string"), F.lit(":"))).alias("caption"),
+        F.array(F.concat(F.lit("label "), F.col("label").cast("string")),
+                F.concat(F.lit("page "), F.col("page_no").cast("string"))).alias("descriptions"))
+
+
+@register
+def q_image_elements(spark, sf):
+    return IN.image_elements(_image_stand_in(spark, sf)).select("point_id", "page_content")
+
+
+@register
+def q_number_assets(spark, sf):
+    e = _elements(spark, sf).withColumn("stem", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    n = IN.number_assets(e, "doc_id", "stem", root="./vd/")
+    return n.select("doc_id", "pos", "type", "asset_no", "img_link")
+
+
+@register
+def q_corpus_variants(spark, sf):
+    e = _elements(spark, sf)
+    v = IN.corpus_variants(IN.chunk_text(e, CHUNK_BUDGET), IN.table_elements(e))
+    return v.select("variant", "doc_id", "element_id", "type", "page_content")
+
+
+@register
+def q_element_counts(spark, sf):
+    return IN.element_counts(_elements(spark, sf))
+
+
+@register
+def q_needs_ocr(spark, sf):
+    n = IN.needs_ocr(_elements(spark, sf))
+    return n.select("doc_id", F.col("needs_ocr").cast("int").alias("needs_ocr"))
+
+
+@register
+def q_overlay_descriptions(spark, sf):
+    corpus = _points_payload(spark, sf).select("point_id", "type", "page_content")
+    imgs = corpus.where(F.col("type") == "image")
+    desc = imgs.select("point_id", F.explode(F.array(*[F.lit(m) for m in FX.MODELS])).alias("model"))
+    idx = F.when(F.col("model") == FX.MODELS[0], 0).when(F.col("model") == FX.MODELS[1], 1).otherwise(2)
+    desc = (desc.where((F.col("point_id") + idx) % 2 == 0)
+            .withColumn("description", F.concat(F.col("model"), F.lit(" describes "), F.col("point_id").cast("string"))))
+    o = IN.overlay_descriptions(corpus, desc, FX.MODELS)
+    return o.select("model", "point_id", "type", "page_content")
+
+
+@register
+def q_vectorise_text(spark, sf):
+    d = read_table(spark, sf, "documents", "doc_id", "text")
+    v = IN.vectorise_text(d, "text", 768)
+    return v.select("doc_id", F.size("embedding").alias("dim"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"))

@@ -815,3 +815,89 @@ LEFT JOIN (
   FROM (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn - 1 AS VARCHAR)) AS custom_id,
                raw_response AS content FROM fx_responses) x
   GROUP BY custom_id) a USING (custom_id)""", "fx_responses"))
+
+
+# ------------------------------------------------------------------ 2.2 ingestion
+
+from .operators import ingest as IN  # noqa: E402
+
+
+def _decode_sql(x: str) -> str:
+    for ent, ch in IN.ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+_kind_case = "CASE lower(tag) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in IN.KIND.items()) + " END"
+register("extract_elements", f"""
+SELECT page_id, pos, tag, kind, text FROM (
+  SELECT page_id, CAST(pos AS INTEGER) AS pos, lower(tag) AS tag, {_kind_case} AS kind,
+         trim(regexp_replace({_decode_sql("regexp_replace(inner_html, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, unnest(range(len(tags))) AS pos, unnest(tags) AS tag, unnest(inners) AS inner_html
+        FROM (SELECT page_id, regexp_extract_all(c, {q(IN.ELEMENT_PATTERN)}, 1) AS tags,
+                     regexp_extract_all(c, {q(IN.ELEMENT_PATTERN)}, 2) AS inners
+              FROM (SELECT page_id, regexp_replace(html, {q(IN.DROP_PATTERN)}, '', 'g') AS c FROM pages) a) b) c) d
+WHERE text <> ''""")
+
+ELEM = ("el", "SELECT *, CAST(floor(pos / 40) + 1 AS INTEGER) AS page_no FROM fx_elements")
+CHUNKS = ("ch", """
+SELECT doc_id, chunk, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(ntok) AS BIGINT) AS n_tokens,
+  arg_min(page_no, pos) AS first_page,
+  string_agg(concat('#/lines/', CAST(pos AS VARCHAR)), ' ' ORDER BY pos) AS ref,
+  string_agg(line, chr(10) ORDER BY pos) AS text,
+  (count(*) = 1 AND arg_min(type, pos) = 'table') AS lone_table
+FROM (SELECT *, CAST(floor((sum(ntok) OVER (PARTITION BY doc_id ORDER BY pos
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - ntok) / 512) AS INTEGER) AS chunk
+      FROM (SELECT *, len(string_split_regex(trim(line), '\\s+')) AS ntok FROM el) t) c
+GROUP BY doc_id, chunk""")
+TABLES_SQL = ("tb", """
+SELECT t.doc_id, t.pos, coalesce(p.line, '') AS caption,
+  CASE WHEN coalesce(p.line, '') <> '' THEN concat_ws(' ', p.line, t.line) ELSE t.line END AS page_content
+FROM el t LEFT JOIN el p ON p.doc_id = t.doc_id AND p.pos = t.pos - 1 AND p.type = 'text'
+WHERE t.type = 'table'""")
+
+register("chunk_text", with_fx("""
+SELECT doc_id, chunk, n_lines, n_tokens, first_page, ref, text, CAST(lone_table AS INTEGER) AS lone_table FROM ch""",
+                               "fx_elements", ELEM, CHUNKS))
+
+register("table_elements", with_fx("SELECT doc_id, CAST(pos AS INTEGER) AS pos, caption, page_content FROM tb",
+                                   "fx_elements", ELEM, TABLES_SQL))
+
+register("image_elements", with_fx("""
+SELECT vec_id AS point_id,
+  concat(CASE WHEN vec_id % 3 = 0 THEN '' ELSE concat('Figure ', CAST(vec_id AS VARCHAR), ':') END,
+         array_to_string([concat('label ', CAST(label AS VARCHAR)), concat('page ', CAST(page_no AS VARCHAR))], ' '))
+    AS page_content
+FROM fx_points WHERE type = 'image'""", "fx_points"))
+
+register("number_assets", with_fx("""
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, type, CAST(n AS INTEGER) AS asset_no,
+  concat('./vd/doc', CAST(doc_id AS VARCHAR), '_', CASE WHEN type = 'image' THEN 'img' ELSE type END, '_',
+         printf('%03d', n), '.png') AS img_link
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY pos) AS n FROM el) x""", "fx_elements", ELEM))
+
+register("corpus_variants", with_fx("""
+SELECT 'multimodal' AS variant, doc_id, concat('chunk-', CAST(chunk AS VARCHAR)) AS element_id, 'text' AS type,
+       text AS page_content FROM ch WHERE NOT lone_table
+UNION ALL SELECT 'multimodal', doc_id, concat('table-', CAST(pos AS VARCHAR)), 'table', page_content FROM tb
+UNION ALL SELECT 'text_only', doc_id, concat('chunk-', CAST(chunk AS VARCHAR)), 'text', text FROM ch""",
+                                    "fx_elements", ELEM, CHUNKS, TABLES_SQL))
+
+register("element_counts", with_fx("""
+SELECT doc_id, count(*) FILTER (WHERE type = 'text') AS text, count(*) FILTER (WHERE type = 'table') AS "table",
+       CAST(0 AS BIGINT) AS image, count(*) AS total
+FROM el GROUP BY doc_id""", "fx_elements", ELEM))
+
+register("needs_ocr", with_fx("""
+SELECT doc_id, CAST(count(*) FILTER (WHERE page_no = 1 AND type = 'text') = 0 AS INTEGER) AS needs_ocr
+FROM el GROUP BY doc_id""", "fx_elements", ELEM))
+
+register("overlay_descriptions", with_fx(f"""
+SELECT c.model, c.point_id, c.type,
+  CASE WHEN c.type = 'image' THEN coalesce(d.description, c.page_content) ELSE c.page_content END AS page_content
+FROM (SELECT point_id, type, page_content, unnest({'[' + ', '.join(q(m) for m in FX.MODELS) + ']'}) AS model FROM pp) c
+LEFT JOIN (SELECT point_id, model, concat(model, ' describes ', CAST(point_id AS VARCHAR)) AS description
+           FROM (SELECT point_id, unnest({'[' + ', '.join(q(m) for m in FX.MODELS) + ']'}) AS model FROM pp
+                 WHERE type = 'image') i
+           WHERE (point_id + CASE model WHEN {q(FX.MODELS[0])} THEN 0 WHEN {q(FX.MODELS[1])} THEN 1 ELSE 2 END) % 2 = 0) d
+  ON c.point_id = d.point_id AND c.model = d.model""", "fx_points", PAYLOAD_POINTS))
