@@ -869,3 +869,98 @@ def q_vectorise_text(spark, sf):
     v = IN.vectorise_text(d, "text", 768)
     return v.select("doc_id", F.size("embedding").alias("dim"),
                     F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"))
+
+
+# ---------------------------------------------------------------- 2.6 rank tests
+
+from .operators import ranktests as RK  # noqa: E402
+from .plans import run_plan as RP  # noqa: E402
+
+
+def _pairs(spark, sf):
+    wide = RK.item_accuracy(FX.fx_eval(spark, sf), "Model", "Model_ret", "Question_nr", "Cor_answer", FX.RETRIEVERS)
+    return RK.item_pairs(wide, "Model", "Question_nr", FX.RETRIEVERS)
+
+
+@register
+def q_item_pairs(spark, sf):
+    return round_doubles(_pairs(spark, sf))
+
+
+@register
+def q_wilcoxon_ranks(spark, sf):
+    r = RK.wilcoxon_ranks(_pairs(spark, sf), "Model", "Question_nr")
+    return round_doubles(r.select("Model", "cond_1", "cond_2", "Question_nr", "d", "rank", "tie_size"))
+
+
+def _tests(spark, sf):
+    return RK.wilcoxon_test(_pairs(spark, sf), "Model", "Question_nr")
+
+
+@register
+def q_wilcoxon_test(spark, sf):
+    return round_doubles(_tests(spark, sf))
+
+
+@register
+def q_bonferroni(spark, sf):
+    return round_doubles(RK.bonferroni(_tests(spark, sf), "Model"))
+
+
+# ---------------------------------------------------------------- 2.4 plans, 2.9 descriptions
+
+@register
+def q_run_plan(spark, sf):
+    models = FX.fx_eval(spark, sf).select(F.regexp_replace("Model", "_", "-").alias("model_short")).distinct()
+    p = RP.exp1_plan(models, "model_short", 5, {"vd_text": "RAG_TEXT", "vd_mm": "MM_STORE", "vd_colpali": "COL_PALI"})
+    return p.select("model_short", "perm_label", "repeat", "mode", "vector_db", "eval_type", "output_stub",
+                    "perm_quest", RP.should_permute(F.col("perm_quest")).cast("int").alias("permuted"))
+
+
+@register
+def q_metric_descriptions(spark, sf):
+    s = SUM.ci_summary(FX.fx_eval(spark, sf), CI_KEYS, FX.PRICES, TOP_K, FX.MODELS, FX.RETRIEVERS)
+    display = {"cor_answer": "Cor_answer", "elapsed": "Elapsed", "tokens": "Total_tokens",
+               "precision": f"P@{TOP_K}", "throughput": "Throughput", "cost": "Cost",
+               "price_per_correct": "Price-per-cost"}
+    cells = F.explode(F.array(*[F.struct(F.lit(v).alias("Metric"), F.col(k).alias("cell"))
+                                for k, v in display.items()]))
+    long = s.select(cells.alias("c")).select("c.Metric", "c.cell")
+    g = long.groupBy("Metric").agg(F.count_if(F.col("cell") != "N/A").alias("n_groups"))
+    return g.select("Metric", RP.description_column(F.col("Metric"), TOP_K).alias("Description"), "n_groups")
+
+
+# ---------------------------------------------------------------- 2.10 streaming
+
+from pyspark.sql import types as T  # noqa: E402
+
+from .streaming import incremental as ST  # noqa: E402
+
+
+@register
+def q_stream_upsert(spark, sf):
+    v1, v2 = _versions(spark, sf)
+    root = scratch_path(spark, "stream_upsert")
+    v1.write.parquet(f"{root}/in/drop1")
+    v2.write.parquet(f"{root}/in/drop2")
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("label", T.IntegerType()),
+                           T.StructField("version", T.IntegerType())])
+    # file drops arrive in one folder
+    src = f"{root}/src"
+    spark.read.parquet(f"{root}/in/drop1").write.parquet(src)
+    spark.read.parquet(f"{root}/in/drop2").write.mode("append").parquet(src)
+    return ST.stream_upsert(spark, src, schema, f"{root}/out", "vec_id", "version")
+
+
+@register
+def q_stream_run_accuracy(spark, sf):
+    root = scratch_path(spark, "stream_acc")
+    ev = FX.fx_eval(spark, sf).select("event_id", "Model", "Model_ret", "Iteration", "Cor_answer")
+    src = f"{root}/src"
+    for it in range(1, 6):  # one drop per iteration, as run files arrive
+        ev.where(F.col("Iteration") == it).write.mode("append").parquet(src)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("Model", T.StringType()),
+                           T.StructField("Model_ret", T.StringType()), T.StructField("Iteration", T.IntegerType()),
+                           T.StructField("Cor_answer", T.IntegerType())])
+    out = ST.stream_run_accuracy(spark, src, schema, f"{root}/out", max_files_per_trigger=4)
+    return round_doubles(out.select("Model", "Model_ret", "accuracy", "n_rows"))

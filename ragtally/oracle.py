@@ -901,3 +901,96 @@ LEFT JOIN (SELECT point_id, model, concat(model, ' describes ', CAST(point_id AS
                  WHERE type = 'image') i
            WHERE (point_id + CASE model WHEN {q(FX.MODELS[0])} THEN 0 WHEN {q(FX.MODELS[1])} THEN 1 ELSE 2 END) % 2 = 0) d
   ON c.point_id = d.point_id AND c.model = d.model""", "fx_points", PAYLOAD_POINTS))
+
+
+# ------------------------------------------------------------------ 2.6 rank tests
+
+from itertools import combinations  # noqa: E402
+
+from .plans import run_plan as RP  # noqa: E402
+
+_ia = ("ia", "SELECT Model, Question_nr, " + ", ".join(
+    f"avg(Cor_answer) FILTER (WHERE Model_ret = {q(r)}) AS {r}" for r in FX.RETRIEVERS)
+    + " FROM fx_eval GROUP BY Model, Question_nr")
+_pairs = ("pairs", " UNION ALL ".join(
+    f"SELECT Model, {q(a)} AS cond_1, {q(b)} AS cond_2, Question_nr, {a} AS x, {b} AS y FROM ia"
+    for a, b in combinations(FX.RETRIEVERS, 2)))
+_ranks = ("rk", """
+SELECT Model, cond_1, cond_2, Question_nr, d, abs_d,
+  rank() OVER (PARTITION BY Model, cond_1, cond_2 ORDER BY abs_d)
+    + (count(*) OVER (PARTITION BY Model, cond_1, cond_2, abs_d) - 1) / 2.0 AS "rank",
+  count(*) OVER (PARTITION BY Model, cond_1, cond_2, abs_d) AS tie_size
+FROM (SELECT *, x - y AS d, abs(x - y) AS abs_d FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL AND x - y <> 0) t""")
+
+
+def phi_sql(z: str) -> str:
+    import math
+    b = S.AS_B
+    x = f"abs({z})"
+    t = f"(1.0 / (1.0 + {S.AS_P!r} * {x}))"
+    poly = f"({t} * ({b[0]!r} + {t} * ({b[1]!r} + {t} * ({b[2]!r} + {t} * ({b[3]!r} + {t} * {b[4]!r})))))"
+    ut = f"(exp(-{x} * {x} / 2.0) / {math.sqrt(2.0 * math.pi)!r} * {poly})"
+    return f"(CASE WHEN {z} >= 0 THEN 1.0 - {ut} ELSE {ut} END)"
+
+
+_z = "((V - n * (n + 1) / 4.0 - sign(V - n * (n + 1) / 4.0) * 0.5) / sigma)"
+_tests = ("tests", f"""
+SELECT u.Model, u.cond_1, u.cond_2, u.n_items_used, coalesce(a.V, 0.0) AS statistic,
+  CASE WHEN a.n > 0 AND a.sigma > 0 THEN 2 * least({phi_sql(_z)}, 1 - {phi_sql(_z)}) END AS p_value
+FROM (SELECT Model, cond_1, cond_2, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_items_used
+      FROM pairs GROUP BY Model, cond_1, cond_2) u
+LEFT JOIN (
+  SELECT r.Model, r.cond_1, r.cond_2, r.n, r.V,
+         sqrt(r.n * (r.n + 1) * (2 * r.n + 1) / 24.0 - coalesce(t.tie_term, 0.0) / 48.0) AS sigma
+  FROM (SELECT Model, cond_1, cond_2, CAST(count(*) AS DOUBLE) AS n,
+               sum(CASE WHEN d > 0 THEN "rank" ELSE 0.0 END) AS V FROM rk GROUP BY Model, cond_1, cond_2) r
+  LEFT JOIN (SELECT Model, cond_1, cond_2, sum(pow(t, 3) - t) AS tie_term
+             FROM (SELECT Model, cond_1, cond_2, abs_d, CAST(count(*) AS DOUBLE) AS t FROM rk
+                   GROUP BY Model, cond_1, cond_2, abs_d) g GROUP BY Model, cond_1, cond_2) t
+  USING (Model, cond_1, cond_2)) a
+USING (Model, cond_1, cond_2)""")
+
+register("item_pairs", with_fx("""
+SELECT Model, cond_1, cond_2, Question_nr, round(x, 6) AS x, round(y, 6) AS y FROM pairs""", "fx_eval", _ia, _pairs))
+register("wilcoxon_ranks", with_fx("""
+SELECT Model, cond_1, cond_2, Question_nr, round(d, 6) AS d, round("rank", 6) AS "rank", tie_size FROM rk""",
+                                   "fx_eval", _ia, _pairs, _ranks))
+register("wilcoxon_test", with_fx("""
+SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM tests""",
+                                  "fx_eval", _ia, _pairs, _ranks, _tests))
+register("bonferroni", with_fx("""
+SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+       round(least(1.0, p_value * count(*) OVER (PARTITION BY Model)), 6) AS p_bonferroni FROM tests""",
+                               "fx_eval", _ia, _pairs, _ranks, _tests))
+
+
+# ------------------------------------------------------------------ 2.4 plans, 2.9 descriptions
+
+_stores = {"vd_text": "RAG_TEXT", "vd_mm": "MM_STORE", "vd_colpali": "COL_PALI"}
+_modes = " UNION ALL ".join(f"SELECT {q(m)} AS mode, {q(_stores.get(v, ''))} AS vector_db, {q(t)} AS eval_type"
+                            for m, v, t in RP.EXP1_MODES)
+register("run_plan", with_fx(f"""
+SELECT model_short, perm_label, CAST(r AS INTEGER) AS "repeat", mode, vector_db, eval_type,
+  concat('eval_', model_short, '_', mode, '_', perm_label, '_benchmark') AS output_stub,
+  CASE WHEN permute THEN 'Yes' ELSE '' END AS perm_quest,
+  CAST(lower(CASE WHEN permute THEN 'Yes' ELSE '' END) IN ('yes', 'true', '1') AS INTEGER) AS permuted
+FROM (SELECT DISTINCT replace(Model, '_', '-') AS model_short FROM fx_eval) m,
+     (SELECT true AS permute, 'perm' AS perm_label UNION ALL SELECT false, 'no_perm') p,
+     range(1, 6) rr(r), ({_modes}) md""", "fx_eval"))
+
+_display = {"cor_answer": "Cor_answer", "elapsed": "Elapsed", "tokens": "Total_tokens", "precision": "P@5",
+            "throughput": "Throughput", "cost": "Cost", "price_per_correct": "Price-per-cost"}
+_desc_case = "CASE Metric " + " ".join(f"WHEN {q(m)} THEN {q(d)}" for m, d in RP.metric_descriptions(5)) + " END"
+register("metric_descriptions", "WITH s AS (" + ci_summary_sql(CI_KEYS) + "), long AS ("
+         + " UNION ALL ".join(f"SELECT {q(v)} AS Metric, {k} AS cell FROM s" for k, v in _display.items())
+         + f""")
+SELECT Metric, {_desc_case} AS Description, count(*) FILTER (WHERE cell <> 'N/A') AS n_groups
+FROM long GROUP BY Metric""")
+
+
+# ------------------------------------------------------------------ 2.10 streaming
+
+register("stream_upsert", ORACLE["upsert_points"])
+register("stream_run_accuracy", with_fx("""
+SELECT Model, Model_ret, round(avg(Cor_answer), 6) AS accuracy, count(*) AS n_rows FROM fx_eval GROUP BY Model, Model_ret""",
+                                        "fx_eval"))
