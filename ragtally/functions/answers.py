@@ -3,7 +3,7 @@ response parsing, un-permuting and run-file name parsing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import col
@@ -73,21 +73,23 @@ def unpermute_answer(letter, perm) -> Column:
     return F.when(ok, F.substr(F.lit(LETTERS), orig, F.lit(1))).otherwise(F.lit(""))
 
 
-def run_name_stem(file_name) -> Column:
-    """File name without its last extension."""
-    f = col(file_name)
-    return F.regexp_replace(f, r"\.[^.]*$", "")
-
-
-def parse_run_name(file_name) -> Column:
-    """Struct(model_short, vd_name, perm_label, timestamp, perm_suffix, valid)."""
-    stem = run_name_stem(file_name)
-    has_suffix = stem.endswith(PERM_SUFFIX)
-    core = F.when(has_suffix, F.regexp_replace(stem, PERM_SUFFIX + "$", "")).otherwise(stem)
-    valid = core.rlike(RUN_NAME_PATTERN)
-    part = lambda i: F.when(valid, F.regexp_extract(core, RUN_NAME_PATTERN, i))
-    return F.struct(part(1).alias("model_short"), part(2).alias("vd_name"), part(3).alias("perm_label"),
-                    part(4).alias("timestamp"), has_suffix.alias("perm_suffix"), valid.alias("valid"))
+def with_run_name(df: DataFrame, file_name: str, prefix: str = "") -> DataFrame:
+    """Add model_short, vd_name, perm_label, timestamp, perm_suffix, valid
+    parsed from a run-file name.
+
+    Each step reads the previous step's column exactly once, so when Catalyst
+    inlines a step into a pushed-down filter the expression stays linear in
+    size; the four groups come from one regex rewrite (groups joined by a
+    separator, then split) instead of one evaluation per group."""
+    d = df.withColumn("_rn_stem", F.regexp_replace(F.col(file_name), r"\.[^.]*$", ""))
+    d = d.withColumn(prefix + "perm_suffix", F.col("_rn_stem").endswith(PERM_SUFFIX))
+    d = d.withColumn("_rn_core", F.regexp_replace("_rn_stem", PERM_SUFFIX + "$", ""))
+    d = d.withColumn(prefix + "valid", F.col("_rn_core").rlike(RUN_NAME_PATTERN))
+    d = d.withColumn("_rn_parts", F.split(
+        F.regexp_replace("_rn_core", RUN_NAME_PATTERN, "$1\u0001$2\u0001$3\u0001$4"), "\u0001"))
+    for i, name in enumerate(("model_short", "vd_name", "perm_label", "timestamp")):
+        d = d.withColumn(prefix + name, F.when(F.col(prefix + "valid"), F.col("_rn_parts").getItem(i)))
+    return d.drop("_rn_stem", "_rn_core", "_rn_parts")
 
 
 def extract_content(message_json) -> Column:

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import sequence_by_sort
+
 # Above this many distinct document names the inventory join is done by
 # q-gram blocking instead of broadcasting the name list.
 MAX_BROADCAST_NAMES = 100_000
@@ -127,9 +129,10 @@ def tenant_copy(points: DataFrame, username: str, prefix: str, user_col: str = "
 def batch_rows(df: DataFrame, n: int, partition_cols: Sequence[str], order_col: str,
                out_col: str = "batch") -> DataFrame:
     """Batch number floor((row_number - 1) / n) in `order_col` order within
-    each partition (run, collection); never a global window."""
-    w = Window.partitionBy(*partition_cols).orderBy(order_col)
-    return df.withColumn(out_col, F.floor((F.row_number().over(w) - 1) / n).cast("int"))
+    each partition (run, collection); never a global window, and skew-safe
+    numbering (a collection holding most rows is spread over many tasks)."""
+    numbered = sequence_by_sort(df, partition_cols, [order_col], "_seq")
+    return numbered.withColumn(out_col, F.floor((F.col("_seq") - 1) / n).cast("int")).drop("_seq")
 
 
 def route_types(df: DataFrame, type_col: str = "type", content_col: str = "page_content",

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._util import col
+from .ordering import BLOCK, running_sum, sequence_number
 
-BLOCK = 4096
 
 # Tags extracted from HTML, in reading order, and the inline
 # tags that may occur inside them.
@@ -35,32 +35,6 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 KIND = {"title": "title", "h1": "heading", "h2": "heading", "h3": "heading", "p": "text", "li": "list_item"}
 
 
-# --------------------------------------------------------------------------
-# Skew-safe running sums
-
-def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value, out: str, block: int = BLOCK,
-                exclusive: bool = False) -> DataFrame:
-    """Running sum of `value` over `pos` order within `keys` (pos numeric,
-    unique within a key).  Two-level: block totals -> prefix over blocks ->
-    window inside a block."""
-    keys = list(keys)
-    d = df.withColumn("_v", col(value)).withColumn("_blk", F.floor(F.col(pos) / block))
-    tot = d.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_bt"))
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
-    wi = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_in", F.sum("_v").over(wi))
-    res = d.join(off, keys + ["_blk"]).withColumn(out, F.col("_off") + F.col("_in"))
-    if exclusive:
-        res = res.withColumn(out, F.col(out) - F.col("_v"))
-    return res.drop("_v", "_blk", "_off", "_in")
-
-
-def sequence_number(df: DataFrame, keys: Sequence[str], pos: str, out: str, block: int = BLOCK) -> DataFrame:
-    """1, 2, ... in `pos` order within `keys` (skew-safe row_number)."""
-    return running_sum(df, keys, pos, F.lit(1), out, block).withColumn(out, F.col(out).cast("int"))
-
-
 # --------------------------------------------------------------------------
 # Elements
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from .ordering import sequence_by_sort
 
 
 def score_responses(responses: DataFrame, response_col: str = "raw_response",
@@ -39,9 +40,7 @@ def parse_run_files(files: DataFrame, name_col: str = "file_name", ext: str = ".
     """Run-file names -> parsed metadata columns; keeps only names with the
     run extension.  Rows with valid = false are names that do not follow the
     layout (send them to a reject table)."""
-    parsed = (files.where(F.col(name_col).endswith(ext))
-              .withColumn("_m", A.parse_run_name(name_col)))
-    return parsed.select(*[c for c in files.columns], "_m.*")
+    return A.with_run_name(files.where(F.col(name_col).endswith(ext)), name_col)
 
 
 def reject_run_files(files: DataFrame, name_col: str = "file_name", ext: str = ".json") -> DataFrame:
@@ -54,12 +53,11 @@ def iteration_number(files: DataFrame, pair_cols: Sequence[str], path_col: str =
     """Number the run files of each pair 1, 2, ... in path order.
 
     Works on the distinct file list (one row per file, not per evaluation
-    row), so the window sorts only file names; join the result back to the
-    evaluation rows with a broadcast of this small table.
+    row).  Numbering is skew-safe (range sort + per-partition offsets), so a
+    pair holding most files is still spread over many tasks.
     """
     distinct = files.select(*pair_cols, path_col).distinct()
-    w = Window.partitionBy(*pair_cols).orderBy(path_col)
-    return distinct.withColumn(out_col, F.row_number().over(w))
+    return sequence_by_sort(distinct, pair_cols, [path_col], out_col)
 
 
 def union_runs(frames: Sequence[DataFrame]) -> DataFrame:

@@ -116,5 +116,5 @@ def scan_runs(spark: SparkSession, csv_path: str | None, json_path: str | None,
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    meta = A.parse_run_name(F.regexp_extract("file_path", r"([^/]+)$", 1))
-    return out.withColumn("run_meta", meta)
+    out = out.withColumn("file_name", F.substring_index("file_path", "/", -1))
+    return A.with_run_name(out, "file_name")

@@ -1,7 +1,8 @@
 """Readers for the parquet tables of a data folder.
 
 Every reader selects only the columns it is asked for, so the parquet scan's
-``ReadSchema`` is pruned and filters applied later are pushed into the scan.
+``ReadSchema`` is pruned and filters applied later are pushed into the scan
+(Catalyst pushes filters and pruning through the repartition below).
 """
 
 from __future__ import annotations
@@ -12,12 +13,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# Session setting: least number of partitions a scan should feed into the
+# row-level work (default: the session's default parallelism).
+MIN_PARTITIONS_CONF = "ragtally.scan.minPartitions"
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster has cores (a single-row-group file is one task), so per-row work
+    (regexes, parsing, vector scoring) uses every core.  Large inputs already
+    have more splits than cores and are returned unchanged (no shuffle)."""
+    spark = df.sparkSession
+    if min_partitions is None:
+        conf = spark.conf.get(MIN_PARTITIONS_CONF, None)
+        min_partitions = int(conf) if conf else spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < min_partitions:
+        return df.repartition(min_partitions)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one table; with ``columns`` the scan reads only those."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df)
