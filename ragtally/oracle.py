@@ -91,7 +91,7 @@ def in_list(values) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6)"
+    return f"round(CAST({expr} AS DOUBLE), 4)"
 
 
 # ------------------------------------------------------------------ formulas
@@ -377,7 +377,7 @@ SELECT event_id, Model, Model_ret, CAST({ordinal_sql('Model_ret', FX.RETRIEVERS)
 FROM fx_eval ORDER BY Model, category_ordinal NULLS LAST, Iteration, Question_nr""", "fx_eval"))
 
 register("union_runs", with_fx("""
-SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 6) AS Elapsed, Total_tokens
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 4) AS Elapsed, Total_tokens
 FROM fx_eval WHERE Iteration % 2 = 1
 UNION ALL BY NAME
 SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, Difficulty FROM fx_eval WHERE Iteration % 2 = 0""",
@@ -390,16 +390,16 @@ EV_CAT = ("ev", f"SELECT * FROM fx_eval WHERE Model IN {in_list(FX.MODELS)} AND
 EV_HIT = ("evh", f"SELECT *, {hit_sql('Paper_id', 'Context_papers')} AS hit FROM ev")
 
 register("run_accuracy", with_fx("""
-SELECT Model, Model_ret, Iteration, round(avg(Cor_answer), 6) AS accuracy
+SELECT Model, Model_ret, Iteration, round(avg(Cor_answer), 4) AS accuracy
 FROM fx_eval GROUP BY Model, Model_ret, Iteration""", "fx_eval"))
 
 register("accuracy_pivot", with_fx(
     "SELECT Model, Model_ret, " + ", ".join(
-        f"round(avg(Cor_answer) FILTER (WHERE Difficulty = {q(d)}), 6) AS {d}" for d in FX.DIFFICULTIES)
+        f"round(avg(Cor_answer) FILTER (WHERE Difficulty = {q(d)}), 4) AS {d}" for d in FX.DIFFICULTIES)
     + " FROM ev WHERE Difficulty IS NOT NULL GROUP BY Model, Model_ret", "fx_eval", EV_CAT))
 
 register("majority_vote", with_fx("""
-SELECT Model, Model_ret, round(avg(CASE WHEN n_correct >= ceil(n_runs / 2) THEN 1 ELSE 0 END), 6) AS majority_accuracy
+SELECT Model, Model_ret, round(avg(CASE WHEN n_correct >= ceil(n_runs / 2) THEN 1 ELSE 0 END), 4) AS majority_accuracy
 FROM (SELECT Model, Model_ret, Question_nr, Difficulty, sum(Cor_answer) AS n_correct, count(Cor_answer) AS n_runs
       FROM ev WHERE Difficulty IS NOT NULL GROUP BY Model, Model_ret, Question_nr, Difficulty) v
 GROUP BY Model, Model_ret""", "fx_eval", EV_CAT))
@@ -494,7 +494,7 @@ def unit_sql(a: str) -> str:
 
 def topk_sql(src: str, k: int, qid: str = "query_id", pid: str = "point_id", extra: str = "") -> str:
     return f"""
-SELECT {qid}, CAST("rank" AS INT) AS "rank", {pid}, round(score, 6) AS score{extra}
+SELECT {qid}, CAST("rank" AS INT) AS "rank", {pid}, round(score, 4) AS score{extra}
 FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {pid}) AS "rank" FROM {src}) r
 WHERE "rank" <= {k}"""
 
@@ -525,7 +525,7 @@ DENSE_HITS = ("dh", f"""SELECT * FROM (
   FROM pp, (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20) q) r WHERE "rank" <= 5""")
 
 register("dense_topk_tenant", with_fx("""
-SELECT query_id, CAST("rank" AS INT) AS "rank", point_id, round(score, 6) AS score, username, document_name FROM th""",
+SELECT query_id, CAST("rank" AS INT) AS "rank", point_id, round(score, 4) AS score, username, document_name FROM th""",
                                       "fx_points", PAYLOAD_POINTS, TENANT_HITS))
 
 
@@ -578,7 +578,7 @@ CTX_ENTRY = f"""CASE WHEN type IN ('image', 'pdf_page') THEN 'image' ELSE 'text'
   img_link AS image_path, {ref_label_sql('document_name', 'page_no')} AS reference"""
 
 register("project_context", with_fx(f"""
-SELECT query_id, CAST("rank" AS INT) AS "rank", {CTX_ENTRY}, round(score, 6) AS score FROM th""",
+SELECT query_id, CAST("rank" AS INT) AS "rank", {CTX_ENTRY}, round(score, 4) AS score FROM th""",
                                     "fx_points", PAYLOAD_POINTS, TENANT_HITS))
 
 P_IMG, P_TXT = q("Describe the figure."), q("Summarise the passage: ")
@@ -780,7 +780,7 @@ SELECT DISTINCT Model AS model_name, upper(Model) AS model_short, concat('MM_',
                                 "fx_eval"))
 
 register("scan_runs", with_fx("""
-SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 6) AS Elapsed, NULL::VARCHAR AS Difficulty,
+SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 4) AS Elapsed, NULL::VARCHAR AS Difficulty,
        'csv' AS fmt FROM fx_eval WHERE Iteration % 2 = 1
 UNION ALL
 SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, NULL::DOUBLE, Difficulty, 'json' FROM fx_eval
@@ -796,7 +796,7 @@ SELECT conv_id, turn, role, replace(replace(text, chr(10), '\\n'), '\\n', chr(10
 
 register("embedding_cache", f"""
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
-       round(CAST(embedding[1] AS DOUBLE) / {norm_sql('embedding')}, 6) AS first_component FROM embeddings""")
+       round(CAST(embedding[1] AS DOUBLE) / {norm_sql('embedding')}, 4) AS first_component FROM embeddings""")
 
 register("export_requests", with_fx("""
 SELECT CAST(Question_nr AS VARCHAR) AS custom_id, 'gen_a' AS model, instruction AS prompt FROM eq""",
@@ -951,16 +951,16 @@ LEFT JOIN (
 USING (Model, cond_1, cond_2)""")
 
 register("item_pairs", with_fx("""
-SELECT Model, cond_1, cond_2, Question_nr, round(x, 6) AS x, round(y, 6) AS y FROM pairs""", "fx_eval", _ia, _pairs))
+SELECT Model, cond_1, cond_2, Question_nr, round(x, 4) AS x, round(y, 4) AS y FROM pairs""", "fx_eval", _ia, _pairs))
 register("wilcoxon_ranks", with_fx("""
-SELECT Model, cond_1, cond_2, Question_nr, round(d, 6) AS d, round("rank", 6) AS "rank", tie_size FROM rk""",
+SELECT Model, cond_1, cond_2, Question_nr, round(d, 4) AS d, round("rank", 4) AS "rank", tie_size FROM rk""",
                                    "fx_eval", _ia, _pairs, _ranks))
 register("wilcoxon_test", with_fx("""
-SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM tests""",
+SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 4) AS statistic, round(p_value, 4) AS p_value FROM tests""",
                                   "fx_eval", _ia, _pairs, _ranks, _tests))
 register("bonferroni", with_fx("""
-SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
-       round(least(1.0, p_value * count(*) OVER (PARTITION BY Model)), 6) AS p_bonferroni FROM tests""",
+SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 4) AS statistic, round(p_value, 4) AS p_value,
+       round(least(1.0, p_value * count(*) OVER (PARTITION BY Model)), 4) AS p_bonferroni FROM tests""",
                                "fx_eval", _ia, _pairs, _ranks, _tests))
 
 
@@ -992,5 +992,53 @@ FROM long GROUP BY Metric""")
 
 register("stream_upsert", ORACLE["upsert_points"])
 register("stream_run_accuracy", with_fx("""
-SELECT Model, Model_ret, round(avg(Cor_answer), 6) AS accuracy, count(*) AS n_rows FROM fx_eval GROUP BY Model, Model_ret""",
+SELECT Model, Model_ret, round(avg(Cor_answer), 4) AS accuracy, count(*) AS n_rows FROM fx_eval GROUP BY Model, Model_ret""",
                                         "fx_eval"))
+
+
+# ------------------------------------------------------------------ output rounding
+
+def stable_round_sql(x: str) -> str:
+    """Two-step rounding as on the Spark side (catalog.r6): nano-units first
+    (absorbs summation-order noise), then half-to-even on integers."""
+    x = f"CAST({x} AS DOUBLE)"
+    nano = f"CAST(floor(abs({x}) * 1e9 + 0.5) AS BIGINT)"
+    r = f"({nano} % 1000)"
+    qq = f"({nano} // 1000)"
+    up = f"(CASE WHEN {r} > 500 OR ({r} = 500 AND {qq} % 2 = 1) THEN 1 ELSE 0 END)"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL "
+            f"ELSE (CASE WHEN {x} < 0 THEN -1 ELSE 1 END) * ({qq} + {up}) / 1e6 END)")
+
+
+def _stable_rounding(sql: str) -> str:
+    """Replace each round(expr, 4) of the compared outputs by stable_round_sql(expr)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = sql[j + 6:k]
+        if inner.endswith(", 4"):
+            out.append(sql[i:j])
+            out.append(stable_round_sql(_stable_rounding(inner[:-3])))
+        else:
+            out.append(sql[i:k + 1])
+        i = k + 1
+
+
+for _k in list(ORACLE):
+    ORACLE[_k] = _stable_rounding(ORACLE[_k])
