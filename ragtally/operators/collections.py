@@ -152,10 +152,9 @@ def available_models(models: DataFrame, collections: Sequence[str] | None, order
                      status_col: str = "model_id", down: str = "Not_working") -> DataFrame:
     """Models in `order_col` order, each paired with the collection of the same
     position when the counts agree; models marked `down` are dropped."""
-    w = Window.orderBy(order_col)  # model lists are a handful of rows
-    m = models.withColumn("_pos", F.row_number().over(w) - 1)
+    m = sequence_by_sort(models, [], [order_col], "_pos")
     if collections is not None:
         names = F.array(*[F.lit(c) for c in collections])
-        m = m.withColumn("vd_mm", F.when(F.lit(len(collections)) == F.count(F.lit(1)).over(Window.partitionBy()),
-                                         F.element_at(names, F.col("_pos") + 1)))
+        same = models.count() == len(collections)  # a model list: a handful of rows
+        m = m.withColumn("vd_mm", F.element_at(names, F.col("_pos")) if same else F.lit(None).cast("string"))
     return m.where(F.col(status_col) != down).drop("_pos")

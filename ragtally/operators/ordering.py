@@ -21,6 +21,14 @@ from pyspark.sql import functions as F
 from ..functions._util import col
 
 BLOCK = 4096
+# Most rows a side may have to be broadcast after its size check.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after a count proves the side small; otherwise the
+    plain DataFrame (shuffle join; AQE may still broadcast from runtime size)."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
@@ -57,15 +65,26 @@ def sequence_number(df: DataFrame, keys: Sequence[str], pos: str, out: str, bloc
     return running_sum(df, keys, pos, F.lit(1), out, block).withColumn(out, F.col(out).cast("int"))
 
 
+def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str) -> DataFrame:
+    """Inclusive running sum of `value` in `order` within `keys`, for any
+    sortable order (give a unique order): range sort, sums inside each
+    (sort partition, key), offsets from earlier sort partitions' totals."""
+    keys, order = list(keys), list(order)
+    s = (df.withColumn("_v", col(value))
+         .repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_sp", F.spark_partition_id()))
+    wi = Window.partitionBy("_sp", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_in", F.sum("_v").over(wi))
+    totals = s.groupBy(*keys, "_sp").agg(F.sum("_v").alias("_n"))
+    wo = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_sp") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
+    res = _join_null_safe(s, offs, keys + ["_sp"]).withColumn(out, F.col("_off") + F.col("_in"))
+    return res.drop("_sp", "_in", "_off", "_v")
+
+
 def sequence_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1, 2, ... in `order` within `keys` for any sortable order columns
-    (ties broken by the remaining columns of `order`; give a unique order)."""
-    keys, order = list(keys), list(order)
-    s = df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_sp", F.spark_partition_id())
-    wi = Window.partitionBy("_sp", *keys).orderBy(*order)
-    s = s.withColumn("_in", F.row_number().over(wi))
-    counts = s.groupBy(*keys, "_sp").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*keys).orderBy("_sp").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    res = _join_null_safe(s, offs, keys + ["_sp"]).withColumn(out, (F.col("_off") + F.col("_in")).cast("int"))
-    return res.drop("_sp", "_in", "_off")
+    (ties broken by the remaining columns of `order`; give a unique order).
+    Without keys, the offsets window runs over one row per sort partition."""
+    res = running_sum_by_sort(df, keys, order, F.lit(1), out)
+    return res.withColumn(out, F.col(out).cast("int"))

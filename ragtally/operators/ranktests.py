@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .ordering import running_sum_by_sort
 
 
 def item_accuracy(runs: DataFrame, model: str, condition: str, item: str, correct: str,
@@ -42,12 +43,13 @@ def wilcoxon_ranks(pairs: DataFrame, model: str, item: str) -> DataFrame:
          .withColumn("d", F.col("x") - F.col("y")).where(F.col("d") != 0)
          .withColumn("abs_d", F.abs("d")))
     key = [model, "cond_1", "cond_2"]
-    w = Window.partitionBy(*key).orderBy("abs_d")
-    tie = Window.partitionBy(*key, "abs_d")
-    return (d.withColumn("_min_rank", F.rank().over(w))
-            .withColumn("tie_size", F.count(F.lit(1)).over(tie))
-            .withColumn("rank", F.col("_min_rank") + (F.col("tie_size") - 1) / 2.0)
-            .drop("_min_rank"))
+    # average rank of a value = rows below it + (its tie count + 1) / 2, from a
+    # running count over the distinct values (skew-safe, see ordering.py)
+    ties = d.groupBy(*key, "abs_d").agg(F.count(F.lit(1)).alias("tie_size"))
+    cum = running_sum_by_sort(ties, key, ["abs_d"], "tie_size", "_cum")
+    ranks = cum.select(*key, "abs_d", "tie_size",
+                       (F.col("_cum") - F.col("tie_size") + (F.col("tie_size") + 1) / 2.0).alias("rank"))
+    return d.join(ranks, key + ["abs_d"])
 
 
 def wilcoxon_test(pairs: DataFrame, model: str, item: str) -> DataFrame:

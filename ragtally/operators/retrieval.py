@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from .ordering import broadcast_if_small
 
 # Most query vectors broadcast at once (768 floats each -> ~12 MB).
 MAX_BROADCAST_QUERIES = 4096
@@ -51,9 +52,7 @@ def query_batches(queries: DataFrame, query_id: str, limit: int = MAX_BROADCAST_
 def join_bounded(big: DataFrame, small: DataFrame, on, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Inner join; broadcast `small` only when a count proves it small,
     otherwise a shuffle join (sort-merge, AQE may still convert it)."""
-    if small.count() <= limit:
-        return big.join(F.broadcast(small), on)
-    return big.join(small, on)
+    return big.join(broadcast_if_small(small, limit), on)
 
 
 def top_k(scored: DataFrame, k: int, query_id: str = "query_id", score: str = "score",
