@@ -125,17 +125,20 @@ def page_image_links(pages: DataFrame, stem: str, page_no: str, root: str = "")
 
 def corpus_variants(chunks: DataFrame, tables: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """'multimodal' = chunks without lone-table chunks + table elements (+ image
-    elements); 'text_only' = all chunks.  Column `variant` tells them apart."""
+    elements); 'text_only' = all chunks.  Column `variant` tells them apart.
+    Chunks are read once: each chunk row is exploded into its variants."""
     cols = ["doc_id", "element_id", "type", "page_content"]
+    variants = F.when(F.col("lone_table"), F.array(F.lit("text_only"))).otherwise(
+        F.array(F.lit("multimodal"), F.lit("text_only")))
     ch = chunks.select("doc_id", F.concat(F.lit("chunk-"), F.col("chunk").cast("string")).alias("element_id"),
-                       F.lit("text").alias("type"), F.col("text").alias("page_content"), "lone_table")
+                       F.lit("text").alias("type"), F.col("text").alias("page_content"),
+                       F.explode(variants).alias("variant"))
     tb = tables.select("doc_id", F.concat(F.lit("table-"), F.col("pos").cast("string")).alias("element_id"),
-                       F.lit("table").alias("type"), "page_content")
-    mm = ch.where(~F.col("lone_table")).select(*cols).unionByName(tb)
+                       F.lit("table").alias("type"), "page_content", F.lit("multimodal").alias("variant"))
+    out = ch.unionByName(tb)
     if images is not None:
-        mm = mm.unionByName(images.select(*cols))
-    return (mm.withColumn("variant", F.lit("multimodal"))
-            .unionByName(ch.select(*cols).withColumn("variant", F.lit("text_only"))))
+        out = out.unionByName(images.select(*cols).withColumn("variant", F.lit("multimodal")))
+    return out
 
 
 def element_counts(elements: DataFrame, doc: str = "doc_id", types: Sequence[str] = ("text", "table", "image"),

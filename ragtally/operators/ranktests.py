@@ -54,16 +54,24 @@ def wilcoxon_ranks(pairs: DataFrame, model: str, item: str) -> DataFrame:
 
 def wilcoxon_test(pairs: DataFrame, model: str, item: str) -> DataFrame:
     """Per (model, pair): n_items_used (complete pairs, zeros included),
-    statistic V (rank sum of positive d) and the two-sided p-value."""
+    statistic V (rank sum of positive d) and the two-sided p-value.
+
+    Everything comes from one table of distinct |d| values per (model, pair)
+    with their tie count t and number of positive d: average rank = values
+    below + (t + 1) / 2, V = sum(rank x positives), n = sum(t), tie term =
+    sum(t^3 - t)."""
     key = [model, "cond_1", "cond_2"]
     used = (pairs.groupBy(*key)
             .agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_items_used")))
-    ranks = wilcoxon_ranks(pairs, model, item)
-    ties = (ranks.groupBy(*key, "abs_d").agg(F.first("tie_size").alias("t"))
-            .groupBy(*key).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term")))
-    agg = ranks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"),
-                                  F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("V"))
-    j = used.join(agg, key, "left").join(ties, key, "left")
+    d = (pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+         .withColumn("d", F.col("x") - F.col("y")).where(F.col("d") != 0)
+         .withColumn("abs_d", F.abs("d")))
+    vals = d.groupBy(*key, "abs_d").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("pos"))
+    vals = running_sum_by_sort(vals, key, ["abs_d"], "t", "_cum")
+    rank = F.col("_cum") - F.col("t") + (F.col("t") + 1) / 2.0
+    agg = vals.groupBy(*key).agg(F.sum("t").alias("n"), F.sum(rank * F.col("pos")).alias("V"),
+                                 F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term"))
+    j = used.join(agg, key, "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     z0 = F.coalesce(F.col("V"), F.lit(0.0)) - n * (n + 1) / 4.0
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.coalesce(F.col("tie_term"), F.lit(0.0)) / 48.0)

@@ -224,13 +224,13 @@ def rescore_topk(points: DataFrame, queries: DataFrame, k: int, oversampling: fl
         coarse = _pair(p8, qb, []).select(
             "query_id", "point_id", "_eps",
             (V.dot("_p8", "_qv") / F.lit(127.0)).alias("coarse"))
-        w = Window.partitionBy("query_id").orderBy(F.col("coarse").desc(), F.col("point_id").asc())
-        ranked = coarse.withColumn("_r", F.row_number().over(w))
-        cutoff = (ranked.where(F.col("_r") <= k).groupBy("query_id")
-                  .agg(F.min("coarse").alias("_ck")))
-        cand = (ranked.join(F.broadcast(cutoff), "query_id")
-                .where((F.col("_r") <= n_keep) | (F.col("coarse") >= F.col("_ck") - 2 * F.col("_eps")))
-                .select("query_id", "point_id"))
+        # limited top-k (WindowGroupLimit before the shuffle), never a full ranking
+        keep = top_k(coarse, n_keep, score="coarse", rank_col="_r")
+        cutoff = (keep.where(F.col("_r") <= k).groupBy("query_id")
+                  .agg(F.min("coarse").alias("_ck")))  # one row per query: bounded
+        margin = (coarse.join(F.broadcast(cutoff), "query_id")
+                  .where(F.col("coarse") >= F.col("_ck") - 2 * F.col("_eps")))
+        cand = keep.select("query_id", "point_id").union(margin.select("query_id", "point_id")).distinct()
         full = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).alias("_pv"))
         exact = (join_bounded(full, cand, "point_id")
                  .join(F.broadcast(qb.select("query_id", "_qv")), "query_id")
