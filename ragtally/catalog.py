@@ -974,3 +974,9 @@ def q_stream_run_accuracy(spark, sf):
                            T.StructField("Cor_answer", T.IntegerType())])
     out = ST.stream_run_accuracy(spark, src, schema, f"{root}/out", max_files_per_trigger=4)
     return round_doubles(out.select("Model", "Model_ret", "accuracy", "n_rows"))
+
+
+@register
+def q_maxsim_topk_packed(spark, sf):
+    pages = RT.pack_patches(FX.fx_patches(spark, sf))
+    return _patches_out(RT.maxsim_topk_packed(pages, FX.fx_qtokens(spark, sf), K_HITS))

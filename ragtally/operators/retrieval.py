@@ -32,6 +32,8 @@ from .ordering import broadcast_if_small
 
 # Most query vectors broadcast at once (768 floats each -> ~12 MB).
 MAX_BROADCAST_QUERIES = 4096
+# Queries scored together inside one Arrow batch (score matrix memory).
+QUERY_BLOCK = 512
 # Most candidate rows broadcast for a join back to the corpus.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -156,13 +158,16 @@ def _dense_arrow(p: DataFrame, q: DataFrame, k: int, metric: str, on: list[str],
                     if len(qi):
                         groups.append((qi, pi))
             out = []
-            for qi, pi in groups:
-                s = pm[pi] @ qmat[qi].T
-                for col_j, rows in enumerate(_local_topk(s, ids[pi], k)):
-                    sel = pdf.iloc[pi[rows]].drop(columns=["_pv"])
-                    sel.insert(0, "score", s[rows, col_j])
-                    sel.insert(0, "query_id", qids[qi[col_j]])
-                    out.append(sel)
+            for qi_all, pi in groups:
+                # query blocks bound the score matrix to rows x QUERY_BLOCK doubles
+                for b0 in range(0, len(qi_all), QUERY_BLOCK):
+                    qi = qi_all[b0:b0 + QUERY_BLOCK]
+                    s = pm[pi] @ qmat[qi].T
+                    for col_j, rows in enumerate(_local_topk(s, ids[pi], k)):
+                        sel = pdf.iloc[pi[rows]].drop(columns=["_pv"])
+                        sel.insert(0, "score", s[rows, col_j])
+                        sel.insert(0, "query_id", qids[qi[col_j]])
+                        out.append(sel)
             if out:
                 yield pd.concat(out, ignore_index=True)
 
@@ -199,6 +204,75 @@ def maxsim_topk(patches: DataFrame, tokens: DataFrame, k: int, *, page_id: str =
     return top_k(scored, k).select("query_id", "rank", F.col("point_id").alias(page_id), "score")
 
 
+def pack_patches(patches: DataFrame, page_id: str = "page_key", patch_no: str = "patch_no",
+                 vec: str = "embedding", out: str = "patches") -> DataFrame:
+    """Exploded patch rows -> one row per page with its patch vectors in
+    patch order (the multi-vector point layout).  A page holds a bounded
+    number of patches (set by the page-image model), so the collected list
+    is bounded by the page, not by the data size."""
+    g = patches.groupBy(page_id).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(patch_no).alias("n"), F.col(vec).alias("v")))).alias("_p"))
+    return g.select(page_id, F.transform("_p", lambda x: x["v"]).alias(out))
+
+
+def maxsim_topk_packed(pages: DataFrame, tokens: DataFrame, k: int, *, page_id: str = "page_key",
+                       patches: str = "patches", query_id: str = "query_id", token_id: str = "token_no",
+                       token_vec: str = "embedding", normalize: bool = False) -> DataFrame:
+    """Late interaction over packed pages: per Arrow batch of pages, one
+    matrix product of all query tokens against the batch's patches, the max
+    over each page's patches, the sum over each query's tokens, and a local
+    top-k; then the global top-k.  No aggregation shuffle: each page is
+    scored where it is stored."""
+    t = tokens.select(F.col(query_id).alias("query_id"), F.col(token_id).alias("_tok"),
+                      F.col(token_vec).alias("_tv"))
+    p = pages.select(F.col(page_id).alias("point_id"), F.col(patches).alias("_pp"))
+    parts = []
+    for tb in query_batches(t, "query_id"):
+        tpdf = tb.toPandas()  # bounded: at most MAX_BROADCAST_QUERIES query ids per batch
+        tpdf = tpdf.sort_values(["query_id", "_tok"])
+        tmat = _stack(tpdf["_tv"])
+        if normalize and len(tmat):
+            tn = np.linalg.norm(tmat, axis=1, keepdims=True)
+            tmat = np.divide(tmat, tn, out=np.zeros_like(tmat), where=tn > 0)
+        qids, starts = np.unique(tpdf["query_id"].to_numpy(), return_index=True)
+        schema = T.StructType([T.StructField("query_id", tb.schema["query_id"].dataType),
+                               T.StructField("score", T.DoubleType()),
+                               T.StructField("point_id", p.schema["point_id"].dataType)])
+
+        def score(batches, tmat=tmat, qids=qids, starts=starts):
+            for pdf in batches:
+                if len(pdf) == 0 or len(qids) == 0:
+                    continue
+                mats = [_stack(v) for v in pdf["_pp"]]
+                if normalize:
+                    mats = [np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+                            for m in mats for n in [np.linalg.norm(m, axis=1, keepdims=True)]]
+                sizes = np.array([len(m) for m in mats])
+                allp = np.vstack([m for m in mats if len(m)]) if sizes.sum() else np.zeros((0, tmat.shape[1]))
+                sim = tmat @ allp.T                                  # tokens x all patches
+                offs = np.concatenate([[0], np.cumsum(sizes)])
+                per_page = np.full((len(tmat), len(mats)), np.nan)
+                for j in range(len(mats)):
+                    if sizes[j]:
+                        per_page[:, j] = sim[:, offs[j]:offs[j + 1]].max(axis=1)
+                scores = np.add.reduceat(np.nan_to_num(per_page, nan=0.0), starts, axis=0)  # queries x pages
+                ids = pdf["point_id"].to_numpy()
+                keep = sizes > 0
+                out = []
+                for qi, rows in enumerate(_local_topk(scores[:, keep].T, ids[keep], k)):
+                    sel_ids = ids[keep][rows]
+                    out.append(pd.DataFrame({"query_id": qids[qi], "score": scores[qi, keep][rows],
+                                             "point_id": sel_ids}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        parts.append(p.mapInPandas(score, schema))
+    scored = parts[0]
+    for extra in parts[1:]:
+        scored = scored.unionByName(extra)
+    return top_k(scored, k).select("query_id", "rank", F.col("point_id").alias(page_id), "score")
+
+
 # --------------------------------------------------------------------------
 # Quantised coarse pass + exact rescoring
 

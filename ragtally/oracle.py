@@ -540,6 +540,7 @@ def maxsim_sql(patches: str, tokens: str, on: str = "", normalize: bool = False)
 
 register("maxsim_topk", with_fx(topk_sql("ms", 5, pid="page_key"), "fx_patches", "fx_qtokens",
                                 ("ms", maxsim_sql("fx_patches", "fx_qtokens"))))
+register("maxsim_topk_packed", ORACLE["maxsim_topk"])
 register("maxsim_cosine_topk", with_fx(
     topk_sql("ms", 5, pid="page_key"), "fx_patches", "fx_qtokens",
     ("sp", "SELECT page_key, patch_no, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (patch_no + 1)) "

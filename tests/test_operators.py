@@ -229,3 +229,18 @@ def test_attach_image_payloads(spark):
         "q", PR.single_message(F.lit("look"), F.array(F.lit(path))).alias("message"))
     out = PR.attach_image_payloads(msgs, images, ["q"]).first().message
     assert out[0].text == "look" and out[1].url == "data:image/jpeg;base64,iVBORy1ieXRlcw=="
+
+
+def test_maxsim_packed_equals_exploded(spark):
+    rnd = random.Random(13)
+    patches = [(pg, j, [rnd.uniform(-1, 1) * (j + 1) for _ in range(8)]) for pg in range(30) for j in range(6)]
+    toks = [(q, j, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(4) for j in range(3)]
+    p = spark.createDataFrame(patches, "page_key long, patch_no int, embedding array<double>")
+    t = spark.createDataFrame(toks, "query_id long, token_no int, embedding array<double>")
+    for norm in (False, True):
+        a = RT.maxsim_topk(p, t, 4, normalize=norm).collect()
+        b = RT.maxsim_topk_packed(RT.pack_patches(p), t, 4, normalize=norm).collect()
+        key = lambda r: (r.query_id, r.rank)
+        a, b = sorted(a, key=key), sorted(b, key=key)
+        assert [(r.query_id, r.rank, r.page_key) for r in a] == [(r.query_id, r.rank, r.page_key) for r in b]
+        assert all(abs(x.score - y.score) < 1e-9 for x, y in zip(a, b))
