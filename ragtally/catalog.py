@@ -338,7 +338,7 @@ def _hits_out(df):
 
 @register
 def q_dense_topk(spark, sf):
-    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine")
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine", method="sql")
     return _hits_out(hits)
 
 

@@ -77,12 +77,14 @@ def _pair(points: DataFrame, queries: DataFrame, on: Sequence[str]) -> DataFrame
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str = "point_id",
                point_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
                metric: str = "cosine", on: Sequence[str] = (), carry: Sequence[str] = (),
-               method: str = "sql") -> DataFrame:
+               method: str = "arrow") -> DataFrame:
     """Top-k points per query -> (query_id, rank, point_id, score, *on, *carry).
 
     metric: "cosine" (dot / (|a| |b|)) or "dot".  `on`: owner columns present
     on both sides; a query only sees points with the same values (tenant
-    filter before ranking, never after).
+    filter before ranking, never after).  method: "arrow" (default: NumPy
+    matrix products per Arrow batch) or "sql" (built-in expressions; the
+    canonical plan, same results).
     """
     on = list(on)
     p = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).alias("_pv"), *on, *carry)

@@ -48,8 +48,10 @@ def test_dense_topk_properties_and_fast_path(spark):
 def test_topk_plan_limits_before_shuffle(spark):
     pts = _vectors(spark, 50, 4, 3).withColumnRenamed("id", "point_id").withColumnRenamed("v", "embedding")
     qs = _vectors(spark, 3, 4, 4).withColumnRenamed("id", "query_id").withColumnRenamed("v", "embedding")
-    plan = RT.dense_topk(pts, qs, 5)._jdf.queryExecution().executedPlan().toString()
+    plan = RT.dense_topk(pts, qs, 5, method="sql")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+    fast = RT.dense_topk(pts, qs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in fast and "MapInPandas" in fast and "NestedLoop" not in fast
 
 
 def test_rescore_is_exact(spark):
