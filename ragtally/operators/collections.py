@@ -26,6 +26,17 @@ def create_collection(points: DataFrame, vec_col: str, dim: int, distance: str =
     return points.withColumn(vec_col, checked.alias(vec_col, metadata={"dim": dim, "distance": distance}))
 
 
+def ensure_collection(spark, path: str, schema, vec_col: str, dim: int, distance: str = "cosine") -> DataFrame:
+    """Create an empty collection table at `path` unless one exists, then read
+    it with the {dim, distance} metadata and the size check attached."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return create_collection(spark.read.schema(schema).parquet(path), vec_col, dim, distance)
+
+
 def upsert_points(existing: DataFrame, updates: DataFrame, id_col: str, version_col: str) -> DataFrame:
     """Last write wins per id: the row with the highest version (updates win
     ties over existing rows).  Aggregated with max_by, which combines

@@ -286,3 +286,16 @@ def test_stream_upsert_replay_is_idempotent(spark):
     again = ST.stream_upsert(spark, f"{root}/src", schema, f"{root}/out", "id", "version")  # nothing new
     assert sorted((r.id, r.v) for r in second.collect()) == [(1, "a"), (2, "B"), (3, "c")]
     assert sorted(again.collect()) == sorted(second.collect())
+
+
+def test_ensure_collection_and_dimension_check(spark):
+    from ragtally.session import scratch_path
+    path = scratch_path(spark, "coll")
+    schema = "point_id long, embedding array<float>"
+    c = CO.ensure_collection(spark, path, schema, "embedding", 3)
+    assert c.count() == 0 and c.schema["embedding"].metadata == {"dim": 3, "distance": "cosine"}
+    spark.createDataFrame([(1, [1.0, 2.0, 3.0])], schema).write.mode("append").parquet(path)
+    assert CO.ensure_collection(spark, path, schema, "embedding", 3).count() == 1
+    bad = spark.createDataFrame([(2, [1.0])], schema)
+    with pytest.raises(Exception):
+        CO.create_collection(bad, "embedding", 3).collect()
