@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import answers as A
+from ..operators.ordering import sequence_by_sort
 
 # Question sheet (fixed schema, no inference).
 QUESTION_SCHEMA = T.StructType([
@@ -52,27 +53,25 @@ def scan_corpus(spark: SparkSession, directory: str, suffix: str = ".pdf") -> Da
             .select("path", "name", "length").orderBy("name"))
 
 
-def _indexed(df: DataFrame, col: str) -> DataFrame:
-    """Rows with their position (zipWithIndex keeps partition and row order)."""
-    schema = T.StructType([df.schema[col], T.StructField("_idx", T.LongType())])
-    return df.select(col).rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])).toDF(schema)
-
-
 def align_links(spark: SparkSession, files: DataFrame, links_path: str | None, name_col: str = "name",
                 defaults: list[str] | None = None) -> DataFrame:
     """Pair the i-th file (by name) with the i-th non-blank line of a link
     file.  Raises when the counts differ.  Without a file: the first n
-    defaults, or '' for every file when there are fewer defaults than files."""
-    ordered = _indexed(files.select(name_col).orderBy(name_col), name_col)
+    defaults, or '' for every file when there are fewer defaults than files.
+
+    Positions are computed without Python rows: files are numbered in name
+    order, lines in file order (the scan id of a line file follows its
+    offsets), both with the skew-safe numbering of operators.ordering."""
+    ordered = sequence_by_sort(files.select(name_col), [], [name_col], "_idx")
     n = ordered.count()
     if links_path is None:
         vals = list(defaults or [])
         vals = vals[:n] if len(vals) >= n else [""] * n
         arr = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
-        return ordered.select(name_col, F.element_at(arr, (F.col("_idx") + 1).cast("int")).alias("link"))
-    lines = (spark.read.text(links_path).select(F.trim("value").alias("link"))
-             .where(F.col("link") != ""))
-    lines = _indexed(lines, "link")
+        return ordered.select(name_col, F.element_at(arr, F.col("_idx")).alias("link"))
+    lines = (spark.read.text(links_path).withColumn("_scan", F.monotonically_increasing_id())
+             .select(F.trim("value").alias("link"), "_scan").where(F.col("link") != ""))
+    lines = sequence_by_sort(lines, [], ["_scan"], "_idx").drop("_scan")
     m = lines.count()
     if m != n:
         raise ValueError(f"link file contains {m} entries, but {n} files were found")
