@@ -114,10 +114,10 @@ def precision_sql(pid: str, ctx: str, k: int) -> str:
 
 def hit_sql(pid: str, ctx: str) -> str:
     items = LIST_ITEMS.format(c=ctx)
-    return (f"CASE WHEN {pid} IS NULL OR NOT starts_with(lower({pid}), 'paper') THEN NULL "
+    return (f"CAST(CASE WHEN {pid} IS NULL OR NOT starts_with(lower({pid}), 'paper') THEN NULL "
             f"WHEN {ctx} IS NULL OR NOT starts_with({ctx}, '[') THEN 0.0 "
             f"WHEN len(list_filter({items}, lambda x: lower(split_part(x, '_pg_', 1)) = lower({pid}))) > 0 THEN 1.0 "
-            f"ELSE 0.0 END")
+            f"ELSE 0.0 END AS DOUBLE)")
 
 
 def throughput_sql(tok: str = "Total_tokens", el: str = "Elapsed") -> str:
