@@ -317,15 +317,17 @@ from .operators import retrieval as RT  # noqa: E402
 from .sources.tables import read_table  # noqa: E402
 
 K_HITS = 5
-N_QUERY_VECS = 20
 PROMPT_IMAGE = "Describe the figure."
 PROMPT_TEXT = "Summarise the passage: "
 
 
 def _emb_queries(spark, sf):
-    """Query vectors: the first embeddings stand in for encoded questions."""
-    return (read_table(spark, sf, "embeddings", "vec_id", "embedding")
-            .where(F.col("vec_id") < N_QUERY_VECS).withColumnRenamed("vec_id", "query_id"))
+    """Encoded questions stand-in: each question (benchmark item) takes the
+    embedding with its id as its vector, so the query set grows with the
+    question table."""
+    q = read_table(spark, sf, "benchmark", "item_id")
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    return q.join(e, q["item_id"] == e["vec_id"]).select(F.col("item_id").alias("query_id"), "embedding")
 
 
 def _emb_points(spark, sf):
@@ -364,8 +366,10 @@ def _points_payload(spark, sf):
 
 
 def _tenant_queries(spark, sf):
-    return (FX.fx_points(spark, sf).where(F.col("vec_id") < N_QUERY_VECS)
-            .select(F.col("vec_id").alias("query_id"), "embedding", "username"))
+    """Questions with an owner: the point with the question's id gives vector and owner."""
+    q = read_table(spark, sf, "benchmark", "item_id")
+    p = FX.fx_points(spark, sf)
+    return q.join(p, q["item_id"] == p["vec_id"]).select(F.col("item_id").alias("query_id"), "embedding", "username")
 
 
 PAYLOAD = ["document_name", "page_no", "type", "img_link", "page_content"]

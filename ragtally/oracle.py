@@ -499,7 +499,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY score DESC, {pid}
 WHERE "rank" <= {k}"""
 
 
-EQ = ("q", "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20")
+EQ = ("q", "SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id")
 EP = ("p", "SELECT vec_id AS point_id, embedding AS pv FROM embeddings")
 COS = ("s", f"SELECT query_id, point_id, {dot_sql('pv', 'qv')} / ({norm_sql('pv')} * {norm_sql('qv')}) AS score FROM p, q")
 DOT = ("s", f"SELECT query_id, point_id, {dot_sql('pv', 'qv')} AS score FROM p, q")
@@ -516,13 +516,15 @@ TENANT_HITS = ("th", f"""SELECT * FROM (
   SELECT pp.*, q.query_id, {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) AS score,
          row_number() OVER (PARTITION BY q.query_id ORDER BY
            {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) DESC, pp.point_id) AS "rank"
-  FROM pp JOIN (SELECT vec_id AS query_id, embedding AS qv, username FROM fx_points WHERE vec_id < 20) q
+  FROM pp JOIN (SELECT b.item_id AS query_id, f.embedding AS qv, f.username FROM benchmark b
+                JOIN fx_points f ON f.vec_id = b.item_id) q
     ON pp.username = q.username) r WHERE "rank" <= 5""")
 DENSE_HITS = ("dh", f"""SELECT * FROM (
   SELECT pp.*, q.query_id, {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) AS score,
          row_number() OVER (PARTITION BY q.query_id ORDER BY
            {dot_sql('pp.embedding', 'q.qv')} / ({norm_sql('pp.embedding')} * {norm_sql('q.qv')}) DESC, pp.point_id) AS "rank"
-  FROM pp, (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20) q) r WHERE "rank" <= 5""")
+  FROM pp, (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b
+            JOIN embeddings e ON e.vec_id = b.item_id) q) r WHERE "rank" <= 5""")
 
 register("dense_topk_tenant", with_fx("""
 SELECT query_id, CAST("rank" AS INT) AS "rank", point_id, round(score, 4) AS score, username, document_name FROM th""",
