@@ -12,11 +12,26 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .functions import answers as A
 from .functions import metrics as M
 from .functions import stats as S
+from .functions import text as TX
+from .operators import collections as CO
+from .operators import ingest as IN
+from .operators import prompts as PR
+from .operators import ranktests as RK
+from .operators import retrieval as RT
+from .operators import scoring as SC
 from .operators import summaries as SUM
+from .plans import run_plan as RP
+from .session import scratch_path
 from .sources import fixtures as FX
+from .sources import readers as RD
+from .sources import sinks as SK
+from .sources.tables import read_table
+from .streaming import incremental as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -141,8 +156,6 @@ def q_format_ci_cell(spark, sf):
 
 # ---------------------------------------------------------------- 2.9 answers, 2.4 key join
 
-from .functions import answers as A  # noqa: E402
-from .operators import scoring as SC  # noqa: E402
 
 EVAL_ROUND_KEYS = ["Model", "Model_ret"]
 
@@ -311,10 +324,6 @@ def q_two_stage_analysis(spark, sf):
 
 # ---------------------------------------------------------------- 2.4 retrieval
 
-from .functions import text as TX  # noqa: E402
-from .operators import prompts as PR  # noqa: E402
-from .operators import retrieval as RT  # noqa: E402
-from .sources.tables import read_table  # noqa: E402
 
 K_HITS = 5
 PROMPT_IMAGE = "Describe the figure."
@@ -556,7 +565,6 @@ def q_extract_content(spark, sf):
 
 # ---------------------------------------------------------------- 2.1 collections
 
-from .operators import collections as CO  # noqa: E402
 
 DELETE_DOCS = ["Paper1.pdf", "Paper2.pdf", "Paper3.pdf"]
 DELETE_USER = "user3"
@@ -650,10 +658,6 @@ def q_filter_models(spark, sf):
 
 # ---------------------------------------------------------------- 2.1 sources and sinks
 
-from .session import scratch_path  # noqa: E402
-from .sources import readers as RD  # noqa: E402
-from .sources import sinks as SK  # noqa: E402
-
 
 @register
 def q_scan_corpus(spark, sf):
@@ -791,7 +795,6 @@ def q_import_responses(spark, sf):
 
 # ---------------------------------------------------------------- 2.2 ingestion
 
-from .operators import ingest as IN  # noqa: E402
 
 CHUNK_BUDGET = 512
 LINES_PER_PAGE = 40
@@ -887,9 +890,6 @@ def q_vectorise_text(spark, sf):
 
 # ---------------------------------------------------------------- 2.6 rank tests
 
-from .operators import ranktests as RK  # noqa: E402
-from .plans import run_plan as RP  # noqa: E402
-
 
 def _pairs(spark, sf):
     wide = RK.item_accuracy(FX.fx_eval(spark, sf), "Model", "Model_ret", "Question_nr", "Cor_answer", FX.RETRIEVERS)
@@ -946,10 +946,6 @@ def q_metric_descriptions(spark, sf):
 
 # ---------------------------------------------------------------- 2.10 streaming
 
-from pyspark.sql import types as T  # noqa: E402
-
-from .streaming import incremental as ST  # noqa: E402
-
 
 @register
 def q_stream_upsert(spark, sf):

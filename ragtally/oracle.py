@@ -8,8 +8,14 @@ coefficients) come from :mod:`ragtally.functions.stats`.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from .functions import stats as S
+from .functions import text as TX
+from .operators import ingest as IN
+from .plans import run_plan as RP
 from .sources import fixtures as FX
+from .sources.tables import TABLES
 
 ORACLE: dict[str, str] = {}
 
@@ -477,8 +483,6 @@ register("two_stage_analysis", with_fx(_two_stage_sql(), "fx_eval", EV2,
 
 # ------------------------------------------------------------------ 2.4 retrieval
 
-from .functions import text as TX  # noqa: E402
-
 
 def dot_sql(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda t: CAST(t[1] AS DOUBLE) * CAST(t[2] AS DOUBLE)))"
@@ -763,7 +767,6 @@ QUALIFY model_id <> 'Not_working'""", "fx_eval"))
 
 # ------------------------------------------------------------------ 2.1 sources and sinks
 
-from .sources.tables import TABLES  # noqa: E402
 
 register("scan_corpus", "SELECT name, 1 AS non_empty FROM (VALUES "
          + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") v(name)")
@@ -822,8 +825,6 @@ LEFT JOIN (
 
 # ------------------------------------------------------------------ 2.2 ingestion
 
-from .operators import ingest as IN  # noqa: E402
-
 
 def _decode_sql(x: str) -> str:
     for ent, ch in IN.ENTITIES:
@@ -908,9 +909,6 @@ LEFT JOIN (SELECT point_id, model, concat(model, ' describes ', CAST(point_id AS
 
 # ------------------------------------------------------------------ 2.6 rank tests
 
-from itertools import combinations  # noqa: E402
-
-from .plans import run_plan as RP  # noqa: E402
 
 _ia = ("ia", "SELECT Model, Question_nr, " + ", ".join(
     f"avg(Cor_answer) FILTER (WHERE Model_ret = {q(r)}) AS {r}" for r in FX.RETRIEVERS)
