@@ -980,3 +980,16 @@ def q_stream_run_accuracy(spark, sf):
 def q_maxsim_topk_packed(spark, sf):
     pages = RT.pack_patches(FX.fx_patches(spark, sf))
     return _patches_out(RT.maxsim_topk_packed(pages, FX.fx_qtokens(spark, sf), K_HITS))
+
+
+@register
+def q_merge_runs(spark, sf):
+    ev = FX.fx_eval(spark, sf).select("event_id", "Model", "Model_ret", "Iteration", "Question_nr", "Cor_answer")
+    path = scratch_path(spark, "merge_runs")
+    # one CSV per (model, retriever, iteration) run, in a folder named after the run
+    run = F.concat_ws("-", "Model", "Model_ret", F.col("Iteration").cast("string"))
+    (ev.withColumn("run", run).repartition("run").drop("Iteration")
+       .write.partitionBy("run").options(**RD.CSV_OPTIONS).csv(path))
+    schema = "event_id long, Model string, Model_ret string, Question_nr long, Cor_answer int"
+    m = RD.merge_runs(spark, path, schema, "csv")
+    return m.select("event_id", "Model", "Model_ret", "Iteration", "Question_nr", "Cor_answer")

@@ -71,6 +71,8 @@ def chunk_text(elements: DataFrame, budget: int = 512, doc: str = "doc_id", pos:
     """
     toks = F.size(F.split(F.trim(F.col(line)), r"\s+"))
     d = elements.withColumn("_ntok", toks)
+    if "type" not in d.columns:  # untyped lines are text
+        d = d.withColumn("type", F.lit("text"))
     d = running_sum(d, [doc], pos, "_ntok", "_before", block, exclusive=True)
     d = d.withColumn("chunk", F.floor(F.col("_before") / budget).cast("int"))
     g = d.groupBy(doc, "chunk").agg(

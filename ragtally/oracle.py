@@ -792,6 +792,8 @@ UNION ALL
 SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, NULL::DOUBLE, Difficulty, 'json' FROM fx_eval
 WHERE Iteration % 2 = 0""", "fx_eval"))
 
+register("merge_runs", with_fx("SELECT event_id, Model, Model_ret, Iteration, Question_nr, Cor_answer FROM fx_eval",
+                               "fx_eval"))
 register("write_run", with_fx("SELECT event_id, Model, Model_ret, Iteration, Question_nr, Cor_answer FROM fx_eval",
                               "fx_eval"))
 

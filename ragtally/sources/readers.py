@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import answers as A
-from ..operators.ordering import sequence_by_sort
+from ..operators.ordering import broadcast_if_small, sequence_by_sort
 
 # Question sheet (fixed schema, no inference).
 QUESTION_SCHEMA = T.StructType([
@@ -117,3 +117,27 @@ def scan_runs(spark: SparkSession, csv_path: str | None, json_path: str | None,
         out = out.unionByName(f, allowMissingColumns=True)
     out = out.withColumn("file_name", F.substring_index("file_path", "/", -1))
     return A.with_run_name(out, "file_name")
+
+
+def merge_runs(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv",
+               pair_cols=("Model", "Model_ret"), out_col: str = "Iteration") -> DataFrame:
+    """All run files under `path`, each row tagged with the iteration of its
+    file: the file's number (in path order) among the files whose first row
+    has the same (model, retriever) pair.  Empty files have no rows and are
+    skipped.  Partition folders are not inferred (recursive listing).
+
+    The first row of a file is the row with the smallest scan id in it (a
+    run file is one split).  Numbering runs on the file list only and is
+    joined back with a size-checked broadcast."""
+    r = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    if fmt == "csv":
+        r = r.options(**CSV_OPTIONS)
+    rows = (r.format(fmt).load(path).withColumn("file_path", F.col("_metadata.file_path"))
+            .withColumn("_scan", F.monotonically_increasing_id()))
+    pair = list(pair_cols)
+    first = rows.groupBy("file_path").agg(
+        F.min_by(F.struct(*[F.col(c) for c in pair]), F.col("_scan")).alias("_first"))
+    files = first.select("file_path", *[F.col(f"_first.{c}").alias(f"_pair_{c}") for c in pair])
+    numbered = sequence_by_sort(files, [f"_pair_{c}" for c in pair], ["file_path"], out_col)
+    return (rows.join(broadcast_if_small(numbered.select("file_path", out_col)), "file_path")
+            .drop("_scan"))
