@@ -23,6 +23,18 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it 60 % of the
+    machine's memory, at most 16 GiB."""
+    try:
+        with open("/proc/meminfo") as fh:
+            total_kb = next(int(ln.split()[1]) for ln in fh if ln.startswith("MemTotal:"))
+        mb = min(16 * 1024, int(total_kb / 1024 * 0.6))
+        return f"{max(mb, 1024)}m"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ragtally", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above."""
@@ -30,7 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = os.environ.get("RAGTALLY_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("RAGTALLY_DRIVER_MEMORY", _default_driver_memory())
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
