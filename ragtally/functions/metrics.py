@@ -99,3 +99,30 @@ def interval_text(mean, low, upp, decimals: int = 3) -> Column:
     return F.concat(float_text(F.bround(col(mean), decimals)), F.lit(" ["),
                     float_text(F.bround(col(low), decimals)), F.lit("-"),
                     float_text(F.bround(col(upp), decimals)), F.lit("]"))
+
+
+def format_decimal_sql(x: str, decimals: int) -> str:
+    return f"format_string('%.{decimals}f', bround({x}, {decimals}))"
+
+
+def format_ci_cell_sql(mean: str, low: str, upp: str, decimals: int = 3) -> str:
+    """SQL text of format_ci_cell over column names or SQL expressions."""
+    return (f"CASE WHEN ({mean}) IS NULL OR ({low}) IS NULL OR ({upp}) IS NULL THEN 'N/A' ELSE "
+            f"concat({format_decimal_sql(mean, decimals)}, '\\n[', "
+            f"{format_decimal_sql(f'greatest(0.0D, {low})', decimals)}, ', ', "
+            f"{format_decimal_sql(upp, decimals)}, ']') END")
+
+
+def float_text_sql(x: str) -> str:
+    return f"coalesce(CAST({x} AS STRING), 'nan')"
+
+
+def interval_text_sql(mean: str, low: str, upp: str, decimals: int = 3) -> str:
+    """SQL text of interval_text."""
+    f = lambda e: float_text_sql(f"bround({e}, {decimals})")
+    return f"concat({f(mean)}, ' [', {f(low)}, '-', {f(upp)}, ']')"
+
+
+def mean_sd_text_sql(mean: str, sd: str, decimals: int = 3) -> str:
+    f = lambda e: float_text_sql(f"bround({e}, {decimals})")
+    return f"concat({f(mean)}, ' (SD=', {f(sd)}, ')')"

@@ -2,7 +2,7 @@
 
 Everything here is a built-in expression over aggregates, so Catalyst keeps
 it inside whole-stage code generation.  The only driver-side computation is
-the table of Student-t critical values, a fixed 1,000-entry constant built
+the table of Student-t critical values, a fixed 100-entry constant built
 once per process in plain Python (no scipy in the image).
 """
 
@@ -121,9 +121,15 @@ def t975_large_df(df: Column) -> Column:
     return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d) + F.lit(g4) / (d * d * d * d)
 
 
+@functools.lru_cache(maxsize=None)
+def _t975_sql_array() -> str:
+    return "array(" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in t975_table()) + ")"
+
+
 def t975(df: Column) -> Column:
-    """Critical value t(0.975, df) as a Column (null for df < 1)."""
-    table = F.lit(list(t975_table()))
+    """Critical value t(0.975, df) as a Column (null for df < 1).  The table
+    is one SQL array literal (parsed once per use, folded to a constant)."""
+    table = F.expr(_t975_sql_array())
     return (F.when(df < 1, F.lit(None).cast("double"))
             .when(df <= T_TABLE_MAX_DF, F.element_at(table, df.cast("int")))
             .otherwise(t975_large_df(df)))
@@ -166,3 +172,50 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (F.lit(AS_B[0]) + t * (F.lit(AS_B[1]) + t * (F.lit(AS_B[2]) + t * (F.lit(AS_B[3]) + t * F.lit(AS_B[4])))))
     upper_tail = F.exp(-x * x / 2.0) / F.lit(math.sqrt(2.0 * math.pi)) * poly
     return F.when(z >= 0, F.lit(1.0) - upper_tail).otherwise(upper_tail)
+
+
+# --------------------------------------------------------------------------
+# The same formulas as SQL text over column names: one F.expr call builds a
+# whole interval instead of dozens of Column calls (each a py4j round trip),
+# which matters when a report builds dozens of intervals.
+
+def t975_sql(df: str) -> str:
+    z = Z975
+    g1 = (z ** 3 + z) / 4.0
+    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
+    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
+    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
+    d = f"CAST({df} AS DOUBLE)"
+    return (f"CASE WHEN {df} < 1 THEN CAST(NULL AS DOUBLE) WHEN {df} <= {T_TABLE_MAX_DF} "
+            f"THEN element_at({_t975_sql_array()}, CAST({df} AS INT)) "
+            f"ELSE {z!r}D + {g1!r}D / {d} + {g2!r}D / ({d} * {d}) + {g3!r}D / ({d} * {d} * {d}) "
+            f"+ {g4!r}D / ({d} * {d} * {d} * {d}) END")
+
+
+def t_interval_sql(mean: str, sd: str, n: str, floor_zero: bool = False, tcrit: str | None = None) -> tuple[str, str]:
+    """SQL text of t_interval over column names."""
+    half = f"(({tcrit or t975_sql(f'({n} - 1)')}) * {sd} / sqrt(CAST({n} AS DOUBLE)))"
+    low = f"({mean} - {half})"
+    if floor_zero:
+        low = f"greatest(0.0D, {low})"
+    return f"CASE WHEN {n} >= 2 THEN {low} END", f"CASE WHEN {n} >= 2 THEN ({mean} + {half}) END"
+
+
+def agresti_coull_sql(count: str, nobs: str) -> tuple[str, str]:
+    """SQL text of agresti_coull over column names."""
+    z2 = Z975 * Z975
+    nc = f"(CAST({nobs} AS DOUBLE) + {z2!r}D)"
+    qc = f"((CAST({count} AS DOUBLE) + {z2 / 2.0!r}D) / {nc})"
+    dist = f"({Z975!r}D * sqrt({qc} * (1.0D - {qc}) / {nc}))"
+    return (f"CASE WHEN {nobs} > 0 THEN least(1.0D, greatest(0.0D, {qc} - {dist})) END",
+            f"CASE WHEN {nobs} > 0 THEN least(1.0D, greatest(0.0D, {qc} + {dist})) END")
+
+
+def normal_cdf_sql(z: str) -> str:
+    """SQL text of normal_cdf (Abramowitz & Stegun 26.2.17)."""
+    x = f"abs({z})"
+    t = f"(1.0D / (1.0D + {AS_P!r}D * {x}))"
+    b = [f"{v!r}D" for v in AS_B]
+    poly = f"({t} * ({b[0]} + {t} * ({b[1]} + {t} * ({b[2]} + {t} * ({b[3]} + {t} * {b[4]})))))"
+    ut = f"(exp(-{x} * {x} / 2.0D) / {math.sqrt(2.0 * math.pi)!r}D * {poly})"
+    return f"(CASE WHEN {z} >= 0 THEN 1.0D - {ut} ELSE {ut} END)"

@@ -71,15 +71,16 @@ def wilcoxon_test(pairs: DataFrame, model: str, item: str) -> DataFrame:
     rank = F.col("_cum") - F.col("t") + (F.col("t") + 1) / 2.0
     agg = vals.groupBy(*key).agg(F.sum("t").alias("n"), F.sum(rank * F.col("pos")).alias("V"),
                                  F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term"))
-    j = used.join(agg, key, "left")
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-    z0 = F.coalesce(F.col("V"), F.lit(0.0)) - n * (n + 1) / 4.0
-    sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.coalesce(F.col("tie_term"), F.lit(0.0)) / 48.0)
-    z = (z0 - F.signum(z0) * 0.5) / sigma
-    phi = S.normal_cdf(z)
-    p = F.when((n > 0) & (sigma > 0), 2 * F.least(phi, 1 - phi))
-    return j.select(*key, "n_items_used", F.coalesce(F.col("V"), F.lit(0.0)).alias("statistic"),
-                    p.alias("p_value"))
+    j = used.join(agg, key, "left").select(
+        *key, "n_items_used", F.coalesce(F.col("V"), F.lit(0.0)).alias("statistic"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("_n"),
+        F.coalesce(F.col("tie_term"), F.lit(0.0)).cast("double").alias("_tt"))
+    j = j.select("*", F.expr("statistic - _n * (_n + 1) / 4.0D").alias("_z0"),
+                 F.expr("sqrt(_n * (_n + 1) * (2 * _n + 1) / 24.0D - _tt / 48.0D)").alias("_sigma"))
+    j = j.select("*", F.expr("(_z0 - signum(_z0) * 0.5D) / _sigma").alias("_z"))
+    phi = S.normal_cdf_sql("_z")
+    p = F.expr(f"CASE WHEN _n > 0 AND _sigma > 0 THEN 2 * least({phi}, 1 - {phi}) END")
+    return j.select(*key, "n_items_used", "statistic", p.alias("p_value"))
 
 
 def bonferroni(tests: DataFrame, model: str, p_col: str = "p_value") -> DataFrame:

@@ -93,6 +93,10 @@ def per_iteration(evals: DataFrame, keys: Sequence[str], prices: Mapping[str, fl
         F.when(F.col("correct_answers") > 0, F.col("sum_cost") * 100 / F.col("correct_answers")))
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
 def ci_bounds(per_iter: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean over iterations of each per-iteration metric with its 95 % bounds."""
     aggs = []
@@ -102,17 +106,17 @@ def ci_bounds(per_iter: DataFrame, keys: Sequence[str]) -> DataFrame:
                  F.count(src).alias(f"{name}_n"),
                  F.sum(src).alias(f"{name}_sum")]
     g = per_iter.groupBy(*keys).agg(*aggs)
-    g = g.select("*", *[S.t975(F.col(f"{name}_n") - 1).alias(f"{name}_t")
+    # t critical values in their own projection, so each bound reads a column
+    g = g.select("*", *[F.expr(S.t975_sql(f"({name}_n - 1)")).alias(f"{name}_t")
                         for name, _s, kind, _d in CI_METRICS if kind != "prop"])
     cols = [F.col(c) for c in keys]
     for name, _src, kind, _dec in CI_METRICS:
-        mean, n = F.col(f"{name}_mean"), F.col(f"{name}_n")
         if kind == "prop":
-            low, upp = S.agresti_coull(F.col(f"{name}_sum"), n)
+            low, upp = S.agresti_coull_sql(f"{name}_sum", f"{name}_n")
         else:
-            low, upp = S.t_interval(mean, F.col(f"{name}_sd"), n, floor_zero=(kind == "t0"),
-                                    tcrit=F.col(f"{name}_t"))
-        cols += [mean.alias(f"{name}_mean"), low.alias(f"{name}_low"), upp.alias(f"{name}_upp")]
+            low, upp = S.t_interval_sql(f"{name}_mean", f"{name}_sd", f"{name}_n", floor_zero=(kind == "t0"),
+                                        tcrit=f"{name}_t")
+        cols += [F.col(f"{name}_mean"), F.expr(low).alias(f"{name}_low"), F.expr(upp).alias(f"{name}_upp")]
     return g.select(*cols)
 
 
@@ -122,7 +126,7 @@ def ci_summary(evals: DataFrame, keys: Sequence[str], prices: Mapping[str, float
     bounds = ci_bounds(per_iteration(evals, keys, prices, k, models, retrievers), keys)
     cells = [F.col(c) for c in keys]
     for name, _src, _kind, dec in CI_METRICS:
-        cells.append(M.format_ci_cell(f"{name}_mean", f"{name}_low", f"{name}_upp", dec).alias(name))
+        cells.append(F.expr(M.format_ci_cell_sql(f"{name}_mean", f"{name}_low", f"{name}_upp", dec)).alias(name))
     return bounds.select(*cells)
 
 
@@ -159,15 +163,16 @@ def two_step_summary(evals: DataFrame, keys: Sequence[str], variables: Mapping[s
     g = per_q.groupBy(*keys).agg(*aggs)
     out = [F.col(c) for c in keys]
     for v, kind in variables.items():
-        mean, n = F.col(f"{v}__mean"), F.col(f"{v}__n")
+        mean, n = f"`{v}__mean`", f"`{v}__n`"
         if kind == "proportion":
-            low, upp = S.agresti_coull(F.col(f"{v}__sum"), n)
+            low, upp = S.agresti_coull_sql(f"`{v}__sum`", n)
         else:
-            low, upp = S.t_interval(mean, F.col(f"{v}__sd"), n, floor_zero=v in ("Latency", "Price"))
+            low, upp = S.t_interval_sql(mean, f"`{v}__sd`", n, floor_zero=v in ("Latency", "Price"))
         if text:
-            out.append(M.interval_text(mean, low, upp).alias(v))
+            out.append(F.expr(M.interval_text_sql(mean, low, upp)).alias(v))
         else:
-            out += [mean.alias(f"mean_{v}"), low.alias(f"ci_low_{v}"), upp.alias(f"ci_upp_{v}")]
+            out += [F.col(f"{v}__mean").alias(f"mean_{v}"), F.expr(low).alias(f"ci_low_{v}"),
+                    F.expr(upp).alias(f"ci_upp_{v}")]
     return g.select(*out)
 
 
@@ -183,10 +188,9 @@ def two_stage_analysis(evals: DataFrame, keys: Sequence[str], variables: Mapping
     g = stage1.groupBy(*keys).agg(*aggs)
     out = [F.col(c) for c in keys]
     for v in variables:
-        mean = F.col(f"{v}__mean")
-        low, upp = S.t_interval(mean, F.col(f"{v}__sd"), F.col(f"{v}__n"),
-                                floor_zero=v in ("Latency", "Price"))
-        out.append(M.interval_text(mean, low, upp).alias(v))
+        mean = f"`{v}__mean`"
+        low, upp = S.t_interval_sql(mean, f"`{v}__sd`", f"`{v}__n`", floor_zero=v in ("Latency", "Price"))
+        out.append(F.expr(M.interval_text_sql(mean, low, upp)).alias(v))
     return g.select(*out)
 
 
@@ -202,8 +206,8 @@ def sd_summary(evals: DataFrame, keys: Sequence[str], hit_col: str = "hit") -> D
         F.avg("Cor_answer").alias("mean_cor"), F.stddev_samp("Cor_answer").alias("std_cor"),
         F.avg(hit_col).alias("mean_hit"), F.stddev_samp(hit_col).alias("std_hit"))
     return g.select(*keys,
-                    M.mean_sd_text("mean_cor", "std_cor").alias("Cor_answer"),
-                    M.mean_sd_text("mean_hit", "std_hit").alias("hit"))
+                    F.expr(M.mean_sd_text_sql("mean_cor", "std_cor")).alias("Cor_answer"),
+                    F.expr(M.mean_sd_text_sql("mean_hit", "std_hit")).alias("hit"))
 
 
 def summary_grouping_sets(evals: DataFrame, keys: Sequence[str], extra_key: str,
@@ -219,8 +223,8 @@ def summary_grouping_sets(evals: DataFrame, keys: Sequence[str], extra_key: str,
            # the detailed level drops rows without a value, as a group-by on it does
            .where(~((F.col("level") == 0) & F.col(extra_key).isNull())))
     return out.select(*keys, extra_key, F.col("level").cast("int").alias("level"),
-                      M.mean_sd_text("mean_cor", "std_cor").alias("Cor_answer"),
-                      M.mean_sd_text("mean_hit", "std_hit").alias("hit"))
+                      F.expr(M.mean_sd_text_sql("mean_cor", "std_cor")).alias("Cor_answer"),
+                      F.expr(M.mean_sd_text_sql("mean_hit", "std_hit")).alias("hit"))
 
 
 def run_accuracy(evals: DataFrame, keys: Sequence[str]) -> DataFrame:
