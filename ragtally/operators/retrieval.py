@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import ship_package
 from .ordering import broadcast_if_small
 
 # Most query vectors broadcast at once (768 floats each -> ~12 MB).
@@ -130,6 +131,7 @@ def _local_topk(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]
 def _dense_arrow(p: DataFrame, q: DataFrame, k: int, metric: str, on: list[str], carry: list[str]) -> DataFrame:
     """Per Arrow batch: one matrix product against the (bounded) query matrix
     and a local top-k; the caller applies the global top-k."""
+    ship_package(p.sparkSession)
     qpdf = q.toPandas()  # bounded by query_batches
     qmat = _stack(qpdf["_qv"])
     if metric == "cosine" and len(qmat):
@@ -225,6 +227,7 @@ def maxsim_topk_packed(pages: DataFrame, tokens: DataFrame, k: int, *, page_id:
     over each page's patches, the sum over each query's tokens, and a local
     top-k; then the global top-k.  No aggregation shuffle: each page is
     scored where it is stored."""
+    ship_package(pages.sparkSession)
     t = tokens.select(F.col(query_id).alias("query_id"), F.col(token_id).alias("_tok"),
                       F.col(token_vec).alias("_tv"))
     p = pages.select(F.col(page_id).alias("point_id"), F.col(patches).alias("_pp"))
