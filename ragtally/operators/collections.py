@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import table_exists
 from .ordering import sequence_by_sort
 
 # Above this many distinct document names the inventory join is done by
@@ -29,10 +30,7 @@ def create_collection(points: DataFrame, vec_col: str, dim: int, distance: str =
 def ensure_collection(spark, path: str, schema, vec_col: str, dim: int, distance: str = "cosine") -> DataFrame:
     """Create an empty collection table at `path` unless one exists, then read
     it with the {dim, distance} metadata and the size check attached."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(marker):
+    if not table_exists(spark, path):
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
     return create_collection(spark.read.schema(schema).parquet(path), vec_col, dim, distance)
 

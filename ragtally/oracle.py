@@ -818,8 +818,8 @@ FROM (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS cus
 LEFT JOIN (
   SELECT custom_id, count(*) AS n,
          max(CASE WHEN content IS NOT NULL AND NOT regexp_matches(content, '^\\[error\\]') THEN 1 ELSE 0 END) AS ok,
-         arg_max(content, CASE WHEN content IS NOT NULL AND NOT regexp_matches(content, '^\\[error\\]') THEN 1 ELSE 0 END)
-           AS content
+         arg_max(content, (CASE WHEN content IS NOT NULL AND NOT regexp_matches(content, '^\\[error\\]') THEN 1 ELSE 0 END,
+                           content)) AS content
   FROM (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn - 1 AS VARCHAR)) AS custom_id,
                raw_response AS content FROM fx_responses) x
   GROUP BY custom_id) a USING (custom_id)""", "fx_responses"))

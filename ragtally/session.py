@@ -103,3 +103,15 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True when a completely written table is at `path` (its _SUCCESS marker
+    exists).  Listing only: no data is read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import table_exists
 from .readers import CSV_OPTIONS
 
 
@@ -65,7 +66,8 @@ def import_responses(spark: SparkSession, requests: DataFrame, responses_path: s
     good = F.col("content").isNotNull() & ~F.coalesce(F.col("content").rlike(error_pattern), F.lit(False))
     per_id = resp.groupBy("custom_id").agg(
         F.count(F.lit(1)).alias("n_responses"),
-        F.max_by(F.col("content"), F.when(good, 1).otherwise(0)).alias("content"),
+        # a usable response first; among several, the greatest text (deterministic)
+        F.max_by(F.col("content"), F.struct(F.when(good, 1).otherwise(0), F.col("content"))).alias("content"),
         F.max(good.cast("int")).alias("_ok"))
     j = requests.select(F.col(id_col).alias("custom_id")).join(per_id, "custom_id", "left")
     status = (F.when(F.col("n_responses").isNull(), "missing")
@@ -79,9 +81,6 @@ def embedding_cache(spark: SparkSession, root: str, vectoriser: str,
     """Read `{root}/{vectoriser}` when a complete table is there; otherwise
     run `compute`, write it, and read the written table back."""
     path = f"{root.rstrip('/')}/{vectoriser.replace('/', '__')}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    if not table_exists(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

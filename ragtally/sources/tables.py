@@ -22,25 +22,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Only inputs up to this size are spread: their shuffle is negligible.
-MAX_SPREAD_BYTES = 1 << 30
+# Only inputs of at most this many splits are spread: a handful of files
+# (at most a few hundred MiB), whose shuffle is negligible.
+MAX_SPREAD_SPLITS = 4
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition of a small input that yields fewer partitions
+    """Round-robin repartition of a tiny input that yields fewer partitions
     than the cluster has cores (a single-row-group file is one task), so
     per-row work (regexes, parsing, vector scoring) uses every core.  Inputs
-    above MAX_SPREAD_BYTES, or with enough splits, are returned unchanged:
-    no shuffle is added to large scans."""
+    with more than MAX_SPREAD_SPLITS splits, or with enough splits for the
+    cores, are returned unchanged: no shuffle is added to large scans."""
     spark = df.sparkSession
     if min_partitions is None:
         conf = spark.conf.get(MIN_PARTITIONS_CONF, None)
         min_partitions = int(conf) if conf else spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min_partitions:
-        return df
-    est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = est if isinstance(est, int) else int(est.toString())
-    return df.repartition(min_partitions) if size <= MAX_SPREAD_BYTES else df
+    n = df.rdd.getNumPartitions()
+    if n < min_partitions and n <= MAX_SPREAD_SPLITS:
+        return df.repartition(min_partitions)
+    return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
