@@ -205,7 +205,8 @@ def q_iteration_number(spark, sf):
     p = SC.parse_run_files(FX.fx_run_files(spark, sf)).where("valid")
     pair = ["model_short", "vd_name", "perm_label"]
     it = SC.iteration_number(p, pair, "file_name")
-    return p.join(it, pair + ["file_name"]).select("file_id", "Iteration")
+    # the pair is parsed from the file name, so the name alone is the join key
+    return p.join(it.select("file_name", "Iteration"), "file_name").select("file_id", "Iteration")
 
 
 @register

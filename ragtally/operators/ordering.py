@@ -65,13 +65,23 @@ def sequence_number(df: DataFrame, keys: Sequence[str], pos: str, out: str, bloc
     return running_sum(df, keys, pos, F.lit(1), out, block).withColumn(out, F.col(out).cast("int"))
 
 
-def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str) -> DataFrame:
+def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
+                        materialize: bool = False) -> DataFrame:
     """Inclusive running sum of `value` in `order` within `keys`, for any
     sortable order (give a unique order): range sort, sums inside each
-    (sort partition, key), offsets from earlier sort partitions' totals."""
+    (sort partition, key), offsets from earlier sort partitions' totals.
+
+    The sorted input is read by two branches.  materialize=True cuts the
+    lineage there with a reliable checkpoint (written below the shared
+    checkpoint folder), so the input and its sort run once; use it for
+    small inputs such as file lists."""
     keys, order = list(keys), list(order)
     s = (df.withColumn("_v", col(value))
          .repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_sp", F.spark_partition_id()))
+    if materialize:
+        from ..session import work_dir
+        work_dir(s.sparkSession)  # sets the checkpoint folder when a local session has none
+        s = s.checkpoint(eager=True)
     wi = Window.partitionBy("_sp", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_in", F.sum("_v").over(wi))
     totals = s.groupBy(*keys, "_sp").agg(F.sum("_v").alias("_n"))
@@ -82,9 +92,10 @@ def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return res.drop("_sp", "_in", "_off", "_v")
 
 
-def sequence_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def sequence_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
+                     materialize: bool = False) -> DataFrame:
     """1, 2, ... in `order` within `keys` for any sortable order columns
     (ties broken by the remaining columns of `order`; give a unique order).
     Without keys, the offsets window runs over one row per sort partition."""
-    res = running_sum_by_sort(df, keys, order, F.lit(1), out)
+    res = running_sum_by_sort(df, keys, order, F.lit(1), out, materialize)
     return res.withColumn(out, F.col(out).cast("int"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import ship_package
+from ..session import ship_package, work_dir
 from .ordering import broadcast_if_small
 
 # Most query vectors broadcast at once (768 floats each -> ~12 MB).
@@ -281,35 +281,64 @@ def maxsim_topk_packed(pages: DataFrame, tokens: DataFrame, k: int, *, page_id:
 # --------------------------------------------------------------------------
 # Quantised coarse pass + exact rescoring
 
+def _threshold_pairs_arrow(p: DataFrame, q: DataFrame, thresholds: dict) -> DataFrame:
+    """(query_id, point_id) pairs whose dot product reaches the query's
+    threshold: one matrix product per Arrow batch, vectorised comparison."""
+    ship_package(p.sparkSession)
+    qpdf = q.toPandas()  # bounded by query_batches
+    qmat = _stack(qpdf["_qv"])
+    qids = qpdf["query_id"].to_numpy()
+    thr = np.array([thresholds.get(x, np.inf) for x in qids], dtype=np.float64)
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType),
+                           T.StructField("point_id", p.schema["point_id"].dataType)])
+
+    def scan(batches):
+        for pdf in batches:
+            if len(pdf) == 0 or len(qids) == 0:
+                continue
+            pm = _stack(pdf["_pv"])
+            ids = pdf["point_id"].to_numpy()
+            for b0 in range(0, len(qids), QUERY_BLOCK):
+                s = pm @ qmat[b0:b0 + QUERY_BLOCK].T
+                r, c = np.nonzero(s >= thr[None, b0:b0 + QUERY_BLOCK])
+                if len(r):
+                    yield pd.DataFrame({"query_id": qids[b0 + c], "point_id": ids[r]})
+
+    return p.mapInPandas(scan, schema)
+
+
 def rescore_topk(points: DataFrame, queries: DataFrame, k: int, oversampling: float = 2.0, *,
                  point_id: str = "point_id", point_vec: str = "embedding", query_id: str = "query_id",
                  query_vec: str = "embedding") -> DataFrame:
     """Exact top-k by dot product, found through an int8 coarse pass.
 
-    Pass 1 scores the int8-rounded corpus (x*127 rounded) and finds c_k, the
-    k-th best coarse score per query.  Rounding moves a dot product by at most
-    eps = |q|_1 * 0.5 / 127 (components in [-1, 1]), so every exact top-k
-    point has a coarse score >= c_k - 2 eps.  Pass 2 keeps those candidates
-    (and at least the ceil(oversampling*k) coarse best) and pass 3 rescores
-    them with the full vectors.  The result equals the exact top-k.
+    Pass 1 scores the int8-rounded corpus (x*127 rounded) and keeps the
+    ceil(oversampling*k) best per query; c_k is the k-th best coarse score.
+    Rounding moves a dot product by at most eps = |q|_1 * 0.5 / 127
+    (components in [-1, 1]), so every exact top-k point has a coarse score
+    >= c_k - 2 eps; pass 2 adds all such points.  Pass 3 rescores the
+    candidates with the full vectors.  The result equals the exact top-k.
+    Both coarse passes are NumPy matrix products over Arrow batches.
     """
     step = 0.5 / 127.0
-    p8 = points.select(F.col(point_id).alias("point_id"), V.quantize_int8(point_vec).alias("_p8"))
+    p8 = points.select(F.col(point_id).alias("point_id"),
+                       F.transform(V.quantize_int8(point_vec), lambda x: x.cast("double") / 127.0).alias("_pv"))
     q = queries.select(F.col(query_id).alias("query_id"), V.as_double(query_vec).alias("_qv"))
-    q = q.withColumn("_eps", V.l1_norm("_qv") * F.lit(step))
     n_keep = max(k, math.ceil(oversampling * k))
     out = []
     for qb in query_batches(q, "query_id"):
-        coarse = _pair(p8, qb, []).select(
-            "query_id", "point_id", "_eps",
-            (V.dot("_p8", "_qv") / F.lit(127.0)).alias("coarse"))
-        # limited top-k (WindowGroupLimit before the shuffle), never a full ranking
-        keep = top_k(coarse, n_keep, score="coarse", rank_col="_r")
-        cutoff = (keep.where(F.col("_r") <= k).groupBy("query_id")
-                  .agg(F.min("coarse").alias("_ck")))  # one row per query: bounded
-        margin = (coarse.join(F.broadcast(cutoff), "query_id")
-                  .where(F.col("coarse") >= F.col("_ck") - 2 * F.col("_eps")))
-        cand = keep.select("query_id", "point_id").union(margin.select("query_id", "point_id")).distinct()
+        keep = top_k(_dense_arrow(p8, qb, n_keep, "dot", [], []), n_keep)
+        cutoff = keep.where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("_ck"))
+        eps = qb.select("query_id", (V.l1_norm("_qv") * F.lit(step)).alias("_eps"))
+        # one threshold per query of the batch (bounded like the batch itself)
+        thr = {r["query_id"]: r["_ck"] - 2 * r["_eps"]
+               for r in cutoff.join(eps, "query_id").collect()}
+        margin = _threshold_pairs_arrow(p8, qb, thr)
+        cand = keep.select("query_id", "point_id").union(margin).distinct()
+        # materialise the (small) candidate list once: its size check and the
+        # join back then read it instead of re-running the coarse passes
+        work_dir(cand.sparkSession)
+        cand = cand.checkpoint(eager=True)
         full = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).alias("_pv"))
         exact = (join_bounded(full, cand, "point_id")
                  .join(F.broadcast(qb.select("query_id", "_qv")), "query_id")
