@@ -299,3 +299,11 @@ def test_ensure_collection_and_dimension_check(spark):
     bad = spark.createDataFrame([(2, [1.0])], schema)
     with pytest.raises(Exception):
         CO.create_collection(bad, "embedding", 3).collect()
+
+
+def test_sequence_by_sort_null_keys(spark):
+    rows = [(None, "b"), (None, "a"), ("x", "c"), ("x", "a"), (None, "c")]
+    df = spark.createDataFrame(rows, "k string, f string").repartition(3)
+    got = sorted(OR.sequence_by_sort(df, ["k"], ["f"], "n").collect(), key=lambda r: (str(r.k), r.f))
+    assert [(r.k, r.f, r.n) for r in got] == [(None, "a", 1), (None, "b", 2), (None, "c", 3),
+                                             ("x", "a", 1), ("x", "c", 2)]
