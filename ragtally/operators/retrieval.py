@@ -95,10 +95,13 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str =
         if method == "arrow":
             parts.append(_dense_arrow(p, qb, k, metric, on, list(carry)))
             continue
-        j = _pair(p, qb, on)
         s = V.dot("_pv", "_qv")
         if metric == "cosine":
-            s = s / (V.norm("_pv") * V.norm("_qv"))
+            # norms once per point and once per query, not once per pair
+            j = _pair(p.withColumn("_pn", V.norm("_pv")), qb.withColumn("_qn", V.norm("_qv")), on)
+            s = s / (F.col("_pn") * F.col("_qn"))
+        else:
+            j = _pair(p, qb, on)
         parts.append(j.select("query_id", "point_id", s.alias("score"), *on, *carry))
     scored = parts[0]
     for extra in parts[1:]:
