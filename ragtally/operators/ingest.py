@@ -184,3 +184,42 @@ def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out:
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
     n = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(idf.transform(t))
     return n.withColumn(out, vector_to_array("_unit")).drop("_tok", "_tf", "_idf", "_unit")
+
+
+# Patterns of table and image markup.
+TABLE_PATTERN = r"(?is)<table\b[^>]*>(.*?)</table>"
+ROW_PATTERN = r"(?is)<tr\b[^>]*>(.*?)</tr>"
+CELL_PATTERN = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
+CAPTION_PATTERN = r"(?is)<caption\b[^>]*>(.*?)</caption>"
+IMG_PATTERN = r"(?is)<img\b[^>]*>"
+
+
+def _inline_text(c: Column) -> Column:
+    """Tags removed, entities decoded, whitespace collapsed, trimmed."""
+    return F.trim(F.regexp_replace(_decode(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
+
+
+def extract_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """HTML tables -> (id, table_no, caption, markdown, page_content): rows as
+    '| a | b |' lines; content = caption + ' ' + markdown, or the markdown
+    alone without a caption (the table-element rule)."""
+    clean = F.regexp_replace(F.col(html_col), DROP_PATTERN, "")
+    t = pages.select(id_col, F.posexplode(F.regexp_extract_all(clean, F.lit(TABLE_PATTERN), 1)).alias("table_no", "t"))
+    rows = F.regexp_extract_all("t", F.lit(ROW_PATTERN), 1)
+    md = F.array_join(F.transform(rows, lambda r: F.concat(
+        F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(CELL_PATTERN), 1), _inline_text), " | "),
+        F.lit(" |"))), "\n")
+    caption = _inline_text(F.regexp_extract("t", CAPTION_PATTERN, 1))
+    out = t.select(id_col, "table_no", caption.alias("caption"), md.alias("markdown"))
+    return out.withColumn("page_content", F.when(F.col("caption") != "", F.concat_ws(" ", "caption", "markdown"))
+                          .otherwise(F.col("markdown")))
+
+
+def extract_images(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """HTML images -> (id, image_no, img_link, caption): link from src, caption
+    from the alt text; feed to image_elements with model descriptions."""
+    clean = F.regexp_replace(F.col(html_col), DROP_PATTERN, "")
+    i = pages.select(id_col, F.posexplode(F.regexp_extract_all(clean, F.lit(IMG_PATTERN), 0)).alias("image_no", "tag"))
+    return i.select(id_col, "image_no",
+                    F.regexp_extract("tag", r"""(?i)src\s*=\s*["']([^"']*)["']""", 1).alias("img_link"),
+                    _decode(F.regexp_extract("tag", r"""(?i)alt\s*=\s*["']([^"']*)["']""", 1)).alias("caption"))

@@ -307,3 +307,16 @@ def test_sequence_by_sort_null_keys(spark):
     got = sorted(OR.sequence_by_sort(df, ["k"], ["f"], "n").collect(), key=lambda r: (str(r.k), r.f))
     assert [(r.k, r.f, r.n) for r in got] == [(None, "a", 1), (None, "b", 2), (None, "c", 3),
                                              ("x", "a", 1), ("x", "c", 2)]
+
+
+def test_extract_tables_and_images(spark):
+    html = ('<html><body><table><caption>Table 1: doses</caption><tr><th>drug</th><th>mg</th></tr>'
+            '<tr><td><b>A</b></td><td>5 &amp; 6</td></tr></table>'
+            '<table><tr><td>x</td></tr></table><img src="/img/f1.png" alt="Figure 1 &lt;mice&gt;">'
+            '<IMG SRC=\'f2.jpg\'></body></html>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    t = IN.extract_tables(df).orderBy("table_no").collect()
+    assert t[0].page_content == "Table 1: doses | drug | mg |\n| A | 5 & 6 |"
+    assert t[1].caption == "" and t[1].page_content == "| x |"
+    imgs = IN.extract_images(df).orderBy("image_no").collect()
+    assert [(r.img_link, r.caption) for r in imgs] == [("/img/f1.png", "Figure 1 <mice>"), ("f2.jpg", "")]
