@@ -320,3 +320,18 @@ def test_extract_tables_and_images(spark):
     assert t[1].caption == "" and t[1].page_content == "| x |"
     imgs = IN.extract_images(df).orderBy("image_no").collect()
     assert [(r.img_link, r.caption) for r in imgs] == [("/img/f1.png", "Figure 1 <mice>"), ("f2.jpg", "")]
+
+
+def test_unregistered_helpers(spark):
+    from ragtally.operators import scoring as SC
+    from ragtally.plans import run_plan as RP
+
+    gens = spark.createDataFrame([("g1",), ("g2",)], "generator string")
+    plan = RP.exp2_plan(gens, "generator", ["r1", "r2", "r3"], 5)
+    assert plan.count() == 30 and plan.select("iteration").distinct().count() == 5
+    pages = spark.createDataFrame([("Paper7", 3), ("Paper7", 1234)], "stem string, page_no int")
+    links = [r.img_link for r in IN.page_image_links(pages, "stem", "page_no", "pg/").collect()]
+    assert links == ["pg/Paper7_003.png", "pg/Paper7_1234.png"]
+    files = spark.createDataFrame([("eval_m_text_RAG_perm_benchmark_20250101-000000.json",),
+                                   ("eval_m_text_RAG_benchmark_x.json",), ("notes.txt",)], "file_name string")
+    assert [r.file_name for r in SC.reject_run_files(files).collect()] == ["eval_m_text_RAG_benchmark_x.json"]
