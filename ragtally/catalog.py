@@ -157,9 +157,6 @@ def q_format_ci_cell(spark, sf):
 # ---------------------------------------------------------------- 2.9 answers, 2.4 key join
 
 
-EVAL_ROUND_KEYS = ["Model", "Model_ret"]
-
-
 def _perm_text(c) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
