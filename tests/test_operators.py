@@ -335,3 +335,20 @@ def test_unregistered_helpers(spark):
     files = spark.createDataFrame([("eval_m_text_RAG_perm_benchmark_20250101-000000.json",),
                                    ("eval_m_text_RAG_benchmark_x.json",), ("notes.txt",)], "file_name string")
     assert [r.file_name for r in SC.reject_run_files(files).collect()] == ["eval_m_text_RAG_benchmark_x.json"]
+
+
+def test_maxsim_plan_shape(spark):
+    p = spark.createDataFrame([(1, 0, [1.0, 2.0])], "page_key long, patch_no int, embedding array<double>")
+    t = spark.createDataFrame([(9, 0, [3.0, 1.0])], "query_id long, token_no int, embedding array<double>")
+    plan = RT.maxsim_topk(p, t, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "WindowGroupLimit" in plan and "BroadcastExchange" in plan
+
+
+def test_spread_leaves_multi_split_inputs(spark):
+    from ragtally.sources.tables import spread
+    many = spark.range(1000, numPartitions=6)
+    assert spread(many, min_partitions=8) is many            # 6 splits > 4: unchanged, no shuffle
+    one = spark.range(1000, numPartitions=1)
+    assert spread(one, min_partitions=8).rdd.getNumPartitions() == 8
+    enough = spark.range(1000, numPartitions=2)
+    assert spread(enough, min_partitions=2) is enough       # as many splits as cores: unchanged
