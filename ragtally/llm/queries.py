@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, simhash, substring, suffix_dedup
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 400-byte strings in all documents."""
+    return suffix_dedup.reduced(documents(spark, sf_dir))
+
+
 @register
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive quality rules over all documents."""
@@ -34,6 +40,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+@register
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    found = simhash.components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated 35-word windows in all documents."""
+    return substring.reduced(documents(spark, sf_dir))
+
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
