@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash, substring, suffix_dedup
+from . import bpe, html_extract, langid, mixing, quality, simhash, substring, suffix_dedup, topk, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,40 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.reduced(documents(spark, sf_dir))
 
 
+@register
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and back."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
+@register
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+@register
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every row whose vec_id is divisible by 50."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
@@ -121,3 +156,14 @@ p AS (SELECT keyed.*, source_size, target, epochs, target - epochs * source_size
 z AS (SELECT *, least(epochs + (mid <= rest)::BIGINT, 2)::BIGINT AS copies FROM p)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, source FROM z
 """
+
+ORACLE["op10_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
