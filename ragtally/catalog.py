@@ -347,13 +347,13 @@ def _hits_out(df):
 
 @register
 def q_dense_topk(spark, sf):
-    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine", method="sql")
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine")
     return _hits_out(hits)
 
 
 @register
 def q_dense_topk_arrow(spark, sf):
-    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine", method="arrow")
+    hits = RT.dense_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, metric="cosine")
     return _hits_out(hits)
 
 
@@ -419,7 +419,7 @@ def q_maxsim_topk_tenant(spark, sf):
 
 @register
 def q_rescore_topk(spark, sf):
-    return _hits_out(RT.rescore_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS, 2.0))
+    return _hits_out(RT.rescore_topk(_emb_points(spark, sf), _emb_queries(spark, sf), K_HITS))
 
 
 def _page_hits(spark, sf):
@@ -497,10 +497,11 @@ def q_message_parts(spark, sf):
 
 @register
 def q_two_stage_prompt(spark, sf):
-    r = FX.fx_responses(spark, sf).withColumn("point_id", F.col("conv_id") * 10 + F.col("turn"))
-    # the summaries of each question's top-k hits (hits ranked by id here)
-    top = RT.top_k(r.withColumn("score", F.lit(0.0)), K_HITS, "Question_nr", "score", "point_id")
-    p = PR.two_stage_prompt(FX.fx_mcq(spark, sf), top, order="rank", text="raw_response")
+    # stand-in for the model's summaries: one per (question, rank) of the real hits
+    h = _dense_payload_hits(spark, sf).select(
+        F.col("query_id").alias("Question_nr"), "rank",
+        F.concat(F.lit("summary of "), F.col("document_name"), F.lit(" "), F.col("page_content")).alias("summary"))
+    p = PR.two_stage_prompt(FX.fx_mcq(spark, sf), h, order="rank", text="summary")
     return p.select("Question_nr", _render(F.col("message")).alias("message"))
 
 

@@ -26,12 +26,3 @@ def normalize(a) -> Column:
     """Unit-length copy (double); the zero vector stays zero."""
     n = norm(a)
     return F.transform(as_double(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
-
-
-def quantize_int8(a, scale: float = 127.0) -> Column:
-    """Round each component of a unit-range vector to an int8 step (x*127)."""
-    return F.transform(col(a), lambda x: F.round(x.cast("double") * scale).cast("tinyint"))
-
-
-def l1_norm(a) -> Column:
-    return F.aggregate(as_double(a), F.lit(0.0), lambda acc, x: acc + F.abs(x))

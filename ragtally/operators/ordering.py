@@ -8,7 +8,9 @@ data.  The helpers here split keys into blocks and add block offsets:
 * :func:`sequence_by_sort` - any order: a distributed range sort (its
   partitions split a hot key), numbers inside each (sort partition, key),
   and offsets from the count table of earlier sort partitions, which has at
-  most (partitions x keys) rows.
+  most (partitions x keys) rows.  The sorted rows are checkpointed with their
+  partition's number before the two branches read them: sorted twice, the
+  partitions would not have the same bounds.
 """
 
 from __future__ import annotations
@@ -19,17 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._util import col
+from ..session import work_dir
 
 BLOCK = 4096
-# Most rows a side may have to be broadcast after its size check.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a count proves the side small; otherwise the
-    plain DataFrame (shuffle join; AQE may still broadcast from runtime size)."""
-    return F.broadcast(df) if df.count() <= limit else df
-
 
 def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     """Inner join on `cols` where null equals null; keeps one copy of each column."""
@@ -65,37 +59,30 @@ def sequence_number(df: DataFrame, keys: Sequence[str], pos: str, out: str, bloc
     return running_sum(df, keys, pos, F.lit(1), out, block).withColumn(out, F.col(out).cast("int"))
 
 
-def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
-                        materialize: bool = False) -> DataFrame:
+def running_sum_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str) -> DataFrame:
     """Inclusive running sum of `value` in `order` within `keys`, for any
     sortable order (give a unique order): range sort, sums inside each
     (sort partition, key), offsets from earlier sort partitions' totals.
 
-    The sorted input is read by two branches.  materialize=True cuts the
-    lineage there with a reliable checkpoint (written below the shared
-    checkpoint folder), so the input and its sort run once; use it for
-    small inputs such as file lists."""
+    The sorted input is written once, with its partition numbers, as a
+    reliable checkpoint below the shared folder; both branches read that."""
     keys, order = list(keys), list(order)
     s = (df.withColumn("_v", col(value))
          .repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_sp", F.spark_partition_id()))
-    if materialize:
-        from ..session import work_dir
-        work_dir(s.sparkSession)  # sets the checkpoint folder when a local session has none
-        s = s.checkpoint(eager=True)
+    work_dir(s.sparkSession)  # sets the checkpoint folder when a local session has none
+    s = s.checkpoint(eager=True)
     wi = Window.partitionBy("_sp", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_in", F.sum("_v").over(wi))
     totals = s.groupBy(*keys, "_sp").agg(F.sum("_v").alias("_n"))
     wo = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_sp") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    res = _join_null_safe(s, offs, keys + ["_sp"]).withColumn(out, F.col("_off") + F.col("_in"))
-    return res.drop("_sp", "_in", "_off", "_v")
+    res = _join_null_safe(s.withColumn("_in", F.sum("_v").over(wi)), offs, keys + ["_sp"])
+    return res.withColumn(out, F.col("_off") + F.col("_in")).drop("_sp", "_in", "_off", "_v")
 
 
-def sequence_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
-                     materialize: bool = False) -> DataFrame:
+def sequence_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1, 2, ... in `order` within `keys` for any sortable order columns
     (ties broken by the remaining columns of `order`; give a unique order).
     Without keys, the offsets window runs over one row per sort partition."""
-    res = running_sum_by_sort(df, keys, order, F.lit(1), out, materialize)
+    res = running_sum_by_sort(df, keys, order, F.lit(1), out)
     return res.withColumn(out, F.col(out).cast("int"))

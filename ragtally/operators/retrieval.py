@@ -1,61 +1,40 @@
-"""Top-k retrieval: dense cosine / dot scoring, late interaction (MaxSim),
-quantised coarse pass with exact rescoring, and per-query context lists.
-
-Plan shape (exact search, as the reference's brute-force scoring):
-
-* The query side (questions, ~10^2..10^4 rows) is broadcast, but only after
-  counting it: above ``MAX_BROADCAST_QUERIES`` rows it is split into hash
-  batches that are each broadcast, so the broadcast never grows with data.
-  The corpus side is never broadcast, collected or globally sorted.
-* Scoring runs where the corpus partitions are; an owner (tenant) key is an
-  equality join key, so rows of other owners are never scored.
-* ``row_number() <= k`` per query is planned with a map-side
-  ``WindowGroupLimit``: each task forwards at most k rows per query to the
-  shuffle, so the shuffle is tasks x queries x k rows, not corpus x queries.
-* ``method="arrow"`` scores Arrow batches with one NumPy matrix product per
-  batch and keeps a local top-k, then applies the same global top-k.
+"""Top-k retrieval: dense cosine / dot scoring, late interaction (MaxSim)
+and per-query context lists.
+
+Plan shape (exact search, as the reference's brute-force scoring), the same
+for any number of points and queries:
+
+* Both sides are blocked by a shuffle.  Points go to shards of at most about
+  ``SHARD_VALUES`` numbers by a hash of their id; every query goes to each
+  shard of its owner.  Only ids and vectors travel.
+* A shard's points become one matrix; queries stream past it in blocks of
+  ``QUERY_BLOCK``, each scored by one matrix product, and only the best k of a
+  query in a shard leave the task.  Memory is one shard and one block.
+* ``row_number() <= k`` per query, planned with a map-side
+  ``WindowGroupLimit``, merges the shards' answers; payload columns are joined
+  to these k x queries rows afterwards.
+* An owner (tenant) is part of the shard key, so rows of other owners are
+  never scored.
+
+A dense vector is a page with one patch, and a question one with one token:
+dense and late-interaction search share their code.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import vectors as V
-from ..session import ship_package, work_dir
-from .ordering import broadcast_if_small
+from ..session import ship_package
 
-# Most query vectors broadcast at once (768 floats each -> ~12 MB).
-MAX_BROADCAST_QUERIES = 4096
-# Queries scored together inside one Arrow batch (score matrix memory).
-QUERY_BLOCK = 512
-# Most candidate rows broadcast for a join back to the corpus.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def query_batches(queries: DataFrame, query_id: str, limit: int = MAX_BROADCAST_QUERIES) -> list[DataFrame]:
-    """Split the query table into hash batches of about `limit` rows.
-
-    One count job proves the size bound before anything is broadcast.
-    """
-    n = queries.count()
-    if n <= limit:
-        return [queries]
-    nb = math.ceil(2 * n / limit)
-    bucket = F.pmod(F.xxhash64(F.col(query_id)), F.lit(nb))
-    return [queries.where(bucket == b) for b in range(nb)]
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Inner join; broadcast `small` only when a count proves it small,
-    otherwise a shuffle join (sort-merge, AQE may still convert it)."""
-    return big.join(broadcast_if_small(small, limit), on)
+# Numbers of a shard's vectors (32 MiB as doubles).
+SHARD_VALUES = 1 << 22
+# Queries scored together (score matrix memory).
+QUERY_BLOCK = 256
 
 
 def top_k(scored: DataFrame, k: int, query_id: str = "query_id", score: str = "score",
@@ -65,11 +44,99 @@ def top_k(scored: DataFrame, k: int, query_id: str = "query_id", score: str = "s
     return scored.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def _pair(points: DataFrame, queries: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Every (point, query) pair, with the query side broadcast.  The pairs
-    are the job: exact search scores each query against each candidate."""
-    q = F.broadcast(queries)
-    return points.join(q, list(on)) if on else points.join(q, how="inner")
+# --------------------------------------------------------------------------
+# Blocked exact scoring
+
+def _matrices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All vectors of a batch's items, one per row, and the number of vectors of each item."""
+    inner = column.flatten()
+    flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    return flat.reshape(len(inner), -1) if len(inner) else np.zeros((0, 0)), column.value_lengths().to_numpy()
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a zero row stays zero."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def best_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best columns of each row, best first, equal scores by smaller column."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+class _ScoreShards:
+    """Scores the shards of a partition.  Rows come sorted by shard and owner, a shard's points before its queries."""
+
+    def __init__(self, k: int, cosine: bool):
+        self.k, self.cosine = k, cosine
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, shard = None, [], None
+        for b in batches:
+            marks = list(zip(*(b.column(c).to_pylist() for c in ("shard", "owner", "is_query")), strict=True))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if marks[lo][:2] != key:
+                    key, parts, shard = marks[lo][:2], [], None
+                if not marks[lo][2]:
+                    parts.append(part)
+                elif parts:
+                    shard = shard or self._load(parts)
+                    for i in range(0, part.num_rows, QUERY_BLOCK):
+                        yield self._score(shard, part.slice(i, QUERY_BLOCK))
+
+    def _load(self, parts: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(parts).sort_by("point_id").combine_chunks()
+        vectors, sizes = _matrices(t.column("v").combine_chunks())
+        return t.column("point_id"), _unit(vectors) if self.cosine else vectors, np.cumsum(sizes) - sizes
+
+    def _score(self, shard: tuple, queries: pa.RecordBatch) -> pa.RecordBatch:
+        ids, vectors, starts = shard
+        tokens, sizes = _matrices(queries.column("v"))
+        tokens = _unit(tokens) if self.cosine else tokens
+        per_page = np.maximum.reduceat(tokens @ vectors.T, starts, axis=1)
+        scores = np.add.reduceat(per_page, np.cumsum(sizes) - sizes, axis=0)
+        row, column = best_k(scores, self.k)
+        return pa.RecordBatch.from_arrays(
+            [queries.column("query_id").take(pa.array(row)), ids.take(pa.array(column)).combine_chunks(),
+             pa.array(scores[row, column])], names=["query_id", "point_id", "score"])
+
+
+def _blocked_top_k(points: DataFrame, queries: DataFrame, k: int, cosine: bool, on: Sequence[str]) -> DataFrame:
+    """points (point_id, v, *on), queries (query_id, v, *on), v an array of vectors -> query_id, point_id, score
+    of the k best.  Items without vectors are left out."""
+    ship_package(points.sparkSession)
+    some = (F.size("v") > 0) & (F.size(F.col("v")[0]) > 0)
+    points, queries = points.where(some), queries.where(some)
+    values = points.agg(F.sum(F.size("v").cast("long") * F.size(F.col("v")[0]))).first()[0] or 0
+    shards = max(1, -(-values // SHARD_VALUES))
+    owner = F.to_json(F.struct(*on), {"ignoreNullFields": "false"}) if on else F.lit("")
+    known = None
+    for c in on:  # null owners match nobody
+        known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
+    if on:
+        points, queries = points.where(known), queries.where(known)
+    v = F.transform("v", lambda x: F.transform(x, lambda y: y.cast("double"))).alias("v")
+    qid, pid = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
+    rows = points.select(F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int").alias("shard"), owner.alias("owner"),
+                         F.lit(False).alias("is_query"), "point_id", F.lit(None).cast(qid).alias("query_id"), v)
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), owner.alias("owner"),
+                           F.lit(True).alias("is_query"), F.lit(None).cast(pid).alias("point_id"), "query_id", v)
+    scored = (rows.union(asked).repartition(int(shards) if not on else max(int(shards), 8), "shard", "owner")
+              .sortWithinPartitions("shard", "owner", "is_query")
+              .mapInArrow(_ScoreShards(k, cosine),
+                          f"query_id {qid.simpleString()}, point_id {pid.simpleString()}, score double"))
+    return top_k(scored, k)
 
 
 # --------------------------------------------------------------------------
@@ -77,280 +144,73 @@ def _pair(points: DataFrame, queries: DataFrame, on: Sequence[str]) -> DataFrame
 
 def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str = "point_id",
                point_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
-               metric: str = "cosine", on: Sequence[str] = (), carry: Sequence[str] = (),
-               method: str = "arrow") -> DataFrame:
+               metric: str = "cosine", on: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Top-k points per query -> (query_id, rank, point_id, score, *on, *carry).
 
-    metric: "cosine" (dot / (|a| |b|)) or "dot".  `on`: owner columns present
-    on both sides; a query only sees points with the same values (tenant
-    filter before ranking, never after).  method: "arrow" (default: NumPy
-    matrix products per Arrow batch) or "sql" (built-in expressions; the
-    canonical plan, same results).
-    """
-    on = list(on)
-    p = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).alias("_pv"), *on, *carry)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_qv"), *on)
-    parts = []
-    for qb in query_batches(q, "query_id"):
-        if method == "arrow":
-            parts.append(_dense_arrow(p, qb, k, metric, on, list(carry)))
-            continue
-        s = V.dot("_pv", "_qv")
-        if metric == "cosine":
-            # norms once per point and once per query, not once per pair
-            j = _pair(p.withColumn("_pn", V.norm("_pv")), qb.withColumn("_qn", V.norm("_qv")), on)
-            s = s / (F.col("_pn") * F.col("_qn"))
-        else:
-            j = _pair(p, qb, on)
-        parts.append(j.select("query_id", "point_id", s.alias("score"), *on, *carry))
-    scored = parts[0]
-    for extra in parts[1:]:
-        scored = scored.unionByName(extra)
-    return top_k(scored, k).select("query_id", "rank", "point_id", "score", *on, *carry)
-
-
-def _stack(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series])
-
-
-def _local_topk(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Row indices of the k best per column of `scores` (ties by id)."""
-    out = []
-    n = scores.shape[0]
-    for j in range(scores.shape[1]):
-        s = scores[:, j]
-        if n > k:
-            thr = np.partition(s, n - k)[n - k]
-            cand = np.nonzero(s >= thr)[0]
-        else:
-            cand = np.arange(n)
-        order = np.lexsort((ids[cand], -s[cand]))[:k]
-        out.append(cand[order])
-    return out
-
-
-def _dense_arrow(p: DataFrame, q: DataFrame, k: int, metric: str, on: list[str], carry: list[str]) -> DataFrame:
-    """Per Arrow batch: one matrix product against the (bounded) query matrix
-    and a local top-k; the caller applies the global top-k."""
-    ship_package(p.sparkSession)
-    qpdf = q.toPandas()  # bounded by query_batches
-    qmat = _stack(qpdf["_qv"])
-    if metric == "cosine" and len(qmat):
-        qn = np.linalg.norm(qmat, axis=1, keepdims=True)
-        qmat = np.divide(qmat, qn, out=np.zeros_like(qmat), where=qn > 0)
-    qids = qpdf["query_id"].to_numpy()
-    qowner = [tuple(r) for r in qpdf[on].itertuples(index=False)] if on else None
-    fields = [f for f in p.schema.fields if f.name not in ("_pv",)]
-    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType),
-                           T.StructField("score", T.DoubleType())] + fields)
-
-    def score(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pm = _stack(pdf["_pv"])
-            if metric == "cosine":
-                pn = np.linalg.norm(pm, axis=1, keepdims=True)
-                pm = np.divide(pm, pn, out=np.zeros_like(pm), where=pn > 0)
-            ids = pdf["point_id"].to_numpy()
-            groups = [(np.arange(len(qids)), np.arange(len(pdf)))]
-            if on:
-                powner = [tuple(r) for r in pdf[on].itertuples(index=False)]
-                groups = []
-                for owner in set(powner):
-                    qi = np.array([i for i, o in enumerate(qowner) if o == owner], dtype=np.int64)
-                    pi = np.array([i for i, o in enumerate(powner) if o == owner], dtype=np.int64)
-                    if len(qi):
-                        groups.append((qi, pi))
-            out = []
-            for qi_all, pi in groups:
-                # query blocks bound the score matrix to rows x QUERY_BLOCK doubles
-                for b0 in range(0, len(qi_all), QUERY_BLOCK):
-                    qi = qi_all[b0:b0 + QUERY_BLOCK]
-                    s = pm[pi] @ qmat[qi].T
-                    for col_j, rows in enumerate(_local_topk(s, ids[pi], k)):
-                        sel = pdf.iloc[pi[rows]].drop(columns=["_pv"])
-                        sel.insert(0, "score", s[rows, col_j])
-                        sel.insert(0, "query_id", qids[qi[col_j]])
-                        out.append(sel)
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return p.mapInPandas(score, schema)
+    metric: "cosine" (dot / (|a| |b|), 0 for a zero vector) or "dot".  `on`:
+    owner columns present on both sides; a query only sees points with the
+    same values (tenant filter before ranking, never after).  Point ids are
+    unique; `on` and `carry` are joined to the winners."""
+    p = points.select(F.col(point_id).alias("point_id"), F.array(F.col(point_vec)).alias("v"), *on).where(
+        F.col("v")[0].isNotNull())
+    q = queries.select(F.col(query_id).alias("query_id"), F.array(F.col(query_vec)).alias("v"), *on).where(
+        F.col("v")[0].isNotNull())
+    hits = _blocked_top_k(p, q, k, metric == "cosine", list(on))
+    if on or carry:
+        hits = hits.join(points.select(F.col(point_id).alias("point_id"), *on, *carry), "point_id")
+    return hits.select("query_id", "rank", "point_id", "score", *on, *carry)
+
+
+def rescore_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str = "point_id",
+                 point_vec: str = "embedding", query_id: str = "query_id",
+                 query_vec: str = "embedding") -> DataFrame:
+    """Exact top-k by dot product.  The reference's search asks its store to
+    ignore the quantised copy and to score the full vectors; so does this."""
+    return dense_topk(points, queries, k, point_id=point_id, point_vec=point_vec, query_id=query_id,
+                      query_vec=query_vec, metric="dot")
 
 
 # --------------------------------------------------------------------------
 # Late interaction
 
-def maxsim_topk(patches: DataFrame, tokens: DataFrame, k: int, *, page_id: str = "page_key",
+def _packed(df: DataFrame, key: Column, order: Column, vec: Column, on: Sequence[str], out: str) -> DataFrame:
+    """One row per key with its vectors in order (a page's patches or a question's tokens: bounded by the encoder)."""
+    g = df.select(key.alias(out), order.alias("n"), vec.alias("x"), *on).groupBy(out, *on).agg(
+        F.sort_array(F.collect_list(F.struct("n", "x"))).alias("v"))
+    return g.withColumn("v", F.transform("v", lambda s: s["x"]))
+
+
+def maxsim_topk(patches: DataFrame, tokens: DataFrame, k: int, *, page_id: str = "page_key", patch_no: str = "patch_no",
                 patch_vec: str = "embedding", query_id: str = "query_id", token_id: str = "token_no",
                 token_vec: str = "embedding", normalize: bool = False, on: Sequence[str] = ()) -> DataFrame:
     """score(q, page) = sum over q's tokens of max over the page's patches of
     dot(token, patch); top-k pages per query -> (query_id, rank, page_id, score).
 
-    normalize=True scales both sides to unit length first (cosine).  The
-    per-(query, token, page) max is aggregated map-side before the shuffle,
-    so the exchange carries one row per page per task, not one per patch.
-    """
-    on = list(on)
-    pv = V.normalize(patch_vec) if normalize else F.col(patch_vec)
-    tv = V.normalize(token_vec) if normalize else F.col(token_vec)
-    p = patches.select(F.col(page_id).alias("point_id"), pv.alias("_pv"), *on)
-    t = tokens.select(F.col(query_id).alias("query_id"), F.col(token_id).alias("_tok"), tv.alias("_tv"), *on)
-    parts = []
-    for tb in query_batches(t, "query_id"):
-        j = _pair(p, tb, on)
-        per_token = (j.groupBy("query_id", "_tok", "point_id")
-                     .agg(F.max(V.dot("_pv", "_tv")).alias("_m")))
-        parts.append(per_token.groupBy("query_id", "point_id").agg(F.sum("_m").alias("score")))
-    scored = parts[0]
-    for extra in parts[1:]:
-        scored = scored.unionByName(extra)
-    return top_k(scored, k).select("query_id", "rank", F.col("point_id").alias(page_id), "score")
+    normalize=True scales both sides to unit length first (cosine).  Patch
+    rows are packed into pages first; store them packed (`pack_patches`) and
+    use :func:`maxsim_topk_packed` to save that shuffle."""
+    p = _packed(patches, F.col(page_id), F.col(patch_no), F.col(patch_vec), on, "point_id")
+    t = _packed(tokens, F.col(query_id), F.col(token_id), F.col(token_vec), on, "query_id")
+    return _blocked_top_k(p, t, k, normalize, list(on)).select(
+        "query_id", "rank", F.col("point_id").alias(page_id), "score")
 
 
 def pack_patches(patches: DataFrame, page_id: str = "page_key", patch_no: str = "patch_no",
                  vec: str = "embedding", out: str = "patches") -> DataFrame:
     """Exploded patch rows -> one row per page with its patch vectors in
-    patch order (the multi-vector point layout).  A page holds a bounded
-    number of patches (set by the page-image model), so the collected list
-    is bounded by the page, not by the data size."""
-    g = patches.groupBy(page_id).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(patch_no).alias("n"), F.col(vec).alias("v")))).alias("_p"))
-    return g.select(page_id, F.transform("_p", lambda x: x["v"]).alias(out))
+    patch order (the multi-vector point layout)."""
+    return _packed(patches, F.col(page_id), F.col(patch_no), F.col(vec), (), "point_id").select(
+        F.col("point_id").alias(page_id), F.col("v").alias(out))
 
 
 def maxsim_topk_packed(pages: DataFrame, tokens: DataFrame, k: int, *, page_id: str = "page_key",
                        patches: str = "patches", query_id: str = "query_id", token_id: str = "token_no",
                        token_vec: str = "embedding", normalize: bool = False) -> DataFrame:
-    """Late interaction over packed pages: per Arrow batch of pages, one
-    matrix product of all query tokens against the batch's patches, the max
-    over each page's patches, the sum over each query's tokens, and a local
-    top-k; then the global top-k.  No aggregation shuffle: each page is
-    scored where it is stored."""
-    ship_package(pages.sparkSession)
-    t = tokens.select(F.col(query_id).alias("query_id"), F.col(token_id).alias("_tok"),
-                      F.col(token_vec).alias("_tv"))
-    p = pages.select(F.col(page_id).alias("point_id"), F.col(patches).alias("_pp"))
-    parts = []
-    for tb in query_batches(t, "query_id"):
-        tpdf = tb.toPandas()  # bounded: at most MAX_BROADCAST_QUERIES query ids per batch
-        tpdf = tpdf.sort_values(["query_id", "_tok"])
-        tmat = _stack(tpdf["_tv"])
-        if normalize and len(tmat):
-            tn = np.linalg.norm(tmat, axis=1, keepdims=True)
-            tmat = np.divide(tmat, tn, out=np.zeros_like(tmat), where=tn > 0)
-        qids, starts = np.unique(tpdf["query_id"].to_numpy(), return_index=True)
-        schema = T.StructType([T.StructField("query_id", tb.schema["query_id"].dataType),
-                               T.StructField("score", T.DoubleType()),
-                               T.StructField("point_id", p.schema["point_id"].dataType)])
-
-        def score(batches, tmat=tmat, qids=qids, starts=starts):
-            for pdf in batches:
-                if len(pdf) == 0 or len(qids) == 0:
-                    continue
-                mats = [_stack(v) for v in pdf["_pp"]]
-                if normalize:
-                    mats = [np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-                            for m in mats for n in [np.linalg.norm(m, axis=1, keepdims=True)]]
-                sizes = np.array([len(m) for m in mats])
-                allp = np.vstack([m for m in mats if len(m)]) if sizes.sum() else np.zeros((0, tmat.shape[1]))
-                sim = tmat @ allp.T                                  # tokens x all patches
-                offs = np.concatenate([[0], np.cumsum(sizes)])
-                per_page = np.full((len(tmat), len(mats)), np.nan)
-                for j in range(len(mats)):
-                    if sizes[j]:
-                        per_page[:, j] = sim[:, offs[j]:offs[j + 1]].max(axis=1)
-                scores = np.add.reduceat(np.nan_to_num(per_page, nan=0.0), starts, axis=0)  # queries x pages
-                ids = pdf["point_id"].to_numpy()
-                keep = sizes > 0
-                out = []
-                for qi, rows in enumerate(_local_topk(scores[:, keep].T, ids[keep], k)):
-                    sel_ids = ids[keep][rows]
-                    out.append(pd.DataFrame({"query_id": qids[qi], "score": scores[qi, keep][rows],
-                                             "point_id": sel_ids}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-
-        parts.append(p.mapInPandas(score, schema))
-    scored = parts[0]
-    for extra in parts[1:]:
-        scored = scored.unionByName(extra)
-    return top_k(scored, k).select("query_id", "rank", F.col("point_id").alias(page_id), "score")
-
-
-# --------------------------------------------------------------------------
-# Quantised coarse pass + exact rescoring
-
-def _threshold_pairs_arrow(p: DataFrame, q: DataFrame, thresholds: dict) -> DataFrame:
-    """(query_id, point_id) pairs whose dot product reaches the query's
-    threshold: one matrix product per Arrow batch, vectorised comparison."""
-    ship_package(p.sparkSession)
-    qpdf = q.toPandas()  # bounded by query_batches
-    qmat = _stack(qpdf["_qv"])
-    qids = qpdf["query_id"].to_numpy()
-    thr = np.array([thresholds.get(x, np.inf) for x in qids], dtype=np.float64)
-    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType),
-                           T.StructField("point_id", p.schema["point_id"].dataType)])
-
-    def scan(batches):
-        for pdf in batches:
-            if len(pdf) == 0 or len(qids) == 0:
-                continue
-            pm = _stack(pdf["_pv"])
-            ids = pdf["point_id"].to_numpy()
-            for b0 in range(0, len(qids), QUERY_BLOCK):
-                s = pm @ qmat[b0:b0 + QUERY_BLOCK].T
-                r, c = np.nonzero(s >= thr[None, b0:b0 + QUERY_BLOCK])
-                if len(r):
-                    yield pd.DataFrame({"query_id": qids[b0 + c], "point_id": ids[r]})
-
-    return p.mapInPandas(scan, schema)
-
-
-def rescore_topk(points: DataFrame, queries: DataFrame, k: int, oversampling: float = 2.0, *,
-                 point_id: str = "point_id", point_vec: str = "embedding", query_id: str = "query_id",
-                 query_vec: str = "embedding") -> DataFrame:
-    """Exact top-k by dot product, found through an int8 coarse pass.
-
-    Pass 1 scores the int8-rounded corpus (x*127 rounded) and keeps the
-    ceil(oversampling*k) best per query; c_k is the k-th best coarse score.
-    Rounding moves a dot product by at most eps = |q|_1 * 0.5 / 127
-    (components in [-1, 1]), so every exact top-k point has a coarse score
-    >= c_k - 2 eps; pass 2 adds all such points.  Pass 3 rescores the
-    candidates with the full vectors.  The result equals the exact top-k.
-    Both coarse passes are NumPy matrix products over Arrow batches.
-    """
-    step = 0.5 / 127.0
-    p8 = points.select(F.col(point_id).alias("point_id"),
-                       F.transform(V.quantize_int8(point_vec), lambda x: x.cast("double") / 127.0).alias("_pv"))
-    q = queries.select(F.col(query_id).alias("query_id"), V.as_double(query_vec).alias("_qv"))
-    n_keep = max(k, math.ceil(oversampling * k))
-    out = []
-    for qb in query_batches(q, "query_id"):
-        keep = top_k(_dense_arrow(p8, qb, n_keep, "dot", [], []), n_keep)
-        cutoff = keep.where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("_ck"))
-        eps = qb.select("query_id", (V.l1_norm("_qv") * F.lit(step)).alias("_eps"))
-        # one threshold per query of the batch (bounded like the batch itself)
-        thr = {r["query_id"]: r["_ck"] - 2 * r["_eps"]
-               for r in cutoff.join(eps, "query_id").collect()}
-        margin = _threshold_pairs_arrow(p8, qb, thr)
-        cand = keep.select("query_id", "point_id").union(margin).distinct()
-        # materialise the (small) candidate list once: its size check and the
-        # join back then read it instead of re-running the coarse passes
-        work_dir(cand.sparkSession)
-        cand = cand.checkpoint(eager=True)
-        full = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).alias("_pv"))
-        exact = (join_bounded(full, cand, "point_id")
-                 .join(F.broadcast(qb.select("query_id", "_qv")), "query_id")
-                 .select("query_id", "point_id", V.dot("_pv", "_qv").alias("score")))
-        out.append(exact)
-    scored = out[0]
-    for extra in out[1:]:
-        scored = scored.unionByName(extra)
-    return top_k(scored, k).select("query_id", "rank", "point_id", "score")
+    """Late interaction over packed pages."""
+    p = pages.select(F.col(page_id).alias("point_id"), F.col(patches).alias("v"))
+    t = _packed(tokens, F.col(query_id), F.col(token_id), F.col(token_vec), (), "query_id")
+    return _blocked_top_k(p, t, k, normalize, []).select(
+        "query_id", "rank", F.col("point_id").alias(page_id), "score")
 
 
 # --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from .ordering import broadcast_if_small, sequence_by_sort
+from .ordering import sequence_by_sort
 
 
 def score_responses(responses: DataFrame, response_col: str = "raw_response",
@@ -27,11 +27,11 @@ def join_answer_key(runs: DataFrame, key: DataFrame, answer_col: str = "answer",
     """Left join runs to the answer key on Question_nr; Cor_answer = 1 when the
     answer equals the key, else 0 (also when unmatched or null).
 
-    The key has one row per question; it is broadcast (the run table is not
-    shuffled) after a count proves it small, else joined by shuffle.
+    The key has one row per question.  Whether it is broadcast is left to the
+    session's byte threshold (static or adaptive statistics).
     """
     k = key.select("Question_nr", *key_cols)
-    out = runs.join(broadcast_if_small(k), "Question_nr", "left")
+    out = runs.join(k, "Question_nr", "left")
     return out.withColumn(
         "Cor_answer", F.coalesce((F.col(answer_col) == F.col("Correct")).cast("int"), F.lit(0)))
 

@@ -47,9 +47,11 @@ SELECT vec_id, embedding, label,
   CASE WHEN vec_id % 4 >= 2 THEN concat('/vd/images/p', CAST(vec_id AS VARCHAR), '.png') ELSE '' END AS img_link
 FROM embeddings""",
     "fx_patches": r"""
-SELECT CAST(floor(vec_id / 10) AS BIGINT) AS page_key, vec_id % 10 AS patch_no, embedding FROM embeddings WHERE vec_id >= 40""",
+SELECT CAST(floor(vec_id / 10) AS BIGINT) AS page_key, vec_id % 10 AS patch_no, embedding FROM embeddings""",
     "fx_qtokens": r"""
-SELECT CAST(floor(vec_id / 4) AS BIGINT) AS query_id, vec_id % 4 AS token_no, embedding FROM embeddings WHERE vec_id < 40""",
+SELECT item_id AS query_id, t AS token_no, embedding
+FROM (SELECT item_id, unnest(range(4)) AS t FROM benchmark) b
+JOIN embeddings e ON e.vec_id = (item_id * 4 + t) % (SELECT count(*) FROM embeddings)""",
     "fx_mcq": r"""
 SELECT item_id AS Question_nr, text AS question,
   concat('opt', CAST(item_id * 4 + 1 AS VARCHAR)) AS A, concat('opt', CAST(item_id * 4 + 2 AS VARCHAR)) AS B,
@@ -58,7 +60,7 @@ SELECT item_id AS Question_nr, text AS question,
   CASE item_id % 3 WHEN 0 THEN 'Easy' WHEN 1 THEN 'Medium' ELSE 'Hard' END AS Difficulty
 FROM benchmark""",
     "fx_responses": r"""
-SELECT conv_id, turn, conv_id % 40 AS Question_nr,
+SELECT conv_id, turn, conv_id % (SELECT count(*) FROM benchmark) AS Question_nr,
   CASE conv_id % 9 WHEN 0 THEN 'A' WHEN 1 THEN 'B.' WHEN 2 THEN 'Answer: C.' WHEN 3 THEN concat('{"answer":"', substr('ABCD', CAST(turn % 4 + 1 AS INT), 1), '"}')
     WHEN 4 THEN NULL WHEN 5 THEN 'b' WHEN 6 THEN 'The answer is D' WHEN 7 THEN substr('ABCD', CAST(turn % 4 + 1 AS INT), 1) ELSE text END AS raw_response
 FROM conversations WHERE role = 'assistant'""",
@@ -652,11 +654,10 @@ FROM eq e LEFT JOIN (
 register("two_stage_prompt", with_fx(f"""
 SELECT m.Question_nr, concat('text:', m.question, {q(TX.CONTEXT_LEAD)}, s.joined) AS message
 FROM fx_mcq m JOIN (
-  SELECT Question_nr, string_agg(coalesce(raw_response, ''), chr(10) ORDER BY pid) AS joined
-  FROM (SELECT *, conv_id * 10 + turn AS pid,
-               row_number() OVER (PARTITION BY Question_nr ORDER BY conv_id * 10 + turn) AS rk
-        FROM fx_responses) r WHERE rk <= 5 GROUP BY Question_nr) s USING (Question_nr)""",
-                                     "fx_mcq", "fx_responses"))
+  SELECT query_id AS Question_nr,
+         string_agg(concat('summary of ', document_name, ' ', page_content), chr(10) ORDER BY "rank") AS joined
+  FROM dh GROUP BY query_id) s USING (Question_nr)""",
+                                     "fx_mcq", "fx_points", PAYLOAD_POINTS, DENSE_HITS))
 
 
 # ------------------------------------------------------------------ 2.9 text functions

@@ -19,7 +19,6 @@ from .tables import read_table
 MODELS = ["gen_a", "gen_b", "gen_c"]
 RETRIEVERS = ["ret_a", "ret_b", "ret_c"]
 DIFFICULTIES = ["Easy", "Medium", "Hard"]
-RETRIEVAL_MODES = ["no_RAG", "text_RAG", "mm_RAG", "colpali"]
 PRICES = {"gen_a": 10.0, "gen_b": 2.0, "gen_c": 0.4}
 
 
@@ -66,19 +65,19 @@ def fx_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page patches for late interaction (page_key, patch_no, embedding)."""
-    return (read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-            .where("vec_id >= 40")
-            .selectExpr("CAST(floor(vec_id / 10) AS BIGINT) AS page_key",
-                        "vec_id % 10 AS patch_no", "embedding"))
+    """Page patches for late interaction (page_key, patch_no, embedding): every embedding is a patch."""
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding").selectExpr(
+        "CAST(floor(vec_id / 10) AS BIGINT) AS page_key", "vec_id % 10 AS patch_no", "embedding")
 
 
 def fx_qtokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query token vectors (query_id, token_no, embedding)."""
-    return (read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-            .where("vec_id < 40")
-            .selectExpr("CAST(floor(vec_id / 4) AS BIGINT) AS query_id",
-                        "vec_id % 4 AS token_no", "embedding"))
+    """Query token vectors (query_id, token_no, embedding): four for every question, the embeddings dealt in turn."""
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    n = e.count()
+    q = read_table(spark, sf_dir, "benchmark", "item_id").select(
+        F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("token_no"))
+    return q.join(e, e["vec_id"] == (q["query_id"] * 4 + q["token_no"]) % n).select(
+        "query_id", F.col("token_no").cast("long").alias("token_no"), "embedding")
 
 
 def fx_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +94,12 @@ def fx_mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model responses (conv_id, turn, Question_nr, raw_response)."""
+    """Raw model responses (conv_id, turn, Question_nr, raw_response), dealt over all questions."""
+    n = read_table(spark, sf_dir, "benchmark", "item_id").count()
     return (read_table(spark, sf_dir, "conversations")
             .where("role = 'assistant'")
             .selectExpr(
-                "conv_id", "turn", "conv_id % 40 AS Question_nr",
+                "conv_id", "turn", f"conv_id % {n} AS Question_nr",
                 "CASE conv_id % 9 WHEN 0 THEN 'A' WHEN 1 THEN 'B.' WHEN 2 THEN 'Answer: C.' "
                 "WHEN 3 THEN concat('{\"answer\":\"', substr('ABCD', CAST(turn % 4 + 1 AS INT), 1), '\"}') "
                 "WHEN 4 THEN NULL WHEN 5 THEN 'b' WHEN 6 THEN 'The answer is D' "

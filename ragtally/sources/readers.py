@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import answers as A
-from ..operators.ordering import broadcast_if_small, sequence_by_sort
+from ..operators.ordering import sequence_by_sort
 
 # Question sheet (fixed schema, no inference).
 QUESTION_SCHEMA = T.StructType([
@@ -139,5 +139,5 @@ def merge_runs(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
         F.min_by(F.struct(*[F.col(c) for c in pair]), F.col("_scan")).alias("_first"))
     files = first.select("file_path", *[F.col(f"_first.{c}").alias(f"_pair_{c}") for c in pair])
     numbered = sequence_by_sort(files, [f"_pair_{c}" for c in pair], ["file_path"], out_col)
-    return (rows.join(broadcast_if_small(numbered.select("file_path", out_col)), "file_path")
+    return (rows.join(numbered.select("file_path", out_col), "file_path")
             .drop("_scan"))

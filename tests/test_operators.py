@@ -28,45 +28,49 @@ def _vectors(spark, n, d, seed):
     return spark.createDataFrame(rows, "id long, v array<double>")
 
 
-def test_dense_topk_properties_and_fast_path(spark):
-    pts = _vectors(spark, 300, 16, 1).withColumnRenamed("id", "point_id").withColumnRenamed("v", "embedding")
-    qs = _vectors(spark, 7, 16, 2).withColumnRenamed("id", "query_id").withColumnRenamed("v", "embedding")
-    sql = RT.dense_topk(pts, qs, 5).collect()
-    arrow = RT.dense_topk(pts, qs, 5, method="arrow").collect()
-    key = lambda r: (r.query_id, r.rank)
-    a, b = sorted(sql, key=key), sorted(arrow, key=key)
-    assert [(r.query_id, r.rank, r.point_id) for r in a] == [(r.query_id, r.rank, r.point_id) for r in b]
-    assert all(abs(x.score - y.score) < 1e-9 for x, y in zip(a, b))
-    by_q = {}
-    for r in a:
-        by_q.setdefault(r.query_id, []).append(r)
-    for rows in by_q.values():
-        assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 5
-        assert all(rows[i].score >= rows[i + 1].score for i in range(len(rows) - 1))
-
-
-def test_topk_plan_limits_before_shuffle(spark):
+def _brute_topk(points, queries, k, cosine):
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    out = []
+    for qid, q in queries:
+        scores = [(-sum(a * b for a, b in zip(q, v)) / ((norm(q) * norm(v)) if cosine else 1.0), i) for i, v in points]
+        out += [(qid, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], start=1)]
+    return out
+
+
+@pytest.mark.parametrize("values", [None, 64])  # one shard, many shards
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_dense_topk_brute_force(spark, monkeypatch, metric, values):
+    if values:
+        monkeypatch.setattr(RT, "SHARD_VALUES", values)
+    rnd = random.Random(1)
+    # components far outside [-1, 1], 768 of them, and ties
+    pts = [(i, [rnd.uniform(-50, 50) for _ in range(768)]) for i in range(60)] + [(100 + i, [0.0] * 768) for i in range(3)]
+    qs = [(i, [rnd.uniform(-9, 9) for _ in range(768)]) for i in range(5)]
+    p = spark.createDataFrame(pts, "point_id long, embedding array<double>")
+    q = spark.createDataFrame(qs, "query_id long, embedding array<double>")
+    for fn in (RT.dense_topk, RT.rescore_topk) if metric == "dot" else (RT.dense_topk,):
+        got = sorted(fn(p, q, 5, **({"metric": metric} if fn is RT.dense_topk else {})).collect())
+        want = _brute_topk(pts, qs, 5, metric == "cosine")
+        assert [(r.query_id, r.rank, r.point_id) for r in got] == [w[:3] for w in want]
+        assert all(abs(r.score - w[3]) < 1e-6 for r, w in zip(got, want))
+
+
+def test_dense_topk_owner_payload_and_nulls(spark):
+    p = spark.createDataFrame([(1, [1.0, 0.0], "a", "x"), (2, [0.9, 0.1], "b", "y"), (3, None, "a", "z"),
+                               (4, [0.5, 0.5], "a", "w"), (5, [1.0, 0.0], None, "n")],
+                              "point_id long, embedding array<double>, owner string, payload string")
+    q = spark.createDataFrame([(7, [1.0, 0.0], "a"), (8, [1.0, 0.0], None), (9, None, "a")],
+                              "query_id long, embedding array<double>, owner string")
+    got = sorted((r.query_id, r.rank, r.point_id, r.owner, r.payload)
+                 for r in RT.dense_topk(p, q, 5, on=["owner"], carry=["payload"]).collect())
+    assert got == [(7, 1, 1, "a", "x"), (7, 2, 4, "a", "w")]
+
+
+def test_topk_plan_shape(spark):
     pts = _vectors(spark, 50, 4, 3).withColumnRenamed("id", "point_id").withColumnRenamed("v", "embedding")
     qs = _vectors(spark, 3, 4, 4).withColumnRenamed("id", "query_id").withColumnRenamed("v", "embedding")
-    plan = RT.dense_topk(pts, qs, 5, method="sql")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
-    fast = RT.dense_topk(pts, qs, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in fast and "MapInPandas" in fast and "NestedLoop" not in fast
-
-
-def test_rescore_is_exact(spark):
-    # unit vectors in [-1, 1]; near-ties are where a plain coarse cut would fail
-    rnd = random.Random(5)
-    rows = []
-    for i in range(400):
-        v = [rnd.gauss(0, 1) for _ in range(12)]
-        n = math.sqrt(sum(x * x for x in v))
-        rows.append((i, [x / n for x in v]))
-    pts = spark.createDataFrame(rows, "point_id long, embedding array<double>")
-    qs = pts.where("point_id < 6").withColumnRenamed("point_id", "query_id")
-    exact = RT.dense_topk(pts, qs, 5, metric="dot").select("query_id", "rank", "point_id").collect()
-    resc = RT.rescore_topk(pts, qs, 5, 1.0).select("query_id", "rank", "point_id").collect()
-    assert sorted(exact) == sorted(resc)
+    plan = RT.dense_topk(pts, qs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "NestedLoop" not in plan
 
 
 def test_maxsim_single_token_single_patch_is_dot(spark):
@@ -109,6 +113,32 @@ def test_shuffle_keeps_multiset(spark):
     assert [r.Question_nr for r in s] != list(range(100))
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_range_sort_numbers_keep_every_row_with_a_wide_payload(spark, coalesce):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        n = 400_000
+        df = spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+            F.md5(F.col("id").cast("string")).alias("f"), F.repeat(F.col("id").cast("string"), 20).alias("payload"), "id")
+        w = Window.partitionBy("k").orderBy("f")
+        want = df.withColumn("n", F.row_number().over(w))
+        check = lambda x, c: x.agg(F.count("*"), F.sum(F.xxhash64("k", "f", "payload", "id", c).cast("decimal(38,0)"))).first()
+        assert check(OR.sequence_by_sort(df, ["k"], ["f"], "n"), "n") == check(want, "n")
+        batches = CO.batch_rows(df, 1000, ["k"], "f")
+        assert check(batches, "batch") == check(
+            want.withColumn("batch", F.floor((F.col("n") - 1) / 1000).cast("int")), "batch")
+        items = spark.range(n).select(F.lit("m").alias("model"), F.lit("a").alias("cond_1"), F.lit("b").alias("cond_2"),
+                                      F.col("id").alias("item"), (F.rand(3) * 2 - 0.9).alias("x"), F.lit(0.0).alias("y"))
+        items = items.checkpoint()
+        got = RK.wilcoxon_test(items, "model", "item").first()
+        ranks = items.withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy(F.abs("x"))))
+        assert got.statistic == ranks.where("x > 0").agg(F.sum("r")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_sequence_by_sort_matches_row_number_with_hot_key(spark):
     rnd = random.Random(11)
     rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 5)}", f"f{i:05d}") for i in range(3000)]
@@ -335,20 +365,3 @@ def test_unregistered_helpers(spark):
     files = spark.createDataFrame([("eval_m_text_RAG_perm_benchmark_20250101-000000.json",),
                                    ("eval_m_text_RAG_benchmark_x.json",), ("notes.txt",)], "file_name string")
     assert [r.file_name for r in SC.reject_run_files(files).collect()] == ["eval_m_text_RAG_benchmark_x.json"]
-
-
-def test_maxsim_plan_shape(spark):
-    p = spark.createDataFrame([(1, 0, [1.0, 2.0])], "page_key long, patch_no int, embedding array<double>")
-    t = spark.createDataFrame([(9, 0, [3.0, 1.0])], "query_id long, token_no int, embedding array<double>")
-    plan = RT.maxsim_topk(p, t, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "WindowGroupLimit" in plan and "BroadcastExchange" in plan
-
-
-def test_spread_leaves_multi_split_inputs(spark):
-    from ragtally.sources.tables import spread
-    many = spark.range(1000, numPartitions=6)
-    assert spread(many, min_partitions=8) is many            # 6 splits > 4: unchanged, no shuffle
-    one = spark.range(1000, numPartitions=1)
-    assert spread(one, min_partitions=8).rdd.getNumPartitions() == 8
-    enough = spark.range(1000, numPartitions=2)
-    assert spread(enough, min_partitions=2) is enough       # as many splits as cores: unchanged
