@@ -20,6 +20,7 @@ from .functions import stats as S
 from .functions import text as TX
 from .operators import collections as CO
 from .operators import ingest as IN
+from .operators import ordering as OR
 from .operators import prompts as PR
 from .operators import ranktests as RK
 from .operators import retrieval as RT
@@ -176,16 +177,25 @@ def q_parse_answer(spark, sf):
     return r.select("conv_id", "turn", A.parse_answer("raw_response").alias("filt_resp"))
 
 
+def _stored_requests(spark, sf):
+    """Responses with the option order of their request: written with the requests, read back to score."""
+    path = scratch_path(spark, "request-orders")
+    keys = FX.fx_responses(spark, sf).select("conv_id", "turn", "Question_nr")
+    SC.request_orders(keys, run_col="conv_id").write.parquet(path)
+    orders = spark.read.parquet(path).select("conv_id", "turn", "quest_order")
+    return FX.fx_responses(spark, sf).join(orders, ["conv_id", "turn"])
+
+
 @register
 def q_unpermute_answer(spark, sf):
-    r = SC.score_responses(FX.fx_responses(spark, sf))
+    r = SC.score_responses(_stored_requests(spark, sf))
     return r.select("conv_id", "turn", _perm_text(F.col("quest_order")).alias("quest_order"),
                     "filt_resp", "answer")
 
 
 @register
 def q_join_answer_key(spark, sf):
-    r = SC.score_responses(FX.fx_responses(spark, sf))
+    r = SC.score_responses(_stored_requests(spark, sf))
     out = SC.join_answer_key(r, FX.fx_mcq(spark, sf))
     return out.select("conv_id", "turn", "Question_nr", "answer", "Correct", "Difficulty", "Cor_answer")
 
@@ -215,8 +225,9 @@ def q_filter_categories(spark, sf):
 @register
 def q_sort_full_report(spark, sf):
     ev = SC.sort_full_report(FX.fx_eval(spark, sf), "Model", "Model_ret", FX.RETRIEVERS, "Iteration")
-    return ev.select("event_id", "Model", "Model_ret", F.col("category_ordinal").cast("int").alias("category_ordinal"),
-                     "Iteration", "Question_nr")
+    ev = ev.select("event_id", "Model", "Model_ret", F.col("category_ordinal").cast("int").alias("category_ordinal"),
+                   "Iteration", "Question_nr").withColumn("_last", F.coalesce("category_ordinal", F.lit(1 << 30)))
+    return OR.sequence_by_sort(ev, [], ["Model", "_last", "Iteration", "Question_nr", "event_id"], "row_number").drop("_last")
 
 
 @register
@@ -658,19 +669,12 @@ def q_filter_models(spark, sf):
 # ---------------------------------------------------------------- 2.1 sources and sinks
 
 
-@register
-def q_scan_corpus(spark, sf):
-    c = RD.scan_corpus(spark, sf, ".PARQUET")
-    return c.select("name", (F.col("length") > 0).cast("int").alias("non_empty"))
-
-
 @register
 def q_align_links(spark, sf):
     pages = read_table(spark, sf, "pages", "page_id", "url")
     files = pages.select(F.format_string("page_%05d.pdf", F.col("page_id")).alias("name"))
     links_path = scratch_path(spark, "links")
-    # one line file of links in file-name order (a single small file, as a DOI list is)
-    pages.orderBy("page_id").select("url").coalesce(1).write.text(links_path)
+    pages.orderBy("page_id").select("url").write.text(links_path)  # links in file-name order
     return RD.align_links(spark, files, links_path)
 
 
@@ -691,7 +695,8 @@ def q_scan_questions(spark, sf):
 
 @register
 def q_shuffle_questions(spark, sf):
-    return RD.shuffle_questions(FX.fx_mcq(spark, sf)).select("Question_nr", "shuffle_key")
+    q = RD.shuffle_questions(FX.fx_mcq(spark, sf)).select("Question_nr", "shuffle_key")
+    return OR.sequence_by_sort(q, [], ["shuffle_key", "Question_nr"], "row_number")
 
 
 @register
@@ -966,12 +971,11 @@ def q_stream_run_accuracy(spark, sf):
     root = scratch_path(spark, "stream_acc")
     ev = FX.fx_eval(spark, sf).select("event_id", "Model", "Model_ret", "Iteration", "Cor_answer")
     src = f"{root}/src"
-    for it in range(1, 6):  # one drop per iteration, as run files arrive
-        ev.where(F.col("Iteration") == it).write.mode("append").parquet(src)
+    ev.repartition(5).write.parquet(src)  # several run files, taken in several micro-batches
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("Model", T.StringType()),
                            T.StructField("Model_ret", T.StringType()), T.StructField("Iteration", T.IntegerType()),
                            T.StructField("Cor_answer", T.IntegerType())])
-    out = ST.stream_run_accuracy(spark, src, schema, f"{root}/out", max_files_per_trigger=4)
+    out = ST.stream_run_accuracy(spark, src, schema, f"{root}/out", max_files_per_trigger=2)
     return round_doubles(out.select("Model", "Model_ret", "accuracy", "n_rows"))
 
 

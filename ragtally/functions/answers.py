@@ -19,13 +19,16 @@ RUN_NAME_PATTERN = r"^eval_([^_]+)_(.+?)_(no_perm|perm)_benchmark_([0-9]{8}-[0-9
 PERM_SUFFIX = "_perm_q"
 
 
-def permutation(question_nr, seed: int = 42, enabled=True) -> Column:
+def permutation(question_nr, seed: int = 42, enabled=True, run=None) -> Column:
     """Order of option indices 0..3 for a question: indices sorted by
-    md5('{seed}:{question}:{i}').  Deterministic, so reruns and retried
-    tasks give the same order.  enabled=False gives the identity."""
+    md5('{seed}:{question}:{i}'), or by md5('{seed}:{run}:{question}:{i}')
+    with a run, so repeats of a question differ.  Deterministic, so reruns
+    and retried tasks give the same order.  enabled=False gives the identity."""
     if enabled is False:
         return F.array(*[F.lit(i) for i in range(4)])
     q = col(question_nr).cast("string")
+    if run is not None:
+        q = F.concat(col(run).cast("string"), F.lit(":"), q)
     keyed = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
         F.md5(F.concat(F.lit(f"{seed}:"), q, F.lit(":"), i.cast("string"))).alias("h"), i.alias("i")))
     perm = F.transform(F.array_sort(keyed), lambda s: s["i"])

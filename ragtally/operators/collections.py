@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from ..session import table_exists
 from .ordering import sequence_by_sort
 
-# Above this many distinct document names the inventory join is done by
-# q-gram blocking instead of broadcasting the name list.
-MAX_BROADCAST_NAMES = 100_000
+# Characters of the grams that the inventory join blocks on.
 QGRAM = 6
 
 
@@ -98,29 +96,46 @@ def distinct_documents(points: DataFrame, name_col: str = "document_name",
 
 
 def collection_inventory(points: DataFrame, files: DataFrame, path_col: str = "path",
-                         name_col: str = "document_name", link_col: str = "document_link") -> DataFrame:
-    """Documents of a collection matched to corpus files whose path contains
-    the document name (substring test), one row per (document, file) match.
-
-    The substring join is exact without a nested loop over all pairs: names
-    of at least QGRAM characters join on their first q-gram against every
-    q-gram of the path (an equi-join), then the full containment is tested.
-    Shorter names (rare) use a broadcast nested loop over their bounded list.
-    """
+                         name_col: str = "document_name", link_col: str = "document_link",
+                         owner: str | None = None, owner_col: str = "username") -> DataFrame:
+    """Documents of a collection (of one owner, if given) matched to corpus
+    files whose path contains the document name (substring test), one row per
+    (document, file) match.
+
+    Exact for any number and length of names, without a loop over pairs: a
+    name joins on the one of its grams (QGRAM characters, or the whole of a
+    shorter name) that the fewest paths have, then containment is tested.  A
+    gram that no path has rules its name out.  Names that share a beginning
+    still differ in their rarest gram, so no key gathers them."""
+    if owner is not None:
+        points = points.where(F.col(owner_col) == owner)
     docs = distinct_documents(points, name_col, link_col)
-    long_names = docs.where(F.length(name_col) >= QGRAM).withColumn("_g", F.substring(name_col, 1, QGRAM))
-    paths = files.select(path_col).distinct()
-    grams = paths.select(path_col, F.explode(F.sequence(F.lit(1), F.greatest(
-        F.lit(1), F.length(path_col) - QGRAM + 1))).alias("_i"))
-    grams = grams.select(path_col, F.substring(F.col(path_col), F.col("_i"), F.lit(QGRAM)).alias("_g")).distinct()
-    by_gram = (long_names.join(grams, "_g").where(F.instr(F.col(path_col), F.col(name_col)) > 0)
-               .select(name_col, link_col, path_col))
-    short_names = docs.where(F.length(name_col) < QGRAM)
-    if short_names.count() > MAX_BROADCAST_NAMES:
-        raise ValueError("too many short document names for a bounded broadcast")
-    by_loop = (paths.join(F.broadcast(short_names), F.instr(F.col(path_col), F.col(name_col)) > 0)
-               .select(name_col, link_col, path_col))
-    return by_gram.unionByName(by_loop).distinct().orderBy(name_col, path_col)
+    size = F.least(F.length(name_col), F.lit(QGRAM))
+
+    def grams(text: str, n: Column) -> Column:
+        """Distinct substrings of n characters (none in a shorter text)."""
+        at = F.sequence(F.lit(1), F.length(text) - n + 1)
+        cut = F.transform(at, lambda i: F.substring(F.col(text), i, n))
+        return F.explode(F.array_distinct(F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))))
+
+    # lengths of the names' grams: at most QGRAM values
+    sizes = sorted(r[0] for r in docs.select(size.alias("n")).distinct().collect())
+    paths = files.select(path_col).where(F.col(path_col).isNotNull()).distinct()
+    if not sizes:
+        return docs.withColumn(path_col, F.lit(None).cast("string")).where(F.lit(False))
+    of_paths = None
+    for n in sizes:
+        g = paths.select(path_col, grams(path_col, F.lit(n)).alias("_g"))
+        of_paths = g if of_paths is None else of_paths.unionByName(g)
+    counts = of_paths.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    of_names = docs.select(name_col, link_col, F.size(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(name_col) - size + 1), lambda i: F.substring(F.col(name_col), i, size)))).alias("_all"),
+        grams(name_col, size).alias("_g"))
+    rarest = of_names.join(counts, "_g").groupBy(name_col, link_col, "_all").agg(
+        F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count(F.lit(1)).alias("_found"))
+    rarest = rarest.where("_found = _all").select(name_col, link_col, "_g")
+    return (rarest.join(of_paths, "_g").where(F.instr(F.col(path_col), F.col(name_col)) > 0)
+            .select(name_col, link_col, path_col).distinct().orderBy(name_col, path_col))
 
 
 def tenant_copy(points: DataFrame, username: str, prefix: str, user_col: str = "username",

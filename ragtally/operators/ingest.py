@@ -20,65 +20,95 @@ from ..functions._util import col
 from .ordering import BLOCK, running_sum, sequence_number
 
 
-# Tags extracted from HTML, in reading order, and the inline
-# tags that may occur inside them.
-BLOCK_TAGS = ("title", "h1", "h2", "h3", "p", "li")
-INLINE_TAGS = ("a", "b", "i", "em", "strong", "span", "br", "u", "code", "sup", "sub", "small")
-# Text is matched in runs ([^<]+) so Java's regex recursion depth follows the
-# number of inline tags, not the paragraph length.
-ELEMENT_PATTERN = (r"(?i)<(" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?>((?:[^<]+|</?(?:"
-                   + "|".join(INLINE_TAGS) + r")\b[^>]*>)*)")
-DROP_PATTERN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-# HTML entities decoded in element text (&amp; last).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
+# Tags that begin or end a block, the kinds of those that hold
+# an element of their own (text in any other block is "text"), and the parts
+# of a page that hold no text.  All other tags are inline.
+KIND = {"title": "title", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading",
+        "h6": "heading", "p": "text", "li": "list_item", "td": "table_cell", "th": "table_cell"}
+BLOCK_TAGS = (*KIND, "html", "head", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside",
+              "ul", "ol", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "blockquote", "pre",
+              "figure", "figcaption", "address", "form", "fieldset", "hr")
+BLOCK_PATTERN = r"(?i)<(/?(?:" + "|".join(BLOCK_TAGS) + r"))(?:\s[^>]*)?/?>"
+DROP_PATTERN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<!doctype[^>]*>"
+# Named HTML entities decoded in element text (&amp; last).
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-KIND = {"title": "title", "h1": "heading", "h2": "heading", "h3": "heading", "p": "text", "li": "list_item"}
+NUMERIC_ENTITY = r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
 # --------------------------------------------------------------------------
 # Elements
 
+def _numeric(part: Column) -> Column:
+    """'8364;rest' or 'x20AC;rest' -> the character and the rest; anything else gets its '&#' back."""
+    digits = F.regexp_extract(part, NUMERIC_ENTITY, 1)
+    code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(
+        digits).cast("bigint")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(digits == "", F.concat(F.lit("&#"), part)).otherwise(
+        F.concat(char, F.regexp_replace(part, NUMERIC_ENTITY, "")))
+
+
 def _decode(c: Column) -> Column:
+    parts = F.split(c, "&#")
+    c = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _numeric), ""))
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
 
 
 def extract_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """HTML -> (id, pos, tag, kind, text) in reading order: title, headings,
-    paragraphs and list items; scripts, styles and comments removed first;
-    inline tags stripped, entities decoded, whitespace collapsed; empty
-    elements dropped."""
+    """HTML -> (id, pos, tag, kind, text) in reading order: the text between
+    two block tags is one element, of the block that the tag before it opens
+    (after an end tag: tag 'text').  Scripts, styles and comments are removed
+    first; a line break is a space, all other tags are inline and stripped; entities (named and
+    numeric) are decoded, whitespace collapsed, empty elements dropped."""
     clean = F.regexp_replace(F.col(html_col), DROP_PATTERN, "")
-    tags = F.regexp_extract_all(clean, F.lit(ELEMENT_PATTERN), 1)
-    inner = F.regexp_extract_all(clean, F.lit(ELEMENT_PATTERN), 2)
-    ex = pages.select(id_col, F.posexplode(F.arrays_zip(tags.alias("tag"), inner.alias("inner"))).alias("pos", "e"))
-    text = F.trim(F.regexp_replace(_decode(F.regexp_replace("e.inner", r"<[^>]*>", " ")), r"\s+", " "))
+    marked = F.split(F.regexp_replace(clean, BLOCK_PATTERN, "\u0001$1\u0002"), "\u0001")
+    ex = pages.select(id_col, F.posexplode(marked).alias("pos", "part"))
+    opened = F.lower(F.substring_index("part", "\u0002", 1))
+    has_tag = F.instr("part", "\u0002") > 0
+    inner = F.when(has_tag, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part"))
+    tag = F.when(has_tag & ~opened.startswith("/"), opened).otherwise("text")
+    text = F.trim(F.regexp_replace(_decode(F.regexp_replace(F.regexp_replace("inner", r"(?i)<br\b[^>]*>", " "),
+                                                         r"<[^>]*>", "")), r"\s+", " "))
     kind = F.create_map(*[x for k, v in KIND.items() for x in (F.lit(k), F.lit(v))])
-    tag = F.lower("e.tag")
-    return (ex.select(id_col, "pos", tag.alias("tag"), F.element_at(kind, tag).alias("kind"), text.alias("text"))
-            .where(F.col("text") != ""))
+    ex = ex.select(id_col, "pos", tag.alias("tag"), inner.alias("inner"))
+    return (ex.select(id_col, "pos", "tag", F.coalesce(F.try_element_at(kind, F.col("tag")), F.lit("text")).alias("kind"),
+                      text.alias("text")).where(F.col("text") != ""))
 
 
 def chunk_text(elements: DataFrame, budget: int = 512, doc: str = "doc_id", pos: str = "pos",
                line: str = "line", page: str = "page_no", block: int = BLOCK) -> DataFrame:
-    """Pack consecutive lines into chunks of about `budget` tokens.
-
-    Rule: a line goes to chunk floor(tokens before it / budget), tokens =
-    whitespace-separated words.  Unlike greedy packing, a long line stays in
-    the chunk where it starts, so a chunk may exceed the budget by its last
-    line.  Chunk = lines joined by newlines in order, first page, line refs.
+    """Pack consecutive lines into chunks of at most `budget` tokens, tokens =
+    whitespace-separated words.
+
+    Rule: a document's words are numbered through; chunk c holds the words
+    c * budget ... (c + 1) * budget - 1.  A line that lies in several chunks
+    is split at their borders, its words joined by single spaces; others keep
+    their text.  Chunk = its pieces joined by newlines in order, first page,
+    line refs.
     """
-    toks = F.size(F.split(F.trim(F.col(line)), r"\s+"))
-    d = elements.withColumn("_ntok", toks)
+    words = F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
+    d = elements.withColumn("_words", words)
+    d = d.withColumn("_ntok", F.size("_words"))
     if "type" not in d.columns:  # untyped lines are text
         d = d.withColumn("type", F.lit("text"))
     d = running_sum(d, [doc], pos, "_ntok", "_before", block, exclusive=True)
-    d = d.withColumn("chunk", F.floor(F.col("_before") / budget).cast("int"))
-    g = d.groupBy(doc, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(line).alias("l"),
+    first = F.floor(F.col("_before") / budget)
+    last = F.greatest(first, F.floor((F.col("_before") + F.col("_ntok") - 1) / budget))
+    d = d.withColumn("_first", first).withColumn("_last", last)
+    d = d.withColumn("chunk", F.explode(F.sequence("_first", "_last")))
+    start = F.greatest(F.col("chunk") * budget - F.col("_before"), F.lit(0))
+    end = F.least((F.col("chunk") + 1) * budget - F.col("_before"), F.col("_ntok"))
+    piece = F.slice("_words", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+    d = d.withColumn("_piece", F.when(F.col("_first") == F.col("_last"), F.col(line)).otherwise(F.array_join(piece, " ")))
+    d = d.withColumn("_n", F.when(F.col("_first") == F.col("_last"), F.col("_ntok")).otherwise(F.size(piece)))
+    g = d.withColumn("chunk", F.col("chunk").cast("int")).groupBy(doc, "chunk").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_piece").alias("l"),
                                              F.col("type").alias("t")))).alias("_ls"),
-        F.sum("_ntok").alias("n_tokens"),
+        F.sum("_n").alias("n_tokens"),
         F.min_by(F.col(page), F.col(pos)).alias("first_page"))
     return g.select(
         doc, "chunk", F.size("_ls").alias("n_lines"), F.col("n_tokens").cast("bigint").alias("n_tokens"),

@@ -78,8 +78,7 @@ def wilcoxon_test(pairs: DataFrame, model: str, item: str) -> DataFrame:
     j = j.select("*", F.expr("statistic - _n * (_n + 1) / 4.0D").alias("_z0"),
                  F.expr("sqrt(_n * (_n + 1) * (2 * _n + 1) / 24.0D - _tt / 48.0D)").alias("_sigma"))
     j = j.select("*", F.expr("(_z0 - signum(_z0) * 0.5D) / _sigma").alias("_z"))
-    phi = S.normal_cdf_sql("_z")
-    p = F.expr(f"CASE WHEN _n > 0 AND _sigma > 0 THEN 2 * least({phi}, 1 - {phi}) END")
+    p = F.expr(f"CASE WHEN _n > 0 AND _sigma > 0 THEN {S.two_sided_p_sql('_z')} END")
     return j.select(*key, "n_items_used", "statistic", p.alias("p_value"))
 
 

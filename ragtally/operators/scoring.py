@@ -12,14 +12,17 @@ from ..functions import answers as A
 from .ordering import sequence_by_sort
 
 
+def request_orders(requests: DataFrame, question_col: str = "Question_nr", run_col: str | None = None, seed: int = 42,
+                   permuted=True, order_col: str = "quest_order") -> DataFrame:
+    """Requests with the option order to store with each of them, drawn anew for each run."""
+    return requests.withColumn(order_col, A.permutation(question_col, seed, permuted, run_col))
+
+
 def score_responses(responses: DataFrame, response_col: str = "raw_response",
-                    question_col: str = "Question_nr", seed: int = 42,
-                    permuted=True) -> DataFrame:
-    """Add filt_resp (shown letter), quest_order and answer (original letter)."""
-    perm = A.permutation(question_col, seed, permuted)
-    return (responses.withColumn("quest_order", perm)
-            .withColumn("filt_resp", A.parse_answer(response_col))
-            .withColumn("answer", A.unpermute_answer("filt_resp", "quest_order")))
+                    order_col: str = "quest_order") -> DataFrame:
+    """Add filt_resp (shown letter) and answer (original letter, by the option order stored with the request)."""
+    return (responses.withColumn("filt_resp", A.parse_answer(response_col))
+            .withColumn("answer", A.unpermute_answer("filt_resp", order_col)))
 
 
 def join_answer_key(runs: DataFrame, key: DataFrame, answer_col: str = "answer",

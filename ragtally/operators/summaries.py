@@ -154,8 +154,9 @@ def two_step_summary(evals: DataFrame, keys: Sequence[str], variables: Mapping[s
     `variables` maps column -> "proportion" (Agresti-Coull) or "mean"
     (t interval).  'Latency' and 'Price' columns get a lower bound >= 0.
     text=True gives 'm [l-u]' cells; otherwise numeric mean/low/upp columns.
+    Rows with a null key or question are left out.
     """
-    per_q = evals.groupBy(*keys, question_col).agg(*[F.avg(v).alias(v) for v in variables])
+    per_q = evals.dropna(subset=[*keys, question_col]).groupBy(*keys, question_col).agg(*[F.avg(v).alias(v) for v in variables])
     aggs = []
     for v in variables:
         aggs += [F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"),

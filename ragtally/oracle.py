@@ -330,19 +330,23 @@ FROM fx_mcq m JOIN perm USING (Question_nr)""", "fx_mcq", perm_cte("fx_mcq")))
 register("parse_answer", with_fx(
     f"SELECT conv_id, turn, {parse_answer_sql('raw_response')} AS filt_resp FROM fx_responses", "fx_responses"))
 
+RUN_PERM = ("rperm", """
+SELECT conv_id, turn, list(i ORDER BY md5(concat('42:', CAST(conv_id AS VARCHAR), ':', CAST(Question_nr AS VARCHAR), ':',
+                                                 CAST(i AS VARCHAR))), i) AS perm
+FROM (SELECT conv_id, turn, Question_nr FROM fx_responses) s, range(4) t(i) GROUP BY conv_id, turn""")
 SCORED_SQL = f"""
 SELECT r.*, array_to_string(p.perm, ',') AS quest_order, {parse_answer_sql('r.raw_response')} AS filt_resp,
        {unpermute_sql(parse_answer_sql('r.raw_response'), 'p.perm')} AS answer
-FROM fx_responses r JOIN perm p USING (Question_nr)"""
+FROM fx_responses r JOIN rperm p USING (conv_id, turn)"""
 
 register("unpermute_answer", with_fx("SELECT conv_id, turn, quest_order, filt_resp, answer FROM scored",
-                                     "fx_responses", perm_cte("fx_responses"), ("scored", SCORED_SQL)))
+                                     "fx_responses", RUN_PERM, ("scored", SCORED_SQL)))
 
 register("join_answer_key", with_fx("""
 SELECT s.conv_id, s.turn, s.Question_nr, s.answer, k.Correct, k.Difficulty,
        coalesce(CAST(s.answer = k.Correct AS INT), 0) AS Cor_answer
 FROM scored s LEFT JOIN fx_mcq k USING (Question_nr)""",
-                                    "fx_responses", "fx_mcq", perm_cte("fx_responses"), ("scored", SCORED_SQL)))
+                                    "fx_responses", "fx_mcq", RUN_PERM, ("scored", SCORED_SQL)))
 
 RUN_PAT = "^eval_([^_]+)_(.+?)_(no_perm|perm)_benchmark_([0-9]{8}-[0-9]{6})$"
 PARSED_RUNS = f"""
@@ -381,8 +385,9 @@ FROM fx_eval WHERE Model_ret IN {in_list(FX.RETRIEVERS)}""", "fx_eval"))
 
 register("sort_full_report", with_fx(f"""
 SELECT event_id, Model, Model_ret, CAST({ordinal_sql('Model_ret', FX.RETRIEVERS)} AS INT) AS category_ordinal,
-       Iteration, Question_nr
-FROM fx_eval ORDER BY Model, category_ordinal NULLS LAST, Iteration, Question_nr""", "fx_eval"))
+       Iteration, Question_nr, CAST(row_number() OVER (ORDER BY Model, {ordinal_sql('Model_ret', FX.RETRIEVERS)} NULLS LAST,
+       Iteration, Question_nr, event_id) AS INT) AS row_number
+FROM fx_eval""", "fx_eval"))
 
 register("union_runs", with_fx("""
 SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 4) AS Elapsed, Total_tokens
@@ -449,7 +454,8 @@ EV2 = ("ev2", f"""SELECT *, {throughput_sql()} AS Latency, {cost_sql()} AS Price
 def two_step_sql(keys: list[str], text: bool) -> str:
     g = ", ".join(keys)
     per_q = (f"SELECT {g}, Question_nr, " + ", ".join(f"avg({v}) AS {v}" for v in TWO_STEP_VARS)
-             + f" FROM ev2 GROUP BY {g}, Question_nr")
+             + f" FROM ev2 WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in [*keys, "Question_nr"])
+             + f" GROUP BY {g}, Question_nr")
     aggs = ", ".join(f"avg({v}) AS {v}__mean, stddev_samp({v}) AS {v}__sd, count({v}) AS {v}__n, sum({v}) AS {v}__sum"
                      for v in TWO_STEP_VARS)
     outs = []
@@ -769,9 +775,6 @@ QUALIFY model_id <> 'Not_working'""", "fx_eval"))
 # ------------------------------------------------------------------ 2.1 sources and sinks
 
 
-register("scan_corpus", "SELECT name, 1 AS non_empty FROM (VALUES "
-         + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") v(name)")
-
 register("align_links", """
 SELECT printf('page_%05d.pdf', page_id) AS name, trim(url) AS link FROM pages WHERE trim(url) <> ''""")
 
@@ -780,7 +783,8 @@ SELECT Question_nr, concat('Paper', CAST(Question_nr % 25 + 1 AS VARCHAR)) AS Pa
        Correct, Difficulty FROM fx_mcq""", "fx_mcq"))
 
 register("shuffle_questions", with_fx("""
-SELECT Question_nr, md5(concat('42:', CAST(Question_nr AS VARCHAR))) AS shuffle_key FROM fx_mcq""", "fx_mcq"))
+SELECT *, CAST(row_number() OVER (ORDER BY shuffle_key, Question_nr) AS INT) AS row_number
+FROM (SELECT Question_nr, md5(concat('42:', CAST(Question_nr AS VARCHAR))) AS shuffle_key FROM fx_mcq) s""", "fx_mcq"))
 
 register("scan_config", with_fx("""
 SELECT DISTINCT Model AS model_name, upper(Model) AS model_short, concat('MM_', Model) AS mm_vd FROM fx_eval""",
@@ -829,33 +833,57 @@ LEFT JOIN (
 # ------------------------------------------------------------------ 2.2 ingestion
 
 
+# the rules of element extraction, written out on their own
+_KINDS = {"title": "title", **{f"h{i}": "heading" for i in range(1, 7)}, "p": "text", "li": "list_item",
+          "td": "table_cell", "th": "table_cell"}
+_BLOCKS = ("title h1 h2 h3 h4 h5 h6 p li td th html head body div section article main header footer nav aside ul ol dl "
+           "dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption address form fieldset hr")
+_drop = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<!doctype[^>]*>"
+_block = r"(?i)<(/?(?:" + _BLOCKS.replace(" ", "|") + r"))(?:\s[^>]*)?/?>"
+
+
 def _decode_sql(x: str) -> str:
-    for ent, ch in IN.ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    """Numeric references by chr(), then the named ones."""
+    digits = "regexp_extract(p, '^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});', 1)"
+    code = (f"CASE WHEN lower({digits}[1]) = 'x' THEN ('0x' || {digits}[2:])::BIGINT ELSE {digits}::BIGINT END")
+    x = (f"(SELECT string_split({x}, '&#')[1] || coalesce(array_to_string(list_transform(string_split({x}, '&#')[2:], "
+         f"lambda p: CASE WHEN {digits} = '' THEN '&#' || p ELSE chr(({code})::INT) || "
+         f"regexp_replace(p, '^([0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', '') END), ''), ''))")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "\'"), ("&nbsp;", " "), ("&copy;", "©"),
+                         ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, {q(entity)}, {q(char)})"
     return x
 
 
-_kind_case = "CASE lower(tag) " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in IN.KIND.items()) + " END"
+_kind_case = "CASE tag " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _KINDS.items()) + " ELSE 'text' END"
 register("extract_elements", f"""
 SELECT page_id, pos, tag, kind, text FROM (
-  SELECT page_id, CAST(pos AS INTEGER) AS pos, lower(tag) AS tag, {_kind_case} AS kind,
-         trim(regexp_replace({_decode_sql("regexp_replace(inner_html, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text
-  FROM (SELECT page_id, unnest(range(len(tags))) AS pos, unnest(tags) AS tag, unnest(inners) AS inner_html
-        FROM (SELECT page_id, regexp_extract_all(c, {q(IN.ELEMENT_PATTERN)}, 1) AS tags,
-                     regexp_extract_all(c, {q(IN.ELEMENT_PATTERN)}, 2) AS inners
-              FROM (SELECT page_id, regexp_replace(html, {q(IN.DROP_PATTERN)}, '', 'g') AS c FROM pages) a) b) c) d
+  SELECT page_id, pos, tag, {_kind_case} AS kind,
+         trim(regexp_replace({_decode_sql("regexp_replace(regexp_replace(inner_html, '(?i)<br\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, CAST(pos AS INTEGER) AS pos,
+               CASE WHEN contains(part, chr(2)) AND part[1] <> '/' THEN lower(string_split(part, chr(2))[1])
+                    ELSE 'text' END AS tag,
+               CASE WHEN contains(part, chr(2)) THEN string_split(part, chr(2))[2] ELSE part END AS inner_html
+        FROM (SELECT page_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part
+              FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, {q(_drop)}, '', 'g'), {q(_block)},
+                           chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM pages) a) b) c) d
 WHERE text <> ''""")
 
 ELEM = ("el", "SELECT *, CAST(floor(pos / 40) + 1 AS INTEGER) AS page_no FROM fx_elements")
 CHUNKS = ("ch", """
-SELECT doc_id, chunk, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(ntok) AS BIGINT) AS n_tokens,
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens,
   arg_min(page_no, pos) AS first_page,
   string_agg(concat('#/lines/', CAST(pos AS VARCHAR)), ' ' ORDER BY pos) AS ref,
-  string_agg(line, chr(10) ORDER BY pos) AS text,
+  string_agg(piece, chr(10) ORDER BY pos) AS text,
   (count(*) = 1 AND arg_min(type, pos) = 'table') AS lone_table
-FROM (SELECT *, CAST(floor((sum(ntok) OVER (PARTITION BY doc_id ORDER BY pos
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - ntok) / 512) AS INTEGER) AS chunk
-      FROM (SELECT *, len(string_split_regex(trim(line), '\\s+')) AS ntok FROM el) t) c
+FROM (SELECT *, CASE WHEN c0 = c1 THEN line ELSE array_to_string(w[lo + 1:hi], ' ') END AS piece, hi - lo AS n
+      FROM (SELECT *, greatest(chunk * 512 - before, 0) AS lo, least((chunk + 1) * 512 - before, ntok) AS hi
+            FROM (SELECT *, unnest(range(c0, c1 + 1)) AS chunk
+                  FROM (SELECT *, before // 512 AS c0, greatest(before // 512, (before + ntok - 1) // 512) AS c1
+                        FROM (SELECT *, CAST(sum(ntok) OVER (PARTITION BY doc_id ORDER BY pos
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - ntok AS BIGINT) AS before
+                              FROM (SELECT *, len(w) AS ntok FROM (SELECT *,
+                                      list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM el) t) u) v) x) y) z) zz
 GROUP BY doc_id, chunk""")
 TABLES_SQL = ("tb", """
 SELECT t.doc_id, t.pos, coalesce(p.line, '') AS caption,
@@ -927,20 +955,19 @@ SELECT Model, cond_1, cond_2, Question_nr, d, abs_d,
 FROM (SELECT *, x - y AS d, abs(x - y) AS abs_d FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL AND x - y <> 0) t""")
 
 
-def phi_sql(z: str) -> str:
-    import math
-    b = S.AS_B
-    x = f"abs({z})"
-    t = f"(1.0 / (1.0 + {S.AS_P!r} * {x}))"
-    poly = f"({t} * ({b[0]!r} + {t} * ({b[1]!r} + {t} * ({b[2]!r} + {t} * ({b[3]!r} + {t} * {b[4]!r})))))"
-    ut = f"(exp(-{x} * {x} / 2.0) / {math.sqrt(2.0 * math.pi)!r} * {poly})"
-    return f"(CASE WHEN {z} >= 0 THEN 1.0 - {ut} ELSE {ut} END)"
+def two_sided_p_sql(z: str) -> str:
+    """erfc(|z| / sqrt 2) by the published fit of relative error 1.2e-7, written out here on its own."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.5 * {x}))"
+    inner = (f"-1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * (0.09678418 + {t} * (-0.18628806 + {t} * "
+             f"(0.27886807 + {t} * (-1.13520398 + {t} * (1.48851587 + {t} * (-0.82215223 + {t} * 0.17087277))))))))")
+    return f"({t} * exp(({inner}) - {x} * {x}))"
 
 
 _z = "((V - n * (n + 1) / 4.0 - sign(V - n * (n + 1) / 4.0) * 0.5) / sigma)"
 _tests = ("tests", f"""
 SELECT u.Model, u.cond_1, u.cond_2, u.n_items_used, coalesce(a.V, 0.0) AS statistic,
-  CASE WHEN a.n > 0 AND a.sigma > 0 THEN 2 * least({phi_sql(_z)}, 1 - {phi_sql(_z)}) END AS p_value
+  CASE WHEN a.n > 0 AND a.sigma > 0 THEN {two_sided_p_sql(_z)} END AS p_value
 FROM (SELECT Model, cond_1, cond_2, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_items_used
       FROM pairs GROUP BY Model, cond_1, cond_2) u
 LEFT JOIN (

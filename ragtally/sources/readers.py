@@ -60,18 +60,21 @@ def align_links(spark: SparkSession, files: DataFrame, links_path: str | None, n
     defaults, or '' for every file when there are fewer defaults than files.
 
     Positions are computed without Python rows: files are numbered in name
-    order, lines in file order (the scan id of a line file follows its
-    offsets), both with the skew-safe numbering of operators.ordering."""
+    order, lines by file name, split and scan id (which follows the offsets
+    within a split), both with the skew-safe numbering of operators.ordering."""
     ordered = sequence_by_sort(files.select(name_col), [], [name_col], "_idx")
     n = ordered.count()
     if links_path is None:
         vals = list(defaults or [])
         vals = vals[:n] if len(vals) >= n else [""] * n
         arr = F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
-        return ordered.select(name_col, F.element_at(arr, F.col("_idx")).alias("link"))
-    lines = (spark.read.text(links_path).withColumn("_scan", F.monotonically_increasing_id())
-             .select(F.trim("value").alias("link"), "_scan").where(F.col("link") != ""))
-    lines = sequence_by_sort(lines, [], ["_scan"], "_idx").drop("_scan")
+        return ordered.orderBy("_idx").select(name_col, F.element_at(arr, F.col("_idx")).alias("link"))
+    order = ["_file", "_split", "_scan"]
+    lines = (spark.read.text(links_path)
+             .select(F.trim("value").alias("link"), F.col("_metadata.file_name").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_scan"))
+             .where(F.col("link") != ""))
+    lines = sequence_by_sort(lines, [], order, "_idx").drop(*order)
     m = lines.count()
     if m != n:
         raise ValueError(f"link file contains {m} entries, but {n} files were found")
@@ -128,7 +131,7 @@ def merge_runs(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
     The first row of a file is the row with the smallest scan id in it (a
     run file is one split).  Numbering runs on the file list only and is
-    joined back with a size-checked broadcast."""
+    joined back."""
     r = spark.read.schema(schema).option("recursiveFileLookup", "true")
     if fmt == "csv":
         r = r.options(**CSV_OPTIONS)

@@ -4,7 +4,8 @@
   micro-batch is appended to a change log partitioned by batch id (a replayed
   batch overwrites its own partition, so retries are exactly-once), and the
   collection is the last write per id over the log (``upsert_points``).
-  Writes cost O(batch), never a rewrite of the whole collection.
+  After a run the log is compacted into a state table, so reads reduce the
+  newest state and the batches after it, not the whole history.
 * :func:`stream_run_accuracy` - run files arrive in a folder; a streaming
   aggregation keeps mean correctness per (model, retriever) in the state
   store and each micro-batch rewrites the (small) result table.
@@ -35,17 +36,47 @@ def stream_upsert(spark: SparkSession, source: str, schema: T.StructType, root:
     q = (src.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return collection_state(spark, log, id_col, version_col, [f.name for f in schema.fields])
+    cols = [f.name for f in schema.fields]
+    compact(spark, root, id_col, version_col, cols)
+    return collection_state(spark, root, id_col, version_col, cols)
 
 
-def collection_state(spark: SparkSession, log: str, id_col: str, version_col: str, cols: list[str]) -> DataFrame:
-    """Last write per id over the change log: highest version, later batch on
-    ties (max_by combines map-side, one row per id per task)."""
-    entries = spark.read.parquet(log)
+def compact(spark: SparkSession, root: str, id_col: str, version_col: str, cols: list[str]) -> int | None:
+    """Write the collection's state up to the last batch of the log as a table
+    of its own, `{root}/state/_upto=<batch>`; later reads start from the
+    newest state and reduce only the batches after it.  Returns that batch.
+    The log and older states stay (remove them when no reader needs them)."""
+    last = spark.read.parquet(f"{root}/log").agg(F.max("_batch")).first()[0]
+    if last is not None and last != _newest_state(spark, root):
+        state = collection_state(spark, root, id_col, version_col, cols, keep_batch=True)
+        state.write.mode("overwrite").parquet(f"{root}/state/_upto={last}")
+    return last
+
+
+def _newest_state(spark: SparkSession, root: str) -> int | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{root}/state").agg(F.max("_upto")).first()[0]
+    except AnalysisException:  # no state yet
+        return None
+
+
+def collection_state(spark: SparkSession, root: str, id_col: str, version_col: str, cols: list[str],
+                     keep_batch: bool = False) -> DataFrame:
+    """Last write per id over the newest state and the log after it: highest
+    version, later batch on ties (max_by combines map-side, one row per id per
+    task)."""
+    upto = _newest_state(spark, root)
+    entries = spark.read.parquet(f"{root}/log")
+    if upto is not None:
+        state = spark.read.parquet(f"{root}/state/_upto={upto}").withColumnRenamed("_from", "_batch")
+        entries = entries.where(F.col("_batch") > upto).select(*cols, "_batch").unionByName(state.select(*cols, "_batch"))
     best = entries.groupBy(id_col).agg(
         F.max_by(F.struct(*[F.col(c) for c in cols if c != id_col]),
-                 F.struct(F.col(version_col), F.col("_batch"))).alias("_row"))
-    return best.select(id_col, "_row.*").select(*cols)
+                 F.struct(F.col(version_col), F.col("_batch"))).alias("_row"),
+        F.max_by(F.col("_batch"), F.struct(F.col(version_col), F.col("_batch"))).alias("_from"))
+    return best.select(id_col, "_row.*", "_from").select(*cols, *(["_from"] if keep_batch else []))
 
 
 def stream_run_accuracy(spark: SparkSession, source: str, schema: T.StructType, root: str,

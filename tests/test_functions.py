@@ -83,16 +83,20 @@ def test_t_table_against_published_quantiles():
         assert t[df - 1] == pytest.approx(q, abs=5e-5)
 
 
-def test_t_large_df_and_normal_cdf(spark):
+def test_t_large_df(spark):
     df = spark.createDataFrame([(120,), (2000,)], "d int").select(S.t975(F.col("d")).alias("t"))
     vals = [r.t for r in df.collect()]
     assert vals[0] == pytest.approx(S.t_ppf_upper(0.025, 120), abs=1e-9)
     assert vals[1] == pytest.approx(S.t_ppf_upper(0.025, 2000), abs=1e-9)
     assert vals[0] == pytest.approx(1.97993, abs=1e-5)
-    z = spark.createDataFrame([(0.0,), (1.959963984540054,), (-1.0,)], "z double").select(S.normal_cdf(F.col("z")))
-    got = [r[0] for r in z.collect()]
-    for g, e in zip(got, [0.5, 0.975, 0.5 * math.erfc(1 / math.sqrt(2))]):
-        assert g == pytest.approx(e, abs=1e-7)
+
+
+def test_two_sided_p_is_right_far_out(spark):
+    zs = [0.0, 0.3, 1.0, -1.959963984540054, 3.0, -6.0, 9.0, 15.0, 19.3, -26.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(F.expr(S.two_sided_p_sql("z"))).collect()]
+    for z, p in zip(zs, got):
+        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-6, abs=0)
+    assert got[-2] < 1e-80
 
 
 def test_agresti_coull_and_t_interval(spark):

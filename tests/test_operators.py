@@ -240,15 +240,15 @@ def test_extract_elements_small_html(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     out = [(r.kind, r.text) for r in IN.extract_elements(df).orderBy("pos").collect()]
     assert out == [("title", "T & U"), ("list_item", "Nav"), ("heading", "Head"), ("text", "One two"),
-                   ("text", "Three <4>")]
+                   ("text", "Three <4>"), ("text", "skip")]
 
 
 def test_chunk_rule(spark):
     lines = [(1, i, " ".join(["w"] * n), "text", 1) for i, n in enumerate([3, 3, 3, 5, 1])]
     df = spark.createDataFrame(lines, "doc_id long, pos int, line string, type string, page_no int")
     out = sorted((r.chunk, r.n_tokens) for r in IN.chunk_text(df, budget=6, block=2).collect())
-    # tokens before each line: 0,3,6,9,14 -> chunks 0,0,1,1,2
-    assert out == [(0, 6), (1, 8), (2, 1)]
+    # 15 words in windows of 6: the line of five words is split between the second and the third
+    assert out == [(0, 6), (1, 6), (2, 3)]
 
 
 def test_attach_image_payloads(spark):
@@ -365,3 +365,71 @@ def test_unregistered_helpers(spark):
     files = spark.createDataFrame([("eval_m_text_RAG_perm_benchmark_20250101-000000.json",),
                                    ("eval_m_text_RAG_benchmark_x.json",), ("notes.txt",)], "file_name string")
     assert [r.file_name for r in SC.reject_run_files(files).collect()] == ["eval_m_text_RAG_benchmark_x.json"]
+
+
+def test_elements_keep_text_around_any_tag(spark):
+    html = ("<html><body>lead<p>alpha <mark>beta</mark><br/>gam<b>ma</b><h5>Deep</h5><div>in div<ul><li>one<li>two</ul>tail</div>"
+            "<table><tr><td>c1</td><th>c2</th></tr></table><p>&#8364; &#x1F600; &#xZ; 5 &lt; 6 &#0; AT&amp;T &#39;q&#39;</p>"
+            "<script>p('<p>no</p>')</script><custom-tag>x</custom-tag>")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    got = [(r.tag, r.kind, r.text) for r in IN.extract_elements(pages).orderBy("page_id", "pos").collect()]
+    assert got == [("body", "text", "lead"), ("p", "text", "alpha beta gamma"), ("h5", "heading", "Deep"),
+                   ("div", "text", "in div"), ("li", "list_item", "one"), ("li", "list_item", "two"),
+                   ("text", "text", "tail"), ("td", "table_cell", "c1"), ("th", "table_cell", "c2"),
+                   ("p", "text", "€ 😀 &#xZ; 5 < 6 � AT&T 'q'"), ("text", "text", "x")]
+
+
+def test_chunks_never_exceed_the_budget(spark):
+    rnd = random.Random(4)
+    rows = [(d, p, " ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.choice([0, 1, 5, 40, 900]))), 1)
+            for d in range(6) for p in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, line string, page_no int")
+    chunks = IN.chunk_text(df, 64, block=7).collect()
+    assert max(r.n_tokens for r in chunks) == 64 and all(len(r.text.split()) == r.n_tokens for r in chunks)
+    for d in range(6):
+        text = " ".join(r.text for r in sorted((r for r in chunks if r.doc_id == d), key=lambda r: r.chunk))
+        assert text.split() == " ".join(r[2] for r in rows if r[0] == d).split()
+
+
+def test_inventory_many_names_of_one_prefix(spark):
+    names = [f"Paper{i}.pdf" for i in range(10_000)]
+    pts = spark.createDataFrame([(n, "l", "u1") for n in names] + [("ab", "s", "u1"), ("zz", "s", "u2")],
+                                "document_name string, document_link string, username string")
+    paths = [f"/c/old_Paper{i}.pdf" for i in range(0, 10_000, 100)] + ["/c/tab.pdf", "/c/zz", "p"]
+    files = spark.createDataFrame([(p,) for p in paths] + [(None,)], "path string")
+    got = {(r.document_name, r.path) for r in CO.collection_inventory(pts, files, owner="u1").collect()}
+    # a path that ends in Paper{i}.pdf holds the name Paper{i}.pdf only
+    assert got == {(f"Paper{i}.pdf", f"/c/old_Paper{i}.pdf") for i in range(0, 10_000, 100)} | {("ab", "/c/tab.pdf")}
+
+
+def test_stored_orders_differ_by_run_and_score_back(spark):
+    from ragtally.functions import answers as A
+    from ragtally.operators import scoring as SC
+    reqs = spark.createDataFrame([(run, q) for run in range(12) for q in range(3)], "run long, Question_nr long")
+    reqs = SC.request_orders(reqs, run_col="run")
+    orders = reqs.collect()
+    assert len({(r.Question_nr, tuple(r.quest_order)) for r in orders}) > 20
+    shown = reqs.withColumn("raw_response", A.shown_correct(F.lit("C"), "quest_order"))
+    assert {r.answer for r in SC.score_responses(shown).collect()} == {"C"}
+
+
+def test_two_step_drops_null_groups(spark):
+    ev = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 0.0), (None, 1, 1.0), ("a", None, 1.0)],
+                               "Model string, Question_nr long, Cor_answer double")
+    got = SUM.two_step_summary(ev, ["Model"], {"Cor_answer": "proportion"}, text=False).collect()
+    assert [(r.Model, r.mean_Cor_answer) for r in got] == [("a", 0.5)]
+
+
+def test_change_log_is_compacted(spark):
+    from pyspark.sql import types as T
+
+    from ragtally.streaming import incremental as ST
+    root = tempfile.mkdtemp(prefix="ragtally-compact-")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()),
+                           T.StructField("version", T.IntegerType())])
+    for i, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "B", 2)], [(1, "old", 0), (3, "c", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/src")
+        got = sorted(tuple(r) for r in ST.stream_upsert(spark, f"{root}/src", schema, f"{root}/out", "id", "version").collect())
+        assert ST._newest_state(spark, f"{root}/out") == i
+    assert got == [(1, "a", 1), (2, "B", 2), (3, "c", 1)]
+    assert sorted(tuple(r) for r in ST.collection_state(spark, f"{root}/out", "id", "version", ["id", "v", "version"]).collect()) == got
