@@ -888,8 +888,9 @@ def q_overlay_descriptions(spark, sf):
 def q_vectorise_text(spark, sf):
     d = read_table(spark, sf, "documents", "doc_id", "text")
     v = IN.vectorise_text(d, "text", 768)
+    total = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
     return v.select("doc_id", F.size("embedding").alias("dim"),
-                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"))
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("nnz"), r6(total, "weighted_sum"))
 
 
 # ---------------------------------------------------------------- 2.6 rank tests

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import col
+from ..session import scratch_path
 from .ordering import BLOCK, running_sum, sequence_number
 
 
@@ -202,18 +203,30 @@ def overlay_descriptions(corpus: DataFrame, descriptions: DataFrame, models: Seq
                         .otherwise(F.col("page_content"))).drop("description")
 
 
-def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out: str = "embedding") -> DataFrame:
-    """Lexical stand-in for the neural encoder: tokens -> hashed term counts
-    (dim buckets) -> IDF weights -> unit length -> array<double>.  IDF is
-    fitted with one distributed pass (document frequencies)."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    t = tf.transform(tok.transform(docs))
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(t)
-    n = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(idf.transform(t))
-    return n.withColumn(out, vector_to_array("_unit")).drop("_tok", "_tf", "_idf", "_unit")
+def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out: str = "embedding",
+                   id_col: str = "doc_id") -> DataFrame:
+    """Lexical stand-in for the neural encoder: lower-cased word characters
+    runs -> md5 buckets -> term counts x inverse document frequency
+    ln((N + 1) / (df + 1)) -> unit length -> array<double> (zeros for a text
+    without tokens).  One pass over the texts: term counts are written once
+    and read for the frequencies and for the vectors; a document's counts are
+    combined before the shuffle, the bucket table has `dim` rows."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^0-9A-Za-z_]+"), lambda w: w != "")
+    bucket = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+    counts = docs.select(id_col, F.explode(bucket).alias("_b")).groupBy(id_col, "_b").agg(F.count(F.lit(1)).alias("_tf"))
+    path = scratch_path(docs.sparkSession, "term-counts")
+    counts.write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
+    n = docs.select(id_col).distinct().count()
+    idf = counts.groupBy("_b").agg(F.log((F.lit(n) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("_idf"))
+    parts = counts.join(idf, "_b").groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("_b", (F.col("_tf") * F.col("_idf")).alias("w")))).alias("_p"))
+    norm = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    unit = parts.withColumn("_norm", norm).select(id_col, F.map_from_entries(F.transform(
+        "_p", lambda x: F.struct(x["_b"], F.when(F.col("_norm") > 0, x["w"] / F.col("_norm")).otherwise(0.0)))).alias("_m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return docs.join(unit, id_col, "left").withColumn(out, F.when(F.col("_m").isNull(), F.array_repeat(
+        F.lit(0.0), dim)).otherwise(vector)).drop("_m")
 
 
 # Patterns of table and image markup.

@@ -927,6 +927,17 @@ register("needs_ocr", with_fx("""
 SELECT doc_id, CAST(count(*) FILTER (WHERE page_no = 1 AND type = 'text') = 0 AS INTEGER) AS needs_ocr
 FROM el GROUP BY doc_id""", "fx_elements", ELEM))
 
+register("vectorise_text", """
+WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^0-9A-Za-z_]+'), lambda w: w <> '')) AS w
+             FROM documents),
+tf AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 768 AS b, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT b, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0) / (count(*) + 1.0)) AS idf FROM tf GROUP BY b),
+w AS (SELECT doc_id, b, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS norm
+      FROM tf JOIN idf USING (b))
+SELECT d.doc_id, 768 AS dim, CAST(count(w.b) FILTER (WHERE w.w <> 0) AS INT) AS nnz,
+  round(coalesce(sum(CASE WHEN norm > 0 THEN w.w / norm * (w.b + 1) END), 0.0), 4) AS weighted_sum
+FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
+
 register("overlay_descriptions", with_fx(f"""
 SELECT c.model, c.point_id, c.type,
   CASE WHEN c.type = 'image' THEN coalesce(d.description, c.page_content) ELSE c.page_content END AS page_content
