@@ -132,7 +132,7 @@ def q_ci_summary_wide(spark, sf):
 def q_agresti_coull(spark, sf):
     g = FX.fx_eval(spark, sf).groupBy("Model", "Model_ret").agg(
         F.sum("Cor_answer").alias("n_correct"), F.count("Cor_answer").alias("n"))
-    low, upp = S.agresti_coull(F.col("n_correct"), F.col("n"))
+    low, upp = S.agresti_coull("n_correct", "n")
     return g.select("Model", "Model_ret", "n_correct", "n", r6(low, "ci_low"), r6(upp, "ci_upp"))
 
 
@@ -140,7 +140,7 @@ def q_agresti_coull(spark, sf):
 def q_t_interval(spark, sf):
     g = FX.fx_eval(spark, sf).groupBy("Model", "Model_ret", "Iteration").agg(
         F.avg("Elapsed").alias("mean"), F.stddev_samp("Elapsed").alias("sd"), F.count("Elapsed").alias("n"))
-    low, upp = S.t_interval(F.col("mean"), F.col("sd"), F.col("n"))
+    low, upp = S.t_interval("mean", "sd", "n")
     return g.select("Model", "Model_ret", "Iteration", "n", r6("mean", "mean"), r6(low, "ci_low"),
                     r6(upp, "ci_upp"))
 
@@ -151,8 +151,8 @@ def q_format_ci_cell(spark, sf):
          .groupBy("Model", "Model_ret", "Difficulty")
          .agg(F.avg("Elapsed").alias("mean"), F.stddev_samp("Elapsed").alias("sd"),
               F.count("Elapsed").alias("n")))
-    low, upp = S.t_interval(F.col("mean"), F.col("sd"), F.col("n"))
-    return g.select("Model", "Model_ret", "Difficulty", M.format_ci_cell(F.col("mean"), low, upp, 2).alias("cell"))
+    low, upp = S.t_interval_sql("mean", "sd", "n")
+    return g.select("Model", "Model_ret", "Difficulty", M.format_ci_cell("mean", low, upp, 2).alias("cell"))
 
 
 # ---------------------------------------------------------------- 2.9 answers, 2.4 key join

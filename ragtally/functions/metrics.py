@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from ._util import col
 
-# Price per 1M output tokens of the three generators, in the
-# reference's order (largest, mid-size, smallest model).
-DEFAULT_OUTPUT_PRICES = (10.0, 2.0, 0.4)
-
-
 def parse_context_list(text) -> Column:
     """A serialised list of strings (Python repr or JSON) -> array<string>.
 
@@ -69,44 +64,15 @@ def cost(model="Model", total_tokens="Total_tokens", prices: Mapping[str, float]
     return (col(total_tokens).cast("double") / F.lit(1_000_000.0)) * F.try_element_at(price_map, col(model))
 
 
-def format_decimal(x, decimals: int) -> Column:
-    """Fixed-point text of x at `decimals` digits, rounding half to even."""
-    return F.format_string(f"%.{decimals}f", F.bround(col(x), decimals))
-
-
-def format_ci_cell(mean, low, upp, decimals: int = 3) -> Column:
-    """'mean\\n[low, upp]' with low floored at 0; 'N/A' when any part is null."""
-    m, lo, up = col(mean), col(low), col(upp)
-    text = F.concat(format_decimal(m, decimals), F.lit("\n["),
-                    format_decimal(F.greatest(F.lit(0.0), lo), decimals), F.lit(", "),
-                    format_decimal(up, decimals), F.lit("]"))
-    return F.when(m.isNull() | lo.isNull() | up.isNull(), F.lit("N/A")).otherwise(text)
-
-
-def float_text(x) -> Column:
-    """Shortest text of a double as Python prints it ('0.5', '1.0'); null -> 'nan'."""
-    return F.coalesce(col(x).cast("string"), F.lit("nan"))
-
-
-def mean_sd_text(mean, sd, decimals: int = 3) -> Column:
-    """'m (SD=s)' with both rounded half-even to `decimals`."""
-    return F.concat(float_text(F.bround(col(mean), decimals)), F.lit(" (SD="),
-                    float_text(F.bround(col(sd), decimals)), F.lit(")"))
-
-
-def interval_text(mean, low, upp, decimals: int = 3) -> Column:
-    """'m [l-u]' with each part rounded to `decimals` ('nan' for null)."""
-    return F.concat(float_text(F.bround(col(mean), decimals)), F.lit(" ["),
-                    float_text(F.bround(col(low), decimals)), F.lit("-"),
-                    float_text(F.bround(col(upp), decimals)), F.lit("]"))
-
+# Report cells as SQL text over column names or expressions.
 
 def format_decimal_sql(x: str, decimals: int) -> str:
+    """Fixed-point text of x at `decimals` digits, rounding half to even."""
     return f"format_string('%.{decimals}f', bround({x}, {decimals}))"
 
 
 def format_ci_cell_sql(mean: str, low: str, upp: str, decimals: int = 3) -> str:
-    """SQL text of format_ci_cell over column names or SQL expressions."""
+    """'mean\\n[low, upp]' with low floored at 0; 'N/A' when any part is null."""
     return (f"CASE WHEN ({mean}) IS NULL OR ({low}) IS NULL OR ({upp}) IS NULL THEN 'N/A' ELSE "
             f"concat({format_decimal_sql(mean, decimals)}, '\\n[', "
             f"{format_decimal_sql(f'greatest(0.0D, {low})', decimals)}, ', ', "
@@ -114,15 +80,21 @@ def format_ci_cell_sql(mean: str, low: str, upp: str, decimals: int = 3) -> str:
 
 
 def float_text_sql(x: str) -> str:
+    """Shortest text of a double as Python prints it ('0.5', '1.0'); null -> 'nan'."""
     return f"coalesce(CAST({x} AS STRING), 'nan')"
 
 
 def interval_text_sql(mean: str, low: str, upp: str, decimals: int = 3) -> str:
-    """SQL text of interval_text."""
+    """'m [l-u]' with each part rounded half-even to `decimals` ('nan' for null)."""
     f = lambda e: float_text_sql(f"bround({e}, {decimals})")
     return f"concat({f(mean)}, ' [', {f(low)}, '-', {f(upp)}, ']')"
 
 
 def mean_sd_text_sql(mean: str, sd: str, decimals: int = 3) -> str:
+    """'m (SD=s)' with both rounded half-even to `decimals`."""
     f = lambda e: float_text_sql(f"bround({e}, {decimals})")
     return f"concat({f(mean)}, ' (SD=', {f(sd)}, ')')"
+
+
+def format_ci_cell(mean: str, low: str, upp: str, decimals: int = 3) -> Column:
+    return F.expr(format_ci_cell_sql(mean, low, upp, decimals))

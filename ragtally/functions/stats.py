@@ -106,67 +106,19 @@ def t975_table(max_df: int = T_TABLE_MAX_DF) -> tuple[float, ...]:
     return tuple(t_ppf_upper(0.025, df) for df in range(1, max_df + 1))
 
 
-def t975_large_df(df: Column) -> Column:
-    """Cornish-Fisher expansion of t(0.975, df); error < 1e-10 for df > 100."""
-    z = Z975
-    g1 = (z ** 3 + z) / 4.0
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
-    g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
-    d = df.cast("double")
-    return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d) + F.lit(g4) / (d * d * d * d)
-
-
 @functools.lru_cache(maxsize=None)
 def _t975_sql_array() -> str:
     return "array(" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in t975_table()) + ")"
 
 
-def t975(df: Column) -> Column:
-    """Critical value t(0.975, df) as a Column (null for df < 1).  The table
-    is one SQL array literal (parsed once per use, folded to a constant)."""
-    table = F.expr(_t975_sql_array())
-    return (F.when(df < 1, F.lit(None).cast("double"))
-            .when(df <= T_TABLE_MAX_DF, F.element_at(table, df.cast("int")))
-            .otherwise(t975_large_df(df)))
-
-
-# --------------------------------------------------------------------------
-# Interval expressions over aggregates
-
-def t_interval(mean: Column, sd: Column, n: Column, floor_zero: bool = False,
-               tcrit: Column | None = None) -> tuple[Column, Column]:
-    """mean +- t(0.975, n-1) * sd / sqrt(n); null when n < 2.
-
-    Pass `tcrit` (a column already holding t975(n - 1)) to avoid repeating
-    the table expression in both bounds."""
-    half = (t975(n - 1) if tcrit is None else tcrit) * sd / F.sqrt(n.cast("double"))
-    ok = n >= 2
-    low = F.when(ok, mean - half)
-    upp = F.when(ok, mean + half)
-    if floor_zero:
-        low = F.when(ok, F.greatest(F.lit(0.0), mean - half))
-    return low, upp
-
-
-def agresti_coull(count: Column, nobs: Column) -> tuple[Column, Column]:
-    """Agresti-Coull 95 % interval for count successes in nobs, clipped to [0, 1]."""
-    z2 = Z975 * Z975
-    n_c = nobs.cast("double") + F.lit(z2)
-    q_c = (count.cast("double") + F.lit(z2 / 2.0)) / n_c
-    dist = F.lit(Z975) * F.sqrt(q_c * (F.lit(1.0) - q_c) / n_c)
-    ok = nobs > 0
-    low = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), q_c - dist)))
-    upp = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), q_c + dist)))
-    return low, upp
-
-
 # --------------------------------------------------------------------------
-# The same formulas as SQL text over column names: one F.expr call builds a
-# whole interval instead of dozens of Column calls (each a py4j round trip),
-# which matters when a report builds dozens of intervals.
+# Formulas as SQL text over column names or expressions: one F.expr call
+# builds a whole interval instead of dozens of Column calls (each a py4j round
+# trip), which matters when a report builds dozens of intervals.
 
 def t975_sql(df: str) -> str:
+    """Critical value t(0.975, df), null for df < 1: the table up to
+    T_TABLE_MAX_DF, the Cornish-Fisher expansion (error < 1e-10) beyond."""
     z = Z975
     g1 = (z ** 3 + z) / 4.0
     g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
@@ -180,7 +132,8 @@ def t975_sql(df: str) -> str:
 
 
 def t_interval_sql(mean: str, sd: str, n: str, floor_zero: bool = False, tcrit: str | None = None) -> tuple[str, str]:
-    """SQL text of t_interval over column names."""
+    """mean +- t(0.975, n-1) * sd / sqrt(n); null when n < 2.  Pass `tcrit`
+    (a column that holds t975(n - 1)) to keep the table out of both bounds."""
     half = f"(({tcrit or t975_sql(f'({n} - 1)')}) * {sd} / sqrt(CAST({n} AS DOUBLE)))"
     low = f"({mean} - {half})"
     if floor_zero:
@@ -189,7 +142,7 @@ def t_interval_sql(mean: str, sd: str, n: str, floor_zero: bool = False, tcrit:
 
 
 def agresti_coull_sql(count: str, nobs: str) -> tuple[str, str]:
-    """SQL text of agresti_coull over column names."""
+    """Agresti-Coull 95 % interval for count successes in nobs, clipped to [0, 1]."""
     z2 = Z975 * Z975
     nc = f"(CAST({nobs} AS DOUBLE) + {z2!r}D)"
     qc = f"((CAST({count} AS DOUBLE) + {z2 / 2.0!r}D) / {nc})"
@@ -213,3 +166,13 @@ def two_sided_p_sql(z: str) -> str:
     for c in reversed(ERFC[:-1]):
         poly = f"({c!r}D + {t} * {poly})"
     return f"({t} * exp({poly} - {x} * {x}))"
+
+
+def t_interval(mean: str, sd: str, n: str, floor_zero: bool = False) -> tuple[Column, Column]:
+    low, upp = t_interval_sql(mean, sd, n, floor_zero)
+    return F.expr(low), F.expr(upp)
+
+
+def agresti_coull(count: str, nobs: str) -> tuple[Column, Column]:
+    low, upp = agresti_coull_sql(count, nobs)
+    return F.expr(low), F.expr(upp)

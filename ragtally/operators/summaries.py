@@ -50,6 +50,7 @@ def with_eval_metrics(df: DataFrame, prices: Mapping[str, float], k: int) -> Dat
 # Metric specs: (name, per-iteration source column, interval kind, display decimals).
 # kind: "prop" = Agresti-Coull on the per-iteration values, "t" = t interval,
 # "t0" = t interval with the lower bound floored at 0.
+# The report's metrics, their decimals and order.
 CI_METRICS = (
     ("cor_answer", "mean_cor_answer", "prop", 3),
     ("elapsed", "mean_elapsed", "t", 2),
@@ -162,13 +163,15 @@ def two_step_summary(evals: DataFrame, keys: Sequence[str], variables: Mapping[s
         aggs += [F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"),
                  F.count(v).alias(f"{v}__n"), F.sum(v).alias(f"{v}__sum")]
     g = per_q.groupBy(*keys).agg(*aggs)
+    g = g.withColumns({f"{v}__t": F.expr(S.t975_sql(f"(`{v}__n` - 1)")) for v, kind in variables.items()
+                       if kind != "proportion"})
     out = [F.col(c) for c in keys]
     for v, kind in variables.items():
         mean, n = f"`{v}__mean`", f"`{v}__n`"
         if kind == "proportion":
             low, upp = S.agresti_coull_sql(f"`{v}__sum`", n)
         else:
-            low, upp = S.t_interval_sql(mean, f"`{v}__sd`", n, floor_zero=v in ("Latency", "Price"))
+            low, upp = S.t_interval_sql(mean, f"`{v}__sd`", n, floor_zero=v in ("Latency", "Price"), tcrit=f"`{v}__t`")
         if text:
             out.append(F.expr(M.interval_text_sql(mean, low, upp)).alias(v))
         else:
@@ -187,10 +190,12 @@ def two_stage_analysis(evals: DataFrame, keys: Sequence[str], variables: Mapping
         aggs += [F.avg(src).alias(f"{v}__mean"), F.stddev_samp(src).alias(f"{v}__sd"),
                  F.count(src).alias(f"{v}__n")]
     g = stage1.groupBy(*keys).agg(*aggs)
+    g = g.withColumns({f"{v}__t": F.expr(S.t975_sql(f"(`{v}__n` - 1)")) for v in variables})
     out = [F.col(c) for c in keys]
     for v in variables:
         mean = f"`{v}__mean`"
-        low, upp = S.t_interval_sql(mean, f"`{v}__sd`", f"`{v}__n`", floor_zero=v in ("Latency", "Price"))
+        low, upp = S.t_interval_sql(mean, f"`{v}__sd`", f"`{v}__n`", floor_zero=v in ("Latency", "Price"),
+                                     tcrit=f"`{v}__t`")
         out.append(F.expr(M.interval_text_sql(mean, low, upp)).alias(v))
     return g.select(*out)
 

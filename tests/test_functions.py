@@ -84,8 +84,11 @@ def test_t_table_against_published_quantiles():
 
 
 def test_t_large_df(spark):
-    df = spark.createDataFrame([(120,), (2000,)], "d int").select(S.t975(F.col("d")).alias("t"))
+    df = spark.createDataFrame([(120,), (2000,), (100,), (101,), (0,)], "d int").select(F.expr(S.t975_sql("d")).alias("t"))
     vals = [r.t for r in df.collect()]
+    # both sides of the joint of table and expansion
+    assert vals[2] == pytest.approx(S.t_ppf_upper(0.025, 100), abs=1e-9)
+    assert vals[3] == pytest.approx(S.t_ppf_upper(0.025, 101), abs=1e-9) and vals[4] is None
     assert vals[0] == pytest.approx(S.t_ppf_upper(0.025, 120), abs=1e-9)
     assert vals[1] == pytest.approx(S.t_ppf_upper(0.025, 2000), abs=1e-9)
     assert vals[0] == pytest.approx(1.97993, abs=1e-5)
@@ -101,7 +104,7 @@ def test_two_sided_p_is_right_far_out(spark):
 
 def test_agresti_coull_and_t_interval(spark):
     df = spark.createDataFrame([(3.0, 10), (0.0, 0), (10.0, 10)], "c double, n long")
-    low, upp = S.agresti_coull(F.col("c"), F.col("n"))
+    low, upp = S.agresti_coull("c", "n")
     out = df.select(low.alias("l"), upp.alias("u")).collect()
     z = S.Z975
     nc = 10 + z * z
@@ -110,7 +113,7 @@ def test_agresti_coull_and_t_interval(spark):
     assert out[1].l is None and out[2].u == 1.0
     vals = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double").agg(
         F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("n"))
-    lo, up = S.t_interval(F.col("m"), F.col("s"), F.col("n"))
+    lo, up = S.t_interval("m", "s", "n")
     r = vals.select("m", lo.alias("lo"), up.alias("up")).first()
     assert r.lo <= r.m <= r.up
     half = S.t975_table()[1] * math.sqrt(7 / 3) / math.sqrt(3)
