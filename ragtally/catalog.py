@@ -506,6 +506,30 @@ def q_message_parts(spark, sf):
                     F.array_join("context_refs", "|").alias("context_refs"))
 
 
+def _page_messages(spark, sf):
+    """Experiment-2 messages: each question with the images of its page hits."""
+    g = _page_hits(spark, sf).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "page_key"))).alias("_h"))
+    links = F.transform("_h", lambda x: F.concat(F.lit("/pages/"), x["page_key"].cast("string"), F.lit(".jpg")))
+    m = FX.fx_mcq(spark, sf).join(g.select(F.col("query_id").alias("Question_nr"), links.alias("links")), "Question_nr")
+    return m.select("Question_nr", PR.image_context_message("question", "links").alias("message"))
+
+
+@register
+def q_image_context_message(spark, sf):
+    return _page_messages(spark, sf).select("Question_nr", _render(F.col("message")).alias("message"))
+
+
+@register
+def q_message_payloads(spark, sf):
+    # stand-in for a binary scan of the page images: every second page has a file
+    pages = FX.fx_patches(spark, sf).select("page_key").distinct().where("page_key % 2 = 0").select(
+        F.concat(F.lit("/pages/"), F.col("page_key").cast("string"), F.lit(".jpg")).alias("path"),
+        F.encode(F.concat(F.lit("image of page "), F.col("page_key").cast("string")), "UTF-8").alias("content"))
+    m = PR.attach_image_payloads(_page_messages(spark, sf), pages, ["Question_nr"], mime=TX.EXP1_IMAGE_TYPE,
+                                 keep_missing=False)
+    return m.select("Question_nr", _render(F.col("message")).alias("message"))
+
+
 @register
 def q_two_stage_prompt(spark, sf):
     # stand-in for the model's summaries: one per (question, rank) of the real hits

@@ -27,7 +27,9 @@ EXP2_PROMPT_MID = ("\nBelow are the possible answers, where letters mark each an
                    "The answers are:\n")
 EXP2_RETRIEVAL_MID = " The answers are: "
 CONTEXT_LEAD = "Here is context information:"
-IMAGE_URL_PREFIX = "data:image/jpeg;base64,"
+IMAGE_CONTEXT_LEAD = "Context information:"
+# MIME types of image parts: experiment 1 sends PNG, experiment 2 and descriptions JPEG.
+EXP1_IMAGE_TYPE, EXP2_IMAGE_TYPE = "image/png", "image/jpeg"
 
 
 def reference_label(document_name="document_name", file_name=None, page_no="page_no", page_id=None) -> Column:
@@ -74,11 +76,11 @@ def truncate(text, n: int) -> Column:
     return F.substring(col(text), 1, n)
 
 
-def image_data_url(content, prefix: str = IMAGE_URL_PREFIX) -> Column:
-    """Binary file content -> base64 data URL (no resizing).  Spark may chunk
+def image_data_url(content, mime: str = EXP2_IMAGE_TYPE) -> Column:
+    """Binary file content -> base64 data URL of the MIME type (no resizing).  Spark may chunk
     base64 into 76-character lines; the URL carries it unbroken."""
     b64 = F.regexp_replace(F.base64(col(content)), "[\r\n]", "")
-    return F.concat(F.lit(prefix), b64)
+    return F.concat(F.lit(f"data:{mime};base64,"), b64)
 
 
 def clean_newlines(df: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def single_message(prompt, links, text=None) -> Column:
     return F.concat(F.array(text_part(t)), F.transform(col(links), lambda u: image_part(u)))
 
 
+def image_context_message(prompt, links) -> Column:
+    """Experiment-2 message: the prompt, the lead text part of the context, then one image part per link."""
+    return F.concat(F.array(text_part(col(prompt)), text_part(F.lit(TX.IMAGE_CONTEXT_LEAD))),
+                    F.transform(col(links), lambda u: image_part(u)))
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -128,16 +134,22 @@ def no_context(questions: DataFrame, context: DataFrame, key: str = "Question_nr
 
 
 def attach_image_payloads(messages: DataFrame, images: DataFrame, keys: list[str], msg_col: str = "message",
-                          path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Replace image links in messages by base64 data URLs of the files.
+                          path_col: str = "path", content_col: str = "content",
+                          mime: str = TX.EXP2_IMAGE_TYPE, keep_missing: bool = True) -> DataFrame:
+    """Replace image links in messages by base64 data URLs of the files, of
+    the MIME type `mime`.  Links without a file stay, or with
+    keep_missing=False their image parts go (experiment 1 leaves out images
+    that can't be read).
 
     `images` is a ``binaryFile`` scan (path, content); `keys` identify a
     message row.  The parts are exploded and joined to the image table on
     path (a shuffle join: image tables are not size-bounded), then
     re-assembled per message in part order."""
     ex = messages.select(*keys, F.posexplode(msg_col).alias("_pos", "_part"))
-    img = images.select(F.col(path_col).alias("_url"), TX.image_data_url(content_col).alias("_data"))
+    img = images.select(F.col(path_col).alias("_url"), TX.image_data_url(content_col, mime).alias("_data"))
     ex = ex.join(img, ex["_part.url"] == img["_url"], "left")
+    if not keep_missing:
+        ex = ex.where((F.col("_part.type") != "image_url") | F.col("_data").isNotNull())
     part = F.struct(F.col("_part.type").alias("type"), F.col("_part.text").alias("text"),
                     F.coalesce(F.col("_data"), F.col("_part.url")).alias("url"))
     back = ex.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", part.alias("p")))).alias("_ps"))

@@ -2,23 +2,43 @@
 
 The fixture views of FIXTURES.md are inlined as CTEs over the pre-registered
 test tables.  Formulas are written independently of the Spark code, in
-DuckDB's dialect; the shared numeric constants (t table, z, normal-CDF
-coefficients) come from :mod:`ragtally.functions.stats`.
+DuckDB's dialect, and constants (quantiles, prompt texts, run modes, patterns)
+are written out or computed here on their own; only the fixtures' parameters
+are shared.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from .functions import stats as S
-from .functions import text as TX
-from .operators import ingest as IN
-from .plans import run_plan as RP
 from .sources import fixtures as FX
-from .sources.tables import TABLES
 
 ORACLE: dict[str, str] = {}
 
+# Prompt texts, run modes and metric descriptions.
+EXP1_HEAD = "You are an expert biomedical researcher. Carefully read the question and the answer choices.\n"
+EXP1_TAIL = ("If contextual snippets are provided, use them judiciously. "
+             "Respond with a single capital letter (A, B, C, or D).")
+EXP2_HEAD = """You are an experienced senior researcher tasked with providing in-depth analysis.
+Use all the information at your disposal, such as uploaded files and other sources. \
+Think about the following statement or question: """
+EXP2_MID = """
+Below are the possible answers, where letters mark each answer. First, exclude the unlikely answer or answers, \
+rethink, and select an output from the rest. The output is only ONE letter from the list ['A', 'B', 'C', 'D']. \
+Check that you return only one letter; if two letters, choose one. No explanations. The answers are:
+"""
+EXP2_RETRIEVAL_MID = " The answers are: "
+CONTEXT_LEAD = "Here is context information:"
+EXP1_MODES = (("no_RAG", "", ""), ("text_RAG", "RAG_TEXT", "mm_RAG"), ("mm_RAG", "MM_STORE", "mm_RAG"),
+              ("colpali", "COL_PALI", "colpali"))
+DESCRIPTIONS = (("Cor_answer", "Average correctness rate per question"),
+                ("Elapsed", "Average wall-clock time per question (seconds)"),
+                ("Total_tokens", "Average total tokens consumed per question"),
+                ("P@5", "Precision@5: share of retrieved documents containing the reference paper"),
+                ("Throughput", "Average tokens processed per second"), ("Cost", "USD spent per iteration/run"),
+                ("Price-per-cost", "Cents spent per correct answer"))
+
 # ------------------------------------------------------------------ fixtures
 
 FX_SQL = {
@@ -137,17 +157,42 @@ def cost_sql(model: str = "Model", tok: str = "Total_tokens") -> str:
     return f"(CAST({tok} AS DOUBLE) / 1e6) * (CASE {model} {cases} END)"
 
 
-T_LIST = "[" + ", ".join(repr(v) for v in S.t975_table()) + "]"
+Z975 = 1.9599639845400545  # standard normal quantile at 0.975
+T_TABLE_MAX_DF = 100
+
+
+def _t975(df: int) -> float:
+    """t(0.975, df) from the finite series of the t distribution's integral A(t, df) = 0.95, by bisection."""
+    def inside(t: float) -> float:
+        theta = math.atan(t / math.sqrt(df))
+        c, s = math.cos(theta), math.sin(theta)
+        if df == 1:
+            return 2 * theta / math.pi
+        term, total = (c, c) if df % 2 else (1.0, 1.0)
+        k = 2 if df % 2 else 1
+        while k + 2 <= df - 1:  # coefficients 2/3, 4/5 ... (odd df) or 1/2, 3/4 ... (even df)
+            term *= k / (k + 1) * c * c
+            total += term
+            k += 2
+        return 2 / math.pi * (theta + s * total) if df % 2 else s * total
+    lo, hi = 0.0, 20.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if inside(mid) < 0.95 else (lo, mid)
+    return (lo + hi) / 2
+
+
+T_LIST = "[" + ", ".join(repr(_t975(df)) for df in range(1, T_TABLE_MAX_DF + 1)) + "]"
 
 
 def t975_sql(df: str) -> str:
-    z = S.Z975
+    z = Z975
     g1 = (z ** 3 + z) / 4.0
     g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
     g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
     g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160.0
     d = f"CAST({df} AS DOUBLE)"
-    return (f"CASE WHEN {df} < 1 THEN NULL WHEN {df} <= {S.T_TABLE_MAX_DF} THEN {T_LIST}[CAST({df} AS BIGINT)] "
+    return (f"CASE WHEN {df} < 1 THEN NULL WHEN {df} <= {T_TABLE_MAX_DF} THEN {T_LIST}[CAST({df} AS BIGINT)] "
             f"ELSE {z!r} + {g1!r} / {d} + {g2!r} / ({d} * {d}) + {g3!r} / ({d} * {d} * {d}) "
             f"+ {g4!r} / ({d} * {d} * {d} * {d}) END")
 
@@ -161,7 +206,7 @@ def t_bounds_sql(mean: str, sd: str, n: str, floor_zero: bool = False) -> tuple[
 
 
 def ac_bounds_sql(count: str, nobs: str) -> tuple[str, str]:
-    z = S.Z975
+    z = Z975
     z2 = z * z
     nc = f"(CAST({nobs} AS DOUBLE) + {z2!r})"
     qc = f"((CAST({count} AS DOUBLE) + {z2 / 2.0!r}) / {nc})"
@@ -627,8 +672,8 @@ def choices_sql(a: str, b: str, c: str, d: str, sep: str) -> str:
 
 
 def instruction_sql(question: str, a: str, b: str, c: str, d: str) -> str:
-    return (f"concat({q(TX.EXP1_INSTRUCTION_HEAD)}, 'Question: ', {question}, chr(10) || 'Choices:' || chr(10), "
-            f"{choices_sql(a, b, c, d, 'chr(10)')}, chr(10), {q(TX.EXP1_INSTRUCTION_TAIL)})")
+    return (f"concat({q(EXP1_HEAD)}, 'Question: ', {question}, chr(10) || 'Choices:' || chr(10), "
+            f"{choices_sql(a, b, c, d, 'chr(10)')}, chr(10), {q(EXP1_TAIL)})")
 
 
 EXP1_Q = ("eq", f"""SELECT m.*, {instruction_sql('m.question', '[m.A, m.B, m.C, m.D][perm[1] + 1]',
@@ -657,8 +702,20 @@ FROM eq e LEFT JOIN (
                                   "fx_mcq", perm_cte("fx_mcq"), EXP1_Q, "fx_points", PAYLOAD_POINTS, DENSE_HITS,
                                   ENTRIES))
 
+_PAGE_MESSAGE = """
+SELECT m.Question_nr, concat('text:', m.question, ' || text:Context information:', coalesce(g.parts, '')) AS message
+FROM fx_mcq m JOIN (SELECT query_id, string_agg({part}, '' ORDER BY "rank") AS parts FROM ph GROUP BY query_id) g
+  ON m.Question_nr = g.query_id"""
+register("image_context_message", with_fx(_PAGE_MESSAGE.format(
+    part="concat(' || image_url:/pages/', CAST(page_key AS VARCHAR), '.jpg')"),
+    "fx_mcq", "fx_patches", "fx_qtokens", MS, PAGE_HITS))
+register("message_payloads", with_fx(_PAGE_MESSAGE.format(
+    part="CASE WHEN page_key % 2 = 0 THEN concat(' || image_url:data:image/png;base64,', "
+         "base64(encode(concat('image of page ', CAST(page_key AS VARCHAR))))) ELSE '' END"),
+    "fx_mcq", "fx_patches", "fx_qtokens", MS, PAGE_HITS))
+
 register("two_stage_prompt", with_fx(f"""
-SELECT m.Question_nr, concat('text:', m.question, {q(TX.CONTEXT_LEAD)}, s.joined) AS message
+SELECT m.Question_nr, concat('text:', m.question, {q(CONTEXT_LEAD)}, s.joined) AS message
 FROM fx_mcq m JOIN (
   SELECT query_id AS Question_nr,
          string_agg(concat('summary of ', document_name, ' ', page_content), chr(10) ORDER BY "rank") AS joined
@@ -676,8 +733,8 @@ register("instruction_block", with_fx("SELECT Question_nr, instruction FROM eq",
                                       EXP1_Q))
 
 register("exp2_prompts", with_fx(f"""
-SELECT Question_nr, concat(question, {q(TX.EXP2_RETRIEVAL_MID)}, {choices_sql('A', 'B', 'C', 'D', '')}) AS retrieval_prompt,
-       concat({q(TX.EXP2_PROMPT_HEAD)}, question, {q(TX.EXP2_PROMPT_MID)}, {choices_sql('A', 'B', 'C', 'D', '')})
+SELECT Question_nr, concat(question, {q(EXP2_RETRIEVAL_MID)}, {choices_sql('A', 'B', 'C', 'D', '')}) AS retrieval_prompt,
+       concat({q(EXP2_HEAD)}, question, {q(EXP2_MID)}, {choices_sql('A', 'B', 'C', 'D', '')})
          AS model_prompt
 FROM fx_mcq""", "fx_mcq"))
 
@@ -696,7 +753,7 @@ SELECT conv_id, turn, substr(raw_response, 1, 50) AS resp_init, substr(raw_respo
 FROM fx_responses""", "fx_responses"))
 
 register("image_payload", f"""
-SELECT conv_id, turn, concat({q(TX.IMAGE_URL_PREFIX)}, base64(encode(text))) AS url FROM conversations""")
+SELECT conv_id, turn, concat('data:image/jpeg;base64,', base64(encode(text))) AS url FROM conversations""")
 
 register("extract_content", with_fx("""
 SELECT conv_id, turn,
@@ -1008,9 +1065,7 @@ SELECT Model, cond_1, cond_2, n_items_used, round(statistic, 4) AS statistic, ro
 
 # ------------------------------------------------------------------ 2.4 plans, 2.9 descriptions
 
-_stores = {"vd_text": "RAG_TEXT", "vd_mm": "MM_STORE", "vd_colpali": "COL_PALI"}
-_modes = " UNION ALL ".join(f"SELECT {q(m)} AS mode, {q(_stores.get(v, ''))} AS vector_db, {q(t)} AS eval_type"
-                            for m, v, t in RP.EXP1_MODES)
+_modes = " UNION ALL ".join(f"SELECT {q(m)} AS mode, {q(v)} AS vector_db, {q(t)} AS eval_type" for m, v, t in EXP1_MODES)
 register("run_plan", with_fx(f"""
 SELECT model_short, perm_label, CAST(r AS INTEGER) AS "repeat", mode, vector_db, eval_type,
   concat('eval_', model_short, '_', mode, '_', perm_label, '_benchmark') AS output_stub,
@@ -1022,7 +1077,7 @@ FROM (SELECT DISTINCT replace(Model, '_', '-') AS model_short FROM fx_eval) m,
 
 _display = {"cor_answer": "Cor_answer", "elapsed": "Elapsed", "tokens": "Total_tokens", "precision": "P@5",
             "throughput": "Throughput", "cost": "Cost", "price_per_correct": "Price-per-cost"}
-_desc_case = "CASE Metric " + " ".join(f"WHEN {q(m)} THEN {q(d)}" for m, d in RP.metric_descriptions(5)) + " END"
+_desc_case = "CASE Metric " + " ".join(f"WHEN {q(m)} THEN {q(d)}" for m, d in DESCRIPTIONS) + " END"
 register("metric_descriptions", "WITH s AS (" + ci_summary_sql(CI_KEYS) + "), long AS ("
          + " UNION ALL ".join(f"SELECT {q(v)} AS Metric, {k} AS cell FROM s" for k, v in _display.items())
          + f""")
