@@ -736,23 +736,28 @@ def q_scan_config(spark, sf):
 
 
 RUN_CSV_SCHEMA = "event_id long, Model string, Model_ret string, Question_nr long, Cor_answer int, Elapsed double"
-RUN_JSON_SCHEMA = "event_id long, Model string, Model_ret string, Question_nr long, Cor_answer int, Difficulty string"
+RUN_JSON_SCHEMA = ("event_id long, Model_ret string, Question_nr long, Cor_answer int, Difficulty string, "
+                   "elapsed_time double, timestamp string, permuted_answers boolean")
 
 
 @register
 def q_scan_runs(spark, sf):
     ev = FX.fx_eval(spark, sf)
     root = scratch_path(spark, "runs")
+    # two runs: a CSV one without a header record, a JSON one whose rows carry it
     ev.where("Iteration % 2 = 1").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer", "Elapsed") \
-      .write.options(**RD.CSV_OPTIONS).csv(f"{root}/csv")
-    ev.where("Iteration % 2 = 0").select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer",
-                                         "Difficulty").write.json(f"{root}/json")
+      .write.options(**RD.CSV_OPTIONS).csv(f"{root}/csv/eval_gen-a_mm_RAG_perm_benchmark_20250101-101500_perm_q.csv")
+    ev.where("Iteration % 2 = 0").select(
+        "event_id", "Model_ret", "Question_nr", "Cor_answer", "Difficulty",
+        F.lit(12.5).alias("elapsed_time"), F.lit("20250102-235959").alias("timestamp"),
+        F.lit(True).alias("permuted_answers")).write.json(f"{root}/json/eval_gen-b_text_RAG_no_perm_benchmark_20250102-110000.json")
     from pyspark.sql.types import _parse_datatype_string
-    r = RD.scan_runs(spark, f"{root}/csv", f"{root}/json", _parse_datatype_string(RUN_CSV_SCHEMA),
+    r = RD.scan_runs(spark, f"{root}/csv/*", f"{root}/json/*", _parse_datatype_string(RUN_CSV_SCHEMA),
                      _parse_datatype_string(RUN_JSON_SCHEMA))
-    fmt = F.regexp_extract("file_path", r"\.(csv|json)$", 1)
-    return round_doubles(r.select("event_id", "Model", "Model_ret", "Question_nr", "Cor_answer", "Elapsed",
-                                  "Difficulty", fmt.alias("fmt")))
+    return round_doubles(r.select(
+        "event_id", "Model_ret", "Question_nr", "Cor_answer", "Elapsed", "Difficulty", "model_short", "vd_name", "perm_label",
+        "file_timestamp", "run_timestamp", F.col("permuted_answers").cast("int").alias("permuted_answers"), "elapsed_time",
+        F.col("valid").cast("int").alias("valid")))
 
 
 @register

@@ -848,11 +848,14 @@ SELECT DISTINCT Model AS model_name, upper(Model) AS model_short, concat('MM_',
                                 "fx_eval"))
 
 register("scan_runs", with_fx("""
-SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, round(Elapsed, 4) AS Elapsed, NULL::VARCHAR AS Difficulty,
-       'csv' AS fmt FROM fx_eval WHERE Iteration % 2 = 1
+SELECT event_id, Model_ret, Question_nr, Cor_answer, round(Elapsed, 4) AS Elapsed, NULL::VARCHAR AS Difficulty,
+  'gen-a' AS model_short, 'mm_RAG' AS vd_name, 'perm' AS perm_label, '20250101-101500' AS file_timestamp,
+  '20250101-101500' AS run_timestamp, 1 AS permuted_answers, NULL::DOUBLE AS elapsed_time, 1 AS valid
+FROM fx_eval WHERE Iteration % 2 = 1
 UNION ALL
-SELECT event_id, Model, Model_ret, Question_nr, Cor_answer, NULL::DOUBLE, Difficulty, 'json' FROM fx_eval
-WHERE Iteration % 2 = 0""", "fx_eval"))
+SELECT event_id, Model_ret, Question_nr, Cor_answer, NULL::DOUBLE, Difficulty, 'gen-b', 'text_RAG', 'no_perm',
+  '20250102-110000', '20250102-235959', 1, 12.5, 1
+FROM fx_eval WHERE Iteration % 2 = 0""", "fx_eval"))
 
 register("merge_runs", with_fx("SELECT event_id, Model, Model_ret, Iteration, Question_nr, Cor_answer FROM fx_eval",
                                "fx_eval"))

@@ -105,7 +105,13 @@ def scan_config(spark: SparkSession, path: str | None) -> DataFrame:
 def scan_runs(spark: SparkSession, csv_path: str | None, json_path: str | None,
               csv_schema: T.StructType | None = None, json_schema: T.StructType | None = None) -> DataFrame:
     """All run files of a folder (CSV and JSON lines), each row tagged with
-    its file path and parsed file-name metadata; layouts unioned by name."""
+    its file path and its run's metadata; layouts unioned by name.
+
+    The run's name is the file's, or its folder's where the file is a written
+    part ('part-*').  The name gives model_short, vd_name, perm_label and
+    file_timestamp; a run header's columns (model, elapsed_time, timestamp,
+    permuted_answers) come first where the file has them: run_timestamp and
+    permuted_answers fall back to the name."""
     frames = []
     if csv_path:
         r = spark.read.options(**CSV_OPTIONS)
@@ -118,8 +124,15 @@ def scan_runs(spark: SparkSession, csv_path: str | None, json_path: str | None,
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    out = out.withColumn("file_name", F.substring_index("file_path", "/", -1))
-    return A.with_run_name(out, "file_name")
+    header = {c: F.col(f"_{c}") for c in ("timestamp", "permuted_answers") if c in out.columns}
+    out = out.withColumnsRenamed({c: f"_{c}" for c in header})
+    last = F.substring_index("file_path", "/", -1)
+    folder = F.substring_index(F.substring_index("file_path", "/", -2), "/", 1)
+    out = A.with_run_name(out.withColumn("file_name", F.when(last.startswith("part-"), folder).otherwise(last)), "file_name")
+    return out.withColumnRenamed("timestamp", "file_timestamp").withColumns({
+        "run_timestamp": F.coalesce(*([header["timestamp"]] if "timestamp" in header else []), F.col("file_timestamp")),
+        "permuted_answers": F.coalesce(*([header["permuted_answers"]] if "permuted_answers" in header else []),
+                                       F.col("perm_label") == "perm")}).drop(*[f"_{c}" for c in header])
 
 
 def merge_runs(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv",
