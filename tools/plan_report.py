@@ -28,7 +28,7 @@ def summarise(plan: str) -> dict:
         "bnlj": count(r"BroadcastNestedLoopJoin"),
         "cartesian": count(r"CartesianProduct"),
         "group_limit": count(r"WindowGroupLimit"),
-        "python": count(r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas"),
+        "python": count(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMap(Co)?GroupsIn"),
         "scans": len(scans),
         "pushed": pushed,
     }
@@ -37,11 +37,11 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from ragtally.session import build_session
-    import __spark_entry__ as E
+    from ragtally.catalog import QUERIES
 
     spark = build_session()
     rows = []
-    for key, fn in E.queries().items():
+    for key, fn in QUERIES.items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         rows.append((key, summarise(plan)))
     cols = ["shuffles", "broadcasts", "bnlj", "cartesian", "group_limit", "python", "scans", "pushed"]
