@@ -133,6 +133,9 @@ def test_pattern_and_heap_merges_equal_the_library(tokenizer):
     pool += ["the ", "ing", "'s", "'re", " ", "\n", "\t", "\x1c", "\x85", "\xa0"] * 20
     find = regex.compile(public_tokenizers.PATTERN).findall
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40))) for _ in range(800)]
+    split = bpe.Splitter(public_tokenizers.PATTERN)
+    for t in [*texts, *(t.encode("ascii", "ignore").decode() for t in texts), *(chr(c) + " a1" + chr(c) + chr(c) for c in range(0x200))]:
+        assert split(t) == find(t)
     for t in [*texts, "a" * 3000 + " " * 2000 + "é" * 500, ""]:
         assert [i for w in find(t) for i in bpe.merge_word(w.encode(), ranks)] == library.encode_ordinary(t)
 
