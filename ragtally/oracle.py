@@ -929,6 +929,21 @@ SELECT page_id, pos, tag, kind, text FROM (
                            chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM pages) a) b) c) d
 WHERE text <> ''""")
 
+_cells = """array_to_string(list_transform(regexp_extract_all(menu, '<li>(.*?)</li>', 1),
+    lambda c: trim(replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '&amp;', '&'))), ' | ')"""
+register("html_tables", f"""
+SELECT page_id, CAST(n AS INT) AS table_no, 'Menu & more' AS caption, '| ' || cells || ' |' AS markdown,
+       'Menu & more | ' || cells || ' |' AS page_content
+FROM (SELECT page_id, n, {_cells} AS cells
+      FROM (SELECT page_id, unnest(range(len(menus))) AS n, unnest(menus) AS menu
+            FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS menus FROM pages) a) b) c""")
+register("html_images", """
+SELECT page_id, CAST(n AS INT) AS image_no, '/img/1.png' AS img_link, 'Figure <1>' AS caption
+FROM (SELECT page_id, unnest(range(len(regexp_extract_all(html, '<h1>')))) AS n FROM pages) p""")
+register("page_image_links", with_fx("""
+SELECT vec_id, concat('pages/', replace(document_name, '.pdf', ''), '_', printf('%03d', page_no), '.png') AS img_link
+FROM fx_points""", "fx_points"))
+
 ELEM = ("el", "SELECT *, CAST(floor(pos / 40) + 1 AS INTEGER) AS page_no FROM fx_elements")
 CHUNKS = ("ch", """
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens,
@@ -1078,6 +1093,14 @@ FROM (SELECT DISTINCT replace(Model, '_', '-') AS model_short FROM fx_eval) m,
      (SELECT true AS permute, 'perm' AS perm_label UNION ALL SELECT false, 'no_perm') p,
      range(1, 6) rr(r), ({_modes}) md""", "fx_eval"))
 
+register("exp2_plan", with_fx(f"""
+SELECT generator, retriever, CAST(i AS INT) AS iteration
+FROM (SELECT DISTINCT Model AS generator FROM fx_eval) g, (SELECT unnest({'[' + ', '.join(q(r) for r in FX.RETRIEVERS) + ']'})
+      AS retriever) r, range(1, 6) t(i)""", "fx_eval"))
+register("reject_run_files", with_fx("""
+SELECT file_id, regexp_replace(file_name, '_benchmark_[0-9]+-[0-9]+', '_benchmark_x') AS file_name
+FROM fx_run_files WHERE file_id % 7 = 0 AND file_name LIKE '%.json'""", "fx_run_files"))
+
 _display = {"cor_answer": "Cor_answer", "elapsed": "Elapsed", "tokens": "Total_tokens", "precision": "P@5",
             "throughput": "Throughput", "cost": "Cost", "price_per_correct": "Price-per-cost"}
 _desc_case = "CASE Metric " + " ".join(f"WHEN {q(m)} THEN {q(d)}" for m, d in DESCRIPTIONS) + " END"
