@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def hash_share(*columns: str) -> Column:
+    """A number in [0, 1) from a hash of the columns: rows below s are a share s of all, the same in every run."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) / float(1 << 31)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -9,8 +9,8 @@ as square roots of shares, of length one.
 Families are those of FAMILIES (two-letter codes, fixed values); a language
 without an entry is a family of its own.
 
-Learning: a bounded sample of the labelled rows, at most SAMPLE rows in all and
-an equal share for each language, by the order of a hash of the id; null
+Learning: a bounded sample of the labelled rows, about SAMPLE rows in all (never
+over twice that) and an equal number for each language, by a hash of the id; null
 languages and rows with crc32(doc_id as text) mod 4 = 2 never take part.  The
 machines (squared hinge loss) are fitted on the driver from the sample's
 features, SAMPLE x FEATURES numbers.
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import hash_share
 
 FOLDS, HELD_OUT = 4, 2
 FEATURES = 4096
@@ -77,15 +78,15 @@ def has_letter(text: str) -> bool:
 
 def fit_svm(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
     """Weights (last: constant) of a linear machine with squared hinge loss; both classes weigh the same."""
-    y = np.where(positive, 1.0, -1.0)
-    weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
-    w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    y = np.where(positive, 1.0, -1.0).astype(x.dtype)
+    weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1)).astype(x.dtype)
+    w, v, t = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), 1.0
     step = 1 / (4.0 + PENALTY)  # rows have length sqrt(2) with the constant
     for _ in range(ROUNDS):  # accelerated gradient steps
-        slack = np.maximum(0.0, 1 - y * (x @ v))
-        new = v - step * (PENALTY * v - 2 * (x.T @ (weight * y * slack)))
+        slack = np.maximum(0, 1 - y * (x @ v))
+        new = (v - step * (PENALTY * v - 2 * ((weight * y * slack) @ x))).astype(x.dtype)
         t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        v, w = new + (last - 1) / t * (new - w), new
+        v, w = (new + (last - 1) / t * (new - w)).astype(x.dtype), new
     return w
 
 
@@ -154,13 +155,13 @@ def train(docs: DataFrame) -> Model:
     ship_package(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                         & (fold() != HELD_OUT))
-    n = usable.agg(F.count_distinct("lang")).first()[0]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    n = counts.count()
     if not n:
         return Model(np.zeros((0, FEATURES), np.float32), [])
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(
-        F.col("k") <= max(1, SAMPLE // n)).select("lang", "doc_id").distinct()
-    # at most SAMPLE rows of an id and a code: a proven bound for the broadcast
+    ids = usable.select("lang", "doc_id").join(counts, "lang").where(
+        hash_share("doc_id") < max(1, SAMPLE // n) / F.col("rows")).select("lang", "doc_id").distinct().limit(2 * SAMPLE)
+    # at most 2 * SAMPLE rows of an id and a code: a proven bound for the broadcast
     chosen = usable.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
     rows = chosen.select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").limit(2 * SAMPLE).toPandas()
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), FEATURES)

@@ -167,3 +167,17 @@ SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM p
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
 """
+
+ORACLE["op5_substring_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT r, i + k AS i FROM rep, range(35) t(k)),
+spans AS (SELECT r, count(*) AS n_removed, count(*) FILTER (WHERE first) AS n_spans
+          FROM (SELECT r, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) <> i - 1, true) AS first FROM gone) GROUP BY r),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text
+         FROM (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)
+"""
