@@ -106,7 +106,8 @@ def candidates(docs: DataFrame, measure: Callable[[bytes], tuple[int, bytes, np.
     groups = written(prints.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("rid").alias("rid")), "groups")
     anchors = prints.select("rid", "row_key", "hashes").join(groups.select("rid", "copies"), "rid")
     places = anchors.select("rid", F.posexplode("hashes").alias("at", "hash"))
-    often = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below reads plain exchanges and a hot hash can be split among tasks
+    often = written(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "often")
     found = places.join(often, "hash").groupBy("rid").agg(
         F.collect_list(F.when(F.col("n") <= hot_at, F.col("at"))).alias("at"),
         F.collect_list(F.when(F.col("n") > hot_at, F.col("at"))).alias("hot"))
@@ -127,8 +128,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def repeated(windows: DataFrame, digest: list[str], size: int) -> DataFrame:
     """Spans of the windows (rid, start, digest columns) whose digest occurs twice or more: rid, start, end.
-    Counts are combined before the shuffle; the join back splits hot digests."""
-    often = windows.groupBy(*digest).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    Counts are combined before the shuffle; they are written, so that the join back reads plain exchanges and
+    hot digests can be split among tasks."""
+    often = written(windows.groupBy(*digest).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
     return windows.join(often, digest).select("rid", "start", (F.col("start") + size).alias("end"))
 
 
