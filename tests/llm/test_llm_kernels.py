@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -210,3 +211,11 @@ def test_toxicity_curve_and_values():
     bucket = toxicity._buckets(toxicity.expressions("Scum!"))
     model = toxicity.Model(bucket, np.array([4.0]))
     assert model.value("you SCUM, you") == pytest.approx(4 / 3) and model.value("") == 0.0
+
+
+def test_toxicity_counts_words_of_very_long_texts():
+    row = pa.record_batch({"doc_id": [1], "text": ["plain " * 700_000 + "moron"]})
+    f = next(toxicity._features(iter([row])))
+    f = pa.record_batch({"toxic": [1], "copies": [1]} | {c: f.column(c) for c in ("n", "buckets", "counts")})
+    counts = next(toxicity._sums(iter([f])))
+    assert counts.num_rows == 2 and min(counts.column("toxic").to_pylist()) > 0

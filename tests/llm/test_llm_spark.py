@@ -282,6 +282,17 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert all(r.score < 1e-6 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_counts_large_groups_of_copies(spark):
+    rnd = random.Random(16)
+    text = lambda k: " ".join(f"word{rnd.randint(0, 100)}" for _ in range(k))
+    shared = "aaa bbb ccc ddd eee "
+    bad = F.element_at(F.array(*[F.lit(f"{shared} {text(3)} scum") for _ in range(4)]), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = spark.range(16_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")).withColumn("text", bad)
+    d = d.unionByName(spark.createDataFrame([(i, 0, text(60)) for i in range(16_000, 16_600)], d.schema))
+    # some 2,400 learned copies of each text count as one, not as nothing
+    assert toxicity.train(d, d.select("doc_id", "toxic")).value("scum") > 0
+
+
 def test_language_id_held_out(spark, docs, empty):
     rnd = random.Random(7)
     syllables = {"en": "th er on an re he in ed", "de": "ei ch sch un ge ie au tz", "fr": "ou ai eu qu en on é ç",
