@@ -219,3 +219,15 @@ def test_toxicity_counts_words_of_very_long_texts():
     f = pa.record_batch({"toxic": [1], "copies": [1]} | {c: f.column(c) for c in ("n", "buckets", "counts")})
     counts = next(toxicity._sums(iter([f])))
     assert counts.num_rows == 2 and min(counts.column("toxic").to_pylist()) > 0
+
+
+def test_toxicity_expressions_share_no_slots():
+    # more expressions than 2^20 slots
+    rows = pa.record_batch({"doc_id": [1, 2], "text": ["scum", " ".join(f"w{i}" for i in range(2_000_000))]})
+    f = next(toxicity._features(iter([rows])))
+    f = pa.record_batch({"toxic": [1, 0], "copies": [1, 1]} | {c: f.column(c) for c in ("n", "buckets", "counts")})
+    counts = pa.Table.from_batches(toxicity._sums(iter([f]))).to_pydict()
+    assert len(set(counts["bucket"])) == 2_000_001
+    scum = toxicity._buckets(toxicity.expressions("scum"))[0]
+    assert [t for b, t in zip(counts["bucket"], counts["toxic"]) if t] == [toxicity.UNIT]
+    assert [o for b, o in zip(counts["bucket"], counts["ordinary"]) if b == scum] == [0]
