@@ -171,6 +171,21 @@ def test_extract_one_page():
     assert html_extract.extract("<p>a</p><p>b") == "a\nb"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='has-sidebar menu-closed header-fixed'><article><p>Text</p></article></body>", "Text"),
+    ("<body class='single sidebar'><p>Text</p></body>", "Text"),
+    ("<article class='post comments-open'><p>Text</p></article>", "Text"),
+    ("<article><div class='entry-header'><h1>Head</h1></div><p>Text</p></article>", "Head\nText"),
+    ("<article><div class='long-form'><p>Text</p></div><div class='ad-free'><p>More</p></div></article>", "Text\nMore"),
+    ("<div id='content-with-sidebar'><p>Text</p></div><div class='site-footer'>f</div>", "Text"),
+    ("<div class='related'><article><p>Text</p></article></div>", "Text"),
+    ("<article><p>Text</p></article><div class='related'><article><p>Other</p></article></div>", "Text"),
+    ("<article><h2 class='notice'>Head</h2><p>Text</p><div class='notice'>n</div></article>", "Head\nText"),
+    ("<article><p>Text</p><div id='ad-2'>a</div><div class='x comments-area'>c</div></article>", "Text")])
+def test_names_say_what_a_branch_is_only_as_a_whole(page, text):
+    assert html_extract.extract(page) == text
+
+
 def test_low_importance_branches_go_where_no_article_says_otherwise():
     def nodes(pages):
         import pyarrow as pa
