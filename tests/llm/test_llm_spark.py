@@ -329,6 +329,16 @@ def test_html_extraction(spark):
     assert html_extract.main_texts(d.where("false")).count() == 0
 
 
+def test_html_extraction_merges_pages_whose_wrappers_have_values_of_their_own(spark):
+    page = ("<body class='postid-{0}'><div id='page-{0}'><div class=top>Welcome</div>"
+            "<div class=text><h2>Title {0}</h2><p>Own text {0}</p></div></div></body>")
+    d = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(9)],
+                              "page_id long, url string, html string")
+    got = html_extract.main_texts(d)
+    assert collected(got, "page_id", "text") == Counter((i, f"Title {i}\nOwn text {i}") for i in range(9))
+    assert "FlatMapGroups" not in html_extract.low_branches(d)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("shard", [4096, 20])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
