@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, mixing, quality, simhash, substring, suffix_dedup, topk, toxicity
+from . import bpe, html_extract, langid, minhash, mixing, quality, simhash, substring, suffix_dedup, topk, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+@register
+def op11_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 80 per cent alike."""
+    return minhash.components(documents(spark, sf_dir))
+
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
