@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, minhash, mixing, quality, simhash, substring, suffix_dedup, topk, toxicity
+from . import bpe, html_extract, langid, minhash, mixing, quality, runs, simhash, substring, suffix_dedup, topk, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op11_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(documents(spark, sf_dir))
 
 
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of them made periodic."""
+    return runs.digests(runs.periodic(runs.damaged(documents(spark, sf_dir))))
+
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
