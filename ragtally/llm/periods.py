@@ -16,7 +16,6 @@ strings recur near enough (:func:`stretches`) are appended at all; both leave ou
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 LEAST_LENGTH = 24
 EXPONENT = 3
@@ -160,7 +159,7 @@ def stretches(words: list[bytes]) -> list[tuple[int, int]]:
     n = len(words) - GRAM + 1
     if n < 2:
         return []
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)  # compared within this text only
     width = 1
     while width < GRAM:  # strings of twice the words; the last step overlaps if GRAM is no power of two
         step = min(width, GRAM - width)
@@ -188,22 +187,6 @@ def stretches(words: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-class _WordHashes(dict):
-    """Hash of a word; remembers a bounded number of them."""
-
-    most = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def runs(words: list[bytes]) -> list[tuple[int, int, int]]:
     """All runs (start, length, period) of a text's words, by start, then period."""
     parts = stretches(words)
