@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, minhash, mixing, quality, runs, simhash, substring, suffix_dedup, topk, toxicity
+from . import (bpe, conversations, html_extract, langid, minhash, mixing, quality, runs, simhash, substring,
+               suffix_dedup, topk, toxicity)
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic(runs.damaged(documents(spark, sf_dir))))
 
 
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least edits that repair all conversations, a fifth of whose rows are damaged."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
