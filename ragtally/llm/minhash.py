@@ -93,45 +93,39 @@ def _confirm(u: np.ndarray, v: np.ndarray, sets: dict[int, set], least: int) ->
     return forest
 
 
-def _edges(forest: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())],
-                                      names=["a", "b"])
-
-
-def _confirm_batches(least: int):
-    """Rows sorted by (gu, gv, kind): the sets of a pair of groups (kind 0), then their candidates (kind 1)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, us, vs = None, {}, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if us:
-                pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-                yield _edges(_confirm(pairs[:, 0], pairs[:, 1], sets, least))
-
-        for batch in batches:
-            for gu, gv, node, hashes, u, v in zip(*[batch.column(n) for n in ("gu", "gv", "node", "hashes", "u", "v")], strict=True):
-                now = (gu.as_py(), gv.as_py())
-                if now != key:
-                    yield from done()
-                    key, sets, us, vs = now, {}, [], []
-                if node.is_valid:
-                    sets[node.as_py()] = set(np.frombuffer(hashes.as_py(), np.uint64).tolist())
-                else:
-                    us.append(u.values.to_numpy())
-                    vs.append(v.values.to_numpy())
-        yield from done()
+def _edges(forest: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
+
+
+def _confirm_groups(least: int):
+    """The sets that a pair of groups needs (one row a side) and its candidates (rows of nodes u and v)."""
+    def run(t: pa.Table) -> pa.Table:
+        sets, us, vs = {}, [], []
+        for nodes, hashes, u, v in zip(*[t.column(n) for n in ("nodes", "sets", "u", "v")], strict=True):
+            if u.is_valid:
+                us.append(u.values.to_numpy())
+                vs.append(v.values.to_numpy())
+                continue
+            for node, h in zip(nodes.as_py(), hashes.as_py(), strict=True):
+                sets[node] = set(np.frombuffer(h, np.uint64).tolist())
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+        return _edges(_confirm(pairs[:, 0], pairs[:, 1], sets, least))
     return run
 
 
 def confirmed(candidates: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """Links (a, b) among candidates (gu, gv, u array, v array), u and v nodes of the groups gu and gv; `sets` has
-    (node, hashes).  Of the links between two groups a spanning forest is returned."""
-    ends = candidates.select("gu", "gv", F.explode(F.array_distinct(F.concat("u", "v"))).alias("node")).distinct()
-    nothing = F.lit(None).cast("array<bigint>")
-    rows = ends.join(sets, "node").select("gu", "gv", F.lit(0).alias("kind"), "node", "hashes", nothing.alias("u"), nothing.alias("v"))
-    rows = rows.unionByName(candidates.select("gu", "gv", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("node"),
-                                              F.lit(None).cast("binary").alias("hashes"), "u", "v"))
-    return rows.repartition("gu", "gv").sortWithinPartitions("gu", "gv", "kind").mapInArrow(_confirm_batches(least), "a long, b long")
+    (group, list of node and hashes).  A pair of groups gets the sets it needs, one row a side.  Of the links between
+    two groups a spanning forest is returned."""
+    side = lambda group, wanted: F.struct(F.col(group).alias("group"), F.array_distinct(wanted).alias("wanted"))
+    sides = candidates.select("gu", "gv", F.explode(F.array(side("gu", F.col("u")), side("gv", F.col("v")))).alias("s"))
+    found = sides.select("gu", "gv", "s.*").join(sets, "group").select(
+        "gu", "gv", F.filter("list", lambda x: F.array_contains(F.col("wanted"), x["node"])).alias("list"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    rows = found.select("gu", "gv", F.col("list.node").alias("nodes"), F.col("list.hashes").alias("sets"),
+                        nothing("array<bigint>").alias("u"), nothing("array<bigint>").alias("v"))
+    rows = rows.union(candidates.select("gu", "gv", nothing("array<bigint>"), nothing("array<binary>"), "u", "v"))
+    return rows.groupBy("gu", "gv").applyInArrow(_confirm_groups(least), "a long, b long")
 
 
 def _sizes_allow(a: Column, b: Column, least: int) -> Column:
@@ -194,7 +188,8 @@ def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, least: int = LEA
     info = written(groups.join(nodes.select("node", "n_shingles", "sketch"), "node"), "minhash-info")
     wanted = prints.join(info.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "row_key")
     texts = _keyed(docs).select("row_key", "text").dropDuplicates(["row_key"]).join(wanted, "row_key")
-    sets = written(texts.select("node", "text").mapInArrow(_set_batches, "node long, hashes binary"), "minhash-sets")
+    sets = texts.select("node", "text").mapInArrow(_set_batches, "node long, hashes binary").join(info.select("node", "group"), "node")
+    sets = written(sets.groupBy("group").agg(F.collect_list(F.struct("node", "hashes")).alias("list")), "minhash-sets")
     most = oddsketch.most_bits(least / 100)
 
     def side(name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Kernels of the MinHash near-duplicate operator (11): shingle sets, MinHash samples, bands, odd sketches.
 
-A set is the sorted 64-bit hashes of a text's distinct shingles: XXH3 of each word, four of them mixed by
+A set is the sorted 64-bit hashes of a text's distinct shingles: the words' hashes, four of them mixed by
 multiplications and shifts, so equal word sequences and no others (but for chance, 2^-64 a pair) are equal.
 
 SAMPLES MinHash values describe a set.  The first BANDS * ROWS of them, ROWS at a time, are the band keys.  All of
@@ -14,7 +14,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import xxhash
+
+from .wordhash import MULTIPLY, mixed, word_hashes
 
 SHINGLE = 4
 SAMPLES = 256
@@ -24,50 +25,26 @@ BITS = 1024
 #: Chance that the sketches of a pair at the least similarity refuse it.
 REFUSED = 1e-10
 
-_MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # odd mixing constants
-_CHUNK = 1024
-
-
-class _WordHashes(dict):
-    """Hash of a word; remembers a bounded number of them."""
-
-    most = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Bit mixer: every output bit depends on every input bit."""
-    h = (h ^ (h >> np.uint64(30))) * _MULTIPLY[1]
-    h = (h ^ (h >> np.uint64(27))) * _MULTIPLY[2]
-    return h ^ (h >> np.uint64(31))
+_CHUNK = 256  # rows of a table of SAMPLES columns that stays in cache
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes; a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    w = word_hashes((text or "").encode().lower())  # bytes: only A-Z change, only ASCII white space separates
+    if not len(w):
+        return w
     k = min(shingle, len(w))
     n = len(w) - k + 1
     h = np.full(n, k, dtype=np.uint64)
     for j in range(k):
-        h = mixed((h ^ w[j:j + n]) * _MULTIPLY[0])
-    return np.unique(h)
+        h = mixed((h ^ w[j:j + n]) * MULTIPLY[0])
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(1, SAMPLES + 1, dtype=np.uint64)
-    return mixed(at * _MULTIPLY[0]), mixed(at * _MULTIPLY[1]) | np.uint64(1)
+    return mixed(at * MULTIPLY[0]), mixed(at * MULTIPLY[1]) | np.uint64(1)
 
 
 _FLIP, _FACTOR = _seeds()
@@ -77,7 +54,9 @@ def samples(hashes: np.ndarray) -> np.ndarray:
     """SAMPLES MinHash values of a set that is not empty: the least of a family of mixed hashes."""
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, ((hashes[i:i + _CHUNK, None] ^ _FLIP) * _FACTOR).min(axis=0))
+        part = hashes[i:i + _CHUNK, None] ^ _FLIP
+        part *= _FACTOR
+        np.minimum(least, part.min(axis=0), out=least)
     return least
 
 
@@ -86,7 +65,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     rows = least[:BANDS * ROWS].reshape(BANDS, ROWS)
     h = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
-        h = mixed((h ^ rows[:, j]) * _MULTIPLY[0])
+        h = mixed((h ^ rows[:, j]) * MULTIPLY[0])
     return h
 
 
