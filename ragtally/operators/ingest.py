@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions._util import col
 from ..session import scratch_path
-from .ordering import BLOCK, running_sum, sequence_number
+from .ordering import BLOCK, sequence_number
+from .packing import pack_lines
 
 
 # Tags that begin or end a block, the kinds of those that hold
@@ -67,17 +68,21 @@ def extract_elements(pages: DataFrame, id_col: str = "page_id", html_col: str =
     numeric) are decoded, whitespace collapsed, empty elements dropped."""
     clean = F.regexp_replace(F.col(html_col), DROP_PATTERN, "")
     marked = F.split(F.regexp_replace(clean, BLOCK_PATTERN, "\u0001$1\u0002"), "\u0001")
-    ex = pages.select(id_col, F.posexplode(marked).alias("pos", "part"))
-    opened = F.lower(F.substring_index("part", "\u0002", 1))
-    has_tag = F.instr("part", "\u0002") > 0
-    inner = F.when(has_tag, F.substring_index("part", "\u0002", -1)).otherwise(F.col("part"))
-    tag = F.when(has_tag & ~opened.startswith("/"), opened).otherwise("text")
-    text = F.trim(F.regexp_replace(_decode(F.regexp_replace(F.regexp_replace("inner", r"(?i)<br\b[^>]*>", " "),
-                                                         r"<[^>]*>", "")), r"\s+", " "))
     kind = F.create_map(*[x for k, v in KIND.items() for x in (F.lit(k), F.lit(v))])
-    ex = ex.select(id_col, "pos", tag.alias("tag"), inner.alias("inner"))
-    return (ex.select(id_col, "pos", "tag", F.coalesce(F.try_element_at(kind, F.col("tag")), F.lit("text")).alias("kind"),
-                      text.alias("text")).where(F.col("text") != ""))
+
+    def element(part: Column, pos: Column) -> Column:
+        has_tag = F.instr(part, "\u0002") > 0
+        opened = F.lower(F.substring_index(part, "\u0002", 1))
+        tag = F.when(has_tag & ~opened.startswith("/"), opened).otherwise("text")
+        inner = F.substring_index(part, "\u0002", -1)  # the part itself without a mark
+        text = F.regexp_replace(F.regexp_replace(inner, r"(?i)<br\b[^>]*>", " "), r"<[^>]*>", "")
+        text = F.when(F.instr(part, "&") > 0, _decode(text)).otherwise(text)
+        return F.struct(pos.alias("pos"), tag.alias("tag"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+
+    # the texts are computed in the array, once; a filter on rows would be pushed below and compute them again
+    found = F.filter(F.transform(marked, element), lambda e: e["text"] != "")
+    ex = pages.select(id_col, F.explode(found).alias("e")).select(id_col, "e.pos", "e.tag", "e.text")
+    return ex.select(id_col, "pos", "tag", F.coalesce(F.try_element_at(kind, F.col("tag")), F.lit("text")).alias("kind"), "text")
 
 
 def chunk_text(elements: DataFrame, budget: int = 512, doc: str = "doc_id", pos: str = "pos",
@@ -85,38 +90,18 @@ def chunk_text(elements: DataFrame, budget: int = 512, doc: str = "doc_id", pos:
     """Pack consecutive lines into chunks of at most `budget` tokens, tokens =
     whitespace-separated words.
 
-    Rule: a document's words are numbered through; chunk c holds the words
-    c * budget ... (c + 1) * budget - 1.  A line that lies in several chunks
-    is split at their borders, its words joined by single spaces; others keep
-    their text.  Chunk = its pieces joined by newlines in order, first page,
-    line refs.
+    Rule: a chunk takes whole lines while they fit; the line that doesn't fit
+    opens the next chunk.  Only a line above the budget is split, into pieces
+    of `budget` words and a rest, packed like lines, their words joined by
+    single spaces; other lines keep their text.  Chunk = its lines joined by
+    newlines in order, first page, line refs.  See :mod:`.packing`.
     """
-    words = F.filter(F.split(F.col(line), r"\s+"), lambda w: w != "")
-    d = elements.withColumn("_words", words)
-    d = d.withColumn("_ntok", F.size("_words"))
-    if "type" not in d.columns:  # untyped lines are text
-        d = d.withColumn("type", F.lit("text"))
-    d = running_sum(d, [doc], pos, "_ntok", "_before", block, exclusive=True)
-    first = F.floor(F.col("_before") / budget)
-    last = F.greatest(first, F.floor((F.col("_before") + F.col("_ntok") - 1) / budget))
-    d = d.withColumn("_first", first).withColumn("_last", last)
-    d = d.withColumn("chunk", F.explode(F.sequence("_first", "_last")))
-    start = F.greatest(F.col("chunk") * budget - F.col("_before"), F.lit(0))
-    end = F.least((F.col("chunk") + 1) * budget - F.col("_before"), F.col("_ntok"))
-    piece = F.slice("_words", (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
-    d = d.withColumn("_piece", F.when(F.col("_first") == F.col("_last"), F.col(line)).otherwise(F.array_join(piece, " ")))
-    d = d.withColumn("_n", F.when(F.col("_first") == F.col("_last"), F.col("_ntok")).otherwise(F.size(piece)))
-    g = d.withColumn("chunk", F.col("chunk").cast("int")).groupBy(doc, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_piece").alias("l"),
-                                             F.col("type").alias("t")))).alias("_ls"),
-        F.sum("_n").alias("n_tokens"),
-        F.min_by(F.col(page), F.col(pos)).alias("first_page"))
-    return g.select(
-        doc, "chunk", F.size("_ls").alias("n_lines"), F.col("n_tokens").cast("bigint").alias("n_tokens"),
-        "first_page",
-        F.array_join(F.transform("_ls", lambda x: F.concat(F.lit("#/lines/"), x["p"].cast("string"))), " ").alias("ref"),
-        F.array_join(F.transform("_ls", lambda x: x["l"]), "\n").alias("text"),
-        ((F.size("_ls") == 1) & (F.element_at("_ls", 1)["t"] == "table")).alias("lone_table"))
+    if "type" not in elements.columns:  # untyped lines are text
+        elements = elements.withColumn("type", F.lit("text"))
+    n = F.size(F.filter(F.split(F.coalesce(F.col(line), F.lit("")), r"\s+"), lambda w: w != ""))
+    g = pack_lines(elements, n, budget, doc, pos, line, page, "type", block)
+    return g.select(doc, "chunk", "n_lines", "n_tokens", "first_page", "ref", "text",
+                    ((F.col("n_lines") == 1) & (F.col("type") == "table")).alias("lone_table"))
 
 
 def table_elements(elements: DataFrame, doc: str = "doc_id", pos: str = "pos", line: str = "line") -> DataFrame:
@@ -208,12 +193,16 @@ def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out:
     """Lexical stand-in for the neural encoder: lower-cased word characters
     runs -> md5 buckets -> term counts x inverse document frequency
     ln((N + 1) / (df + 1)) -> unit length -> array<double> (zeros for a text
-    without tokens).  One pass over the texts: term counts are written once
-    and read for the frequencies and for the vectors; a document's counts are
-    combined before the shuffle, the bucket table has `dim` rows."""
+    without tokens).  Texts are dealt by document once; words are counted per
+    document before they are hashed, and buckets summed, without another
+    shuffle.  The sparse counts are written once and read for the frequencies
+    and for the vectors, whose entries are laid out in bucket order with the
+    zeros between them."""
     tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^0-9A-Za-z_]+"), lambda w: w != "")
-    bucket = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
-    counts = docs.select(id_col, F.explode(bucket).alias("_b")).groupBy(id_col, "_b").agg(F.count(F.lit(1)).alias("_tf"))
+    bucket = (F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    counts = (docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(tokens).alias("_w"))
+              .groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_n"))
+              .select(id_col, bucket.alias("_b"), "_n").groupBy(id_col, "_b").agg(F.sum("_n").alias("_tf")))
     path = scratch_path(docs.sparkSession, "term-counts")
     counts.write.parquet(path)
     counts = docs.sparkSession.read.parquet(path)
@@ -222,11 +211,13 @@ def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out:
     parts = counts.join(idf, "_b").groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("_b", (F.col("_tf") * F.col("_idf")).alias("w")))).alias("_p"))
     norm = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    unit = parts.withColumn("_norm", norm).select(id_col, F.map_from_entries(F.transform(
-        "_p", lambda x: F.struct(x["_b"], F.when(F.col("_norm") > 0, x["w"] / F.col("_norm")).otherwise(0.0)))).alias("_m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return docs.join(unit, id_col, "left").withColumn(out, F.when(F.col("_m").isNull(), F.array_repeat(
-        F.lit(0.0), dim)).otherwise(vector)).drop("_m")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    gap = lambda x, i: x["_b"] - F.coalesce(F.get("_p", i - 1)["_b"], F.lit(-1)) - 1
+    entry = lambda x: F.when(F.col("_norm") > 0, x["w"] / F.col("_norm")).otherwise(0.0)
+    laid = F.flatten(F.transform("_p", lambda x, i: F.concat(zeros(gap(x, i)), F.array(entry(x)))))
+    unit = parts.withColumn("_norm", norm).select(
+        id_col, F.concat(laid, zeros(dim - 1 - F.element_at("_p", -1)["_b"])).alias(out))
+    return docs.join(unit, id_col, "left").withColumn(out, F.coalesce(F.col(out), zeros(dim)))
 
 
 # Patterns of table and image markup.

@@ -945,21 +945,30 @@ SELECT vec_id, concat('pages/', replace(document_name, '.pdf', ''), '_', printf(
 FROM fx_points""", "fx_points"))
 
 ELEM = ("el", "SELECT *, CAST(floor(pos / 40) + 1 AS INTEGER) AS page_no FROM fx_elements")
-CHUNKS = ("ch", """
+# greedy packing: pieces of lines, the piece that opens the chunk after one opened at each piece, and the walk along these
+CHUNKS = (
+    ("pc", """
+SELECT *, CAST(sum(n) OVER w AS BIGINT) AS upto, CAST(sum(n) OVER w AS BIGINT) - n AS before, row_number() OVER w AS i
+FROM (SELECT *, least(lo + 512, ntok) - lo AS n, array_to_string(w[lo + 1:lo + 512], ' ') AS part
+      FROM (SELECT *, unnest(range(0, greatest(ntok, 1), 512)) AS lo
+            FROM (SELECT *, len(w) AS ntok FROM (SELECT *,
+                    list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM el) t) u) v) x
+WINDOW w AS (PARTITION BY doc_id ORDER BY pos, lo ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    ("nx", """
+SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 513 - n FOLLOWING AND UNBOUNDED FOLLOWING)
+  AS follow FROM pc"""),
+    ("st", """
+WITH RECURSIVE s AS (SELECT doc_id, min(i) AS i, 0 AS chunk FROM pc GROUP BY doc_id
+  UNION ALL SELECT s.doc_id, follow, chunk + 1 FROM s JOIN nx ON nx.doc_id = s.doc_id AND nx.i = s.i
+  WHERE follow IS NOT NULL) SELECT * FROM s"""),
+    ("ch", """
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS n_lines, CAST(sum(n) AS BIGINT) AS n_tokens,
-  arg_min(page_no, pos) AS first_page,
-  string_agg(concat('#/lines/', CAST(pos AS VARCHAR)), ' ' ORDER BY pos) AS ref,
-  string_agg(piece, chr(10) ORDER BY pos) AS text,
-  (count(*) = 1 AND arg_min(type, pos) = 'table') AS lone_table
-FROM (SELECT *, CASE WHEN c0 = c1 THEN line ELSE array_to_string(w[lo + 1:hi], ' ') END AS piece, hi - lo AS n
-      FROM (SELECT *, greatest(chunk * 512 - before, 0) AS lo, least((chunk + 1) * 512 - before, ntok) AS hi
-            FROM (SELECT *, unnest(range(c0, c1 + 1)) AS chunk
-                  FROM (SELECT *, before // 512 AS c0, greatest(before // 512, (before + ntok - 1) // 512) AS c1
-                        FROM (SELECT *, CAST(sum(ntok) OVER (PARTITION BY doc_id ORDER BY pos
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - ntok AS BIGINT) AS before
-                              FROM (SELECT *, len(w) AS ntok FROM (SELECT *,
-                                      list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM el) t) u) v) x) y) z) zz
-GROUP BY doc_id, chunk""")
+  arg_min(page_no, i) AS first_page,
+  string_agg(concat('#/lines/', CAST(pos AS VARCHAR)), ' ' ORDER BY i) AS ref,
+  string_agg(CASE WHEN n = ntok THEN line ELSE part END, chr(10) ORDER BY i) AS text,
+  (count(*) = 1 AND arg_min(type, i) = 'table') AS lone_table
+FROM (SELECT pc.*, st.chunk FROM pc ASOF JOIN st ON pc.doc_id = st.doc_id AND pc.i >= st.i) c
+GROUP BY doc_id, chunk"""))
 TABLES_SQL = ("tb", """
 SELECT t.doc_id, t.pos, coalesce(p.line, '') AS caption,
   CASE WHEN coalesce(p.line, '') <> '' THEN concat_ws(' ', p.line, t.line) ELSE t.line END AS page_content
@@ -968,7 +977,7 @@ WHERE t.type = 'table'""")
 
 register("chunk_text", with_fx("""
 SELECT doc_id, chunk, n_lines, n_tokens, first_page, ref, text, CAST(lone_table AS INTEGER) AS lone_table FROM ch""",
-                               "fx_elements", ELEM, CHUNKS))
+                               "fx_elements", ELEM, *CHUNKS))
 
 register("table_elements", with_fx("SELECT doc_id, CAST(pos AS INTEGER) AS pos, caption, page_content FROM tb",
                                    "fx_elements", ELEM, TABLES_SQL))
@@ -991,7 +1000,7 @@ SELECT 'multimodal' AS variant, doc_id, concat('chunk-', CAST(chunk AS VARCHAR))
        text AS page_content FROM ch WHERE NOT lone_table
 UNION ALL SELECT 'multimodal', doc_id, concat('table-', CAST(pos AS VARCHAR)), 'table', page_content FROM tb
 UNION ALL SELECT 'text_only', doc_id, concat('chunk-', CAST(chunk AS VARCHAR)), 'text', text FROM ch""",
-                                    "fx_elements", ELEM, CHUNKS, TABLES_SQL))
+                                    "fx_elements", ELEM, *CHUNKS, TABLES_SQL))
 
 register("element_counts", with_fx("""
 SELECT doc_id, count(*) FILTER (WHERE type = 'text') AS text, count(*) FILTER (WHERE type = 'table') AS "table",

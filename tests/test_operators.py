@@ -247,8 +247,41 @@ def test_chunk_rule(spark):
     lines = [(1, i, " ".join(["w"] * n), "text", 1) for i, n in enumerate([3, 3, 3, 5, 1])]
     df = spark.createDataFrame(lines, "doc_id long, pos int, line string, type string, page_no int")
     out = sorted((r.chunk, r.n_tokens) for r in IN.chunk_text(df, budget=6, block=2).collect())
-    # 15 words in windows of 6: the line of five words is split between the second and the third
-    assert out == [(0, 6), (1, 6), (2, 3)]
+    # whole lines while they fit: 3 + 3, then 3 (five more don't fit), then 5 + 1
+    assert out == [(0, 6), (1, 3), (2, 6)]
+
+
+def packed_one_by_one(sizes, budget):
+    """Sequential packer: (line, first word, end word) of each chunk's pieces."""
+    chunks, fill = [[]], 0
+    for i, n in enumerate(sizes):
+        for lo in range(0, max(n, 1), budget):
+            hi = min(lo + budget, n)
+            if fill + hi - lo > budget:
+                chunks.append([])
+                fill = 0
+            chunks[-1].append((i, lo, hi))
+            fill += hi - lo
+    return chunks
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_chunks_are_those_of_a_sequential_packer(spark, block):
+    rnd = random.Random(8)
+    docs = {d: [rnd.choice([0, 1, 3, 9, 20, 64, 65, 300]) for _ in range(n)] for d, n in ((1, 10_000), (2, 16), (3, 17), (4, 1))}
+    words = lambda d, p, n: [f"{d}.{p}.{i}" for i in range(n)]
+    rows = [(d, p, "  ".join(words(d, p, n)), ["text", "table"][p % 2], p // 9) for d, of in docs.items() for p, n in enumerate(of)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, line string, type string, page_no int").repartition(5)
+    got = {(r.doc_id, r.chunk): (r.n_lines, r.n_tokens, r.first_page, r.ref, r.text, r.lone_table)
+           for r in IN.chunk_text(df, 64, block=block).collect()}
+    want = {}
+    for d, of in docs.items():
+        for c, parts in enumerate(packed_one_by_one(of, 64)):
+            text = [("  " if hi - lo == of[p] else " ").join(words(d, p, of[p])[lo:hi]) for p, lo, hi in parts]
+            want[d, c] = (len(parts), sum(hi - lo for _, lo, hi in parts), parts[0][0] // 9,
+                          " ".join(f"#/lines/{p}" for p, _, _ in parts), "\n".join(text),
+                          len(parts) == 1 and parts[0][0] % 2 == 1)
+    assert got == want
 
 
 def test_attach_image_payloads(spark):
