@@ -67,38 +67,46 @@ def _grams(text: bytes) -> np.ndarray:
     return A.mixed(h)
 
 
-def _anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    if len(text) < SIZE:
+def _anchors(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if len(text) < size:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none
     grams = _grams(text)
-    place, first, last = A.window_anchors(grams, SIZE - GRAM + 1)
+    place, first, last = A.window_anchors(grams, size - GRAM + 1)
     return grams[place], place, first, last
 
 
-def _measure(text: bytes) -> tuple[int, bytes, np.ndarray]:
-    return len(text), text, _anchors(text)[0]
+def _measure(size: int):
+    return lambda text: (len(text), text, _anchors(text, size)[0])
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _collect(size: int):
     """The bytes of all strings of each anchor that may repeat; for hot anchors a digest per string."""
-    for b in batches:
-        rows = []
-        for rid, text, at, hot in zip(b.column("rid").to_pylist(), b.column("text"), b.column("at"), b.column("hot"),
-                                      strict=True):
-            data = bytes(text.as_buffer())
-            hashes, place, first, last = _anchors(data)
-            for j in at.as_py():
-                a, e = int(first[j]), int(last[j])
-                rows.append((int(hashes[j].view(np.int64)), rid, a, int(place[j]) - a, data[a:e + SIZE], None))
-            for j in hot.as_py():
-                for s in range(int(first[j]), int(last[j]) + 1):
-                    rows.append((0, rid, s, 0, None, xxhash.xxh3_128_digest(data[s:s + SIZE])))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        for i in range(0, len(rows), 8192):
-            part = rows[i:i + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate(kinds)],
-                                             names=["hash", "rid", "start", "anchor", "bytes", "digest"])
+    names = ["hash", "rid", "start", "anchor", "bytes", "digest"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for rid, text, at, hot in zip(b.column("rid").to_pylist(), b.column("text"), b.column("at"), b.column("hot"),
+                                          strict=True):
+                data = bytes(text.as_buffer())
+                hashes, place, first, last = _anchors(data, size)
+                for j in at.as_py():
+                    a, e = int(first[j]), int(last[j])
+                    rows.append((int(hashes[j].view(np.int64)), rid, a, int(place[j]) - a, data[a:e + size], None))
+                for j in hot.as_py():
+                    for s in range(int(first[j]), int(last[j]) + 1):
+                        rows.append((0, rid, s, 0, None, xxhash.xxh3_128_digest(data[s:s + size])))
+                if len(rows) >= 8192:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+    return run
 
 
 def column_matches(strings: list[bytes], anchor: np.ndarray, group: np.ndarray, size: int = SIZE
@@ -152,7 +160,7 @@ def column_matches(strings: list[bytes], anchor: np.ndarray, group: np.ndarray,
     return first, last
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(size: int):
     """Runs the construction over whole anchor groups; input is sorted by anchor hash."""
     names = ("hash", "rid", "start", "anchor", "bytes")
 
@@ -164,34 +172,36 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [np.zeros(0, np.int64)] * 3
         if rows:
             rid, start, anchor = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-            first, last = column_matches([r[4] for r in rows], anchor, group[many])
+            first, last = column_matches([r[4] for r in rows], anchor, group[many], size)
             hit = first <= last
-            out = [rid[hit], (start + anchor + first)[hit], (start + anchor + last)[hit] + SIZE]
+            out = [rid[hit], (start + anchor + first)[hit], (start + anchor + last)[hit] + size]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rid", "start", "end"])
 
-    rows: list[tuple] = []
-    for b in batches:
-        rows += zip(*(b.column(n).to_pylist() for n in names), strict=True)
-        if len(rows) >= BATCH and rows[0][0] != rows[-1][0]:
-            cut = len(rows)
-            while rows[cut - 1][0] == rows[-1][0]:  # the last group may go on
-                cut -= 1
-            yield spans(rows[:cut])
-            rows = rows[cut:]
-    if rows:
-        yield spans(rows)
-
-
-def repeated_spans(docs: DataFrame) -> tuple[A.Candidates, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            rows += zip(*(b.column(n).to_pylist() for n in names), strict=True)
+            if len(rows) >= BATCH and rows[0][0] != rows[-1][0]:
+                cut = len(rows)
+                while rows[cut - 1][0] == rows[-1][0]:  # the last group may go on
+                    cut -= 1
+                yield spans(rows[:cut])
+                rows = rows[cut:]
+        if rows:
+            yield spans(rows)
+    return run
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE) -> tuple[A.Candidates, DataFrame]:
     """The candidates, and (rid, spans) with the byte intervals that repeat."""
-    c = A.candidates(docs, _measure, HOT_AT)
+    c = A.candidates(docs, _measure(size), HOT_AT)
     strings = c.texts.select("rid", F.encode("text", "UTF-8").alias("text"), "at", "hot").mapInArrow(
-        _collect, "hash long, rid long, start int, anchor int, bytes binary, digest binary")
+        _collect(size), "hash long, rid long, start int, anchor int, bytes binary, digest binary")
     strings = written(strings, "strings")
     found = (strings.where("bytes is not null").drop("digest").repartition("hash").sortWithinPartitions("hash")
-             .mapInArrow(_match, "rid long, start long, end long"))
+             .mapInArrow(_match(size), "rid long, start long, end long"))
     hot = A.repeated(strings.where("digest is not null").select("rid", F.col("start").cast("long").alias("start"), "digest"),
-                     ["digest"], SIZE)
+                     ["digest"], size)
     return c, found.union(hot).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -251,13 +261,13 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with repeated strings cut out of their texts (whole characters only); n_chars, if there,
-    is set anew.  All rows stay, a text that goes as a whole is empty, a null text stays null."""
-    c, spans = repeated_spans(docs)
+def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The documents with repeated strings of `size` bytes cut out of their texts (whole characters only); n_chars,
+    if there, is set anew.  All rows stay, a text that goes as a whole is empty, a null text stays null."""
+    c, spans = repeated_spans(docs, size)
     cuts = c.prints.select("rid", "row_key", "text_key", "size").join(c.groups.drop("rid"), "text_key")
     cuts = cuts.join(spans, "rid", "left").groupBy("row_key").agg(
-        F.max((F.col("copies") > 1) & (F.col("size") >= SIZE)).alias("whole"), F.first("spans", True).alias("spans"))
+        F.max((F.col("copies") > 1) & (F.col("size") >= size)).alias("whole"), F.first("spans", True).alias("spans"))
     cuts = cuts.where("whole or spans is not null")
     columns = docs.columns
     doc = docs.select(F.struct(*columns).alias("__doc"), F.unhex(A.row_key()).alias("row_key"))

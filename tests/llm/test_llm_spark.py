@@ -391,7 +391,7 @@ def test_pipeline(spark, tmp_path, tokenizer):
     texts = [(r.text or "").encode() for r in single]
     assert Counter((r.doc_id, r.text) for r in cut) == Counter(
         (r.doc_id, None if r.text is None else bytes(np.frombuffer(t, np.uint8)[~m]).decode())
-        for r, t, m in zip(single, texts, covered(texts, suffix_dedup.SIZE)))
+        for r, t, m in zip(single, texts, covered(texts, corpus_pipeline.PASSAGE)))
     assert set(mixed) <= set(cut) and max(Counter(mixed).values()) <= 2
     library = tokenizer[1]
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in tokens) == Counter(
