@@ -23,9 +23,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.survivors(docs)
 
 
+#: Bytes of a string that counts as repeated: somewhat less than 50 words have.
+PASSAGE = 250
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that start more than once; every document stays."""
-    return suffix_dedup.deduplicated(docs)
+    """Texts without the PASSAGE-byte strings that start more than once; every document stays."""
+    return suffix_dedup.deduplicated(docs, PASSAGE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
