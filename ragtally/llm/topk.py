@@ -18,9 +18,10 @@ set against all rows) asks; the corpus is never replicated.
 Defined results: null vectors and those with null or non-finite components
 take no part, nor do rows with null id or with a component of 2^50 / SCALE or
 more, which 64-bit scores can't hold; equal scores rank by smaller id; a row
-is no candidate for a query of its own id; exactly repeated rows count once;
-vectors of another length than the query's are no candidates; a query without
-candidates gives no row; an empty table gives an empty result.
+is no candidate for a query of its own id; of repeated rows each is a candidate,
+and a repeated query is asked once; vectors of another length than the query's
+are no candidates; a query without candidates gives no row; very long vectors
+are taken whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -177,14 +178,14 @@ class _Visit:
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; `vectors` as integer_vectors() gives them, `is_query` a condition on vec_id."""
     ship_package(vectors.sparkSession)
-    d = written(vectors.distinct(), "vectors")
+    d = written(vectors, "vectors")
     shards = max(1, -(-d.count() // SHARD))
     nothing = F.lit(int(np.iinfo(np.int64).min))
     d = d.withColumn("home", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     columns = ("shard", "dims", "query", "id", "v", "kth")
     points = d.select(F.col("home").alias("shard"), "dims", F.lit(0).alias("query"), F.col("vec_id").alias("id"), "v",
                       nothing.alias("kth"))
-    queries = d.where(is_query).select(F.col("vec_id").alias("id"), "dims", "v", "home", F.lit(1).alias("query"))
+    queries = d.where(is_query).select(F.col("vec_id").alias("id"), "dims", "v", "home", F.lit(1).alias("query")).distinct()
 
     def visit(q: DataFrame) -> DataFrame:
         rows = points.union(q.select(*columns)).repartition(shards, "shard")

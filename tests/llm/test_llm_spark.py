@@ -351,11 +351,12 @@ def test_top_k(spark, monkeypatch, shard):
     got = {}
     for r in topk.top_k(topk.integer_vectors(d), F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in data} | {1100: [256], 1101: [512], 1150: [1280, 1280]}
+    rows = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data + data[:5]]  # each repeated row is a candidate
+    rows += [(1100, [256]), (1101, [512]), (1150, [1280, 1280])]
     want = {}
-    for q, x in whole.items():
+    for q, x in dict(rows).items():
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole.items() if i != q and len(y) == len(x))[:5]
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q and len(y) == len(x))[:5]
             if best:
                 want[q] = [(r, i, -s) for r, (s, i) in enumerate(best, start=1)]
     assert {q: sorted(v) for q, v in got.items()} == want
