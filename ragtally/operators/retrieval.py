@@ -5,8 +5,10 @@ Plan shape (exact search, as the reference's brute-force scoring), the same
 for any number of points and queries:
 
 * Both sides are blocked by a shuffle.  Points go to shards of at most about
-  ``SHARD_VALUES`` numbers by a hash of their id; every query goes to each
-  shard of its owner.  Only ids and vectors travel.
+  ``SHARD_VALUES`` numbers.  Dense points are dealt by space
+  (:class:`SpaceShards`): a query visits the shards whose bound reaches its kth
+  score.  Pages of several patches are dealt by a hash of their id, and every
+  query goes to each shard of its owner.  Only ids and vectors travel.
 * A shard's points become one matrix; queries stream past it in blocks of
   ``QUERY_BLOCK``, each scored by one matrix product, and only the best k of a
   query in a shard leave the task.  Memory is one shard and one block.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 
 # Numbers of a shard's vectors (32 MiB as doubles).
 SHARD_VALUES = 1 << 22
@@ -126,17 +128,142 @@ def _blocked_top_k(points: DataFrame, queries: DataFrame, k: int, cosine: bool,
         known = F.col(c).isNotNull() if known is None else known & F.col(c).isNotNull()
     if on:
         points, queries = points.where(known), queries.where(known)
-    v = F.transform("v", lambda x: F.transform(x, lambda y: y.cast("double"))).alias("v")
-    qid, pid = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
-    rows = points.select(F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int").alias("shard"), owner.alias("owner"),
-                         F.lit(False).alias("is_query"), "point_id", F.lit(None).cast(qid).alias("query_id"), v)
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), owner.alias("owner"),
-                           F.lit(True).alias("is_query"), F.lit(None).cast(pid).alias("point_id"), "query_id", v)
-    scored = (rows.union(asked).repartition(int(shards) if not on else max(int(shards), 8), "shard", "owner")
-              .sortWithinPartitions("shard", "owner", "is_query")
-              .mapInArrow(_ScoreShards(k, cosine),
-                          f"query_id {qid.simpleString()}, point_id {pid.simpleString()}, score double"))
-    return top_k(scored, k)
+    points = points.select(F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int").alias("shard"), owner.alias("owner"), "point_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), owner.alias("owner"), "query_id", "v")
+    return top_k(_scored(points, asked, k, cosine, int(shards) if not on else max(int(shards), 8)), k)
+
+
+def _scored(points: DataFrame, asked: DataFrame, k: int, cosine: bool, parts: int) -> DataFrame:
+    """The best k of each asked query (shard, owner, query_id, v) in each shard of points (shard, owner, point_id, v).
+    Vectors travel as they are stored (doubles if the sides differ); the tasks compute in doubles."""
+    qid, pid = asked.schema["query_id"].dataType, points.schema["point_id"].dataType
+    kinds = {d.schema["v"].dataType.simpleString() for d in (points, asked)}
+    v = F.col("v").cast(kinds.pop() if len(kinds) == 1 else "array<array<double>>").alias("v")
+    rows = points.select("shard", "owner", F.lit(False).alias("is_query"), "point_id", F.lit(None).cast(qid).alias("query_id"),
+                         v)
+    rows = rows.union(asked.select("shard", "owner", F.lit(True).alias("is_query"), F.lit(None).cast(pid).alias("point_id"),
+                                   "query_id", v))
+    return rows.repartition(parts, "shard", "owner").sortWithinPartitions("shard", "owner", "is_query").mapInArrow(
+        _ScoreShards(k, cosine), f"query_id {qid.simpleString()}, point_id {pid.simpleString()}, score double")
+
+
+# --------------------------------------------------------------------------
+# Shards by space
+
+# Most cells of the space: their centres go to the tasks.
+MOST_CELLS = 1024
+
+
+class _Cells:
+    """Centres of the cells, and the greatest distance of a point of each cell to its centre."""
+
+    def __init__(self, centres: np.ndarray, cosine: bool, radius: np.ndarray | None = None):
+        self.centres, self.cosine, self.radius = centres, cosine, radius
+
+    def _vectors(self, b: pa.RecordBatch) -> np.ndarray:
+        x = _matrices(b.column("v"))[0]
+        return _unit(x) if self.cosine else x
+
+    def assign(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nearest centre of each point, and the distance to it."""
+        for b in batches:
+            x = self._vectors(b)
+            if not len(x):
+                continue
+            cell = ((self.centres ** 2).sum(axis=1)[None, :] - 2 * (x @ self.centres.T)).argmin(axis=1)
+            far = np.linalg.norm(x - self.centres[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(far)],
+                                             names=[*b.schema.names, "cell", "far"])
+
+    def visit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of each query: without a kth score the one of greatest bound; with one, all others whose bound reaches it.
+
+        A point of a cell scores at most the query's product with the centre plus the query's length times the radius."""
+        for b in batches:
+            q = self._vectors(b)
+            if not len(q):
+                continue
+            norm, size = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(self.centres, axis=1)[None, :] + self.radius[None, :]
+            bound = np.where(self.radius >= 0, q @ self.centres.T + norm * self.radius[None, :] + 1e-9 * norm * size, -np.inf)
+            home = bound.argmax(axis=1)
+            first = b.column("kth").is_null().to_numpy(zero_copy_only=False)
+            kth = b.column("kth").fill_null(0.0).to_numpy()
+            go = (bound >= kth[:, None]) & ~first[:, None] & (self.radius >= 0)
+            go[np.arange(len(q)), home] = first
+            at, cell = np.nonzero(go)
+            names = [n for n in b.schema.names if n != "kth"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(at)) for n in names), pa.array(cell, pa.int64())],
+                                             names=[*names, "cell"])
+
+
+class SpaceShards:
+    """Points (point_id, v, *on) dealt to shards by the nearest of a sample of at most MOST_CELLS points, large cells
+    in parts; asked in two rounds.  A query first visits the cell of greatest bound, which gives it a kth score, and
+    then the cells whose bound reaches that score: the others hold none of its best k."""
+
+    def __init__(self, points: DataFrame, cells: int, cosine: bool, on: Sequence[str]):
+        self.spark, self.cosine, self.on = points.sparkSession, cosine, list(on)
+        some = points.orderBy(F.xxhash64("point_id")).limit(min(cells, MOST_CELLS)).select("v").toArrow()
+        centres = _matrices(some.column("v").combine_chunks())[0]
+        self.cells = _Cells(np.unique(_unit(centres) if cosine else centres, axis=0), cosine)
+        rows = points.select("point_id", self._owner().alias("owner"), "v")
+        path = scratch_path(self.spark, "space-shards")
+        rows.mapInArrow(self.cells.assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) +
+                        ", cell long, far double").write.parquet(path)
+        self.points = self.spark.read.parquet(path)
+        found = self.points.groupBy("cell").agg(
+            F.max("far").alias("far"), F.sum(F.size(F.col("v")[0]).cast("long")).alias("values")).collect()
+        n = len(self.cells.centres)
+        self.cells.radius, parts = np.full(n, -1.0), np.ones(n, dtype=np.int64)
+        for r in found:
+            self.cells.radius[r["cell"]], parts[r["cell"]] = r["far"], max(1, -(-r["values"] // SHARD_VALUES))
+        self.shards = int(parts.sum())
+        at = lambda values: F.get(F.lit(values.tolist()), F.col("cell").cast("int"))
+        self.first, self.parts = at(np.cumsum(parts) - parts), at(parts)
+
+    def _owner(self) -> Column:
+        return F.to_json(F.struct(*self.on), {"ignoreNullFields": "false"}) if self.on else F.lit("")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, owner, v, cell): the cells that queries (query_id, v, kth, *on) visit."""
+        q = queries.select("query_id", self._owner().alias("owner"), "v", "kth")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema if f.name != "kth")
+        return q.mapInArrow(self.cells.visit, kinds + ", cell long")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        points = self.points.select((self.first + F.pmod(F.xxhash64("point_id"), self.parts)).cast("int").alias("shard"),
+                                    "owner", "point_id", "v")
+        asked = asked.select(F.explode(F.sequence(self.first, self.first + self.parts - 1)).alias("shard"),
+                             "owner", "query_id", "v")
+        return _scored(points, asked, k, self.cosine, max(self.shards, 8) if self.on else self.shards)
+
+    def top_k(self, queries: DataFrame, k: int) -> DataFrame:
+        home, asked = self.rounds(queries, k)
+        return top_k(home.union(self.search(asked, k)), k)
+
+    def rounds(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Answers of the first round, and the cells of the second."""
+        path = scratch_path(self.spark, "home-answers")
+        top_k(self.search(self.asked(queries.withColumn("kth", F.lit(None).cast("double"))), k), k).drop("rank").write.parquet(path)
+        home = self.spark.read.parquet(path)
+        kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        known = queries.join(kth, "query_id", "left").withColumn(
+            "kth", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf"))).drop("n", "least")
+        return home, self.asked(known)
+
+
+def _dense_top_k(points: DataFrame, queries: DataFrame, k: int, cosine: bool, on: Sequence[str]) -> DataFrame:
+    """Like :func:`_blocked_top_k`, with shards by space; a single shard leaves nothing to choose."""
+    some = (F.size("v") > 0) & (F.size(F.col("v")[0]) > 0)
+    for c in on:  # null owners match nobody
+        some = some & F.col(c).isNotNull()
+    points, queries = points.where(some), queries.where(some)
+    values = points.agg(F.sum(F.size(F.col("v")[0]).cast("long"))).first()[0] or 0
+    cells = -(-values // SHARD_VALUES)
+    if cells <= 1:
+        return _blocked_top_k(points, queries, k, cosine, on)
+    ship_package(points.sparkSession)
+    return SpaceShards(points, cells, cosine, on).top_k(queries, k)
 
 
 # --------------------------------------------------------------------------
@@ -155,7 +282,7 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str =
         F.col("v")[0].isNotNull())
     q = queries.select(F.col(query_id).alias("query_id"), F.array(F.col(query_vec)).alias("v"), *on).where(
         F.col("v")[0].isNotNull())
-    hits = _blocked_top_k(p, q, k, metric == "cosine", list(on))
+    hits = _dense_top_k(p, q, k, metric == "cosine", list(on))
     if on or carry:
         hits = hits.join(points.select(F.col(point_id).alias("point_id"), *on, *carry), "point_id")
     return hits.select("query_id", "rank", "point_id", "score", *on, *carry)
@@ -164,10 +291,116 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str =
 def rescore_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str = "point_id",
                  point_vec: str = "embedding", query_id: str = "query_id",
                  query_vec: str = "embedding") -> DataFrame:
-    """Exact top-k by dot product.  The reference's search asks its store to
-    ignore the quantised copy and to score the full vectors; so does this."""
-    return dense_topk(points, queries, k, point_id=point_id, point_vec=point_vec, query_id=query_id,
-                      query_vec=query_vec, metric="dot")
+    """Exact top-k by dot product: a coarse pass over the quantised copy, then
+    the full vectors of what may still be among the best k.
+
+    The coarse pass knows each score up to the query's length times the point's
+    error, so a point goes on if its upper bound reaches the kth lower bound of
+    the query: the answers are those of the full vectors.  `points` may carry
+    the stored columns of :func:`quantised`; otherwise they are computed."""
+    stored = {"code", "scale", "error"} <= set(points.columns)
+    coarse = points if stored else quantised(points, point_id, point_vec)
+    p = coarse.select(F.col(point_id).alias("point_id"), "code", "scale", "error").where(F.col("code").isNotNull())
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("v")).where(
+        F.size("v") > 0)
+    left = candidates(p, q, k)
+    full = points.select(F.col(point_id).alias("point_id"), F.col(point_vec).cast("array<double>").alias("x"))
+    dot = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y)
+    scored = left.select("query_id", "point_id").join(full, "point_id").join(q, "query_id").select(
+        "query_id", "point_id", dot.alias("score"))
+    return top_k(scored, k).select("query_id", "rank", "point_id", "score")
+
+
+def _quantise(point_id: str, vec: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, scales, errors = [], [], []
+            for x in b.column(vec):
+                x = np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+                scale = float(np.abs(x).max(initial=0.0)) / 127 or 1.0
+                code = np.rint(x / scale).astype(np.int8)
+                codes.append(code.tobytes())
+                scales.append(scale)
+                errors.append(float(np.linalg.norm(x - scale * code)))
+            yield pa.RecordBatch.from_arrays([b.column(point_id), pa.array(codes, pa.binary()), pa.array(scales, pa.float64()),
+                                              pa.array(errors, pa.float64())], names=[point_id, "code", "scale", "error"])
+    return run
+
+
+def quantised(points: DataFrame, point_id: str = "point_id", point_vec: str = "embedding") -> DataFrame:
+    """Point ids with the quantised copy of their vectors, to be stored: code (a signed byte a component), scale, and
+    error, the distance of scale * code to the vector.  Null and empty vectors are left out."""
+    ship_package(points.sparkSession)
+    rows = points.select(point_id, point_vec).where(F.col(point_vec).isNotNull() & (F.size(point_vec) > 0))
+    kind = rows.schema[point_id].dataType.simpleString()
+    return rows.mapInArrow(_quantise(point_id, point_vec), f"`{point_id}` {kind}, code binary, scale double, error double")
+
+
+class _CoarseShards:
+    """Points of a shard that may be among a query's best k: (query_id, point_id, lower, upper).  Rows come sorted by
+    shard, a shard's points before its queries."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, loaded = None, [], None
+        for b in batches:
+            marks = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "is_query")])
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if marks[lo][0] != shard:
+                    shard, parts, loaded = marks[lo][0], [], None
+                if not marks[lo][1]:
+                    parts.append(part)
+                elif parts:
+                    loaded = loaded or self._load(parts)
+                    for i in range(0, part.num_rows, QUERY_BLOCK):
+                        yield self._bounds(loaded, part.slice(i, QUERY_BLOCK))
+
+    def _load(self, parts: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), dtype=np.int8).reshape(t.num_rows, -1)
+        x = code.astype(np.float64) * t.column("scale").to_numpy()[:, None]
+        return t.column("point_id"), x, t.column("error").to_numpy() + 1e-9 * np.linalg.norm(x, axis=1)
+
+    def _bounds(self, loaded: tuple, queries: pa.RecordBatch) -> pa.RecordBatch:
+        ids, x, error = loaded
+        q = np.array([v.values.to_numpy(zero_copy_only=False) for v in queries.column("v")], dtype=np.float64)
+        near, off = q @ x.T, np.linalg.norm(q, axis=1)[:, None] * error[None, :]
+        lower, upper = near - off, near + off
+        n = lower.shape[1]
+        least = np.partition(lower, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(q), -np.inf)
+        row, column = np.nonzero(upper >= least[:, None])
+        return pa.RecordBatch.from_arrays(
+            [queries.column("query_id").take(pa.array(row)), ids.take(pa.array(column)).combine_chunks(),
+             pa.array(lower[row, column]), pa.array(upper[row, column])], names=["query_id", "point_id", "lower", "upper"])
+
+
+def candidates(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, point_id, lower, upper) of the quantised points (point_id, code, scale, error) whose upper bound
+    reaches the kth lower bound of the query (query_id, v)."""
+    ship_package(points.sparkSession)
+    values = points.agg(F.sum(F.length("code"))).first()[0] or 0
+    shards = max(1, -(-values // SHARD_VALUES))
+    qid, pid = queries.schema["query_id"].dataType, points.schema["point_id"].dataType
+    nothing = lambda kind: F.lit(None).cast(kind)
+    rows = points.select(F.pmod(F.xxhash64("point_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("is_query"),
+                         "point_id", nothing(qid).alias("query_id"), "code", "scale", "error", nothing("array<double>").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("shard"), F.lit(1).alias("is_query"),
+                           nothing(pid).alias("point_id"), "query_id", nothing("binary").alias("code"),
+                           nothing("double").alias("scale"), nothing("double").alias("error"), "v")
+    found = rows.union(asked).repartition(int(shards), "shard").sortWithinPartitions("shard", "is_query").mapInArrow(
+        _CoarseShards(k), f"query_id {qid.simpleString()}, point_id {pid.simpleString()}, lower double, upper double")
+    path = scratch_path(points.sparkSession, "coarse-answers")
+    found.write.parquet(path)
+    found = points.sparkSession.read.parquet(path)
+    kth = top_k(found, k, score="lower").groupBy("query_id").agg(F.count("*").alias("n"), F.min("lower").alias("least"))
+    return found.join(kth, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select(
+        "query_id", "point_id", "lower", "upper")
 
 
 # --------------------------------------------------------------------------
