@@ -13,15 +13,22 @@ then on the documents of least key: a document belongs to the fraction if half
 of it lies within the remaining words, so the taken words miss the target by
 at most half of one document.
 
-Skew: a source may hold any share of all rows.  Keys fall into ``BUCKETS``
-value ranges; per-range sums (combined before the shuffle) find the range in
-which a source's budget ends, and only that range's documents are sorted.  The
-outcome is one cut-off key per source, so choosing documents is a comparison.
+Skew: a source may hold any share of all rows.  Keys fall into ranges of equal
+ratio, so that none holds more than about one in FINENESS documents whatever
+their weights; per-range sums (combined before the shuffle) find the range in
+which a source's budget ends, and only that range's keys are sorted, equal rows
+as one with their number.  The outcome is one cut-off key per source, so
+choosing documents is a comparison.
+
+Ties: rows of one id, size and text share a key.  If a source's budget ends
+among such rows, as many of them are taken as it holds; these rows alone are
+numbered, by a range sort that spreads equal rows.
 
 Defined results: null text is empty (size 0); null source is a source of its
 own; documents of size 0 take 0 words; a source without words has target 0;
-repeated rows share one key and are taken or left together; an empty table
-gives an empty result.  Columns other than those named are kept by
+repeated rows and rows without an id are taken row by row (rows that differ in
+no column are alike, so it doesn't matter which); an empty table gives an empty
+result.  Columns other than those named are kept by
 :func:`mixed_documents` and ignored by :func:`mix`.
 """
 
@@ -38,7 +45,7 @@ WEIGHTS = (5, 2, 1)
 VOLUME_PERCENT = 150
 MOST_EPOCHS = 2
 SEED = "mix-1"
-BUCKETS = 65_536
+FINENESS = 16_384
 JUNK = r"[#*$%&|<>!]"
 
 
@@ -62,15 +69,17 @@ def _eighth(x: Column) -> Column:
 
 
 def keyed(docs: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
-    """Adds size, key, id_text (tie-break) and bucket to documents."""
+    """Adds size, key, __id (tie-break) and __bucket to documents."""
     d = docs.withColumn("__text", text_of(text))
     d = d.withColumns({"size": size_of(F.col("__text")),
-                       "__weight": weight if weight is not None else quality_weight(F.col("__text"))}).drop("__text")
+                       "__weight": weight if weight is not None else quality_weight(F.col("__text")),
+                       "__digest": F.md5("__text")}).drop("__text")
     d = d.withColumn("__id", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size"))
     # 52 bits of the digest, in (0, 1]
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), "__id")), 1, 13), 16, 10).cast("double") + 1) / 2.0 ** 52
-    d = d.withColumn("key", -F.log(u) / F.col("__weight"))
-    return d.withColumn("__bucket", F.floor(F.col("key") / (1 + F.col("key")) * BUCKETS).cast("int"))
+    d = d.withColumn("key", -F.log(u) / F.col("__weight")).withColumn("__id", F.concat_ws(":", "__id", "__digest"))
+    return d.withColumn("__bucket", F.coalesce(  # the logarithm of key 0 is null
+        F.floor(F.log("key") * FINENESS).cast("int"), F.lit(-(1 << 31)))).drop("__digest")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, volume_percent: int = VOLUME_PERCENT,
@@ -101,7 +110,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, volume_percent:
 
 
 def cut_offs(docs: DataFrame, aims: DataFrame) -> DataFrame:
-    """Per source: complete epochs, and the order key of the last document of the fraction (null: none).
+    """Per source: complete epochs, the range (__last) in which the budget ends, and the last key of the fraction
+    (__cut; null: none in that range) with how many (__cut.m) of its __cut.n rows are taken.
     `docs` needs source, size, key, __id, __bucket; `aims` is the result of :func:`targets`."""
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = aims.withColumn("epochs", epochs).withColumn(
@@ -114,21 +124,40 @@ def cut_offs(docs: DataFrame, aims: DataFrame) -> DataFrame:
     last = null_safe_join(docs.select("source", "size", "key", "__id", "__bucket"),
                           at.select("source", F.col("__at.__bucket").alias("__last"), "__at.__before", "__at.rest"),
                           ["source"]).where("__bucket = __last")
-    upto = Window.partitionBy("source").orderBy("key", "__id").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("__mid", F.col("__before") + F.sum("size").over(upto) - F.col("size") / 2)
-    cut = last.where("__mid <= rest").groupBy("source").agg(F.max(F.struct("key", "__id")).alias("__cut"))
+    last = last.groupBy("source", "key", "__id", "size", "__before", "rest").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("source").orderBy("key", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("__before") - F.coalesce(F.sum(F.col("size") * F.col("__n")).over(earlier), F.lit(0))
+    last = last.withColumn("__left", left)
+    # the j-th row is taken if its middle, (j - 1/2) sizes further, lies within the rest
+    holds = F.when(F.col("size") == 0, F.when(F.col("__left") >= 0, F.col("__n")).otherwise(0)).otherwise(
+        F.floor(F.col("__left") / F.greatest("size", F.lit(1)) + 0.5))
+    last = last.withColumn("__m", F.least(holds, "__n")).where("__m > 0")
+    cut = last.groupBy("source").agg(
+        F.max(F.struct("key", "__id", F.col("__m").alias("m"), F.col("__n").alias("n"))).alias("__cut"))
     out = null_safe_join(aims, at.select("source", F.col("__at.__bucket").alias("__last")), ["source"], "left")
     return null_safe_join(out, cut, ["source"], "left")
 
 
 def chosen(docs: DataFrame, cuts: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Adds target, source_size, copies and taken to keyed documents."""
+    """Adds target, source_size, copies and taken to keyed documents.  `cuts` is a written table: it is asked
+    first whether any source's budget ends among equal rows."""
+    columns = docs.columns
     d = null_safe_join(docs, cuts, ["source"], "left")
-    picked = (F.col("__bucket") < F.col("__last")) | (
-        (F.col("__bucket") == F.col("__last")) & (F.struct("key", "__id") <= F.col("__cut")))
+    place, cut = F.struct("key", "__id"), F.struct("__cut.key", "__cut.__id")
+    inside = F.col("__bucket") == F.col("__last")
+    picked = (F.col("__bucket") < F.col("__last")) | (inside & (place <= cut))
+    if cuts.where("__cut.m < __cut.n").take(1):
+        torn = F.coalesce(inside & (place == cut) & (F.col("__cut.m") < F.col("__cut.n")), F.lit(False))
+        alike = written(d.where(torn).withColumn("__row", F.monotonically_increasing_id()), "alike")
+        alike = numbered(alike, [F.col("source"), F.xxhash64(F.struct(*columns).cast("string")), F.col("__row")], "__number")
+        first = alike.groupBy("source").agg(F.min("__number").alias("__first"))
+        alike = null_safe_join(alike, first, ["source"]).withColumn(
+            "__in", F.col("__number") - F.col("__first") < F.col("__cut.m"))
+        d = d.where(~torn).withColumn("__in", picked).unionByName(alike.drop("__row", "__number", "__first"))
+        picked = F.col("__in")
     copies = F.least(F.col("epochs") + F.coalesce(picked, F.lit(False)).cast("long"), F.lit(most_epochs))
     d = d.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return d.drop("__bucket", "__last", "__cut", "__id", "__weight", "epochs", "rest", "weight")
+    return d.drop("__bucket", "__last", "__cut", "__id", "__in", "__weight", "epochs", "rest", "weight")
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ k AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') || ':' || size AS id,
         (length(regexp_replace(t, '[#*$%&|<>!]', '', 'g')) + 1)::DOUBLE / (length(t) + 1)::DOUBLE AS c FROM d),
 u AS (SELECT *, greatest(((c * c) * (c * c)) * ((c * c) * (c * c)), 1 / 256.0) AS weight,
         (('0x' || substr(md5('mix-1:' || id), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0 AS u FROM k),
-keyed AS (SELECT doc_id, source, size, id, -ln(u) / weight AS key FROM u),
+keyed AS (SELECT doc_id, source, size, id || ':' || md5(t) AS id, -ln(u) / weight AS key FROM u),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM keyed GROUP BY source),
 o AS (SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_w,

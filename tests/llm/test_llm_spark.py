@@ -235,6 +235,23 @@ def test_mix_follows_the_order_of_keys(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 7
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_mix_takes_equal_rows_one_by_one(spark, ident):
+    words = "w " * 10
+    data = [(ident, words, "en", "a", 1)] * 1000
+    got = mixing.mix(spark.createDataFrame(data, COLUMNS).repartition(5)).collect()
+    assert len(got) == 1000 and sum(r.taken for r in got) == got[0].target == 15_000
+    # rows that differ in lang only, a row of another source, rows without words
+    data += [(ident, words, "de", "a", 1)] * 500 + [(1, words, "en", "b", 1)] + [(ident, "", "en", "a", 1)] * 9
+    d = spark.createDataFrame(data, COLUMNS)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(data)
+    assert abs(sum(r.taken for r in got if r.source == "a") - next(r.target for r in got if r.source == "a")) <= 5
+    mixed = [mixing.mixed_documents(d.repartition(n, "doc_id", "lang")).collect() for n in (1, 6)]
+    assert Counter(mixed[0]) == Counter(mixed[1]) and len(mixed[0]) == sum(r.copies for r in got)
+    assert max(Counter(mixed[0]).values()) <= 2000
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
