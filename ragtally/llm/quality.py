@@ -3,24 +3,30 @@
 Four ratios of a text (symbols per word character, repeated lines per line,
 words in repeated eight-word windows per word, characters per word) are held
 against limits learned from the corpus itself, per language and source, instead
-of fixed cut-offs: an upper fence Q3 + FENCE * spread, and for the word length
-also a lower fence Q1 - FENCE * spread, where the spread is Q3 - Q1, at least
-the ratio's LEAST_SPREAD.
-
-Quartiles come from mergeable quantile sketches: a ratio in millionths is
-rounded down to six significant bits (a relative error below 1/32) and counted
-per group.  A sketch has at most some 600 counters whatever the group's size;
-sketches merge by adding counts, which Spark does before the shuffle, so a hot
-source is no hot key.  Counts are exact integers: reruns agree.  A group of
-fewer than LEAST_GROUP documents takes the merged sketch of its language, and
-a language with fewer the merged sketch of all documents.
+of fixed cut-offs.  The upper limit is the larger of the fence Q3 + FENCE *
+(Q3 - Q1) and the ratio's own upper quantile (UPPER: most texts have no repeats
+at all, so quartiles alone say nothing about them); the word length also has
+the lower fence Q1 - FENCE * (Q3 - Q1).  Only documents that pass the base rule
+are learned from: what the base takes anyway must not widen the limits.
+
+Quantiles come from mergeable sketches: a ratio in millionths is rounded down
+to six significant bits (a relative error below 1/32) and counted per group.  A
+sketch has at most some 600 counters whatever the group's size; sketches merge
+by adding counts, which Spark does before the shuffle, so a hot source is no
+hot key.  Counts are exact integers: reruns agree.  Limits are widened by the
+sketch's resolution, no more.
+
+Few documents say little about a tail: a group's limit is the mean of its own,
+weighted by its documents, and its language's, weighted by PRIOR documents; the
+language's likewise leans on that of all documents.  One formula at every size.
 
 The verdict joins each document's ratios with its group's limits.
 
 Defined results: null text has no words (base_failed); null language and null
-source are groups of their own; repeated rows count each; documents that fail
-the base rule still count in the sketches; an empty table gives an empty
-result; other columns are ignored.
+source are groups of their own; repeated rows count each; a group of which no document
+passes the base rule has no limits and keeps nothing; very long texts count as
+one document like any other; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +40,12 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEAT_PERCENT = 30
 FENCE = 3
-LEAST_GROUP = 50
+PRIOR = 50
 SYMBOLS = r"[#*$%&|<>]"
-#: ratio -> (least spread in millionths, has a lower fence)
-RATIOS = {"symbols": (20_000, False), "lines": (150_000, False), "repeats": (100_000, False),
-          "word_length": (500_000, True)}
+#: ratio -> percent of the documents that its limit keeps at least
+UPPER = {"symbols": 90, "lines": 99, "repeats": 99, "word_length": 75}
+#: ratios with a lower fence
+BOTH_SIDES = ("word_length",)
 
 
 def repeated_window_words(hashes: Column) -> Column:
@@ -102,54 +109,53 @@ def _low(value: Column) -> Column:
 
 
 def sketches(f: DataFrame) -> DataFrame:
-    """Counts per (lang, source, ratio, bucket)."""
-    ratios = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bucket(F.col(r)).alias("bucket")) for r in RATIOS]))
-    return f.select("lang", "source", ratios.alias("r")).groupBy("lang", "source", "r.ratio", "r.bucket").agg(
+    """Counts per (lang, source, ratio, bucket) over the documents that pass the base rule."""
+    ratios = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bucket(F.col(r)).alias("bucket")) for r in UPPER]))
+    return f.where("not base_failed").select("lang", "source", ratios.alias("r")).groupBy("lang", "source", "r.ratio", "r.bucket").agg(
         F.count("*").alias("n"))
 
 
-def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """q1, q3 and the number of values of each group's merged sketch, per ratio."""
+def own_limits(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """n, high and low of each group's merged sketch, per ratio."""
     merged = counts.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "ratio")
     upto = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     m = merged.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(w)})
-    return m.groupBy(*keys, "ratio").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
-        F.max("all").alias("n"))
+    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("all"), F.col("bucket")))
+    tail = F.element_at(F.create_map(*[F.lit(x) for r in UPPER.items() for x in r]), F.col("ratio"))
+    q = m.groupBy(*keys, "ratio").agg(at(25).alias("q1"), at(75).alias("q3"), at(tail).alias("tail"),
+                                      F.max("all").alias("n"))
+    spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.expr("q3 div 32"))
+    high = F.greatest(F.col("q3") + spread, F.col("tail")) + 1
+    return q.select(*keys, "ratio", "n", high.alias("high"), (F.col("q1") - spread).alias("low")).withColumn(
+        "high", F.expr("high + high div 32"))
 
 
 def limits(counts: DataFrame) -> DataFrame:
     """One row per (lang, source): low and high limit of each ratio."""
-    group, lang = quartiles(counts, ["lang", "source"]), quartiles(counts, ["lang"])
-    every = quartiles(counts, [])
-    rename = lambda q, s: q.select(*[F.col(c).alias(c if c in ("lang", "source", "ratio") else f"{c}_{s}")
-                                     for c in q.columns])
-    j = null_safe_join(group, rename(lang, "l"), ["lang", "ratio"])
-    j = null_safe_join(j, rename(every, "a"), ["ratio"])
-    pick = lambda q: F.when(F.col("n") >= LEAST_GROUP, F.col(q)).when(
-        F.col("n_l") >= LEAST_GROUP, F.col(f"{q}_l")).otherwise(F.col(f"{q}_a"))
-    j = j.select("lang", "source", "ratio", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    out = []
-    for r, (least, lower) in RATIOS.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * FENCE
-        mine = lambda c, r=r: F.max(F.when(F.col("ratio") == r, c))
-        out.append(mine(F.col("q3") + spread).alias(f"{r}_high"))
-        if lower:
-            out.append(mine(F.col("q1") - spread).alias(f"{r}_low"))
-    return j.groupBy("lang", "source").agg(*out)
+    def leaning(mine: DataFrame, on: DataFrame, keys: list[str]) -> DataFrame:
+        wide = on.select(*keys, F.col("high").alias("__high"), F.col("low").alias("__low"))
+        mean = lambda c: F.floor((F.col("n").cast("double") * F.col(c) + F.lit(float(PRIOR)) * F.col(f"__{c}"))
+                                 / (F.col("n") + PRIOR)).cast("long")
+        return null_safe_join(mine, wide, keys).withColumns({"high": mean("high"), "low": mean("low")}).drop(
+            "__high", "__low")
+
+    lang = leaning(own_limits(counts, ["lang"]), own_limits(counts, []), ["ratio"])
+    group = leaning(own_limits(counts, ["lang", "source"]), lang, ["lang", "ratio"])
+    mine = lambda r, c: F.max(F.when(F.col("ratio") == r, F.col(c))).alias(f"{r}_{c}")
+    return group.groupBy("lang", "source").agg(
+        *[mine(r, "high") for r in UPPER], *[mine(r, "low") for r in BOTH_SIDES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the ratios."""
     f = with_ratios(written(features(docs), "features"))
-    marks = null_safe_join(f, written(limits(sketches(f)), "limits"), ["lang", "source"])
-    fine = None
-    for r, (_, lower) in RATIOS.items():
-        ok = F.col(r) <= F.col(f"{r}_high")
-        ok = ok & (F.col(r) >= F.col(f"{r}_low")) if lower else ok
-        fine = ok if fine is None else fine & ok
+    marks = null_safe_join(f, written(limits(written(sketches(f), "sketches")), "limits"), ["lang", "source"], "left")
+    fine = F.lit(True)
+    for r in UPPER:
+        fine = fine & (F.col(r) <= F.col(f"{r}_high"))
+    for r in BOTH_SIDES:
+        fine = fine & (F.col(r) >= F.col(f"{r}_low"))
     return marks.withColumn("kept", ~F.col("base_failed") & fine).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *RATIOS)
+        *UPPER)

@@ -130,26 +130,38 @@ g AS (SELECT *, n_lines - n_unique AS n_dup_lines,
         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 r AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 6, 0)::BIGINT) << greatest(length(bin(v)) - 6, 0)::BIGINT AS b
       FROM (SELECT lang, source, unnest(['symbols', 'lines', 'repeats', 'word_length']) AS ratio,
-              unnest([symbols, lines, repeats, word_length]) AS v FROM g)),
-q2 AS (SELECT lang, source, ratio, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3, count(*) AS n
-       FROM r GROUP BY ALL),
-q1 AS (SELECT lang, ratio, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3, count(*) AS n FROM r GROUP BY ALL),
-q0 AS (SELECT ratio, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM r GROUP BY ALL),
-q AS (SELECT q2.lang, q2.source, q2.ratio,
-        CASE WHEN q2.n >= 50 THEN q2.q1 WHEN q1.n >= 50 THEN q1.q1 ELSE q0.q1 END AS lo,
-        CASE WHEN q2.n >= 50 THEN q2.q3 WHEN q1.n >= 50 THEN q1.q3 ELSE q0.q3 END AS hi
-      FROM q2 JOIN q1 ON q2.lang IS NOT DISTINCT FROM q1.lang AND q2.ratio = q1.ratio JOIN q0 ON q2.ratio = q0.ratio),
-lim AS (SELECT lang, source,
-        max(CASE WHEN ratio = 'symbols' THEN hi + 3 * greatest(hi - lo, 20000) END) AS symbols_high,
-        max(CASE WHEN ratio = 'lines' THEN hi + 3 * greatest(hi - lo, 150000) END) AS lines_high,
-        max(CASE WHEN ratio = 'repeats' THEN hi + 3 * greatest(hi - lo, 100000) END) AS repeats_high,
-        max(CASE WHEN ratio = 'word_length' THEN hi + 3 * greatest(hi - lo, 500000) END) AS length_high,
-        max(CASE WHEN ratio = 'word_length' THEN lo - 3 * greatest(hi - lo, 500000) END) AS length_low
-      FROM q GROUP BY lang, source)
+              unnest([symbols, lines, repeats, word_length]) AS v FROM g WHERE NOT base_failed)),
+u AS (SELECT * FROM (VALUES ('symbols', 90), ('lines', 99), ('repeats', 99), ('word_length', 75)) t(ratio, tail)),
+s2 AS (SELECT *, count(*) OVER (PARTITION BY lang, source, ratio) AS n,
+         row_number() OVER (PARTITION BY lang, source, ratio ORDER BY b) AS k FROM r),
+s1 AS (SELECT *, count(*) OVER (PARTITION BY lang, ratio) AS n,
+         row_number() OVER (PARTITION BY lang, ratio ORDER BY b) AS k FROM r),
+s0 AS (SELECT *, count(*) OVER (PARTITION BY ratio) AS n, row_number() OVER (PARTITION BY ratio ORDER BY b) AS k FROM r),
+q AS (SELECT 2 AS level, lang, source, ratio, n, b, k, tail FROM s2 JOIN u USING (ratio)
+      UNION ALL SELECT 1, lang, NULL, ratio, n, b, k, tail FROM s1 JOIN u USING (ratio)
+      UNION ALL SELECT 0, NULL, NULL, ratio, n, b, k, tail FROM s0 JOIN u USING (ratio)),
+t AS (SELECT level, lang, source, ratio, max(n) AS n, min(CASE WHEN 100 * k >= 25 * n THEN b END) AS q1,
+        min(CASE WHEN 100 * k >= 75 * n THEN b END) AS q3, min(CASE WHEN 100 * k >= tail * n THEN b END) AS hi
+      FROM q GROUP BY level, lang, source, ratio),
+own AS (SELECT *, greatest(q3 + 3 * greatest(q3 - q1, q3 // 32), hi) + 1 AS top, q1 - 3 * greatest(q3 - q1, q3 // 32) AS low
+        FROM t),
+o AS (SELECT level, lang, source, ratio, n, top + top // 32 AS high, low FROM own),
+l AS (SELECT a.lang, a.ratio, floor((a.n::DOUBLE * a.high + 50.0::DOUBLE * w.high) / (a.n + 50)::DOUBLE)::BIGINT AS high,
+        floor((a.n::DOUBLE * a.low + 50.0::DOUBLE * w.low) / (a.n + 50)::DOUBLE)::BIGINT AS low
+      FROM o a JOIN o w ON a.level = 1 AND w.level = 0 AND a.ratio = w.ratio),
+m AS (SELECT a.lang, a.source, a.ratio, floor((a.n::DOUBLE * a.high + 50.0::DOUBLE * l.high) / (a.n + 50)::DOUBLE)::BIGINT AS high,
+        floor((a.n::DOUBLE * a.low + 50.0::DOUBLE * l.low) / (a.n + 50)::DOUBLE)::BIGINT AS low
+      FROM o a JOIN l ON a.level = 2 AND a.ratio = l.ratio AND a.lang IS NOT DISTINCT FROM l.lang),
+lim AS (SELECT lang, source, max(CASE WHEN ratio = 'symbols' THEN high END) AS symbols_high,
+        max(CASE WHEN ratio = 'lines' THEN high END) AS lines_high,
+        max(CASE WHEN ratio = 'repeats' THEN high END) AS repeats_high,
+        max(CASE WHEN ratio = 'word_length' THEN high END) AS length_high,
+        max(CASE WHEN ratio = 'word_length' THEN low END) AS length_low
+      FROM m GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND symbols <= symbols_high AND lines <= lines_high AND repeats <= repeats_high
     AND word_length BETWEEN length_low AND length_high AS kept, symbols, lines, repeats, word_length
-FROM g JOIN lim ON g.lang IS NOT DISTINCT FROM lim.lang AND g.source IS NOT DISTINCT FROM lim.source
+FROM g LEFT JOIN lim ON g.lang IS NOT DISTINCT FROM lim.lang AND g.source IS NOT DISTINCT FROM lim.source
 """
 
 ORACLE["op3_mix_sources"] = rf"""

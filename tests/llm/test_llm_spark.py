@@ -188,6 +188,29 @@ def test_quality_repeated_windows_and_outliers(spark):
     assert all(got[i].kept for i in range(80))
 
 
+def test_quality_limits_follow_the_group(spark):
+    rnd = random.Random(3)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    text = lambda k=60, n=(4, 6): " ".join(word(rnd.randint(*n)) for _ in range(k))
+    marked = lambda: " ".join(w + "%" * (i % 5 == 0) for i, w in enumerate(text().split()))
+    lined = lambda: text(30) + "\nsame line\n" + text(30) + "\nsame line"
+    passage = text(9)
+    twice = lambda: f"{text(40)} {passage} {text(40)} {passage}"
+    long = lambda: text(60, (9, 11))
+    odd = [marked, lined, twice, long]
+    data = [(1000 * g + i, text(), "en", f"plain{g}", 1) for g in range(2) for i in range(400)]
+    for g, habit in enumerate(odd):  # a source of each habit, and one text of each habit in a plain source
+        data += [(10_000 + 1000 * g + i, habit(), "en", f"odd{g}", 1) for i in range(400)]
+        data.append((20_000 + g, habit(), "en", "plain0", 1))
+    data.append((30_000, "few words", "xx", "lone", 1))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(data, COLUMNS)).collect()}
+    assert len(got) == len(data) and not any(r.base_failed for r in got.values() if r.doc_id < 30_000)
+    assert got[30_000].base_failed and got[30_000].kept is False
+    assert not any(got[20_000 + g].kept for g in range(4))
+    kept = lambda start: sum(got[start + i].kept for i in range(400))
+    assert kept(0) >= 380 and kept(1000) >= 380 and all(kept(10_000 + 1000 * g) >= 380 for g in range(4))
+
+
 def shares(sizes):
     """Targets by hand: raise the caps one source at a time."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
