@@ -1,8 +1,9 @@
 """Substring dedup by words (operator 5).
 
-Rabin-Karp hashes (96 bits: a 64-bit and a 32-bit polynomial) of every window
-of WINDOW words that may repeat are counted in Spark; windows that occur twice
-or more merge into maximal removal intervals of their text.
+Rabin-Karp hashes of every window of WINDOW words that may repeat are counted
+in Spark; windows that occur twice or more merge into maximal removal intervals
+of their text.  A window has 96 bits, a 64-bit and a 32-bit polynomial over two
+word hashes of unlike seeds: words that share one hash don't share the other.
 
 Which windows may repeat is decided exactly by :mod:`.anchors`: the least of
 the hashes of a window's GRAM-word pieces is counted over the corpus first, and
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from .common import written
+from .wordhash import word_hashes
 
 WINDOW = 35
 GRAM = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SECOND = 0x51ED270B  # seed of the second word hash
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -54,19 +55,6 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    codes = np.frombuffer(text, dtype=np.uint8)
-    inside = np.concatenate(([False], ~_SPACE[codes], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    return A.mixed(_spans(codes.astype(np.uint64) + np.uint64(1), starts, ends) ^ (ends - starts).astype(np.uint64))
-
-
 def _runs(values: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash of each run of `width` values."""
     n = len(values) - width + 1
@@ -91,12 +79,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows whose anchor occurs twice or more."""
     for b in batches:
         for rid, text, at in zip(b.column("rid").to_pylist(), b.column("text"), b.column("at"), strict=True):
-            hashes = word_hashes(bytes(text.as_buffer()))
+            text = bytes(text.as_buffer())
+            hashes = word_hashes(text)
             _, _, first, last = _anchors(hashes)
             which = np.asarray(at.values.to_numpy(zero_copy_only=False), dtype=np.int64)
             lengths = last[which] - first[which] + 1
             start = np.repeat(first[which] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            one, two = _runs(hashes, WINDOW)[start], _runs(A.mixed(hashes + _BASE), WINDOW)[start]
+            one, two = _runs(hashes, WINDOW)[start], _runs(word_hashes(text, _SECOND), WINDOW)[start]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(start), rid)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)),
                  pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["rid", "start", "h1", "h2"])

@@ -29,8 +29,9 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: its length and its bytes, eight at a time, each mixed in before the next."""
+def word_hashes(text: bytes, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its length and its bytes, eight at a time, each mixed in before the next.
+    Words that share a hash under one seed are no likelier than others to share one under another."""
     if not text:
         return np.zeros(0, dtype=np.uint64)
     starts, ends = spans(text)
@@ -38,7 +39,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     length = ends - starts
     eight = np.ndarray(shape=(len(text) + 1,), dtype="<u8", buffer=text + bytes(8), strides=(1,))
-    h = mixed(length.astype(np.uint64) * MULTIPLY[0])
+    h = mixed(length.astype(np.uint64) * MULTIPLY[0] + np.uint64(seed))
     h = mixed((h ^ (eight[starts] & _FIRST[np.minimum(length, 8)])) * MULTIPLY[0])
     rest, at = np.flatnonzero(length > 8), 8
     while len(rest) and at < _LONG:
@@ -47,5 +48,5 @@ def word_hashes(text: bytes) -> np.ndarray:
         at += 8
         rest = rest[length[rest] > at]
     for i in rest.tolist():
-        h[i] = xxhash.xxh3_64_intdigest(text[starts[i]:ends[i]])
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i]:ends[i]], seed)
     return h

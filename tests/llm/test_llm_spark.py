@@ -95,6 +95,16 @@ def test_substring_dedup(docs, empty):
     assert substring.reduced(empty).count() == 0
 
 
+def test_substring_dedup_tells_words_of_equal_polynomials(spark):
+    word = "a"  # Thue-Morse words: equal under any polynomial modulo 2^64
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(34))
+    texts = [word + " " + shared, word.translate(str.maketrans("ab", "ba")) + " " + shared]
+    got = substring.reduced(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS))
+    assert collected(got, "doc_id", "n_words", "n_removed") == Counter({(0, 35, 0): 1, (1, 35, 0): 1})
+
+
 def components_by_hand(data):
     fps = [simhash.fingerprint(r[1]) for r in data]
     parent = list(range(len(data)))
