@@ -1,14 +1,13 @@
 """Incremental loads with Structured Streaming.
 
 * :func:`stream_upsert` - new point files arrive in a folder; each
-  micro-batch is appended to a change log partitioned by batch id (a replayed
-  batch overwrites its own partition, so retries are exactly-once), and the
-  collection is the last write per id over the log (``upsert_points``).
-  After a run the log is compacted into a state table, so reads reduce the
-  newest state and the batches after it, not the whole history.
+  micro-batch is written into the collection, the last write per id, kept in
+  buckets with versions (:mod:`.versions`): a batch rewrites the buckets it
+  touches, a replayed batch is left out, and what no reader needs is removed.
 * :func:`stream_run_accuracy` - run files arrive in a folder; a streaming
   aggregation keeps mean correctness per (model, retriever) in the state
-  store and each micro-batch rewrites the (small) result table.
+  store and each micro-batch writes the (small) result table as a version of
+  its own, so a reader never finds it missing.
 
 Both run with ``trigger(availableNow=True)``: process what is there, stop.
 Checkpoints live in the shared work folder.
@@ -20,63 +19,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versions as VE
 
 
 def stream_upsert(spark: SparkSession, source: str, schema: T.StructType, root: str, id_col: str,
-                  version_col: str, max_files_per_trigger: int = 1) -> DataFrame:
+                  version_col: str, max_files_per_trigger: int = 1, buckets: int = VE.BUCKETS) -> DataFrame:
     """Run the incremental load to completion and return the collection."""
-    log = f"{root}/log"
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite")
-         .parquet(f"{log}/_batch={batch_id}"))
+        VE.upsert(batch.sparkSession, root, batch, id_col, version_col, buckets, batch_id)
 
     q = (src.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    cols = [f.name for f in schema.fields]
-    compact(spark, root, id_col, version_col, cols)
-    return collection_state(spark, root, id_col, version_col, cols)
+    VE.remove_old(spark, root)
+    return collection_state(spark, root, id_col, version_col, [f.name for f in schema.fields])
 
 
-def compact(spark: SparkSession, root: str, id_col: str, version_col: str, cols: list[str]) -> int | None:
-    """Write the collection's state up to the last batch of the log as a table
-    of its own, `{root}/state/_upto=<batch>`; later reads start from the
-    newest state and reduce only the batches after it.  Returns that batch.
-    The log and older states stay (remove them when no reader needs them)."""
-    last = spark.read.parquet(f"{root}/log").agg(F.max("_batch")).first()[0]
-    if last is not None and last != _newest_state(spark, root):
-        state = collection_state(spark, root, id_col, version_col, cols, keep_batch=True)
-        state.write.mode("overwrite").parquet(f"{root}/state/_upto={last}")
-    return last
+def _newest_state(spark: SparkSession, root: str) -> int | None:
+    """The last batch that is in the collection."""
+    _, entries = VE.newest(spark, root)
+    return entries[0].batch if entries else None
 
 
-def _newest_state(spark: SparkSession, root: str) -> int | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{root}/state").agg(F.max("_upto")).first()[0]
-    except AnalysisException:  # no state yet
-        return None
-
-
-def collection_state(spark: SparkSession, root: str, id_col: str, version_col: str, cols: list[str],
-                     keep_batch: bool = False) -> DataFrame:
-    """Last write per id over the newest state and the log after it: highest
-    version, later batch on ties (max_by combines map-side, one row per id per
-    task)."""
-    upto = _newest_state(spark, root)
-    entries = spark.read.parquet(f"{root}/log")
-    if upto is not None:
-        state = spark.read.parquet(f"{root}/state/_upto={upto}").withColumnRenamed("_from", "_batch")
-        entries = entries.where(F.col("_batch") > upto).select(*cols, "_batch").unionByName(state.select(*cols, "_batch"))
-    best = entries.groupBy(id_col).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols if c != id_col]),
-                 F.struct(F.col(version_col), F.col("_batch"))).alias("_row"),
-        F.max_by(F.col("_batch"), F.struct(F.col(version_col), F.col("_batch"))).alias("_from"))
-    return best.select(id_col, "_row.*", "_from").select(*cols, *(["_from"] if keep_batch else []))
+def collection_state(spark: SparkSession, root: str, id_col: str, version_col: str, cols: list[str]) -> DataFrame:
+    """Last write per id: highest version, later batch on ties."""
+    return VE.read(spark, root, id_col, cols)
 
 
 def stream_run_accuracy(spark: SparkSession, source: str, schema: T.StructType, root: str,
@@ -88,9 +58,12 @@ def stream_run_accuracy(spark: SparkSession, source: str, schema: T.StructType,
     agg = src.groupBy(*keys).agg(F.avg("Cor_answer").alias("accuracy"), F.count(F.lit(1)).alias("n_rows"))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_v={batch_id}")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    found = VE.complete(spark, out)
+    for old in found[:-VE.KEEP]:
+        VE.remove(spark, f"{out}/_v={old}")
+    return spark.read.parquet(f"{out}/_v={found[-1]}")
