@@ -803,6 +803,19 @@ def q_embedding_cache(spark, sf):
                         r6(F.element_at("embedding", 1), "first_component"))
 
 
+@register
+def q_embedding_cache_fill(spark, sf):
+    root = scratch_path(spark, "embedding_cache")
+    from .functions import vectors as V
+
+    e = read_table(spark, sf, "embeddings", "vec_id", "label", "embedding")
+    unit = lambda missing: missing.select("key", V.normalize("embedding").alias("unit"))
+    SK.fill_cache(spark, root, "unit/normaliser", e.where("label = 0"), "embedding", unit)  # an earlier state of the table
+    SK.fill_cache(spark, root, "unit/normaliser", e, "embedding", unit)  # computes what came since
+    again = SK.cached_vectors(spark, root, "unit/normaliser", e, "embedding")
+    return again.select("vec_id", F.size("unit").alias("dim"), r6(F.element_at("unit", 1), "first_component"))
+
+
 @register
 def q_export_requests(spark, sf):
     q = _exp1_questions(spark, sf).withColumn("message", F.array(PR.text_part(F.col("instruction"))))

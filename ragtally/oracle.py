@@ -871,6 +871,8 @@ register("embedding_cache", f"""
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
        round(CAST(embedding[1] AS DOUBLE) / {norm_sql('embedding')}, 4) AS first_component FROM embeddings""")
 
+register("embedding_cache_fill", ORACLE["embedding_cache"])
+
 register("export_requests", with_fx("""
 SELECT CAST(Question_nr AS VARCHAR) AS custom_id, 'gen_a' AS model, instruction AS prompt FROM eq""",
                                     "fx_mcq", perm_cte("fx_mcq"), EXP1_Q))

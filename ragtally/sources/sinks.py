@@ -5,13 +5,15 @@ re-run after a lost executor rewrites the same files."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import table_exists
+from ..streaming.versions import complete_folders
 from .readers import CSV_OPTIONS
 
 
@@ -84,3 +86,44 @@ def embedding_cache(spark: SparkSession, root: str, vectoriser: str,
     if not table_exists(spark, path):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def content_key(content: str) -> Column:
+    """SHA-256 of a column's value, of any type; null has a key of its own (its field is left out)."""
+    return F.sha2(F.to_json(F.struct(F.col(content).alias("c"))), 256)
+
+
+def fill_cache(spark: SparkSession, root: str, vectoriser: str, rows: DataFrame, content: str,
+               compute: Callable[[DataFrame], DataFrame]) -> int:
+    """Compute what the cache of a vectoriser lacks, and nothing else; returns how many contents that were.
+
+    The cache `{root}/{vectoriser}` is keyed by content: rows of equal content share an entry, a row that moves
+    or repeats costs nothing, a changed row is computed anew.  `compute` gets the missing (key, `content`), each
+    once, and returns them with a key column and whatever it makes of them.  A fill writes a folder of its own; one
+    that was cut off has no _SUCCESS and is not read."""
+    path = f"{root.rstrip('/')}/{vectoriser.replace('/', '__')}"
+    wanted = rows.select(content_key(content).alias("key"), content)
+    if (known := _cached(spark, path)) is not None:
+        wanted = wanted.join(known.select("key"), "key", "left_anti")
+    # equal contents are combined before the shuffle; a hot one leaves one row a task
+    missing = wanted.groupBy("key").agg(F.any_value(content).alias(content))
+    fill = f"{path}/_fill={uuid.uuid4().hex}"
+    compute(missing).write.parquet(fill)
+    return spark.read.parquet(fill).count()
+
+
+def cached_vectors(spark: SparkSession, root: str, vectoriser: str, rows: DataFrame, content: str) -> DataFrame:
+    """The rows with what the cache holds for their content (null where it holds nothing)."""
+    path = f"{root.rstrip('/')}/{vectoriser.replace('/', '__')}"
+    known = _cached(spark, path)
+    if known is None:
+        raise ValueError(f"no complete fill at {path}")
+    # two fills at once may both have computed a content
+    known = known.dropDuplicates(["key"])
+    return rows.withColumn("key", content_key(content)).join(known, "key", "left").drop("key")
+
+
+def _cached(spark: SparkSession, path: str) -> DataFrame | None:
+    """The complete fills of a cache."""
+    fills = [f"{path}/{name}" for name in complete_folders(spark, path, "_fill=")]
+    return spark.read.parquet(*fills) if fills else None

@@ -38,13 +38,21 @@ def _folder(spark: SparkSession, path: str):
 
 def complete(spark: SparkSession, path: str) -> list[int]:
     """Numbers n of the complete tables `path`/_v=<n>, ascending."""
-    return sorted(n for n in _numbers(spark, path, "_v") if table_exists(spark, f"{path}/_v={n}"))
+    return sorted(int(x.split("=")[1]) for x in complete_folders(spark, path, "_v="))
 
 
-def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+def complete_folders(spark: SparkSession, path: str, start: str) -> list[str]:
+    """Names of the completely written tables in `path` that begin with `start`."""
+    return [x for x in _names(spark, path) if x.startswith(start) and table_exists(spark, f"{path}/{x}")]
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _folder(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return [int(x.split("=")[1]) for x in names if x.startswith(name + "=")]
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    return [int(x.split("=")[1]) for x in _names(spark, path) if x.startswith(name + "=")]
 
 
 def remove(spark: SparkSession, path: str) -> None:

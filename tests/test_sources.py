@@ -1,6 +1,7 @@
 """Sources and sinks: alignment errors and defaults, config defaults, response import statuses."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ragtally.session import scratch_path
 from ragtally.sources import readers as RD
@@ -46,3 +47,26 @@ def test_scan_corpus_suffix_any_case(spark):
             fh.write(b"x")
     names = [r.name for r in RD.scan_corpus(spark, d, ".pdf").collect()]
     assert names == ["a.pdf", "b.PDF"]
+
+
+def test_cache_computes_each_missing_content_once(spark, tmp_path):
+    seen = []
+
+    def lengths(missing):
+        seen.append(sorted(("" if r.text is None else r.text) for r in missing.collect()))
+        return missing.select("key", F.length("text").alias("size"))
+
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    fill = lambda df: SK.fill_cache(spark, str(tmp_path), "a/b", df, "text", lengths)
+    with pytest.raises(ValueError):
+        SK.cached_vectors(spark, str(tmp_path), "a/b", rows("x"), "text")
+    assert fill(rows("one", "three", "one", None, "")) == 4 and seen[-1] == ["", "", "one", "three"]
+    assert fill(rows("one", "three")) == 0 and fill(rows()) == 0
+    assert fill(rows("three", "seven!!", "one", "seven!!")) == 1 and seen[-1] == ["seven!!"]
+    # a fill that was cut off: no _SUCCESS
+    spark.createDataFrame([("k", 1)], "key string, size int").write.parquet(f"{tmp_path}/a__b/_fill=x")
+    (tmp_path / "a__b" / "_fill=x" / "_SUCCESS").unlink()
+    got = SK.cached_vectors(spark, str(tmp_path), "a/b", rows("seven!!", None, "", "one", "unknown", "one"), "text")
+    assert sorted(tuple(r) for r in got.select("id", "size").fillna(-1).collect()) == [
+        (0, 7), (1, -1), (2, 0), (3, 3), (4, -1), (5, 3)]
+    assert got.columns == ["id", "text", "size"]
