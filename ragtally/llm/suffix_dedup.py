@@ -67,7 +67,7 @@ def _grams(text: bytes) -> np.ndarray:
     return A.mixed(h)
 
 
-def _anchors(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(text: bytes, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if len(text) < size:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none
