@@ -5,10 +5,10 @@ Plan shape (exact search, as the reference's brute-force scoring), the same
 for any number of points and queries:
 
 * Both sides are blocked by a shuffle.  Points go to shards of at most about
-  ``SHARD_VALUES`` numbers.  Dense points are dealt by space
-  (:class:`SpaceShards`): a query visits the shards whose bound reaches its kth
-  score.  Pages of several patches are dealt by a hash of their id, and every
-  query goes to each shard of its owner.  Only ids and vectors travel.
+  ``SHARD_VALUES`` numbers, dealt by space (:class:`SpaceShards`): a query
+  visits the shards whose bound reaches its kth score.  The bound of a page
+  comes from the centres its patches lie nearest to.  Only ids and vectors
+  travel.
 * A shard's points become one matrix; queries stream past it in blocks of
   ``QUERY_BLOCK``, each scored by one matrix product, and only the best k of a
   query in a shard leave the task.  Memory is one shard and one block.
@@ -150,73 +150,116 @@ def _scored(points: DataFrame, asked: DataFrame, k: int, cosine: bool, parts: in
 # --------------------------------------------------------------------------
 # Shards by space
 
-# Most cells of the space: their centres go to the tasks.
+# Most cells of the space, and most centres: these and their distances go to the tasks.
 MOST_CELLS = 1024
+# Centres of the bounds for pages of several patches, where the cells are fewer.
+PATCH_CENTRES = 256
+# Vectors compared with the centres together.
+VECTOR_BLOCK = 4096
 
 
 class _Cells:
-    """Centres of the cells, and the greatest distance of a point of each cell to its centre."""
+    """The first `cells` centres are cells, which items are dealt to; `reach` holds for each cell the centres its items'
+    vectors lie nearest to, each with the greatest distance of such a vector."""
 
-    def __init__(self, centres: np.ndarray, cosine: bool, radius: np.ndarray | None = None):
-        self.centres, self.cosine, self.radius = centres, cosine, radius
+    def __init__(self, centres: np.ndarray, cells: int, cosine: bool):
+        self.centres, self.cells, self.cosine = centres, cells, cosine
+        self.lengths = np.linalg.norm(centres, axis=1)
+        self.reach: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _vectors(self, b: pa.RecordBatch) -> np.ndarray:
-        x = _matrices(b.column("v"))[0]
-        return _unit(x) if self.cosine else x
+    def _vectors(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors, vectors an item, and where an item's begin."""
+        x, sizes = _matrices(b.column("v"))
+        return _unit(x) if self.cosine else x, sizes, np.cumsum(sizes) - sizes
+
+    def _nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """Nearest of the first n centres, in blocks of bounded size."""
+        to = self.centres[:n]
+        return np.concatenate([((to ** 2).sum(axis=1)[None, :] - 2 * (x[i:i + VECTOR_BLOCK] @ to.T)).argmin(axis=1)
+                               for i in range(0, len(x), VECTOR_BLOCK)])
 
     def assign(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nearest centre of each point, and the distance to it."""
+        """Cell of each item (by the mean of its vectors); the centres nearest to its vectors, with the greatest distance."""
         for b in batches:
-            x = self._vectors(b)
+            x, sizes, starts = self._vectors(b)
             if not len(x):
                 continue
-            cell = ((self.centres ** 2).sum(axis=1)[None, :] - 2 * (x @ self.centres.T)).argmin(axis=1)
-            far = np.linalg.norm(x - self.centres[cell], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(far)],
-                                             names=[*b.schema.names, "cell", "far"])
+            cell = self._nearest(np.add.reduceat(x, starts, axis=0) / sizes[:, None], self.cells)
+            near, item = self._nearest(x, len(self.centres)), np.repeat(np.arange(len(sizes)), sizes)
+            far = np.linalg.norm(x - self.centres[near], axis=1)
+            order = np.lexsort((near, item))
+            near, item, far = near[order], item[order], far[order]
+            new = np.flatnonzero(np.r_[True, (near[1:] != near[:-1]) | (item[1:] != item[:-1])])
+            offsets = pa.array(np.searchsorted(item[new], np.arange(len(sizes) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(cell, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(near[new], pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.maximum.reduceat(far, new)))],
+                names=[*b.schema.names, "cell", "near", "far"])
+
+    def bounds(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(query, cell): what an item of the cell scores at most.
+
+        A vector at distance r from a centre has at most the token's product with the centre plus the token's length
+        times r; a token counts its best of the cell's centres, a query the sum over its tokens."""
+        norm, dots = np.linalg.norm(x, axis=1)[:, None], x @ self.centres.T
+        out = np.full((len(starts), self.cells), -np.inf)
+        for cell, (near, far) in self.reach.items():
+            most = dots[:, near] + norm * (far + 1e-9 * (far + self.lengths[near]))[None, :]
+            out[:, cell] = np.add.reduceat(most.max(axis=1), starts)
+        return out
 
     def visit(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells of each query: without a kth score the one of greatest bound; with one, all others whose bound reaches it.
-
-        A point of a cell scores at most the query's product with the centre plus the query's length times the radius."""
-        for b in batches:
-            q = self._vectors(b)
-            if not len(q):
-                continue
-            norm, size = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(self.centres, axis=1)[None, :] + self.radius[None, :]
-            bound = np.where(self.radius >= 0, q @ self.centres.T + norm * self.radius[None, :] + 1e-9 * norm * size, -np.inf)
-            home = bound.argmax(axis=1)
-            first = b.column("kth").is_null().to_numpy(zero_copy_only=False)
-            kth = b.column("kth").fill_null(0.0).to_numpy()
-            go = (bound >= kth[:, None]) & ~first[:, None] & (self.radius >= 0)
-            go[np.arange(len(q)), home] = first
-            at, cell = np.nonzero(go)
-            names = [n for n in b.schema.names if n != "kth"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(at)) for n in names), pa.array(cell, pa.int64())],
-                                             names=[*names, "cell"])
+        """Cells of each query: without a kth score the one of greatest bound; with one, all others whose bound reaches it."""
+        for whole in batches:
+            for i in range(0, whole.num_rows, QUERY_BLOCK):
+                b = whole.slice(i, QUERY_BLOCK)
+                x, _, starts = self._vectors(b)
+                if not len(x):
+                    continue
+                bound = self.bounds(x, starts)
+                home = bound.argmax(axis=1)
+                first = b.column("kth").is_null().to_numpy(zero_copy_only=False)
+                kth = b.column("kth").fill_null(0.0).to_numpy()
+                go = (bound >= kth[:, None]) & ~first[:, None] & np.isin(np.arange(self.cells), list(self.reach))[None, :]
+                go[np.arange(len(starts)), home] = first
+                at, cell = np.nonzero(go)
+                names = [n for n in b.schema.names if n != "kth"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(n).take(pa.array(at)) for n in names), pa.array(cell, pa.int64())], names=[*names, "cell"])
 
 
 class SpaceShards:
-    """Points (point_id, v, *on) dealt to shards by the nearest of a sample of at most MOST_CELLS points, large cells
+    """Points (point_id, v, *on) dealt to shards by the nearest of a sample of at most MOST_CELLS vectors, large cells
     in parts; asked in two rounds.  A query first visits the cell of greatest bound, which gives it a kth score, and
-    then the cells whose bound reaches that score: the others hold none of its best k."""
+    then the cells whose bound reaches that score: the others hold none of its best k.  `centres` (at least `cells`):
+    the centres of the bounds; pages, whose patches lie in several places, need more of them than cells."""
 
-    def __init__(self, points: DataFrame, cells: int, cosine: bool, on: Sequence[str]):
+    def __init__(self, points: DataFrame, cells: int, cosine: bool, on: Sequence[str], centres: int = 0):
         self.spark, self.cosine, self.on = points.sparkSession, cosine, list(on)
-        some = points.orderBy(F.xxhash64("point_id")).limit(min(cells, MOST_CELLS)).select("v").toArrow()
-        centres = _matrices(some.column("v").combine_chunks())[0]
-        self.cells = _Cells(np.unique(_unit(centres) if cosine else centres, axis=0), cosine)
+        one = F.get("v", F.pmod(F.xxhash64("point_id"), F.size("v")).cast("int"))
+        some = points.orderBy(F.xxhash64("point_id")).limit(min(max(cells, centres), MOST_CELLS)).select(
+            F.array(one).alias("v")).toArrow()
+        sample = _matrices(some.column("v").combine_chunks())[0]
+        sample = np.unique(_unit(sample) if cosine else sample, axis=0)
+        sample = sample[np.random.default_rng(0).permutation(len(sample))]
+        self.cells = _Cells(sample, min(cells, len(sample)), cosine)
         rows = points.select("point_id", self._owner().alias("owner"), "v")
         path = scratch_path(self.spark, "space-shards")
         rows.mapInArrow(self.cells.assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) +
-                        ", cell long, far double").write.parquet(path)
+                        ", cell long, near array<int>, far array<double>").write.parquet(path)
         self.points = self.spark.read.parquet(path)
         found = self.points.groupBy("cell").agg(
-            F.max("far").alias("far"), F.sum(F.size(F.col("v")[0]).cast("long")).alias("values")).collect()
-        n = len(self.cells.centres)
-        self.cells.radius, parts = np.full(n, -1.0), np.ones(n, dtype=np.int64)
+            F.sum(F.size("v").cast("long") * F.size(F.col("v")[0])).alias("values")).collect()
+        parts = np.ones(self.cells.cells, dtype=np.int64)
         for r in found:
-            self.cells.radius[r["cell"]], parts[r["cell"]] = r["far"], max(1, -(-r["values"] // SHARD_VALUES))
+            parts[r["cell"]] = max(1, -(-r["values"] // SHARD_VALUES))
+        # at most MOST_CELLS squared rows
+        reach = self.points.select("cell", F.explode(F.arrays_zip("near", "far")).alias("z")).groupBy(
+            "cell", F.col("z.near").alias("near")).agg(F.max("z.far").alias("far")).orderBy("cell").toArrow()
+        cell, near, far = (reach.column(c).to_numpy() for c in ("cell", "near", "far"))
+        cut = np.flatnonzero(np.diff(cell)) + 1
+        self.cells.reach = {int(c[0]): (n, f) for c, n, f in zip(
+            *(np.split(x, cut) for x in (cell, near, far)), strict=True) if len(c)}
         self.shards = int(parts.sum())
         at = lambda values: F.get(F.lit(values.tolist()), F.col("cell").cast("int"))
         self.first, self.parts = at(np.cumsum(parts) - parts), at(parts)
@@ -252,18 +295,19 @@ class SpaceShards:
         return home, self.asked(known)
 
 
-def _dense_top_k(points: DataFrame, queries: DataFrame, k: int, cosine: bool, on: Sequence[str]) -> DataFrame:
+def _nearby_top_k(points: DataFrame, queries: DataFrame, k: int, cosine: bool, on: Sequence[str],
+                  centres: int = 0) -> DataFrame:
     """Like :func:`_blocked_top_k`, with shards by space; a single shard leaves nothing to choose."""
     some = (F.size("v") > 0) & (F.size(F.col("v")[0]) > 0)
     for c in on:  # null owners match nobody
         some = some & F.col(c).isNotNull()
     points, queries = points.where(some), queries.where(some)
-    values = points.agg(F.sum(F.size(F.col("v")[0]).cast("long"))).first()[0] or 0
+    values = points.agg(F.sum(F.size("v").cast("long") * F.size(F.col("v")[0]))).first()[0] or 0
     cells = -(-values // SHARD_VALUES)
     if cells <= 1:
         return _blocked_top_k(points, queries, k, cosine, on)
     ship_package(points.sparkSession)
-    return SpaceShards(points, cells, cosine, on).top_k(queries, k)
+    return SpaceShards(points, cells, cosine, on, centres).top_k(queries, k)
 
 
 # --------------------------------------------------------------------------
@@ -282,7 +326,7 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, point_id: str =
         F.col("v")[0].isNotNull())
     q = queries.select(F.col(query_id).alias("query_id"), F.array(F.col(query_vec)).alias("v"), *on).where(
         F.col("v")[0].isNotNull())
-    hits = _dense_top_k(p, q, k, metric == "cosine", list(on))
+    hits = _nearby_top_k(p, q, k, metric == "cosine", list(on))
     if on or carry:
         hits = hits.join(points.select(F.col(point_id).alias("point_id"), *on, *carry), "point_id")
     return hits.select("query_id", "rank", "point_id", "score", *on, *carry)
@@ -424,7 +468,7 @@ def maxsim_topk(patches: DataFrame, tokens: DataFrame, k: int, *, page_id: str =
     use :func:`maxsim_topk_packed` to save that shuffle."""
     p = _packed(patches, F.col(page_id), F.col(patch_no), F.col(patch_vec), on, "point_id")
     t = _packed(tokens, F.col(query_id), F.col(token_id), F.col(token_vec), on, "query_id")
-    return _blocked_top_k(p, t, k, normalize, list(on)).select(
+    return _nearby_top_k(p, t, k, normalize, list(on), PATCH_CENTRES).select(
         "query_id", "rank", F.col("point_id").alias(page_id), "score")
 
 
@@ -442,7 +486,7 @@ def maxsim_topk_packed(pages: DataFrame, tokens: DataFrame, k: int, *, page_id:
     """Late interaction over packed pages."""
     p = pages.select(F.col(page_id).alias("point_id"), F.col(patches).alias("v"))
     t = _packed(tokens, F.col(query_id), F.col(token_id), F.col(token_vec), (), "query_id")
-    return _blocked_top_k(p, t, k, normalize, []).select(
+    return _nearby_top_k(p, t, k, normalize, [], PATCH_CENTRES).select(
         "query_id", "rank", F.col("point_id").alias(page_id), "score")
 
 

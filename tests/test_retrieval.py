@@ -89,3 +89,65 @@ def test_rescoring_edge_cases(spark):
     got = found(RT.rescore_topk(p, q, 2))
     assert got == {(1, 1): (4, 1.0), (1, 2): (5, 1.0), (2, 1): (1, 0.0), (2, 2): (4, 0.0)}
     assert RT.rescore_topk(p.where("false"), q, 2).count() == 0
+
+
+def pages_of(seed, n, groups, patches, spread=0.15):
+    """Pages whose patches lie around the places of their group; every fifth page mixes two groups."""
+    rng = np.random.default_rng(seed)
+    places = rng.normal(size=(groups, patches, 64))
+    home = np.arange(n) % groups
+    out = places[home] + rng.normal(size=(n, patches, 64)) * spread
+    out[::5, : patches // 2] = places[(home[::5] + 1) % groups, : patches // 2]
+    return out
+
+
+def page_frames(spark, pages, questions):
+    rows = lambda items: [(i, j, v.tolist(), f"o{i % 2}") for i, p in enumerate(items) for j, v in enumerate(p)]
+    patches = spark.createDataFrame(rows(pages), "page_key long, patch_no int, embedding array<double>, owner string")
+    tokens = spark.createDataFrame(rows(questions), "query_id long, token_no int, embedding array<double>, owner string")
+    return patches.repartition(4), tokens
+
+
+def best_pages(pages, questions, k, cosine, owner=False):
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True) if cosine else x
+    out = {}
+    for i, q in enumerate(questions):
+        s = [(-(unit(q) @ unit(p).T).max(axis=1).sum(), j) for j, p in enumerate(pages) if not owner or i % 2 == j % 2]
+        out |= {(i, r + 1): (j, round(float(-x), 6)) for r, (x, j) in enumerate(sorted(s)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("cosine,on", [(False, []), (True, []), (True, ["owner"])])
+def test_late_interaction_on_shards_by_space(spark, monkeypatch, cosine, on):
+    monkeypatch.setattr(RT, "SHARD_VALUES", 12 * 6 * 64)
+    pages, questions = pages_of(5, 300, 12, 6), pages_of(5, 12, 12, 6)[:, :4] + 0.01
+    p, t = page_frames(spark, pages, questions)
+    got = RT.maxsim_topk(p, t, 5, normalize=cosine, on=on)
+    assert {(r.query_id, r.rank): (r.page_key, round(r.score, 6)) for r in got.collect()} == best_pages(
+        pages, questions, 5, cosine, bool(on))
+
+
+def test_late_interaction_without_places_is_exact_too(spark, monkeypatch):
+    monkeypatch.setattr(RT, "SHARD_VALUES", 500)
+    rng = np.random.default_rng(6)
+    pages = [rng.normal(size=(1 + i % 4, 64)) for i in range(60)]  # pages of unlike size, no groups at all
+    questions = [rng.normal(size=(1 + i % 3, 64)) for i in range(5)]
+    p, t = page_frames(spark, pages, questions)
+    got = RT.maxsim_topk(p, t, 70)  # more than there are pages
+    assert {(r.query_id, r.rank): (r.page_key, round(r.score, 6)) for r in got.collect()} == best_pages(pages, questions, 70, False)
+    packed = RT.maxsim_topk_packed(RT.pack_patches(p), t, 3)
+    assert {(r.query_id, r.rank): r.page_key for r in packed.collect()} == {
+        key: v[0] for key, v in best_pages(pages, questions, 3, False).items()}
+
+
+def test_late_interaction_visits_few_shards(spark, monkeypatch, capsys):
+    pages, questions = pages_of(7, 400, 20, 6, 0.05), pages_of(7, 20, 20, 6, 0.05)[:, :4]
+    p, t = page_frames(spark, pages, questions)
+    monkeypatch.setattr(RT, "SHARD_VALUES", 10 * 6 * 64)
+    packed = RT.pack_patches(p).selectExpr("page_key as point_id", "patches as v")
+    asked = t.groupBy("query_id").agg({"embedding": "collect_list"}).toDF("query_id", "v")
+    shards = RT.SpaceShards(packed, 40, True, [], 256)
+    visits = shards.rounds(asked, 5)[1].count()
+    with capsys.disabled():
+        print(f"\n{visits / 20 + 1:.1f} of {shards.cells.cells} cells of pages a question")
+    assert visits + 20 < 0.5 * 20 * shards.cells.cells
