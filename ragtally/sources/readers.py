@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import answers as A
 from ..operators.ordering import sequence_by_sort
+from .csv_records import scan_csv
 
 # Question sheet (fixed schema, no inference).
 QUESTION_SCHEMA = T.StructType([
@@ -82,9 +83,9 @@ def align_links(spark: SparkSession, files: DataFrame, links_path: str | None, n
 
 
 def scan_questions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Question sheet with the fixed schema (CSV with header, or parquet)."""
+    """Question sheet with the fixed schema (CSV with header, read in splits, or parquet)."""
     if fmt == "csv":
-        return spark.read.options(**CSV_OPTIONS).schema(QUESTION_SCHEMA).csv(path)
+        return scan_csv(spark, path, QUESTION_SCHEMA, CSV_OPTIONS).drop("file_path", "block", "line")
     return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in QUESTION_SCHEMA.fields])
 
 
@@ -111,12 +112,15 @@ def scan_runs(spark: SparkSession, csv_path: str | None, json_path: str | None,
     part ('part-*').  The name gives model_short, vd_name, perm_label and
     file_timestamp; a run header's columns (model, elapsed_time, timestamp,
     permuted_answers) come first where the file has them: run_timestamp and
-    permuted_answers fall back to the name."""
+    permuted_answers fall back to the name.  With `csv_schema`, CSV files are
+    read in splits; types are inferred a file a task."""
     frames = []
     if csv_path:
-        r = spark.read.options(**CSV_OPTIONS)
-        r = r.schema(csv_schema) if csv_schema is not None else r.option("inferSchema", "true")
-        frames.append(r.csv(csv_path).withColumn("file_path", F.col("_metadata.file_path")))
+        if csv_schema is not None:
+            frames.append(scan_csv(spark, csv_path, csv_schema, CSV_OPTIONS).drop("block", "line"))
+        else:
+            r = spark.read.options(**CSV_OPTIONS).option("inferSchema", "true")
+            frames.append(r.csv(csv_path).withColumn("file_path", F.col("_metadata.file_path")))
     if json_path:
         r = spark.read
         r = r.schema(json_schema) if json_schema is not None else r
@@ -142,18 +146,21 @@ def merge_runs(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
     has the same (model, retriever) pair.  Empty files have no rows and are
     skipped.  Partition folders are not inferred (recursive listing).
 
-    The first row of a file is the row with the smallest scan id in it (a
-    run file is one split).  Numbering runs on the file list only and is
-    joined back."""
-    r = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    The first row of a file is the one that starts first (CSV: by split and
+    line; JSON: by scan id, a run file is one split).  Numbering runs on the
+    file list only and is joined back."""
     if fmt == "csv":
-        r = r.options(**CSV_OPTIONS)
-    rows = (r.format(fmt).load(path).withColumn("file_path", F.col("_metadata.file_path"))
-            .withColumn("_scan", F.monotonically_increasing_id()))
+        parsed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        rows, place = scan_csv(spark, path, parsed, CSV_OPTIONS, recursive=True), F.struct("block", "line")
+    else:
+        r = spark.read.schema(schema).option("recursiveFileLookup", "true")
+        rows = (r.format(fmt).load(path).withColumn("file_path", F.col("_metadata.file_path"))
+                .withColumns({"block": F.lit(0), "line": F.monotonically_increasing_id()}))
+        place = F.col("line")
     pair = list(pair_cols)
     first = rows.groupBy("file_path").agg(
-        F.min_by(F.struct(*[F.col(c) for c in pair]), F.col("_scan")).alias("_first"))
+        F.min_by(F.struct(*[F.col(c) for c in pair]), place).alias("_first"))
     files = first.select("file_path", *[F.col(f"_first.{c}").alias(f"_pair_{c}") for c in pair])
     numbered = sequence_by_sort(files, [f"_pair_{c}" for c in pair], ["file_path"], out_col)
     return (rows.join(numbered.select("file_path", out_col), "file_path")
-            .drop("_scan"))
+            .drop("block", "line"))

@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragtally.session import scratch_path
+from ragtally.sources import csv_records as CR
 from ragtally.sources import readers as RD
 from ragtally.sources import sinks as SK
 
@@ -70,3 +72,65 @@ def test_cache_computes_each_missing_content_once(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select("id", "size").fillna(-1).collect()) == [
         (0, 7), (1, -1), (2, 0), (3, 3), (4, -1), (5, 3)]
     assert got.columns == ["id", "text", "size"]
+
+
+CSV_KIND = "id long, text string, note string"
+
+
+def write_csv(path, rows, end="\n"):
+    """RFC 4180: every text quoted, quotes doubled; empty note unquoted."""
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    with open(path, "w", newline="") as fh:
+        fh.write(f"id,text,note{end}")
+        for i, text, note in rows:
+            fh.write(f"{i},{quoted(text)},{'' if note is None else quoted(note)}{end}")
+
+
+@pytest.fixture
+def small_splits(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_splits_reads_what_was_written(spark, tmp_path, small_splits, end):
+    import random
+    rng = random.Random(3)
+    signs = ['"', "\n", ",", "a", "b c", '""', "\n\n", "é", "line\n1,\"x\",y\n"]
+    texts = lambda: "x" + "".join(rng.choice(signs) for _ in range(rng.randrange(12))) + "y"
+    want = {}
+    for name, n in (("a.csv", 1500), ("b.csv", 1), ("c.csv", 0), ("d.csv", 300)):
+        rows = [(i, texts(), rng.choice([None, "n", "two\nlines"])) for i in range(n)]
+        rows += [(n, "long " + "word \n" * 4000 + "end", None)] if n == 300 else []  # a record over several splits
+        write_csv(tmp_path / name, rows, end)
+        want[name] = rows
+    kind = T._parse_datatype_string(CSV_KIND)
+    got = CR.scan_csv(spark, str(tmp_path), kind, RD.CSV_OPTIONS)
+    assert CR.csv_records(spark, str(tmp_path)).where("block > 0").count() > 100  # read in many splits
+    rows = got.orderBy("file_path", "block", "line").collect()
+    for name, expected in want.items():
+        assert [(r.id, r.text, r.note) for r in rows if r.file_path.endswith(name)] == expected
+    plain = spark.read.options(**RD.CSV_OPTIONS).schema(CSV_KIND).csv(str(tmp_path))
+    if end == "\n":
+        assert sorted(map(tuple, plain.select("id", "text").collect())) == sorted((r.id, r.text) for r in rows)
+
+
+def test_csv_edge_cases(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('id,"te\nxt",note\n\n7,,""\nbad,"q"\n\n8,plain,last')  # header of two lines, no end
+    (tmp_path / "f.csv").write_text("")
+    got = CR.scan_csv(spark, str(tmp_path), T._parse_datatype_string(CSV_KIND), RD.CSV_OPTIONS).orderBy("line").collect()
+    assert [(r.id, r.text, r.note) for r in got] == [(7, None, None), (None, "q", None), (8, "plain", "last")]
+    plain = spark.read.options(**RD.CSV_OPTIONS).schema(CSV_KIND).csv(str(tmp_path)).collect()
+    assert [tuple(r)[:3] for r in got] == [tuple(r) for r in plain]
+
+
+def test_merge_runs_numbers_files_read_in_splits(spark, tmp_path, small_splits):
+    for run, (model, n) in enumerate([("m1", 900), ("m2", 5), ("m1", 3)]):
+        (tmp_path / f"run{run}").mkdir()
+        write_csv(tmp_path / f"run{run}" / "part.csv", [(i, model, "r\n1") for i in range(n)])
+    got = RD.merge_runs(spark, str(tmp_path), "id long, Model string, Model_ret string").groupBy("Model", "Iteration").count()
+    assert sorted(map(tuple, got.collect())) == [("m1", 1, 900), ("m1", 2, 3), ("m2", 1, 5)]
