@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import col
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from .ordering import BLOCK, sequence_number
 from .packing import pack_lines
+from .tables import read_tables
 
 
 # Tags that begin or end a block, the kinds of those that hold
@@ -220,33 +221,38 @@ def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out:
     return docs.join(unit, id_col, "left").withColumn(out, F.coalesce(F.col(out), zeros(dim)))
 
 
-# Patterns of table and image markup.
-TABLE_PATTERN = r"(?is)<table\b[^>]*>(.*?)</table>"
-ROW_PATTERN = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-CELL_PATTERN = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
-CAPTION_PATTERN = r"(?is)<caption\b[^>]*>(.*?)</caption>"
+# Fixed value: pattern of image markup.
 IMG_PATTERN = r"(?is)<img\b[^>]*>"
 
 
-def _inline_text(c: Column) -> Column:
-    """Tags removed, entities decoded, whitespace collapsed, trimmed."""
-    return F.trim(F.regexp_replace(_decode(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
+def _cell_text(c: Column) -> Column:
+    """Entities decoded, whitespace collapsed, trimmed."""
+    return F.trim(F.regexp_replace(_decode(c), r"\s+", " "))
 
 
-def extract_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """HTML tables -> (id, table_no, caption, markdown, page_content): rows as
-    '| a | b |' lines; content = caption + ' ' + markdown, or the markdown
-    alone without a caption (the table-element rule)."""
+def extract_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", header_rule: bool = False) -> DataFrame:
+    """HTML tables -> (id, table_no, caption, markdown, page_content, n_rows, n_cols, n_header): rows as '| a | b |'
+    lines; content = caption + ' ' + markdown, or the markdown alone without a caption (the table-element rule).
+
+    Tables are read as cell grids (:mod:`.tables`): spans fill the places they cover, nested tables come on their own,
+    numbered by where they begin.  n_header: rows at the top in a thead or of header cells only; `header_rule` puts
+    the markdown rule below them.  Pages without a table (or null) give no rows and stay out of the Python pass."""
+    ship_package(pages.sparkSession)
     clean = F.regexp_replace(F.col(html_col), DROP_PATTERN, "")
-    t = pages.select(id_col, F.posexplode(F.regexp_extract_all(clean, F.lit(TABLE_PATTERN), 1)).alias("table_no", "t"))
-    rows = F.regexp_extract_all("t", F.lit(ROW_PATTERN), 1)
-    md = F.array_join(F.transform(rows, lambda r: F.concat(
-        F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(CELL_PATTERN), 1), _inline_text), " | "),
-        F.lit(" |"))), "\n")
-    caption = _inline_text(F.regexp_extract("t", CAPTION_PATTERN, 1))
-    out = t.select(id_col, "table_no", caption.alias("caption"), md.alias("markdown"))
-    return out.withColumn("page_content", F.when(F.col("caption") != "", F.concat_ws(" ", "caption", "markdown"))
-                          .otherwise(F.col("markdown")))
+    some = pages.where(F.col(html_col).rlike("(?i)<table")).select(id_col, clean.alias(html_col))
+    kind = some.schema[id_col].dataType.simpleString()
+    t = some.mapInArrow(read_tables(id_col, html_col),
+                        f"`{id_col}` {kind}, table_no int, caption string, grid array<array<string>>, n_header int")
+    lines = F.transform("grid", lambda r: F.concat(
+        F.lit("| "), F.array_join(F.transform(r, _cell_text), " | "), F.lit(" |")))
+    n_cols = F.coalesce(F.size(F.get("grid", F.lit(0))), F.lit(0))
+    if header_rule:
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n_cols), " | "), F.lit(" |"))
+        lines = F.when(F.col("n_header") > 0, F.array_insert(lines, F.col("n_header") + 1, rule)).otherwise(lines)
+    out = t.select(id_col, "table_no", _cell_text(F.col("caption")).alias("caption"), F.array_join(lines, "\n").alias("markdown"),
+                   F.size("grid").alias("n_rows"), n_cols.alias("n_cols"), "n_header")
+    content = F.when(F.col("caption") != "", F.concat_ws(" ", "caption", "markdown")).otherwise(F.col("markdown"))
+    return out.select(id_col, "table_no", "caption", "markdown", content.alias("page_content"), "n_rows", "n_cols", "n_header")
 
 
 def extract_images(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

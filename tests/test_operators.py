@@ -385,6 +385,39 @@ def test_extract_tables_and_images(spark):
     assert [(r.img_link, r.caption) for r in imgs] == [("/img/f1.png", "Figure 1 <mice>"), ("f2.jpg", "")]
 
 
+def test_table_grids(spark):
+    from ragtally.operators.tables import tables_of
+
+    grids = lambda html: [(t[1].strip(), t[2], t[3]) for t in tables_of(html)]
+    # column and row spans fill the places they cover; a row span ends with its group
+    spans = ("<table><thead><tr><th rowspan=2>drug<th colspan='2'>dose</tr><tr><th>low<th>high</tr></thead>"
+             "<tbody><tr><td rowspan=9>A<td>1<td>2<tr><td>3</tbody><tbody><tr><td>B</tbody></table>")
+    assert grids(spans) == [("", [["drug", "dose", "dose"], ["drug", "low", "high"], ["A", "1", "2"], ["A", "3", ""],
+                                  ["B", "", ""]], 2)]
+    # a nested table is one of its own, numbered by where it begins; its caption and cells stay out of the outer cell
+    nested = ("<table><caption>out<b>er</b></caption><tr><td>x<table><caption>inner</caption><tr><td>1</td></tr></table>y</td>"
+              "<td>z</td></tr></table><table><tr><td>after")
+    assert grids(nested) == [("out er", [["x y", "z"]], 0), ("inner", [["1"]], 0), ("", [["after"]], 0)]
+    # rowspan 0 reaches to the end; a column span stops at a cell from above; spans without use are no rows
+    assert grids("<table><tr><td>a<td rowspan=0>b<td>c<tr><td colspan=5>d<tr><td rowspan=65534 colspan=0>e</table>") == [
+        ("", [["a", "b", "c"], ["d", "b", ""], ["e", "b", ""]], 0)]
+    assert grids("<table></table><table><tr></table></table><p>") == [("", [], 0), ("", [[]], 0)]
+    assert grids("no table, 3 < 4") == grids("") == [] and len(tables_of("<table><a " + "<a " * 100000)) == 1
+    # random grids of unit cells come back as they are
+    import random
+    rng = random.Random(1)
+    want = [[[str(rng.random()) for _ in range(w)] for _ in range(rng.randint(1, 9))] for w in range(1, 12)]
+    html = "".join("<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in t) + "</table>" for t in want)
+    assert [g[1] for g in grids(html)] == want
+
+    df = spark.createDataFrame([(1, spans), (2, None), (3, ""), (4, nested + "<script><table></script>")], "page_id long, html string")
+    got = {(r.page_id, r.table_no): r for r in IN.extract_tables(df, header_rule=True).collect()}
+    assert sorted(got) == [(1, 0), (4, 0), (4, 1), (4, 2)]
+    assert got[1, 0].markdown.split("\n")[:4] == ["| drug | dose | dose |", "| drug | low | high |", "| --- | --- | --- |", "| A | 1 | 2 |"]
+    assert (got[1, 0].n_rows, got[1, 0].n_cols, got[1, 0].n_header) == (5, 3, 2)
+    assert got[4, 0].page_content == "out er | x y | z |"
+
+
 def test_unregistered_helpers(spark):
     from ragtally.operators import scoring as SC
     from ragtally.plans import run_plan as RP
