@@ -21,16 +21,18 @@ such parts differ from page to page.  A class or id says so as a whole or by its
 last part (site-footer, comment-list; not ad-free, has-sidebar), never on html,
 body, main, article or a headline, and a header inside an article holds its
 headline.  Where such names lie around every article of a page, they count only
-inside the articles.  Inside an article or main element only
-the latter applies: two pages may carry one article.  Where a page has such an
-element, its text is the page's text.
+inside the articles.  Where a page has an article or main element, its text is
+the page's text, less its branches of low importance.  Two guards there, since
+pages may carry one article: headlines stay, and where the low branches hold
+half or more of the characters, all stay.
 
 Blocks: character references are decoded, white space in a block becomes one
 space, blocks are trimmed and joined by one newline, in page order.
 
 Skew: nodes are counted with partial aggregates (a hot host is no hot key), and
 composites are aggregates by parent, a level of all trees at a time, so no task
-holds a host's tree; a host's list has its low branches only; pages meet their host's
+holds a host's tree.  Nodes of a single page have importance 1, as all below
+them, and need no level: a malformed page of thousands of levels costs none.  A host's list has its low branches only; pages meet their host's
 list of low branches by a join that splits hot hosts.
 
 Defined results: null html is empty and gives an empty text; a null or
@@ -78,6 +80,7 @@ _CUES = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
     comment comments respond reply replies disqus discussion share sharing social related recommended pagination pager
     toolbar skip hidden""".split())
 _WHOLE = frozenset(("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"))
+_HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _HEADERS = frozenset(("header", "masthead", "banner"))
 #: Parts that say what a name's other parts belong to, not what they are.
 _HOLDERS = frozenset("""list lists box block section area container wrapper wrap inner outer item items bar panel links
@@ -205,22 +208,27 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, list[Element],
 
 
 def extract(page: str, low: frozenset[int] = frozenset()) -> str:
-    """Main text of a page; `low` holds the paths of its host's branches of low importance."""
+    """Main text of a page; `low` holds the paths of its host's branches of low importance.  Only block elements have
+    contents of their own, so an inline element left open makes no branch low."""
     if not page:
         return ""
     elements, blocks = parse(page)
     has_main = any(e.main and not e.cued for e in elements)
     # names around every article don't say that there is no text
     around = any(e.main and not e.dropped for e in elements)
-    out = []
+    out, weak = [], []
     for _, line, text in blocks:
         if any(e.cue or e.named and (e.inside or around or not has_main) for e in line):
             continue
-        if has_main:
-            if line[-1].inside:
+        if not has_main:
+            if not any(e.path in low for e in line if e.tag in _BLOCK):
                 out.append(text)
-        elif not any(e.path in low for e in line):
+        elif line[-1].inside:
             out.append(text)
+            weak.append(any(e.inside and e.path in low for e in line if e.tag in _BLOCK) and not any(e.tag in _HEADLINES for e in line))
+    # more than half of an article is the article, however many pages carry it
+    if any(weak) and 2 * sum(len(t) for t, w in zip(out, weak, strict=True) if w) < sum(map(len, out)):
+        out = [t for t, w in zip(out, weak, strict=True) if not w]
     return "\n".join(out)
 
 
@@ -235,11 +243,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             depths = {e.path: e.depth for e in elements}
             contents: dict[int, list[str]] = {}
             for e in elements:
-                if not e.inside:
-                    styles[e.path] = styles.get(e.path, "") + "|" + " ".join(e.children)
+                styles[e.path] = styles.get(e.path, "") + "|" + " ".join(e.children)
             for e, line, text in blocks:
-                if not e.inside:
-                    contents.setdefault(e.path, []).append(text)
+                contents.setdefault(e.path, []).append(text)
                 for a, c in zip(line, line[1:], strict=False):
                     parents[c.path] = a.path
             for path, style in styles.items():
@@ -253,8 +259,16 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def composites(tree: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of nodes with host, parent, depth, node, pages, styles, presentation, content;
-    importances in billionths, which sum to the same in any order."""
+    importances in billionths, which sum to the same in any order.
+
+    A node of one page has presentation and content 1, and so have the nodes below it, which are on that page only:
+    its composite is 1 by the greatest of its children.  Levels go as deep as nodes that pages share."""
     tree = written(tree, "site-tree")
+    single = tree.where(F.col("pages") == 1).select("host", "parent", "node", "pages", F.lit(BILLION).cast("long").alias("importance"))
+    # those below nodes of several pages; deeper ones are nobody's children but each other's
+    edge = written(null_safe_join(
+        single, tree.where(F.col("pages") > 1).select("host", F.col("node").alias("parent"), "depth"), ["host", "parent"]), "site-edge")
+    tree = tree.where(F.col("pages") > 1)
     deepest = tree.agg(F.max("depth")).first()[0]
     own = F.coalesce("content", "presentation")
     n = F.coalesce("children", F.lit(0)) + F.col("content").isNotNull().cast("int")
@@ -262,22 +276,22 @@ def composites(tree: DataFrame) -> DataFrame:
     mean = (F.coalesce("total", F.lit(0)) / BILLION + F.coalesce("content", F.lit(0.0))) / n
     mixed = F.greatest((1 - keep) * F.col("presentation") + keep * mean, F.col("most") / BILLION, "content")
     value = F.round(F.when(F.col("children").isNull(), own).otherwise(mixed) * BILLION).cast("long")
-    out, below = None, None
+    columns = ["host", "parent", "node", "pages", "importance"]
+    out, below = single, None
     for depth in range(deepest if deepest is not None else 0, -1, -1):
         level = tree.where(F.col("depth") == depth)
-        if below is None:
-            level = level.withColumns({c: F.lit(None).cast("long") for c in ("children", "total", "most")})
-        else:
-            inner = below.where(F.col("parent").isNotNull()).groupBy("host", F.col("parent").alias("node")).agg(
-                F.count("*").alias("children"), F.sum("importance").alias("total"), F.max("importance").alias("most"))
-            level = null_safe_join(level, inner, ["host", "node"], "left")
+        children = edge.where(F.col("depth") == depth).select(*columns)
+        children = children if below is None else children.union(below)
+        inner = children.where(F.col("parent").isNotNull()).groupBy("host", F.col("parent").alias("node")).agg(
+            F.count("*").alias("children"), F.sum("importance").alias("total"), F.max("importance").alias("most"))
+        level = null_safe_join(level, inner, ["host", "node"], "left")
         below = written(level.select("host", "parent", "node", "pages", value.alias("importance")), "site-level")
-        out = below if out is None else out.union(below)
+        out = out.union(below)
     return out.select("host", "node", "pages", "importance")
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): the paths of each host's branches of low importance."""
+def site_tree(pages: DataFrame) -> DataFrame:
+    """(host, node, parent, depth, pages, styles, presentation, content) of the hosts' nodes."""
     ship_package(pages.sparkSession)
     nodes = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(
         _nodes, "host string, parent long, depth int, node long, kind int, value long")
@@ -290,12 +304,16 @@ def low_branches(pages: DataFrame) -> DataFrame:
     log_m = F.log(F.col("m").cast("double"))
     mean = F.when(F.col("m") > 1, F.col("flogf") / F.col("m") / log_m).otherwise(0.0)
     per = per.withColumn("importance", 1 - mean)
-    tree = per.groupBy("host", "node").agg(
+    return per.groupBy("host", "node").agg(
         F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.max("m").alias("pages"),
         F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("l"))), F.lit(1)).alias("styles"),
         F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("importance"))), F.lit(1.0)).alias("presentation"),
         F.max(F.when(F.col("kind") == 1, F.col("importance"))).alias("content"))
-    low = composites(tree).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE * BILLION)
+
+
+def low_branches(pages: DataFrame) -> DataFrame:
+    """(host, low): the paths of each host's branches of low importance."""
+    low = composites(site_tree(pages)).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE * BILLION)
                                  & (F.col("node") != 0))
     return low.groupBy("host").agg(F.collect_list("node").alias("low"))
 

@@ -389,6 +389,72 @@ def test_html_extraction_merges_pages_whose_wrappers_have_values_of_their_own(sp
     assert "FlatMapGroups" not in html_extract.low_branches(d)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_low_importance_decides_inside_articles_too(spark):
+    page = ("<body><article><h1>On every page</h1><p>Own text of page number {0} on this host</p>"
+            "<div class='box7'>Buy our new book</div></article></body>")
+    shared = "<body><article><p>One article</p><div class='x'>that all pages of the host carry</div></article></body>"
+    d = spark.createDataFrame([(i, "http://a/", page.format(i)) for i in range(50)] +
+                              [(i, "http://b/", shared) for i in range(50, 56)], "page_id long, url string, html string")
+    assert collected(html_extract.main_texts(d), "page_id", "text") == Counter(
+        [(i, f"On every page\nOwn text of page number {i} on this host") for i in range(50)] +
+        [(i, "One article\nthat all pages of the host carry") for i in range(50, 56)])
+
+
+def test_a_page_of_thousands_of_levels_costs_no_more_jobs(spark, monkeypatch):
+    calls, written = [], html_extract.written
+    monkeypatch.setattr(html_extract, "written", lambda df, name: calls.append(name) or written(df, name))
+    page = "<body><div class=top>Welcome</div><div class=text><p>Own text {0}</p></div></body>"
+    deep = "<body>" + "<div>" * 2000 + "Deep" + "</div>" * 2000 + "</body>"
+    d = spark.createDataFrame([(i, "http://h/", page.format(i)) for i in range(9)] + [(9, "http://h/", deep)],
+                              "page_id long, url string, html string")
+    got = collected(html_extract.main_texts(d), "page_id", "text")
+    assert got == Counter([(i, f"Own text {i}") for i in range(9)] + [(9, "Deep")]) and len(calls) < 10
+
+
+def test_composites_against_recursion(spark):
+    import math
+    rnd = random.Random(4)
+
+    def branch(level):
+        inner = "".join(branch(level + 1) for _ in range(rnd.randrange(1, 3))) if level < 2 else ""
+        return f"<div class={rnd.choice('ab')}>{rnd.choice(['x', 'y', ''])}{inner}</div>"
+    pages = [(i, f"http://{rnd.choice('hk')}/", f"<body>{branch(0)}</body>") for i in range(200)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    tree = html_extract.site_tree(d)
+    got = {(r.host, r.node): r.importance for r in html_extract.composites(tree).collect()}
+
+    kept = {}
+    for _, url, html in pages:  # counted here anew: styles, contents and parents of each path
+        elements, blocks = html_extract.parse(html)
+        host, style, text, parent = url[7:8], {}, {}, {}
+        for e in elements:
+            style[e.path] = style.get(e.path, "") + "|" + " ".join(e.children)
+        for e, line, t in blocks:
+            text[e.path] = text.get(e.path, "") + "\n" + t
+            parent.update((c.path, a.path) for a, c in zip(line, line[1:], strict=False))
+        for n in style:
+            k = kept.setdefault((host, n), (Counter(), Counter(), set()))
+            k[0][style[n]] += 1
+            k[1].update([text[n]] if n in text else [])
+            k[2].update([parent[n]] if n in parent else [])
+
+    def mean_entropy(c):
+        m = sum(c.values())
+        return sum(f / m * math.log(f) for f in c.values()) / math.log(m) if m > 1 else 0.0
+
+    def composite(host, n):
+        styles, contents, _ = kept[host, n]
+        below = [composite(h, c) for (h, c), k in kept.items() if h == host and n in k[2]]
+        own = [1 - mean_entropy(contents)] if contents else []
+        if not below:
+            return own[0] if own else 1 - mean_entropy(styles)
+        keep = html_extract.DAMP ** len(styles)
+        mean = (sum(below) + sum(own)) / (len(below) + len(own))
+        return max([(1 - keep) * (1 - mean_entropy(styles)) + keep * mean, *below, *own])
+    assert set(got) == set(kept) and len({v for v in got.values()}) > 5
+    assert all(abs(got[h, n] / 1e9 - composite(h, n)) < 1e-7 for h, n in kept)
+
+
 @pytest.mark.parametrize("shard", [4096, 20])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
