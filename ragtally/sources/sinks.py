@@ -78,6 +78,17 @@ def import_responses(spark: SparkSession, requests: DataFrame, responses_path: s
                     F.when(F.col("_ok") == 1, F.col("content")).alias("content"), status.alias("status"))
 
 
+def export_again(spark: SparkSession, requests: DataFrame, responses_path: str, path: str, id_col: str, model: str,
+                 message_col: str = "message") -> None:
+    """Batch-inference input of the requests without a usable response among all responses at `responses_path` (a
+    folder that keeps the responses of each send), as :func:`export_requests` writes it.  Only ids take part in the
+    decision; a request whose responses all failed is sent once more, whatever their number."""
+    ids = requests.select(F.col(id_col).cast("string").alias("custom_id"))
+    done = import_responses(spark, ids, responses_path).where(F.col("status") == "ok").select(F.col("custom_id").alias("_done"))
+    left = requests.join(done, F.col(id_col).cast("string") == F.col("_done"), "left_anti")
+    export_requests(left, path, id_col, model, message_col)
+
+
 def embedding_cache(spark: SparkSession, root: str, vectoriser: str,
                     compute: Callable[[], DataFrame]) -> DataFrame:
     """Read `{root}/{vectoriser}` when a complete table is there; otherwise

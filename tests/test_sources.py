@@ -40,6 +40,24 @@ def test_import_response_statuses(spark):
     assert out == {"r1": ("ok", "B.", 1), "r2": ("failed", None, 1), "r3": ("ok", "A", 2), "r4": ("missing", None, 0)}
 
 
+def test_failed_requests_are_exported_again(spark):
+    reqs = spark.createDataFrame([(i, f"ask {i}") for i in range(1, 6)], "id long, message string")
+    answers, again = scratch_path(spark, "answers"), scratch_path(spark, "again")
+
+    def answer(*rows):
+        spark.createDataFrame(list(rows), "custom_id string, content string").write.mode("append").json(answers)
+
+    def sent():
+        SK.export_again(spark, reqs, answers, again, "id", "m")
+        return sorted(int(r.custom_id) for r in spark.read.schema("custom_id string").json(again).collect())
+    answer(("1", "B."), ("2", None), ("3", "[error] timeout"), ("3", "[error] timeout"))
+    assert sent() == [2, 3, 4, 5]
+    answer(("2", "A"), ("3", "[error] again"), ("4", "C"))
+    assert sent() == [3, 5]
+    answer(("3", "D"), ("5", ""))
+    assert sent() == []
+
+
 def test_scan_corpus_suffix_any_case(spark):
     d = scratch_path(spark, "corpus")
     import os
