@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 import regex
 import tiktoken
 import xxhash
@@ -246,3 +247,12 @@ def test_toxicity_expressions_share_no_slots():
     scum = toxicity._buckets(toxicity.expressions("scum"))[0]
     assert [t for b, t in zip(counts["bucket"], counts["toxic"]) if t] == [toxicity.UNIT]
     assert [o for b, o in zip(counts["bucket"], counts["ordinary"]) if b == scum] == [0]
+
+
+def test_toxicity_counts_each_word_before_a_word_once():
+    packed = zstandard.ZstdCompressor().compress
+    rows = pa.record_batch({"toxic": [0, 1], "packed": [packed(b"a b a b"), packed(b"c b!")]})
+    found = pa.Table.from_batches(toxicity._contexts(iter([rows])))
+    a, b, c = toxicity._buckets(toxicity.expressions("a b c")).tolist()
+    assert sorted(zip(*found.to_pydict().values())) == sorted([(a, 0), (b, a), (a, b), (c, 0), (b, c)])
+    assert toxicity._discounts([(0, 2, 2), (toxicity.STEPS, 1, 2)], 4, [0.75, 1.0]) == pytest.approx([1, 2], rel=0.05)

@@ -332,6 +332,41 @@ def test_toxicity_learns_and_handles_edges(spark, docs, empty):
     assert all(r.score < 1e-6 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_ratios_by_hand(spark):
+    """Log ratios of discounted counts over continuation counts that both classes share; none is cut off."""
+    unit, rnd = toxicity.UNIT, random.Random(17)
+    data = [(i, rnd.randint(0, 90) * unit, rnd.randint(0, 12) * unit, rnd.randint(1, 9)) for i in range(400)]
+    counts = spark.createDataFrame(data, "bucket long, ordinary long, toxic long, contexts long")
+    bucket, columns = toxicity.ratios(counts)
+    o, t, c = (np.array(x, dtype=float) for x in list(zip(*data))[1:])
+    for column, d in zip(columns.T, toxicity.DISCOUNTS):
+        if d > 8:
+            continue
+        share = np.minimum(t, d * unit).sum() / t.sum()
+        low, high = 0.0, o.max()
+        for _ in range(80):
+            cut = (low + high) / 2
+            low, high = (cut, high) if np.minimum(o, cut).sum() < share * o.sum() else (low, cut)
+        p = [np.maximum(x - k, 0) / x.sum() + share * c / c.sum() for x, k in ((t, d * unit), (o, low))]
+        want = np.log(p[0] / p[1])
+        got = np.zeros(400)
+        got[bucket] = column
+        assert np.abs(got - want).max() < 0.02
+        assert d > 1 or ((np.abs(want) < 1) & (np.abs(got) > 0.1)).sum() > 50
+
+
+def test_toxicity_of_many_moderately_toxic_words(spark):
+    """Each of the words is three times as frequent in toxic texts, none much more."""
+    rnd = random.Random(18)
+    words, odd = [f"word{i}" for i in range(60)], [f"odd{i}" for i in range(60)]
+    text = lambda bad: " ".join(rnd.choice(odd if rnd.random() < (.6 if bad else .2) else words) for _ in range(150))
+    d = spark.createDataFrame([(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(900)], "doc_id long, text string, toxic int")
+    model = toxicity.train(d, d.select("doc_id", "toxic"))
+    assert model.value(" ".join(odd)) > 0.3
+    held = [r for r in toxicity.score(d, model).collect() if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.95
+
+
 def test_toxicity_counts_large_groups_of_copies(spark):
     rnd = random.Random(16)
     text = lambda k: " ".join(f"word{rnd.randint(0, 100)}" for _ in range(k))
