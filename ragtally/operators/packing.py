@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 
+#: Lines that are held as Python objects at once (a block of more is held whole).
+LINES = 1 << 14
+
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -65,6 +68,16 @@ def chunk_numbers(sizes: np.ndarray, budget: int, fill: int = 0, chunk: int = 0)
     return out
 
 
+def slices(b: pa.RecordBatch, column: str, most: int = LINES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of the batch whose lists have at most `most` entries together, at least a row each."""
+    upto, lo = np.cumsum(b.column(column).value_lengths().to_numpy(zero_copy_only=False)), 0
+    while lo < b.num_rows:
+        before = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 class _Transitions:
     """(doc, place, sizes) -> the block's table."""
 
@@ -91,7 +104,7 @@ class _Pack:
         self.doc, self.budget = doc, budget
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "items")):
             at, rows = [], []
             for i, (block, fill, chunk, items) in enumerate(zip(*[b.column(c).to_pylist() for c in (
                     "block", "fill", "chunk", "items")], strict=True)):

@@ -6,6 +6,7 @@ import random
 import tempfile
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ragtally.operators import collections as CO
 from ragtally.operators import ingest as IN
 from ragtally.operators import ordering as OR
+from ragtally.operators import packing
 from ragtally.operators import prompts as PR
 from ragtally.operators import ranktests as RK
 from ragtally.operators import retrieval as RT
@@ -499,3 +501,13 @@ def test_change_log_is_compacted(spark):
         assert ST._newest_state(spark, f"{root}/out") == i
     assert got == [(1, "a", 1), (2, "B", 2), (3, "c", 1)]
     assert sorted(tuple(r) for r in ST.collection_state(spark, f"{root}/out", "id", "version", ["id", "v", "version"]).collect()) == got
+
+
+def test_packing_holds_bounded_slices_of_a_batch():
+    b = pa.record_batch({"items": [[1] * n for n in (3, 2, 9, 1, 1, 0, 4)]})
+    parts = [x.column("items").to_pylist() for x in packing.slices(b, "items", 5)]
+    assert [[len(x) for x in p] for p in parts] == [[3, 2], [9], [1, 1, 0], [4]]
+    rows = pa.record_batch({"doc": [1, 2, 3], "block": [0, 0, 0], "fill": [0, 0, 0], "chunk": [0, 0, 0], "items": [
+        [{"pos": k, "n": 2, "line": f"a b{k}", "page": 1, "type": "text"} for k in range(packing.LINES - 1)]] * 3})
+    out = list(packing._Pack("doc", 512)(iter([rows])))
+    assert len(out) == 3 and sum(x.num_rows for x in out) == 3 * 64
