@@ -189,6 +189,10 @@ def overlay_descriptions(corpus: DataFrame, descriptions: DataFrame, models: Seq
                         .otherwise(F.col("page_content"))).drop("description")
 
 
+#: Characters of text (and numbers of their vectors) that a task of :func:`vectorise_text` is dealt.
+PART_CHARS = 8_000_000
+
+
 def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out: str = "embedding",
                    id_col: str = "doc_id") -> DataFrame:
     """Lexical stand-in for the neural encoder: lower-cased word characters
@@ -198,18 +202,20 @@ def vectorise_text(docs: DataFrame, text_col: str = "text", dim: int = 768, out:
     document before they are hashed, and buckets summed, without another
     shuffle.  The sparse counts are written once and read for the frequencies
     and for the vectors, whose entries are laid out in bucket order with the
-    zeros between them."""
+    zeros between them.  Documents are dealt to as many tasks as their length
+    asks for, so a task's words and vectors do not grow with the table."""
+    ids, chars = docs.agg(F.count_distinct(F.struct(id_col)), F.sum(F.length(text_col))).first()
+    parts_n = max(1, -(-((chars or 0) + ids * dim) // PART_CHARS))
     tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^0-9A-Za-z_]+"), lambda w: w != "")
     bucket = (F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    counts = (docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(tokens).alias("_w"))
+    counts = (docs.select(id_col, text_col).repartition(parts_n, id_col).select(id_col, F.explode(tokens).alias("_w"))
               .groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_n"))
               .select(id_col, bucket.alias("_b"), "_n").groupBy(id_col, "_b").agg(F.sum("_n").alias("_tf")))
     path = scratch_path(docs.sparkSession, "term-counts")
     counts.write.parquet(path)
     counts = docs.sparkSession.read.parquet(path)
-    n = docs.select(id_col).distinct().count()
-    idf = counts.groupBy("_b").agg(F.log((F.lit(n) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("_idf"))
-    parts = counts.join(idf, "_b").groupBy(id_col).agg(
+    idf = counts.groupBy("_b").agg(F.log((F.lit(ids) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("_idf"))
+    parts = counts.join(idf, "_b").repartition(parts_n, id_col).groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("_b", (F.col("_tf") * F.col("_idf")).alias("w")))).alias("_p"))
     norm = F.sqrt(F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)

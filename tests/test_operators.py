@@ -503,6 +503,18 @@ def test_change_log_is_compacted(spark):
     assert sorted(tuple(r) for r in ST.collection_state(spark, f"{root}/out", "id", "version", ["id", "v", "version"]).collect()) == got
 
 
+def test_vectorise_text_deals_documents_by_their_length(spark, monkeypatch):
+    """Shares of the table that do not grow with it, repeated and null ids included; the same vectors."""
+    docs = spark.createDataFrame([(i % 40, f"Word{i % 7} Word{i} the") for i in range(60)] + [(None, "the end"), (41, None)],
+                                 "doc_id long, text string")
+    want = sorted(map(str, IN.vectorise_text(docs, "text", 16).collect()))
+    monkeypatch.setattr(IN, "PART_CHARS", 100)
+    many = IN.vectorise_text(docs, "text", 16)
+    assert sorted(map(str, many.collect())) == want
+    chars = sum(len(r.text or "") for r in docs.collect())
+    assert str(-(-(chars + 42 * 16) // 100)) + "), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing_holds_bounded_slices_of_a_batch():
     b = pa.record_batch({"items": [[1] * n for n in (3, 2, 9, 1, 1, 0, 4)]})
     parts = [x.column("items").to_pylist() for x in packing.slices(b, "items", 5)]
