@@ -12,6 +12,9 @@ cent or more.  Sets, MinHash samples, band keys and odd sketches: :mod:`ragtally
    of near copies, once connected, is not compared pair by pair.
 5. What passes is confirmed on the full sets as well; all links give the components.
 
+Only the texts of nodes in a bucket are fetched again for their sets; a bitmap of their keys keeps most others out of
+the shuffle, the join after it decides.
+
 A confirmation task holds the sets of two groups of GROUP nodes; nodes that share a bucket have neighbouring numbers,
 so a set is sent to few tasks.  A task returns a spanning forest of its links.
 
@@ -41,6 +44,7 @@ from .common import numbered, smallest_reachable, text_of, written
 LEAST = 80  # per cent
 BLOCK = 512
 GROUP = 256
+MOST_SLOTS = 1 << 25
 
 _PRINT = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch binary"
 
@@ -68,7 +72,8 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [oddsketch.shingle_set(t).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), pa.array(sets, pa.binary())],
+                                         names=["node", "group", "hashes"])
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -178,17 +183,38 @@ def _parts(rows: int) -> int:
     return max(1, min(20_000, rows // 16 + 1))
 
 
+def _slots(keys: int) -> int:
+    """Bits for so many keys: 16 to a key, at most MOST_SLOTS."""
+    return min(MOST_SLOTS, max(1 << 12, 1 << (16 * keys).bit_length()))
+
+
+def _likely(rows: DataFrame, wanted: DataFrame, slots: int) -> DataFrame:
+    """The rows whose row_key is among those of `wanted`, and a few others: a key sets one of `slots` bits, and the
+    bits go to every task as one row.  So the other rows' texts are not shuffled for a join on row_key."""
+    slot = F.pmod(F.xxhash64("row_key"), F.lit(slots))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    word = lambda at: F.floor(at / 64).cast("int")
+    some = wanted.select(slot.alias("slot")).groupBy(word(F.col("slot")).alias("word")).agg(F.bit_or(bit(F.col("slot"))).alias("bits"))
+    every = rows.sparkSession.range(slots // 64).select(F.col("id").cast("int").alias("word"))
+    every = every.join(some, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    table = every.agg(F.sort_array(F.collect_list("w")).getField("bits").alias("__bits"))
+    return rows.join(F.broadcast(table), F.get(F.col("__bits"), word(slot)).bitwiseAND(bit(slot)) != 0, "left_semi")
+
+
 def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
     """Edges between nodes whose components are those of all links between different sets."""
-    places = nodes.select("node", F.explode("bands").alias("key"))
-    often = written(places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1"), "minhash-buckets")
+    # one shuffle by key for the buckets and for their members
+    places = nodes.select("node", F.explode("bands").alias("key")).repartition("key")
+    often = places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("rep")).where("n > 1")
     members = written(places.join(often, "key").select("key", "n", "rep", "node"), "minhash-members")
     family = members.groupBy("node").agg(F.min("rep").alias("family"))
     groups = numbered(family, [F.col("family"), F.col("node")], "at").select("node", F.floor(F.col("at") / GROUP).alias("group"))
-    info = written(groups.join(nodes.select("node", "n_shingles", "sketch"), "node"), "minhash-info")
-    wanted = prints.join(info.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "row_key")
-    texts = _keyed(docs).select("row_key", "text").dropDuplicates(["row_key"]).join(wanted, "row_key")
-    sets = texts.select("node", "text").mapInArrow(_set_batches, "node long, hashes binary").join(info.select("node", "group"), "node")
+    own = prints.select(F.col("rid").alias("node"), "n_shingles", "sketch", "row_key")
+    info = written(groups.join(own, "node"), "minhash-info")
+    wanted = info.select("row_key", "node", "group")
+    texts = _likely(_keyed(docs).select("row_key", "text"), wanted, _slots(wanted.count()))
+    texts = texts.dropDuplicates(["row_key"]).join(wanted, "row_key").select("node", "group", "text")
+    sets = texts.mapInArrow(_set_batches, "node long, group long, hashes binary")
     sets = written(sets.groupBy("group").agg(F.collect_list(F.struct("node", "hashes")).alias("list")), "minhash-sets")
     most = oddsketch.most_bits(least / 100)
 

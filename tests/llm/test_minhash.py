@@ -71,6 +71,35 @@ def test_components_are_those_of_all_pairs(spark):
     assert Counter(map(tuple, got.collect())) == by_hand(data)
 
 
+def test_only_texts_that_share_a_band_are_shuffled(spark, monkeypatch):
+    """A table of mostly lone texts: the join that fetches texts gets those of the nodes in buckets and few others."""
+    rnd = random.Random(6)
+    lone = [(i, " ".join(f"w{rnd.randrange(10 ** 9)}" for _ in range(12)), "en", "s", 1) for i in range(600)]
+    near = [(1000 + i, f"{lone[i][1]} {lone[i + 1][1]} end{j}", "en", "s", 1) for i in range(20) for j in range(2)]
+    data = lone + near + near[:3] + [(None, near[5][1], "en", "s", 1)]
+    kept, plans = [], {}
+    likely, written = minhash._likely, minhash.written
+    monkeypatch.setattr(minhash, "_likely", lambda *a: kept.append(likely(*a)) or kept[-1])
+    monkeypatch.setattr(minhash, "written", lambda df, name: plans.setdefault(name, df) and written(df, name))
+    got = minhash.components(spark.createDataFrame(data, SCHEMA))
+    assert Counter(map(tuple, got.collect())) == by_hand(data)
+    assert 40 <= kept[0].count() < 120
+    plan = plans["minhash-sets"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
+    assert "minhash-buckets" not in plans  # buckets and members come from one shuffle of the keys
+
+
+def test_likely_keeps_every_wanted_row(spark):
+    rows = spark.range(5000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("row_key"), "id")
+    wanted = rows.where("id % 50 = 0").select("row_key")
+    for slots, most in ((minhash._slots(100), 500), (64, 5000)):
+        got = [r.id for r in minhash._likely(rows.union(rows), wanted, slots).collect()]
+        assert Counter(i for i in got if i % 50 == 0) == Counter({i: 2 for i in range(0, 5000, 50)})
+        assert len(set(got)) <= most
+    assert minhash._likely(rows, wanted.limit(0), 64).count() == 0
+    assert minhash._slots(0) == 1 << 12 and minhash._slots(1 << 40) == minhash.MOST_SLOTS
+
+
 def test_blocks_and_groups_of_few_members_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     monkeypatch.setattr(minhash, "GROUP", 2)
