@@ -39,12 +39,13 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import oddsketch
-from .common import numbered, smallest_reachable, text_of, written
+from .common import MOST_SLOTS, numbered, smallest_reachable, text_of, written  # noqa: F401
+from .common import likely as _likely
+from .common import slots as _slots
 
 LEAST = 80  # per cent
 BLOCK = 512
 GROUP = 256
-MOST_SLOTS = 1 << 25
 
 _PRINT = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch binary"
 
@@ -183,24 +184,6 @@ def _parts(rows: int) -> int:
     return max(1, min(20_000, rows // 16 + 1))
 
 
-def _slots(keys: int) -> int:
-    """Bits for so many keys: 16 to a key, at most MOST_SLOTS."""
-    return min(MOST_SLOTS, max(1 << 12, 1 << (16 * keys).bit_length()))
-
-
-def _likely(rows: DataFrame, wanted: DataFrame, slots: int) -> DataFrame:
-    """The rows whose row_key is among those of `wanted`, and a few others: a key sets one of `slots` bits, and the
-    bits go to every task as one row.  So the other rows' texts are not shuffled for a join on row_key."""
-    slot = F.pmod(F.xxhash64("row_key"), F.lit(slots))
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-    word = lambda at: F.floor(at / 64).cast("int")
-    some = wanted.select(slot.alias("slot")).groupBy(word(F.col("slot")).alias("word")).agg(F.bit_or(bit(F.col("slot"))).alias("bits"))
-    every = rows.sparkSession.range(slots // 64).select(F.col("id").cast("int").alias("word"))
-    every = every.join(some, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
-    table = every.agg(F.sort_array(F.collect_list("w")).getField("bits").alias("__bits"))
-    return rows.join(F.broadcast(table), F.get(F.col("__bits"), word(slot)).bitwiseAND(bit(slot)) != 0, "left_semi")
-
-
 def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
     """Edges between nodes whose components are those of all links between different sets."""
     # one shuffle by key for the buckets and for their members

@@ -355,6 +355,34 @@ def test_toxicity_ratios_by_hand(spark):
         assert d > 1 or ((np.abs(want) < 1) & (np.abs(got) > 0.1)).sum() > 50
 
 
+def test_toxicity_tries_every_discount_whatever_is_sent(spark, monkeypatch):
+    """A table of more expressions than are sent gives the ratios and scores that it gives when all are sent."""
+    unit, rnd = toxicity.UNIT, random.Random(19)
+    counts = spark.createDataFrame([(i, rnd.randint(0, 90) * unit, rnd.randint(0, 12) * unit, rnd.randint(1, 9)) for i in range(400)],
+                                   "bucket long, ordinary long, toxic long, contexts long")
+    with monkeypatch.context() as few:
+        few.setattr(toxicity, "MOST_SENT", 20)
+        assert toxicity.ratios(counts)[1].shape[1] == len(toxicity.DISCOUNTS)
+    words, odd = [f"word{i}" for i in range(60)], [f"odd{i}" for i in range(60)]
+    text = lambda bad: " ".join(rnd.choice(odd if rnd.random() < (.6 if bad else .2) else words) for _ in range(150))
+    data = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(900)]
+    d = spark.createDataFrame(data + data[:9] + [(1000, None, 0), (None, text(1), 1), (1001, "", 1), (1002, "nothing known", 0)],
+                              "doc_id long, text string, toxic int")
+    labels = d.where("doc_id < 1000").select("doc_id", "toxic")
+    scores = lambda m: sorted((r.doc_id or -1, r.score) for r in toxicity.score(d, m).collect())
+    whole = toxicity.train(d, labels)
+    assert whole.rest is None
+    want, calm = scores(whole), Counter(toxicity.ordinary(d, whole).collect())
+    for most in (20, 0):
+        monkeypatch.setattr(toxicity, "MOST_SENT", most)
+        model = toxicity.train(d, labels)
+        assert len(model.buckets) <= most and model.rest.count() + len(model.buckets) == len(whole.buckets)
+        got = scores(model)
+        assert [x[0] for x in got] == [x[0] for x in want] and np.abs(np.array([x[1] for x in got]) - [x[1] for x in want]).max() < 1e-6
+        assert model.value(" ".join(odd)) == pytest.approx(whole.value(" ".join(odd)), abs=1e-6)
+        assert Counter(toxicity.ordinary(d, model).collect()) == calm and 0 < sum(calm.values()) < d.count()
+
+
 def test_toxicity_of_many_moderately_toxic_words(spark):
     """Each of the words is three times as frequent in toxic texts, none much more."""
     rnd = random.Random(18)
