@@ -383,6 +383,38 @@ def test_toxicity_tries_every_discount_whatever_is_sent(spark, monkeypatch):
         assert Counter(toxicity.ordinary(d, model).collect()) == calm and 0 < sum(calm.values()) < d.count()
 
 
+def test_pipeline_toxicity_stage_leaves_no_rows_or_discounts_out(spark, tmp_path, monkeypatch):
+    """The stage keeps the same documents, by the same curve, whatever is sent and however many rows the curve has."""
+    rnd = random.Random(20)
+    words, odd = [f"word{i}" for i in range(60)], [f"odd{i}" for i in range(60)]
+    text = lambda bad: " ".join(rnd.choice(odd if rnd.random() < (.5 if bad else .3) else words) for _ in range(30))
+    data = [(i, text(i % 4 == 0), "en", "s1", 1) for i in range(900)] + [(None, text(1), None, None, 1), (7, None, "en", "s1", 0)]
+    d = spark.createDataFrame(data, COLUMNS)
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(900)]
+    labels = spark.createDataFrame(labels + labels[:20] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model, calm = toxicity.train(d, labels), Counter(corpus_pipeline.drop_toxic(spark, d, str(tmp_path)).collect())
+    assert 0 < sum(calm.values()) < len(data)
+    for name in ("CURVE_ROWS", "MOST_SENT"):
+        monkeypatch.setattr(toxicity, name, 20, raising=False)
+        again = toxicity.train(d, labels)
+        assert (again.slope, again.middle) == pytest.approx((model.slope, model.middle), rel=1e-6)
+        assert Counter(corpus_pipeline.drop_toxic(spark, d, str(tmp_path)).collect()) == calm
+
+
+def test_toxicity_curves_by_sums_over_the_rows(spark):
+    rnd = np.random.default_rng(21)
+    toxic = (rnd.random(3000) < .2).astype(int)
+    values = np.column_stack((rnd.normal(toxic * .1, .05), rnd.normal(size=3000), -toxic, np.zeros(3000)))
+    kind = "values array<double>, toxic int"
+    table = spark.createDataFrame(list(zip(values.tolist(), toxic.tolist())), kind).repartition(7)
+    got = toxicity.fit_curves(table, 4)
+    want = {i: c for i in range(4) if (c := toxicity.fit_curve(values[:, i], toxic))}
+    assert got.keys() == want.keys() and 0 in got and 2 not in got
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in got)
+    assert toxicity.fit_curves(table.where("toxic = 0"), 4) == toxicity.fit_curves(table.limit(0), 4) == {}
+
+
 def test_toxicity_of_many_moderately_toxic_words(spark):
     """Each of the words is three times as frequent in toxic texts, none much more."""
     rnd = random.Random(18)
